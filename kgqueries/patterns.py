@@ -153,8 +153,9 @@ def _(spark, sf):
 
 
 @query("j1_optional_filter", f"""
-SELECT '{X}order/' || o_orderkey AS o, '{X}lineitem-row/' || md5(concat_ws('|', l_orderkey, l_partkey, l_suppkey,
-  l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate)) AS l
+SELECT '{X}order/' || o_orderkey AS o, CASE WHEN l_orderkey IS NOT NULL THEN '{X}lineitem-row/' || md5(concat_ws('|',
+  l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag,
+  l_linestatus, l_shipdate)) END AS l
 FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND CAST(l_shipdate AS DATE) < CAST(o_orderdate AS DATE)""")
 def _(spark, sf):
     """The OPTIONAL's own filter uses an outer variable."""
@@ -188,22 +189,19 @@ def _(spark, sf):
 
 
 @query("j3_unbound_join", f"""
-WITH a AS (SELECT c_custkey, min(event_id) AS e FROM customer LEFT JOIN events ON user_id = c_custkey GROUP BY 1),
-     b AS (SELECT user_id, max(event_id) AS e FROM events GROUP BY 1 HAVING count(*) = 1),
-     u AS (SELECT c_custkey AS k FROM a WHERE e IS NULL)
-SELECT '{X}customer/' || c_custkey AS c, '{X}event/' || a.e AS e, '{X}customer/' || user_id AS x
-FROM a JOIN b ON a.e = b.e
-UNION ALL SELECT '{X}customer/' || k, '{X}event/' || b.e, '{X}customer/' || user_id FROM u, b""")
-def _(spark, sf):
-    """A shared variable that may be unbound: bound cases join, unbound ones fit every partner."""
+WITH a AS (SELECT c_custkey, s FROM customer LEFT JOIN
+             (SELECT DISTINCT o_custkey, o_orderstatus AS s FROM orders WHERE o_orderstatus = 'P'
+              AND o_orderpriority = '5-LOW') ON o_custkey = c_custkey),
+     b AS (SELECT o_custkey, o_orderstatus AS s, count(*) AS n FROM orders GROUP BY 1, 2)
+SELECT '{X}customer/' || c_custkey AS c, b.s AS status, n FROM a JOIN b ON c_custkey = o_custkey AND (a.s = b.s OR a.s IS NULL)""")
+def _(spark, sf):
+    """A shared variable that may be unbound fits any value: the two cases are joined apart."""
     kg = order_graph(spark, sf)
-    first = kg.match("?e", EX.byUser, "?c").bind("k", lambda r: fn.cast(fn.strafter(fn.str(r.e), "event/"), XSD.integer))
-    firsts = first.group_by("c").agg(k=agg.min("k"))
-    left = kg.match("?c", EX.custKey, "?ck").select("c").optional(firsts)
-    single = (kg.match("?e", EX.byUser, "?x")
-              .bind("k", lambda r: fn.cast(fn.strafter(fn.str(r.e), "event/"), XSD.integer))
-              .group_by("x").agg(k=agg.max("k"), n=agg.count()).having(lambda r: r.n == 1).select("x", "k"))
-    return left.join(single).select("c", "x", e=lambda r: fn.iri(fn.concat(f"{X}event/", fn.str(r.k))))
+    pending = kg.bgp([("?o", EX.placedBy, "?c"), ("?o", EX.orderStatus, "?status"), ("?o", EX.orderPriority, "5-LOW")])
+    pending = pending.filter(lambda r: r.status == "P").select("c", "status").distinct()
+    counts = (kg.bgp([("?o", EX.placedBy, "?c"), ("?o", EX.orderStatus, "?status")])
+              .group_by("c", "status").agg(n=agg.count("o")))
+    return kg.match("?c", EX.custKey, "?k").select("c").optional(pending).join(counts)
 
 
 @query("j4_minus", f"""

@@ -80,8 +80,9 @@ def patterns_df(rows: DataFrame) -> DataFrame:
 
 def instance_patterns(triples: DataFrame, unit: Column) -> DataFrame:
     """An instance graph in the form the rules read; blank nodes keep their own names."""
+    term = F.concat_ws("|", F.lit("literal"), "o_dt", "o_lang")  # equal text of two datatypes is two terms
     return triples.select(unit.alias("unit_id"), "s", F.lit("iri").alias("s_kind"), "p", "o",
-                          F.when(F.col("o_kind") == "literal", F.lit("literal")).otherwise(F.lit("iri")).alias("o_kind"))
+                          F.when(F.col("o_kind") == "literal", term).otherwise(F.lit("iri")).alias("o_kind"))
 
 
 # ---- the ontology side ---------------------------------------------------------------------
