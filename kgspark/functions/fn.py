@@ -230,11 +230,10 @@ def concat(*parts) -> Term:
 
 
 def _pattern(pattern: "str", flags: "str") -> "str":  # type: ignore[valid-type]
-    import re
     if set(flags) - set("ismxq"):
         raise ValueError(f"unknown regular-expression flags {flags!r}")
     if "q" in flags:
-        pattern = re.sub(r"([\\.\[\]{}()*+?^$|#\s-])", r"\\\1", pattern)
+        pattern = tm.java_quote(pattern)
     java = "".join(f for f in flags if f in ("ismx" if "q" not in flags else "i"))
     return f"(?{java}{'u' if 'i' in java else ''}){pattern}" if java else pattern
 

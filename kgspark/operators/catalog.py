@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.plans.mapping import (ColumnObj, ConstObj, IriColumn, Mapping, RefObj, Source, TemplateObj, TriplesMap)
+from kgspark.session import materialize
 from kgspark.terms import IRI, RDF, RR, Template
 
 MAX_MAPS = 100_000
@@ -46,6 +47,7 @@ def mapping_from_triples(triples: DataFrame, first_join_only: bool = False) -> D
         F.min(F.when(at("constant"), F.struct("o", "o_kind"))).alias("constant"),
         *[has(h) for h in ("tableName", "SQLQuery", "column", "template")],
         F.bool_or(F.col("p").isin(_FLAGS)).alias("flagged"))
+    nodes = materialize(nodes)  # joined once per role a node can have
     # every map is kept, also one with no rr: statement but its type
     maps = triples.where((F.col("p") == str(RDF.type)) & (F.col("o") == str(RR.TriplesMap))).select("s").distinct()
     heads = maps.join(nodes.select("s", "logicalTable", "subjectMap", F.col("flagged").alias("map_flag")), "s", "left")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgspark.operators.closure import closure
+from kgspark.session import materialize
 from kgspark.terms import IRI, OWL, OWL_NS, RDF, RDF_NS, RDFS, RDFS_NS, SKOS_NS
 
 # Reserved names of variables, and the universal classes.
@@ -116,77 +117,88 @@ def _ends(tbox: DataFrame, predicate, name: str) -> DataFrame:
 
 
 def _small(df: DataFrame) -> DataFrame:
-    """Broadcast below a checked number of rows; otherwise an ordinary shuffled join."""
+    """Written once; broadcast below a checked number of rows, else an ordinary shuffled join."""
+    df = materialize(df)
     return F.broadcast(df) if df.limit(MAX_BROADCAST_TBOX + 1).count() <= MAX_BROADCAST_TBOX else df
 
 
+# What meets what at a node: the role on the left, the role on the right. Role d is a property with
+# a domain (met at its subject), r one with a range (met at its object), t a class of the node.
+_MEETINGS = {"double_domain": "dd", "domain_range": "rd", "domain": "dt", "range": "rt", "double_range": "rr"}
+
+
 class Checker:
     """The six rules against one ontology; its side tables are built and sized once."""
 
     def __init__(self, tbox: DataFrame):
-        spark = tbox.sparkSession
-        full = add_top_classes(tbox)
         self.tbox = tbox
-        self.domains = _small(_ends(tbox, RDFS.domain, "dom"))
-        self.ranges = _small(_ends(tbox, RDFS.range, "rng"))
-        self.below = _small(subclass_closure(full).where("src <> dst"))
+        ends = [_ends(tbox, RDFS.domain, "c").withColumn("role", F.lit("d")),
+                _ends(tbox, RDFS.range, "c").withColumn("role", F.lit("r"))]
+        self.ends = _small(ends[0].unionByName(ends[1]))
+        self.below = _small(subclass_closure(add_top_classes(tbox)).where("src <> dst"))
         self.declared = _small(tbox.where(F.col("p") == str(RDF.type)).select(F.col("s").alias("p")).distinct())
-        self.spark = spark
-
-    # Rows where neither class is below the other (or, one way, where x is not below y).
-    def _unrelated(self, df: DataFrame, x: str, y: str, both_ways: bool = True) -> DataFrame:
-        out = df.where(F.col(x) != F.col(y))
-        for a, b in ((x, y), (y, x)) if both_ways else ((x, y),):
-            out = out.join(self.below.select(F.col("src").alias(a), F.col("dst").alias(b)), [a, b], "left_anti")
-        return out
-
-    @staticmethod
-    def _count(patterns: DataFrame, node: str) -> DataFrame:
-        return patterns.groupBy("unit_id", F.col(node).alias("node"), F.col(f"{node}_kind").alias("kind"), "p").agg(
-            F.count("*").alias("n"))
 
-    def _pairs(self, left: DataFrame, right: DataFrame, ordered: bool) -> DataFrame:
-        """Properties that meet at a node: at most one row per pair of properties and node."""
-        right = right.select("unit_id", "node", "kind", F.col("p").alias("q"), F.col("c").alias("cq"), F.col("n").alias("nq"))
-        out = left.withColumnRenamed("c", "cp").join(right, ["unit_id", "node", "kind"])
-        return out.where("p < q") if ordered else out
-
-    def _report(self, df: DataFrame, names: dict[str, str], weight: Column) -> DataFrame:
-        return (df.groupBy("unit_id", *[F.col(c).alias(n) for c, n in names.items()])
-                .agg(F.sum(weight).cast("bigint").alias("n")))
-
-    def _at(self, patterns: DataFrame, node: str, ends: DataFrame, end: str) -> DataFrame:
-        return self._count(patterns, node).join(ends.withColumnRenamed(end, "c"), "p")
+    def facts(self, patterns: DataFrame) -> DataFrame:
+        """What each node of each unit is, by role, property and class, with a count.
+
+        One pass over the patterns: those no rule can use are dropped by a map-side join before
+        they are counted, and counting shrinks hot nodes before anything is moved.
+        """
+        def fact(role: str, node: str, cls: Column) -> Column:
+            return F.struct(F.lit(role).alias("role"), F.col(node).alias("node"), F.col(f"{node}_kind").alias("kind"),
+                            F.when(F.lit(role != "t"), F.col("p")).alias("p"), cls.alias("cls"))
+
+        no_class = F.lit(None).cast("string")
+        typed = F.when(F.col("p") == str(RDF.type), fact("t", "s", F.col("o")))
+        rows = patterns.select("unit_id", F.explode(F.array(
+            fact("d", "s", no_class), fact("r", "o", no_class), typed)).alias("f")).where("f IS NOT NULL")
+        rows = rows.select("unit_id", "f.*").join(self.ends, ["role", "p"], "left")
+        rows = rows.withColumn("c", F.coalesce("c", "cls")).where("c IS NOT NULL")
+        return rows.groupBy("unit_id", "node", "kind", "role", "p", "c").agg(F.count("*").alias("n"))
+
+    def violations(self, patterns: DataFrame, rules=tuple(_MEETINGS)) -> DataFrame:
+        """(unit_id, rule, a, b, c, d, n) of the rules about nodes: all of them in one join.
+
+        At a node there is one row per property and class of the ontology, however many
+        statements meet there, so a hot node adds no more pairs than any other.
+        """
+        facts = self.facts(patterns)
+        key = ["unit_id", "node", "kind"]
+        right = facts.select(*key, *[F.col(c).alias(f"{c}2") for c in ("role", "p", "c", "n")])
+        meeting = F.concat("role", "role2")
+        wanted = [_MEETINGS[r] for r in rules]
+        met = facts.join(right, key).where(meeting.isin(wanted) & ((F.col("role") != F.col("role2")) | (F.col("p") < F.col("p2"))))
+        met = met.where("c <> c2")
+        # A class of the node must be below the end; two ends must be related one way or the other.
+        met = met.join(self.below.select(F.col("src").alias("c2"), F.col("dst").alias("c")), ["c", "c2"], "left_anti")
+        both = self.below.select(F.col("src").alias("c"), F.col("dst").alias("c2"), F.lit(True).alias("two_ways"))
+        met = met.withColumn("two_ways", F.col("role2") != "t").join(both, ["c", "c2", "two_ways"], "left_anti")
+        rule = F.element_at(F.create_map(*[F.lit(x) for r, m in _MEETINGS.items() for x in (m, r)]), meeting)
+        is_type = F.col("role2") == "t"
+        weight = F.col("n") * F.when(is_type, F.lit(1)).otherwise(F.col("n2"))
+        return (met.groupBy("unit_id", rule.alias("rule"), F.col("p").alias("a"), F.col("c").alias("b"),
+                            F.when(is_type, F.col("node")).otherwise(F.col("p2")).alias("x"), F.col("c2").alias("d"))
+                .agg(F.sum(weight).cast("bigint").alias("n"))
+                .select("unit_id", "rule", "a", "b", F.col("x").alias("c"), "d", "n"))
+
+    def _one(self, patterns: DataFrame, rule: str) -> DataFrame:
+        names = zip("abcd", BINDINGS[rule])
+        return self.violations(patterns, (rule,)).select("unit_id", *[F.col(c).alias(n) for c, n in names], "n")
 
     def double_domain(self, patterns: DataFrame) -> DataFrame:
-        side = self._at(patterns, "s", self.domains, "dom")
-        pairs = self._unrelated(self._pairs(side, side, True), "cp", "cq")
-        return self._report(pairs, {"p": "p", "cp": "domp", "q": "q", "cq": "domq"}, F.col("n") * F.col("nq"))
+        return self._one(patterns, "double_domain")
 
     def domain_range(self, patterns: DataFrame) -> DataFrame:
-        left = self._at(patterns, "o", self.ranges, "rng")
-        right = self._at(patterns, "s", self.domains, "dom")
-        pairs = self._unrelated(self._pairs(left, right, False), "cp", "cq")
-        return self._report(pairs, {"p": "p", "cp": "rangep", "q": "q", "cq": "domq"}, F.col("n") * F.col("nq"))
-
-    def double_range(self, patterns: DataFrame) -> DataFrame:
-        side = self._at(patterns, "o", self.ranges, "rng")
-        pairs = self._unrelated(self._pairs(side, side, True), "cp", "cq")
-        return self._report(pairs, {"p": "p", "cp": "rangep", "q": "q", "cq": "rangeq"}, F.col("n") * F.col("nq"))
-
-    def _typed(self, patterns: DataFrame, node: str, ends: DataFrame, end: str) -> DataFrame:
-        types = patterns.where(F.col("p") == str(RDF.type)).select(
-            "unit_id", F.col("s").alias("node"), F.col("s_kind").alias("kind"), F.col("o").alias("cls")).distinct()
-        met = self._at(patterns, node, ends, end).join(types, ["unit_id", "node", "kind"])
-        return self._unrelated(met, "cls", "c", both_ways=False)
+        return self._one(patterns, "domain_range")
 
     def domain(self, patterns: DataFrame) -> DataFrame:
-        met = self._typed(patterns, "s", self.domains, "dom")
-        return self._report(met, {"p": "p", "c": "domain", "node": "s", "cls": "cls"}, F.col("n"))
+        return self._one(patterns, "domain")
 
     def range(self, patterns: DataFrame) -> DataFrame:
-        met = self._typed(patterns, "o", self.ranges, "rng")
-        return self._report(met, {"p": "p", "c": "range", "node": "o", "cls": "cls"}, F.col("n"))
+        return self._one(patterns, "range")
+
+    def double_range(self, patterns: DataFrame) -> DataFrame:
+        return self._one(patterns, "double_range")
 
     def incorrect_property(self, patterns: DataFrame) -> DataFrame:
         own = reduce(lambda a, b: a | b, [F.startswith("p", F.lit(ns)) for ns in (VARIABLE_NS, *STANDARD_NAMESPACES)])
@@ -195,30 +207,41 @@ class Checker:
 
     def all(self, patterns: DataFrame) -> DataFrame:
         """Every violation: unit_id, rule_order, rule, message, bindings (display form), n."""
-        names = labels(self.tbox)
-        parts = []
-        for order, rule in enumerate(RULES, 1):
-            found = getattr(self, rule)(patterns)
-            for c in BINDINGS[rule]:
-                found = display(found, c, names)
-            text, args = RULES[rule], []
-            pieces = []
-            for chunk in text.split("{"):
+        none = F.lit(None).cast("string")
+        unknown = self.incorrect_property(patterns).select(
+            "unit_id", F.lit("incorrect_property").alias("rule"), F.col("p").alias("a"),
+            *[none.alias(c) for c in "bcd"], "n")
+        found = self.violations(patterns).union(unknown)
+        names = _small(labels(self.tbox))
+        for c in "abcd":
+            found = display(found, c, names)
+
+        def by_rule(build) -> Column:
+            out = None
+            for rule in RULES:
+                hit = F.col("rule") == rule
+                out = F.when(hit, build(rule)) if out is None else out.when(hit, build(rule))
+            return out
+
+        def message(rule: str) -> Column:
+            shown, pieces = dict(zip(BINDINGS[rule], "abcd")), []
+            for chunk in RULES[rule].split("{"):
                 name, brace, tail = chunk.partition("}")
-                if brace:
-                    args.append(name)
-                    pieces.append(F.col(name))
-                    pieces.append(F.lit(tail))
-                else:
-                    pieces.append(F.lit(chunk))
-            shown = F.create_map(*[x for c in BINDINGS[rule] for x in (F.lit(c), F.col(c))])
-            parts.append(found.select("unit_id", F.lit(order).alias("rule_order"), F.lit(rule).alias("rule"),
-                                      F.concat(*pieces).alias("message"), shown.alias("bindings"), "n"))
-        return reduce(DataFrame.unionByName, parts)
-
-    def summary(self, units: DataFrame, violations: DataFrame) -> DataFrame:
-        """(unit_id, ok, n) for every unit, also those without violations."""
-        counts = violations.groupBy("unit_id").agg(F.sum("n").alias("n"))
+                pieces += [F.col(shown[name]), F.lit(tail)] if brace else [F.lit(chunk)]
+            return F.concat(*pieces)
+
+        def binding(rule: str) -> Column:
+            return F.create_map(*[x for c, n in zip("abcd", BINDINGS[rule]) for x in (F.lit(n), F.col(c))])
+
+        order = list(RULES)
+        return found.select("unit_id", by_rule(lambda r: F.lit(order.index(r) + 1)).alias("rule_order"), "rule",
+                            by_rule(message).alias("message"), by_rule(binding).alias("bindings"), "n")
+
+    def summary(self, units: DataFrame, patterns: DataFrame) -> DataFrame:
+        """(unit_id, ok, n) for every unit, also those without violations or patterns."""
+        found = self.violations(patterns).select("unit_id", "n").union(
+            self.incorrect_property(patterns).select("unit_id", "n"))
+        counts = found.groupBy("unit_id").agg(F.sum("n").alias("n"))
         joined = units.select("unit_id").distinct().join(counts, "unit_id", "left")
         return joined.select("unit_id", F.col("n").isNull().alias("ok"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
@@ -256,7 +279,7 @@ def short_name(col: Column) -> Column:
 
 def display(df: DataFrame, column: str, names: DataFrame) -> DataFrame:
     """Replace a term column by its display form: variable, label, or last IRI part."""
-    table = _small(names.select(F.col("iri").alias(column), F.col("label").alias("__label")))
+    table = names.select(F.col("iri").alias(column), F.col("label").alias("__label"))
     own = F.startswith(F.col(column), F.lit(VARIABLE_NS))
     shown = F.when(own, short_name(F.col(column))).otherwise(F.coalesce("__label", short_name(F.col(column))))
     return df.join(table, column, "left").withColumn(column, shown).drop("__label")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgspark.operators.closure import closure
+from kgspark.session import materialize
 
 _KEY = ["s", "p", "o"]
 HOT_SPLITS = 256  # parts a hot label group is ranked in
@@ -70,6 +71,7 @@ def normalize_bnodes(triples: DataFrame) -> DataFrame:
     labels = (triples.select(F.explode(sides).alias("n")).where("n.k = 'bnode'")
               .select("n.label").distinct()
               .withColumn("base", F.regexp_replace("label", r"^(?:b\d+_)+", "")))
+    labels = materialize(labels)
     numbered = F.regexp_extract("base", r"^(.*)_(\d{1,18})$", 1), F.regexp_extract("base", r"^(.*)_(\d{1,18})$", 2)
     taken = (labels.select(numbered[0].alias("base"), numbered[1].try_cast("bigint").alias("n"))
              .where("n IS NOT NULL").groupBy("base").agg(F.max("n").alias("highest")))

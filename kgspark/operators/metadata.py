@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kgspark.session import materialize
 from kgspark.sources.prefixes import map_id
 from kgspark.terms import XSD, enc
 
@@ -150,6 +151,7 @@ def validate_mapping(mapping: DataFrame, columns: DataFrame) -> DataFrame:
     Checks that the logical table and subject are there, that the table exists, and that every
     column used by a template, column, or join exists in its table.
     """
+    mapping = materialize(mapping)  # read several times below
     missing = mapping.select("map_id", F.explode(F.array(
         F.when((F.col("source_type") == "unknown") | (F.coalesce("source", F.lit("")) == ""), F.lit("no logical table")),
         F.when((F.coalesce("s_template", F.lit("")) == "") & (F.coalesce("s_column", F.lit("")) == ""), F.lit("no subject"))

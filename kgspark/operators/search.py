@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kgspark.session import materialize
 from kgspark.terms import OWL, RDF, RDFS
 
 # Which statements are searched, shown, and count as declarations.
@@ -56,7 +57,7 @@ def fuzzy_search(queries: DataFrame, index: DataFrame, limit: int = 10, ignore_c
     limit = max(1, limit)
     asked = queries.select(F.trim("query").alias("query")).where("query <> ''").distinct()
     fold = F.lower if ignore_case else (lambda c: c)
-    texts = index.select("iri", "text").distinct()
+    texts = materialize(index.select("iri", "text").distinct())
     n = texts.count()
     blocks_n = max(1, -(-n // BLOCK_TEXTS))
     part = F.pmod(F.xxhash64("iri", "text"), F.lit(blocks_n)).cast("int")

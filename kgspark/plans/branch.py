@@ -180,6 +180,20 @@ class Branch:
         rest = [c for n in self.vars if n != name for c in self.vars[n].columns(n)]
         return Branch(self.spark, out_vars, self.df.select(*rest, col.alias(name)), consts=self.consts)
 
+    def parse(self, name: str, info: Var) -> "Branch":
+        """IRI text as keys of a template; rows whose IRI it cannot build are dropped."""
+        keys = info.template.parse(self.term(name).value, info.families)
+        new = replace(info, nullable=False)
+        rest = {c: self.col(c) for n in self.vars if n != name for c in self.vars[n].columns(n)}
+        cols = {**rest, **dict(zip(new.columns(name), keys))}
+        out_vars = {**self.vars, name: new}
+        found = keys[0].isNotNull()
+        if self.scan:
+            scan = replace(self.scan, exprs=cols, conds=self.scan.conds + (found,))
+            return Branch(self.spark, out_vars, scan=scan, consts=self.consts)
+        df = self.df.select(*[e.alias(n) for n, e in cols.items()]).where(F.col(new.columns(name)[0]).isNotNull())
+        return Branch(self.spark, out_vars, df, consts=self.consts)
+
     def distinct(self) -> "Branch":
         if self.scan and self.scan.subjects & set(self.vars):
             return self  # rows are already told apart by a declared key
@@ -273,8 +287,12 @@ def merge_scans(a: Branch, b: Branch) -> Branch | None:
                   consts={**a.consts, **b.consts})
 
 
-def align(a: Branch, b: Branch) -> tuple[Branch, Branch] | None:
-    """Same representation of every shared variable, or None when no value can agree."""
+def align(a: Branch, b: Branch, drop_left: bool = False) -> tuple[Branch, Branch] | None:
+    """Same representation of every shared variable, or None when no value can agree.
+
+    IRI text on the right (on the left only with ``drop_left``) is parsed into the other side's
+    keys, so that the mapped table is joined on its own columns.
+    """
     for n in shared_vars(a, b):
         x, y = a.vars[n], b.vars[n]
         if x.signature == y.signature:
@@ -285,6 +303,10 @@ def align(a: Branch, b: Branch) -> tuple[Branch, Branch] | None:
             return None
         else:
             a, b = _inline_as(a, n, y) or a, _inline_as(b, n, x) or b
+            if x.template and not b.vars[n].template and x.type == IRI_T:
+                b = b.parse(n, x)
+            elif drop_left and y.template and not a.vars[n].template and y.type == IRI_T:
+                a = a.parse(n, y)
             if a.vars[n].signature != b.vars[n].signature:
                 a, b = a.recast(n, "text"), b.recast(n, "text")
     return a, b
@@ -347,7 +369,7 @@ def join(a: Branch, b: Branch) -> list[Branch]:
     merged = merge_scans(a, b)
     if merged:
         return [merged]
-    pair = align(a, b)
+    pair = align(a, b, drop_left=True)
     if pair is None:
         return []
     a, b = pair

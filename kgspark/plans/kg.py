@@ -452,6 +452,11 @@ def _scan_with(df: DataFrame, semis) -> DataFrame:
 def _only_subjects(df: DataFrame, subject: Term, subjects) -> DataFrame | None:
     if subjects is None:
         return df
+    if isinstance(subjects, DataFrame) and subject.template:
+        names = [f"__s{i}" for i in range(len(subject.keys))]
+        keys = subject.template.parse(F.col("iri"), subject.families)
+        wanted = subjects.select(*[k.alias(n) for k, n in zip(keys, names)]).where(F.col("__s0").isNotNull())
+        return df.withColumns(dict(zip(names, subject.keys))).join(wanted, names, "left_semi").drop(*names)
     if isinstance(subjects, DataFrame):
         return (df.withColumn("__s", subject.value)
                 .join(subjects.select(F.col("iri").alias("__s")), "__s", "left_semi").drop("__s"))

@@ -311,6 +311,16 @@ class Template:
                 keys.append(value)
         return tuple(keys)
 
+    def parse(self, iri: Column, families) -> list[Column]:
+        """Key columns of IRI text; NULL keys where no key builds the IRI."""
+        pattern = "^" + _SAFE.join(java_quote(p) for p in self.parts) + "$"
+        keys = []
+        for i, family in enumerate(families, 1):
+            text = F.url_decode(F.regexp_extract(iri, pattern, i))
+            keys.append(text.try_cast("bigint") if family == "long" else text)
+        same = iri.rlike(pattern) & (self.render(keys, families) == iri)
+        return [F.when(same, k) for k in keys]
+
     def may_unify(self, other: "Template") -> bool:
         """False only when no IRI can be built by both templates."""
         if self.parts == other.parts:
@@ -325,6 +335,11 @@ class Template:
         return a.endswith(b) or b.endswith(a)
 
 
+def java_quote(text: str) -> str:
+    """Text as a pattern that matches itself."""
+    return re.sub(r"([\\.\[\]{}()*+?^$|#\s-])", r"\\\1", text)
+
+
 def _reserved(parts: tuple[str, ...]) -> str:
     return "".join(ch for ch in "".join(parts) if not _UNRESERVED.match(ch))
 
