@@ -117,9 +117,11 @@ part_query("x11_iri", f"'{X}brand/' || url_encode(p_brand)",
            lambda r: fn.iri(fn.concat("brand/", fn.encode_for_uri(r.brand)), X))
 
 
-@query("x12_bnode")
+@query("x12_bnode", "SELECT count(*) AS fresh, count(DISTINCT p_brand) AS fixed FROM part")
 def _(spark, sf):
-    return parts(spark, sf).select("key", fresh=lambda r: fn.bnode(), fixed=lambda r: fn.bnode("a", [r.brand]))
+    """Without a label every row has its own node; with one, equal terms share a node."""
+    b = parts(spark, sf).select("key", fresh=lambda r: fn.bnode(), fixed=lambda r: fn.bnode("a", [r.brand]))
+    return b.agg(fresh=agg.count_distinct("fresh"), fixed=agg.count_distinct("fixed"))
 
 
 order_query("x13_strdt", "CAST(o_orderkey AS DOUBLE)", lambda r: fn.strdt(fn.str(r.key), XSD.double))
@@ -189,14 +191,16 @@ part_query("x35_ceil_floor", f"CAST(ceil({PRICE}) - floor({PRICE}) + ceil(p_size
            lambda r: fn.cast(fn.ceil(r.price) - fn.floor(r.price) + fn.ceil(fn.cast(r["size"], XSD.double) / 7.0), XSD.double))
 
 
-@query("x36_rand")
+@query("x36_rand", "SELECT p_partkey AS key, TRUE AS ok FROM part")
 def _(spark, sf):
-    return parts(spark, sf).select("key", v=lambda r: fn.rand())
+    b = parts(spark, sf).bind("v", lambda r: fn.rand())
+    return b.select("key", ok=lambda r: (r.v >= 0.0) & (r.v < 1.0))
 
 
-@query("x37_now")
+@query("x37_now", "SELECT count(*) AS n, count(DISTINCT 1) AS instants FROM part")
 def _(spark, sf):
-    return parts(spark, sf).select("key", v=lambda r: fn.now())
+    """One instant per query."""
+    return parts(spark, sf).bind("v", lambda r: fn.now()).agg(n=agg.count(), instants=agg.count_distinct("v"))
 
 
 # ---- dates
@@ -217,9 +221,12 @@ def _(spark, sf):
     return docs(spark, sf).select("d", a=lambda r: fn.sha384(fn.str(r.t)), b=lambda r: fn.sha512(fn.str(r.t)))
 
 
-@query("x43_uuid")
+@query("x43_uuid", "SELECT count(*) AS iris, count(*) AS texts, TRUE AS ok FROM part")
 def _(spark, sf):
-    return parts(spark, sf).select("key", a=lambda r: fn.uuid(), b=lambda r: fn.struuid())
+    b = parts(spark, sf).bind("a", lambda r: fn.uuid()).bind("b", lambda r: fn.struuid())
+    shape = "[0-9a-f]{8}-([0-9a-f]{4}-){3}[0-9a-f]{12}$"
+    b = b.bind("good", lambda r: fn.regex(fn.str(r.a), "^urn:uuid:" + shape) & fn.regex(r.b, "^" + shape))
+    return b.agg(iris=agg.count_distinct("a"), texts=agg.count_distinct("b"), ok=agg.min("good"))
 
 
 # ---- casts

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kgspark import (KG, XSD, ColumnObj, IRI, Mapping, Namespace, OWL, RDF, RDFS, RefObj, SKOS, Source, Tables,
+from kgspark import (KG, XSD, ColumnObj, IRI, Mapping, Namespace, OWL, RDF, RDFS, RefObj, SKOS, Source,
                      TemplateObj, TriplesMap, configure)
+from kgqueries.registry import tables
 
 BASE = "http://example.org/tpch/"
 EX = Namespace(BASE)
@@ -114,6 +115,9 @@ def tpch_mapping() -> Mapping:
     ])
 
 
+MAPPING = tpch_mapping()
+
+
 def row(prop: str) -> IRI:
     """The row-faithful twin of a line-item property."""
     return IRI(EX[prop] + "OfRow")
@@ -210,4 +214,4 @@ def ontology():
 def order_graph(spark: SparkSession, sf_dir: str, **options) -> KG:
     configure(spark)
     options.setdefault("ontology", ontology())
-    return KG(spark, tpch_mapping(), tables=Tables(spark, sf_dir), **options)
+    return KG(spark, MAPPING, tables=tables(spark, sf_dir), **options)

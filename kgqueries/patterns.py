@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from kgqueries.model import EX, BASE, integer, order_graph, row, tbox
-from kgqueries.registry import TYPE, X, frame, query
-from kgspark import (IRI, KG, RDF, RDFS, XSD, ColumnObj, Mapping, Ontology, RefObj, Source, Tables, TriplesMap, agg,
+from kgqueries.model import EX, BASE, integer, order_graph, row, tbox, tbox_rows
+from kgqueries.registry import TYPE, X, frame, query, tables
+from kgspark import (IRI, KG, RDF, RDFS, XSD, ColumnObj, Mapping, Ontology, RefObj, Source, TriplesMap, agg,
                      desc, fn, graph, path)
 
 # ---- patterns ------------------------------------------------------------------------------
@@ -115,7 +115,7 @@ def self_link_graph(spark, sf):
         TriplesMap("#Node", Source.sql("SELECT o_orderkey AS k, o_custkey AS t FROM orders", ["orders"]),
                    BASE + "node/{k}", [EX.Node], {EX.linksTo: RefObj("#Target", [])}, ["k"]),
         TriplesMap("#Target", Source.sql("SELECT o_orderkey AS k, o_custkey AS t FROM orders", ["orders"]),
-                   BASE + "node/{t}", [])]), tables=Tables(spark, sf))
+                   BASE + "node/{t}", [])]), tables=tables(spark, sf))
 
 
 @query("g6_repeated_variable", f"SELECT '{X}node/' || o_orderkey AS x FROM orders WHERE o_orderkey = o_custkey")
@@ -322,7 +322,7 @@ def tree_graph(spark, sf, **options):
                    BASE + "part/{p_partkey}", [EX.Part], {EX.partOf: RefObj("#Up", []), EX.key: integer("p_partkey")},
                    ["p_partkey"]),
         TriplesMap("#Up", Source.sql("SELECT p_partkey DIV 2 AS up FROM part WHERE p_partkey > 0", ["part"]),
-                   BASE + "part/{up}", [])]), tables=Tables(spark, sf), **options)
+                   BASE + "part/{up}", [])]), tables=tables(spark, sf), **options)
 
 
 TREE_SQL = "e AS (SELECT p_partkey AS a, p_partkey // 2 AS b FROM part WHERE p_partkey > 0)"
@@ -435,10 +435,19 @@ def _(spark, sf):
             .union(kg.match("?x", RDF.type, EX.User).bind("role", lambda r: "user")))
 
 
-@query("r5_tbox_facts")
+def _quote(v):
+    return "CAST(NULL AS VARCHAR)" if v is None else "'" + v.replace("'", "''") + "'"
+
+
+@query("r5_tbox_facts", f"""
+SELECT '{X}nation/' || n_nationkey AS s, '{X}name' AS p, n_name AS o, 'literal' AS o_kind FROM nation
+UNION ALL SELECT '{X}customer/' || c_custkey, '{X}name', c_name, 'literal' FROM customer
+UNION ALL SELECT * FROM (VALUES {", ".join("(" + ", ".join(_quote(r[i]) for i in (0, 2, 3, 4)) + ")" for r in tbox_rows())}) t""")
 def _(spark, sf):
+    """The ontology's own statements beside the data's."""
     kg = order_graph(spark, sf, ontology=tbox(spark))
-    return kg.triples(classes=[EX.Customer, EX.Nation], include_tbox=True)
+    t = kg.triples(predicates=[EX.name], classes=[EX.Customer, EX.Nation], include_tbox=True)
+    return t.select("s", "p", "o", "o_kind")
 
 
 _ = (TYPE, desc, ColumnObj)

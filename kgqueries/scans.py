@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from kgqueries.model import BASE, EX, MONEY, integer, money, order_graph
-from kgqueries.registry import TYPE, X, XSD as XS, frame, query
-from kgspark import (KG, RDF, XSD, ColumnObj, ConstObj, IriColumn, Mapping, RefObj, Source, Tables, TemplateObj,
+from kgqueries.registry import TYPE, X, XSD as XS, frame, query, tables
+from kgspark import (KG, RDF, XSD, ColumnObj, ConstObj, IriColumn, Mapping, RefObj, Source, TemplateObj,
                      TriplesMap)
 from kgspark.operators import metadata as md
 from kgspark.sources.ntriples import ntriples_lines, parse_ntriples
@@ -49,7 +49,7 @@ def web_graph(spark, sf, **options):
         TriplesMap("#PartName", "part", BASE + "part/{p_partkey}", [],
                    {EX.called: TemplateObj(BASE + "called/{p_name}/{p_brand}")}, ["p_partkey"]),
     ]
-    return KG(spark, Mapping(maps), tables=Tables(spark, sf), **options)
+    return KG(spark, Mapping(maps), tables=tables(spark, sf), **options)
 
 
 @query("s1_table_scan", f"SELECT '{X}order/' || o_orderkey AS o, o_orderstatus AS status FROM orders")

@@ -125,9 +125,11 @@ def _(spark, sf):
     return b.group_by("name").agg(every=agg.group_concat("p", ", "), kinds=agg.group_concat("p", "|", distinct=True))
 
 
-@query("a7_sample")
+@query("a7_sample", "SELECT DISTINCT c_name AS name, c_mktsegment AS segment FROM orders JOIN customer ON o_custkey = c_custkey")
 def _(spark, sf):
-    return orders(spark, sf, "status", "priority").group_by("status").agg(one=agg.sample("priority"))
+    """Any value of the group; here a group has one."""
+    b = order_graph(spark, sf).bgp([("?o", EX.placedBy, "?c"), ("?c", EX.name, "?name"), ("?c", EX.marketSegment, "?s")])
+    return b.group_by("name").agg(segment=agg.sample("s"))
 
 
 @query("a8_distinct_aggregates", """

@@ -8,7 +8,7 @@ so a node met by very many statements enters a join once per property.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -132,11 +132,21 @@ class Checker:
 
     def __init__(self, tbox: DataFrame):
         self.tbox = tbox
-        ends = [_ends(tbox, RDFS.domain, "c").withColumn("role", F.lit("d")),
-                _ends(tbox, RDFS.range, "c").withColumn("role", F.lit("r"))]
-        self.ends = _small(ends[0].unionByName(ends[1]))
-        self.below = _small(subclass_closure(add_top_classes(tbox)).where("src <> dst"))
-        self.declared = _small(tbox.where(F.col("p") == str(RDF.type)).select(F.col("s").alias("p")).distinct())
+
+    @cached_property
+    def ends(self) -> DataFrame:
+        """(role, p, c): IRI domains and ranges; union classes, being blank nodes, say nothing."""
+        sides = [_ends(self.tbox, RDFS.domain, "c").withColumn("role", F.lit("d")),
+                 _ends(self.tbox, RDFS.range, "c").withColumn("role", F.lit("r"))]
+        return _small(sides[0].unionByName(sides[1]))
+
+    @cached_property
+    def below(self) -> DataFrame:
+        return _small(subclass_closure(add_top_classes(self.tbox)).where("src <> dst"))
+
+    @cached_property
+    def declared(self) -> DataFrame:
+        return _small(self.tbox.where(F.col("p") == str(RDF.type)).select(F.col("s").alias("p")).distinct())
 
     def facts(self, patterns: DataFrame) -> DataFrame:
         """What each node of each unit is, by role, property and class, with a count.

@@ -27,21 +27,31 @@ class Source:
 
 
 class Tables:
-    """Name → DataFrame: a dict of DataFrames, a Parquet folder, or the session catalog."""
+    """Name → DataFrame: a dict of DataFrames, a Parquet folder, or the session catalog.
+
+    A table is resolved once, so its files are listed and its schema read once.
+    """
 
     def __init__(self, spark: SparkSession, tables: dict[str, DataFrame] | str | None = None):
         self.spark, self.tables = spark, tables
+        self._loaded: dict[Source, DataFrame] = {}
 
     def frame(self, name: str) -> DataFrame:
+        return self.load(Source.table(name))
+
+    def load(self, source: Source) -> DataFrame:
+        if source not in self._loaded:
+            self._loaded[source] = self._query(source) if source.kind == "sql" else self._table(source.text)
+        return self._loaded[source]
+
+    def _table(self, name: str) -> DataFrame:
         if isinstance(self.tables, dict):
             return self.tables[name]
         if isinstance(self.tables, str):
             return self.spark.read.parquet(f"{self.tables}/{name}.parquet")
         return self.spark.table(name)
 
-    def load(self, source: Source) -> DataFrame:
-        if source.kind == "table":
-            return self.frame(source.text)
+    def _query(self, source: Source) -> DataFrame:
         if self.tables is not None:
             for name in source.uses:  # the query is analysed at once, so views may be replaced later
                 self.frame(name).createOrReplaceTempView(name)
