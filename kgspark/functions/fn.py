@@ -95,7 +95,8 @@ def lang_matches(tag, range_) -> Term:
 
 
 def bound(t) -> Term:
-    return boolean(term(t).bound)
+    t = term(t)
+    return boolean(t.bound, proves=t.names)
 
 
 def same_term(a, b) -> Term:

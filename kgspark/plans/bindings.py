@@ -110,7 +110,10 @@ class Bindings:
                 if not t.stable and b.scan:
                     b = Branch(b.spark, b.vars, b.df, consts=b.consts)
                     t = _term_of(b, cond)
-                out.append(b.where(t.truth()))
+                b = b.where(t.truth())
+                if t.proves:  # what the condition needs bound can be joined on as it is
+                    b.vars = {n: replace(i, nullable=False) if n in t.proves else i for n, i in b.vars.items()}
+                out.append(b)
         return self._with(out)
 
     def bind(self, name: str, expr) -> "Bindings":

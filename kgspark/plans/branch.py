@@ -100,8 +100,8 @@ class Branch:
             return unbound()
         cols = [self.col(c) for c in info.columns(name)]
         if info.template:
-            return Term(None, info.type, template=info.template, keys=cols, families=info.families)
-        return Term(cols[0], info.type, const=self.consts.get(name))
+            return Term(None, info.type, template=info.template, keys=cols, families=info.families, names={name})
+        return Term(cols[0], info.type, const=self.consts.get(name), names={name})
 
     def row(self) -> Row:
         return Row(self.term)
@@ -411,8 +411,12 @@ def semi(a: Branch, b: Branch, how: str, where=None) -> Branch:
     """``how``: left_semi or left_anti. Shared variables are non-null on both sides."""
     shared = shared_vars(a, b)
     if not shared:
-        if where is not None:
-            raise ValueError("a correlated pattern must share a bound variable with the outer pattern")
+        if where is not None:  # equal rows have equal partners, so the rows themselves are the key
+            cols = a.physical()
+            met = product(a, b)
+            met = met.where(where(met.row()).truth()).df.select(*[F.col(c).alias(f"__r_{c}") for c in cols]).distinct()
+            same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in cols])
+            return Branch(a.spark, a.vars, a.df.join(met, same, how), consts=a.consts)
         some = b.df.limit(1).exists()
         return replace(a, frame=a.df.where(some if how == "left_semi" else ~some), scan=None, inline=None)
     pair = align(a, b)

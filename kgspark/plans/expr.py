@@ -19,8 +19,11 @@ class Term:
     """``value`` is the native column (a string for IRIs, a MIXED struct when mixed)."""
 
     def __init__(self, value: Column | None, type: RdfType, *, template: Template | None = None,
-                 keys: list[Column] | None = None, families=(), const=None, stable: bool = True):
+                 keys: list[Column] | None = None, families=(), const=None, stable: bool = True,
+                 names=frozenset(), proves=frozenset()):
         self._value, self.type = value, type
+        # names: variables that are bound whenever this term is; proves: whenever it is true.
+        self.names, self.proves = frozenset(names), frozenset(proves)
         self.template, self.keys, self.families = template, keys or [], tuple(families)
         self.const, self.stable = const, stable
 
@@ -105,17 +108,17 @@ class Term:
         if self.const is False or other.const is False:
             return boolean(F.lit(False), False)
         const = True if self.const is True and other.const is True else None
-        return boolean(self.truth() & other.truth(), const)
+        return boolean(self.truth() & other.truth(), const, proves=self.proves | other.proves)
 
     def __or__(self, other):
         other = term(other)
         if self.const is True or other.const is True:
             return boolean(F.lit(True), True)
         const = False if self.const is False and other.const is False else None
-        return boolean(self.truth() | other.truth(), const)
+        return boolean(self.truth() | other.truth(), const, proves=self.proves & other.proves)
 
     def __invert__(self):
-        return boolean(~self.truth(), None if self.const is None else not self.const)
+        return boolean(~self.truth(), None if self.const is None else not self.const, self.names, self.names)
 
     __rand__, __ror__ = __and__, __or__
 
@@ -150,8 +153,9 @@ class Term:
         return None
 
     def _compare(self, other, op: Callable) -> "Term":
-        pair = self._comparable(term(other))
-        return boolean(F.lit(None).cast("boolean") if pair is None else op(*pair))
+        other = term(other)
+        pair, names = self._comparable(other), self.names | other.names
+        return boolean(F.lit(None).cast("boolean") if pair is None else op(*pair), None, names, names)
 
     def __lt__(self, other):
         return self._compare(other, lambda a, b: a < b)
@@ -170,8 +174,9 @@ class Term:
         if self.const is not None and other.const is not None and self.type == other.type:
             return boolean(F.lit(self.const == other.const), self.const == other.const)
         same = _same_resource(self, other)
+        names = self.names | other.names
         if same is not None:
-            return boolean(same)
+            return boolean(same, None, names, names)
         if self.type.kind == "mixed" and other.type.kind == "mixed":
             return boolean(self.value == other.value)
         return self._compare(other, lambda a, b: a == b)
@@ -199,7 +204,7 @@ class Term:
             x, y, rank = x.cast("double"), y.cast("double"), "double"
         elif rank == "integer":
             x, y = x.cast("bigint"), y.cast("bigint")
-        return Term(op(x, y), tm.literal_type(XSD[rank]))
+        return Term(op(x, y), tm.literal_type(XSD[rank]), names=self.names | term(other).names)
 
     def __add__(self, other):
         return self._arith(other, F.try_add)
@@ -267,8 +272,8 @@ def _same_resource(a: Term, b: Term) -> Column | None:
     return a.value == b.value
 
 
-def boolean(col: Column, const: bool | None = None) -> Term:
-    return Term(col, BOOLEAN_T, const=const)
+def boolean(col: Column, const: bool | None = None, names=(), proves=()) -> Term:
+    return Term(col, BOOLEAN_T, const=const, names=names, proves=proves)
 
 
 def string(col: Column, lang: str | None = None) -> Term:

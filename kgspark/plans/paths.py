@@ -102,6 +102,7 @@ def match_path(kg, s, path: Path, o, graph):
     else:
         out = _closure(kg, one, s, path.args[0], o, path.kind == "star")
     out._patterns = [(s, p, o) for p in _predicates(path)]
+    out.names = {n: out.names[n] for n in dict.fromkeys(ends)}
     return out
 
 
