@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from kgspark import (KG, XSD, ColumnObj, IRI, Mapping, Namespace, OWL, RDF, RDFS, RefObj, SKOS, Source,
-                     TemplateObj, TriplesMap, configure)
+                     TemplateObj, TriplesMap)
 from kgqueries.registry import tables
 
 BASE = "http://example.org/tpch/"
@@ -211,7 +211,13 @@ def ontology():
     return _ONTOLOGY
 
 
+_GRAPHS: dict[tuple, KG] = {}
+
+
 def order_graph(spark: SparkSession, sf_dir: str, **options) -> KG:
-    configure(spark)
-    options.setdefault("ontology", ontology())
-    return KG(spark, MAPPING, tables=tables(spark, sf_dir), **options)
+    """The sample graph over a folder of tables; the plain one is made once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if not options and key in _GRAPHS:
+        return _GRAPHS[key]
+    kg = KG(spark, MAPPING, tables=tables(spark, sf_dir), **{"ontology": ontology(), **options})
+    return kg if options else _GRAPHS.setdefault(key, kg)

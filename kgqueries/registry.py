@@ -21,19 +21,18 @@ TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 
 def finish(df: DataFrame) -> DataFrame:
     """Column types both sides agree on: whole numbers BIGINT, decimals DOUBLE, times text."""
-    cols = []
+    casts = {}
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, T.IntegralType):
-            c = c.cast("bigint")
+        if isinstance(f.dataType, T.IntegralType) and not isinstance(f.dataType, T.LongType):
+            casts[f.name] = c.cast("bigint")
         elif isinstance(f.dataType, (T.DecimalType, T.FloatType)):
-            c = c.cast("double")
+            casts[f.name] = c.cast("double")
         elif isinstance(f.dataType, T.DateType):
-            c = c.cast("string")
+            casts[f.name] = c.cast("string")
         elif isinstance(f.dataType, T.TimestampType):
-            c = F.translate(c.cast("string"), " ", "T")
-        cols.append(c.alias(f.name))
-    return df.select(*cols)
+            casts[f.name] = F.translate(c.cast("string"), " ", "T")
+    return df.withColumns(casts) if casts else df
 
 
 def query(name: str, sql: str | None = None):

@@ -360,9 +360,7 @@ def _scan_rows(b: Branch) -> DataFrame:
     if b.scan.semis:
         keep = {f"__c{i}": F.col(f"`{c}`") for i, c in enumerate(df.columns)}
         df = replace(b.scan, exprs=keep, conds=()).frame().toDF(*df.columns)
-    for cond in b.scan.conds:
-        df = df.where(cond)
-    return df
+    return br._filtered(df, b.scan.conds)
 
 
 def _bind(b: Branch, name: str, expr) -> Branch:

@@ -70,9 +70,12 @@ class Scan:
             right = parent.select(*[qcol(p).alias(f"__p{i}") for i, (_, p) in enumerate(pairs)])
             on = reduce(lambda x, y: x & y, [qcol(c) == F.col(f"__p{i}") for i, (c, _) in enumerate(pairs)])
             df = df.join(right, on, "left_semi")
-        for cond in self.conds:
-            df = df.where(cond)
-        return df.select(*[e.alias(n) for n, e in self.exprs.items()])
+        return _filtered(df, self.conds).select(*[e.alias(n) for n, e in self.exprs.items()])
+
+
+def _filtered(df: DataFrame, conds) -> DataFrame:
+    conds = list({id(c): c for c in conds}.values())
+    return df.where(reduce(lambda x, y: x & y, conds)) if conds else df
 
 
 @dataclass

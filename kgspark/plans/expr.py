@@ -26,6 +26,7 @@ class Term:
         self.names, self.proves = frozenset(names), frozenset(proves)
         self.template, self.keys, self.families = template, keys or [], tuple(families)
         self.const, self.stable = const, stable
+        self._present: list[Column] | None = None
 
     # -- columns ---------------------------------------------------------------------------
     @property
@@ -38,6 +39,13 @@ class Term:
     def bound(self) -> Column:
         return (self.keys[0] if self.template else self.value).isNotNull()
 
+    def present(self) -> list[Column]:
+        """Conditions for a mapped term to exist, made once."""
+        if self._present is None:
+            self._present = [] if self.const is not None else [
+                c.isNotNull() for c in (self.keys if self.template else [self.value])]
+        return self._present
+
     @property
     def text(self) -> Column:
         """Lexical form."""

@@ -46,6 +46,8 @@ class KG:
         schema = Ontology.from_df(ontology) if isinstance(ontology, DataFrame) else (ontology or Ontology())
         self.ontology = schema if reasoning else Ontology()
         self._frames: dict[str, DataFrame] = {}
+        self._subjects: dict[str, Term] = {}
+        self._objects: dict[tuple[str, int], tuple] = {}
 
     # -- mapped terms ------------------------------------------------------------------------
     def frame(self, m: TriplesMap) -> DataFrame:
@@ -64,7 +66,18 @@ class KG:
             return Term(node.render(keys, families), IRI_T)
         return Term(None, IRI_T, template=node, keys=keys, families=families)
 
-    def _object(self, m: TriplesMap, om: ObjectMap, df: DataFrame):
+    def _subject(self, m: TriplesMap) -> Term:
+        if m.id not in self._subjects:
+            self._subjects[m.id] = self._node(m.subject, self.frame(m))
+        return self._subjects[m.id]
+
+    def _object(self, m: TriplesMap, om: ObjectMap):
+        key = (m.id, id(om))
+        if key not in self._objects:
+            self._objects[key] = self._map_object(m, om, self.frame(m))
+        return self._objects[key]
+
+    def _map_object(self, m: TriplesMap, om: ObjectMap, df: DataFrame):
         """(term, frame, semi-joins, several): ``several`` when a row may give equal triples."""
         if isinstance(om, ColumnObj):
             source = df.schema[om.column].dataType
@@ -185,18 +198,18 @@ class KG:
     def _pattern(self, m: TriplesMap, om: ObjectMap | None, s, o) -> Branch | None:
         """Subject and object of one property of one map (of the class assertion without ``om``)."""
         df = self.frame(m)
-        subject = self._node(m.subject, df)
+        subject = self._subject(m)
         ends = [(s, subject)]
         semis, several = (), False
         if om is not None:
-            obj, df, semis, several = self._object(m, om, df)
+            obj, df, semis, several = self._object(m, om)
             ends.append((o, obj))
         infos: dict[str, Var] = {}
         exprs: dict[str, Column] = {}
         conds: list[Column] = []
         consts: dict[str, str] = {}
         for element, t in ends:
-            conds += [c.isNotNull() for c in (t.keys if t.template else [t.value])] if t.const is None else []
+            conds += t.present()
             if is_var(element):
                 name = element[1:]
                 if name in infos:  # the same variable at both ends
@@ -335,7 +348,7 @@ class KG:
             if isinstance(om, str):
                 obj, joined, semis, several = Term(F.lit(str(om)), IRI_T), df, (), False
             else:
-                obj, joined, semis, several = self._object(m, om, df)
+                obj, joined, semis, several = self._map_object(m, om, df)
             triple = F.when(subject.bound & obj.bound, triple_struct(subject, predicate, obj))
             if joined is df and not semis:
                 structs.append(triple)
