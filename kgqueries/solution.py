@@ -305,3 +305,21 @@ UNION ALL SELECT '{X}quality', 'literal', '{XS}integer', count(*) FROM labels WH
 def _(spark, sf):
     names = [EX[p] for p in ("text", "pageId", "origin", "site", "collection", "status", "chars", "quality")]
     return type_profile(web_graph(spark, sf).triples(predicates=names))
+
+
+_LINE = [("lineNumber", "CAST(l_linenumber AS VARCHAR)", "integer"), ("partKey", "CAST(l_partkey AS VARCHAR)", "integer"),
+         ("supplierKey", "CAST(l_suppkey AS VARCHAR)", "integer"), ("quantity", "CAST(l_quantity AS DECIMAL(18,2))", "decimal"),
+         ("extendedPrice", "CAST(l_extendedprice AS DECIMAL(18,2))", "decimal"), ("discount", "CAST(l_discount AS DECIMAL(18,2))", "decimal"),
+         ("tax", "CAST(l_tax AS DECIMAL(18,2))", "decimal"), ("returnFlag", "l_returnflag", "string"),
+         ("lineStatus", "l_linestatus", "string"), ("shipDate", "CAST(l_shipdate AS DATE)", "date"),
+         ("partOfOrder", "l_orderkey", None), ("ofPart", "l_partkey", None), ("lineSuppliedBy", "l_suppkey", None)]
+_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
+
+
+@query("t4_line_profile", " UNION ALL ".join(
+    [f"SELECT '{X}{p}' AS p, '{'literal' if dt else 'iri'}' AS o_kind, {f'{chr(39)}{XS}{dt}{chr(39)}' if dt else 'CAST(NULL AS VARCHAR)'} AS o_dt, "
+     f"count(*) AS n FROM (SELECT DISTINCT l_orderkey AS a, l_linenumber AS b, {e} AS c FROM lineitem)" for p, e, dt in _LINE]
+    + [f"SELECT '{_TYPE}', 'iri', CAST(NULL AS VARCHAR), count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)"]))
+def _(spark, sf):
+    """Every triple of the line items, whose IRIs repeat, as a set."""
+    return type_profile(order_graph(spark, sf).triples(classes=[EX.LineItem]))

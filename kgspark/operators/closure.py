@@ -1,4 +1,4 @@
-"""Transitive closure as a semi-naive loop of joins."""
+"""Transitive closure as rounds of joins."""
 
 from __future__ import annotations
 
@@ -12,27 +12,50 @@ def closure(edges: DataFrame, reflexive: bool = False, max_depth: int | None = N
             sources: DataFrame | None = None) -> DataFrame:
     """All (src, dst) pairs joined by one or more edges; cycles are allowed.
 
-    Every round joins only the newest pairs with the edges and keeps what is not known yet. Each
-    round's pairs are written to the session's shared folder, so a lost executor repeats one
-    round at most and the plan does not grow. ``sources`` (column ``src``) limits the start
+    Each round's new pairs are written to the session's shared folder, so a lost executor repeats
+    one round at most and the plan does not grow. ``sources`` (column ``src``) limits the start
     nodes; ``max_depth`` the number of steps; ``reflexive`` adds every node with itself.
     """
     edges = materialize(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
-    hop = edges.select(F.col("src").alias("dst"), F.col("dst").alias("__next"))
-    first = edges if sources is None else edges.join(sources.select("src").distinct(), "src", "left_semi")
-    delta = first if sources is None else materialize(first)
+    known = _doubling(edges, max_depth) if sources is None else _walk(edges, sources, max_depth)
+    if reflexive:
+        if sources is None:
+            nodes = edges.select(F.explode(F.array("src", "dst")).alias("src")).distinct()
+        else:
+            nodes = sources.select("src").distinct()
+        known = known.where(F.col("src") != F.col("dst")).union(nodes.select("src", F.col("src").alias("dst")))
+    return known
+
+
+def _doubling(edges: DataFrame, max_depth: int | None) -> DataFrame:
+    """All pairs, in a number of rounds that grows with the logarithm of the longest path.
+
+    Pairs carry their distance. A pair up to twice as far apart as any known one is a pair at
+    exactly the reached distance followed by a known pair, so it is met once per such middle node.
+    """
+    known, reach = edges.withColumn("d", F.lit(1).cast("bigint")), 1
+    while max_depth is None or reach < max_depth:
+        first = known.where(F.col("d") == reach).select("src", F.col("dst").alias("mid"))
+        second = known.select(F.col("src").alias("mid"), "dst", (F.col("d") + reach).alias("d"))
+        if max_depth is not None:
+            second = second.where(F.col("d") <= max_depth)
+        step = first.join(second, "mid").groupBy("src", "dst").agg(F.min("d").alias("d"))
+        delta = materialize(step.join(known, ["src", "dst"], "left_anti"))
+        known, reach = known.union(delta), reach * 2
+        if delta.where(F.col("d") == reach).isEmpty():
+            break
+    return known.select("src", "dst")
+
+
+def _walk(edges: DataFrame, sources: DataFrame, max_depth: int | None) -> DataFrame:
+    """Pairs from some start nodes: one more edge per round, from the newest pairs only."""
+    hop = edges.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
+    delta = materialize(edges.join(sources.select("src").distinct(), "src", "left_semi"))
     known, depth = delta, 1
     while max_depth is None or depth < max_depth:
-        step = delta.join(hop, "dst").select("src", F.col("__next").alias("dst")).distinct()
+        step = delta.join(hop, "dst").select("src", F.col("next").alias("dst")).distinct()
         delta = materialize(step.join(known, ["src", "dst"], "left_anti"))
         if delta.isEmpty():
             break
         known, depth = known.union(delta), depth + 1
-    if reflexive:
-        if sources is None:
-            nodes = edges.select(F.explode(F.array("src", "dst")).alias("src")).distinct()
-        else:
-            nodes = sources.select("src").distinct()
-        loops = nodes.select("src", F.col("src").alias("dst"))
-        known = known.where(~(F.col("src") == F.col("dst"))).union(loops)
     return known

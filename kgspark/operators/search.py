@@ -50,38 +50,40 @@ def score(query: Column, query_tokens: Column, text: Column, text_tokens: Column
 def fuzzy_search(queries: DataFrame, index: DataFrame, limit: int = 10, ignore_case: bool = False) -> DataFrame:
     """The best ``max(1, limit)`` IRIs of every query: (query, iri, score, rank).
 
-    The index is cut into blocks of texts. Each distinct query meets each block once and keeps its
-    best IRIs there, so only those few leave the task, and the best of all blocks are the result.
-    No query-text pair is ever a row, and no block or query group is larger than a fixed size.
+    Each distinct query meets each distinct text once. A text shared by very many IRIs stands for
+    its ``limit`` least ones only: more cannot be among the best through that text. Texts are
+    scored in blocks inside a task, and only the best of a block leave it, so no query-text pair is
+    ever a row and the result is exact.
     """
     limit = max(1, limit)
-    asked = queries.select(F.trim("query").alias("query")).where("query <> ''").distinct()
     fold = F.lower if ignore_case else (lambda c: c)
-    texts = materialize(index.select("iri", "text").distinct())
-    n = texts.count()
-    blocks_n = max(1, -(-n // BLOCK_TEXTS))
-    part = F.pmod(F.xxhash64("iri", "text"), F.lit(blocks_n)).cast("int")
-    words = F.struct(fold(F.col("text")).alias("text"), _tokens(fold(F.col("text"))).alias("tokens"))
-    blocks = (texts.groupBy(part.alias("block"), "iri").agg(F.collect_list(words).alias("texts"))
-              .groupBy("block").agg(F.collect_list(F.struct("iri", "texts")).alias("terms")))
-    # One copy of a block serves one part of the queries, so a block is no single task's work.
-    spark = queries.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asked = queries.select(F.trim("query").alias("query")).where("query <> ''").distinct()
+    terms = materialize(index.select("iri", fold(F.col("text")).alias("text")).distinct())
+    most = terms.groupBy("iri").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    place = F.row_number().over(Window.partitionBy("text").orderBy("iri"))
+    kept = terms.withColumn("place", place).where(F.col("place") <= limit)
+    texts = materialize(kept.groupBy("text").agg(F.sort_array(F.collect_list("iri")).alias("iris")))
+    blocks_n = max(1, -(-texts.count() // BLOCK_TEXTS))
+    entry = F.struct("text", _tokens(F.col("text")).alias("tokens"), "iris")
+    blocks = (texts.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(blocks_n)).cast("int"))
+              .groupBy("block").agg(F.collect_list(entry).alias("texts")))
+    tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks_n - 1))))
     asked = asked.repartition(tasks, "query", "block")  # scoring is the work: keep it spread out
     if blocks_n <= MAX_BROADCAST_BLOCKS:
         met = asked.join(F.broadcast(blocks), "block")
-    else:
+    else:  # one copy of a block serves one part of the queries
         copies = max(1, tasks // blocks_n)
         blocks = blocks.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
         asked = asked.withColumn("copy", F.pmod(F.xxhash64("query"), F.lit(copies)).cast("int"))
         met = asked.join(blocks, ["block", "copy"])
     met = met.withColumn("q", fold(F.col("query"))).withColumn("q_tokens", _tokens(fold(F.col("query"))))
-    scored = F.transform("terms", lambda e: F.struct(
-        F.array_min(F.transform(e["texts"], lambda t: -score(F.col("q"), F.col("q_tokens"), t["text"], t["tokens"]))
-                    ).alias("s"), e["iri"].alias("iri")))
-    local = met.select("query", F.explode(F.slice(F.array_sort(scored), 1, limit)).alias("hit"))
-    best = local.groupBy("query", F.col("hit.iri").alias("iri")).agg((-F.min("hit.s")).alias("score"))
+    scored = F.transform("texts", lambda t: F.struct(
+        (-score(F.col("q"), F.col("q_tokens"), t["text"], t["tokens"])).alias("s"), t["iris"].alias("iris")))
+    # An IRI has at most ``most`` texts, so this many of the best texts hold the best IRIs.
+    best_texts = F.slice(F.array_sort(scored), 1, limit * most)
+    local = met.select("query", F.explode(best_texts).alias("hit")).select("query", "hit.s", F.explode("hit.iris").alias("iri"))
+    best = local.groupBy("query", "iri").agg((-F.min("s")).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "iri"))
     return best.withColumn("rank", rank).where(F.col("rank") <= limit)
 

@@ -319,11 +319,15 @@ class KG:
         plain, repeated = [], []
         for m in self.mapping.maps:
             mine = [e for e in entries if e[0] is m]
-            unique, other = [], []
-            for e in mine:
-                (unique if m.key_proved and not _overlaps(e, entries) else other).append(e)
-            plain += self._map_triples(m, unique, subjects, repeated, quads)
-            repeated += self._map_triples(m, other, subjects, repeated, quads)
+            alone = [e for e in mine if not _overlaps(e, entries)]
+            shared = [e for e in mine if e not in alone]
+            if m.key_proved:
+                plain += self._map_triples(m, alone, subjects, repeated, quads)
+            elif isinstance(m.subject, IriColumn):
+                shared = mine
+            else:
+                plain += self._distinct_triples(m, alone, subjects, repeated, quads)
+            repeated += self._map_triples(m, shared, subjects, repeated, quads)
         frames = plain
         if repeated:
             frames = plain + [reduce(DataFrame.union, repeated).distinct()]
@@ -361,6 +365,63 @@ class KG:
                        .select(*(["g"] if quads else []), "t.*"))
         return out
 
+    def _distinct_triples(self, m: TriplesMap, entries, subjects, repeated: list, quads: bool) -> list[DataFrame]:
+        """Triples of a map without a key: made distinct as (keys, property number, object), and
+        only then written out, so that little is shuffled."""
+        df = self.frame(m)
+        subject = self._node(m.subject, df)
+        df = _only_subjects(df, subject, subjects)
+        local, linked = [], []
+        for e in entries:
+            if df is not None and not isinstance(e[2], str):
+                obj, joined, semis, _ = self._map_object(m, e[2], df)
+                if joined is not df or semis:
+                    linked.append(e)
+                    continue
+                local.append((e[1], obj))
+            elif df is not None:
+                local.append((e[1], Term(F.lit(str(e[2])), IRI_T)))
+        repeated += self._map_triples(m, linked, subjects, repeated, quads)
+        if not local or not subject.template:
+            repeated += self._map_triples(m, [e for e in entries if e not in linked], subjects, repeated, quads) if local else []
+            return []
+        names = [f"__s{i}" for i in range(len(subject.keys))]
+        cells = [F.struct(F.lit(i).alias("i"), obj.text.alias("o")) for i, (_, obj) in enumerate(local)]
+        rows = (_present(df, subject).select(*[k.alias(n) for n, k in zip(names, subject.keys)], F.explode(F.array(*cells)).alias("x"))
+                .select(*names, "x.i", "x.o").where("o IS NOT NULL").distinct())
+
+        def fixed(values) -> Column:
+            return F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), F.col("i") + 1)
+
+        text = subject.template.render([F.col(n) for n in names], subject.families)
+        cols = [text.alias("s"), F.lit("iri").alias("s_kind"), fixed([str(p) for p, _ in local]).alias("p"), F.col("o"),
+                fixed([o.type.kind for _, o in local]).alias("o_kind"),
+                fixed([str(o.type.dt) if o.type.dt else None for _, o in local]).alias("o_dt"),
+                fixed([o.type.lang for _, o in local]).alias("o_lang")]
+        return [rows.select(*([F.lit(m.graph).cast("string").alias("g")] if quads else []), *cols)]
+
+    def problems(self) -> list[str]:
+        """What keeps the mapping from being read: missing tables, columns and parent maps."""
+        out = []
+        for m in self.mapping.maps:
+            try:
+                have = set(self.frame(m).columns)
+            except Exception as e:  # any reason a source cannot be resolved
+                out.append(f"{m.id}: source cannot be read ({type(e).__name__})")
+                continue
+            used = [m.subject.column] if isinstance(m.subject, IriColumn) else list(m.subject.columns)
+            for _, om in m.properties:
+                if isinstance(om, (ColumnObj, IriColumn)):
+                    used.append(om.column)
+                elif isinstance(om, TemplateObj):
+                    used += om.template.columns
+                elif isinstance(om, RefObj):
+                    used += [c for c, _ in om.join]
+                    if om.parent not in {p.id for p in self.mapping.maps}:
+                        out.append(f"{m.id}: no parent map {om.parent}")
+            out += [f"{m.id}: no column {c}" for c in dict.fromkeys(used) if c not in have]
+        return out
+
     def describe(self, iris) -> DataFrame:
         """All outgoing triples of the given IRIs (a list, or a DataFrame with a column ``iri``)."""
         if isinstance(iris, DataFrame):
@@ -385,6 +446,11 @@ def _equals_constant(t: Term, element) -> list[Column] | None:
     return [t.value == col] if rdf_type == t.type else None
 
 
+def _present(df: DataFrame, t: Term) -> DataFrame:
+    conds = t.present()
+    return df.where(reduce(lambda x, y: x & y, conds)) if conds else df
+
+
 def _as_set(branches: list[Branch]) -> list[Branch]:
     """Branches that may hold equal solutions are united and made distinct."""
     groups: list[list[Branch]] = []

@@ -127,3 +127,29 @@ def test_describe(spark):
     iris = spark.createDataFrame([("http://e/p/1",), ("http://e/p/01",), ("http://e/zz",)], "iri string")
     assert sorted(r.p for r in k.describe(iris).collect()) == sorted(r.p for r in k.describe([E["p/1"]]).collect())
     assert {r.s for r in k.describe(iris).collect()} == {"http://e/p/1"}
+
+
+def test_tables_of_the_session_catalog(spark):
+    for name, df in tables(spark).items():
+        df.createOrReplaceTempView(name)
+    from kgspark import Source
+    m = Mapping([TriplesMap("#P", "people", "http://e/p/{id}", [], {E.name: ColumnObj("name")}, ["id"]),
+                 TriplesMap("#Q", Source.sql("SELECT id, upper(label) AS u FROM depts"), "http://e/d/{id}", [], {E.name: ColumnObj("u")}, ["id"])])
+    assert bag(KG(spark, m).match("?s", E.name, "?n")) == [
+        ("http://e/d/10", "A B"), ("http://e/d/12", "C"), ("http://e/p/1", "Ann"), ("http://e/p/3", "Cid")]
+
+
+def test_problems_of_a_mapping(spark):
+    bad = Mapping([TriplesMap("#A", "people", "http://e/{id}/{no}", [], {E.x: ColumnObj("gone"), E.y: RefObj("#Z", [("dept", "id")])}),
+                   TriplesMap("#B", "nowhere", "http://e/{id}")])
+    assert KG(spark, bad, tables=tables(spark)).problems() == [
+        "#A: no parent map #Z", "#A: no column no", "#A: no column gone", "#B: source cannot be read (KeyError)"]
+    assert kg(spark).problems() == []
+
+
+def test_keyless_triples_of_two_maps(spark):
+    """The same triples from two maps, and equal rows of one, are one each."""
+    twice = Mapping(list(MAPPING.maps) + [TriplesMap("#W2", "works", "http://e/w/{p}/{w}", [E.Work], {E.hours: ColumnObj("hours", XSD.decimal)})])
+    t = KG(spark, twice, tables=tables(spark)).triples(classes=[E.Work])
+    assert t.count() == t.distinct().count() == 4
+    assert {r.o_dt for r in t.where(f"p = '{E.hours}'").collect()} == {XSD.decimal}
