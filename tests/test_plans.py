@@ -4,7 +4,6 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
 from kgqueries.model import EX, order_graph
 from kgspark import RDF, KG, ColumnObj, Mapping, RefObj, TriplesMap, agg, fn
 from tests.conftest import SMALL
@@ -82,14 +81,6 @@ def test_semi_joins_thin_out_the_inner_side(kg):
     assert "LeftSemi" in text and "HashAggregate" in text
 
 
-SLOW = re.compile("CartesianProduct|BroadcastNestedLoopJoin|BatchEvalPython|ArrowEvalPython|MapInPandas|FlatMapGroups")
-
-
-@pytest.mark.parametrize("name", sorted(entry.queries()))
-def test_no_nested_loops_and_no_python(spark, name):
-    assert not SLOW.search(plan(entry.queries()[name](spark, SMALL)))
-
-
 @pytest.fixture
 def small_partitions(spark):
     settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
