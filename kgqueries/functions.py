@@ -1,12 +1,13 @@
 """One query per scalar function, over whole tables."""
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
-from kgqueries.model import EX, order_graph, row
-from kgqueries.registry import X, XSD as XS, frame, query
+from kgqueries.model import EX, order_graph
+from kgqueries.registry import X, XSD as XS, query
 from kgqueries.scans import WEB, web_graph
-from kgspark import IRI, KG, XSD, ColumnObj, Mapping, Source, Tables, TriplesMap, agg, fn
-from kgspark.functions.fn import raw
+from kgspark import IRI, XSD, agg, fn
 
 LANG = "('en','fr','de','es')"
 
@@ -140,7 +141,7 @@ order_query("x14_error_logic", "CASE WHEN o_orderstatus = 'F' THEN TRUE ELSE CAS
             lambda r: (r.status == "F") | (1000 / r.key > 1))
 order_query("x15_compare", f"CAST({TOTAL} >= 50000 AS INT) + CAST(o_orderstatus < 'P' AS INT) + CAST(CAST(o_orderdate AS DATE) <= DATE '1997-06-01' AS INT)",
             lambda r: fn.if_(r.price >= 50000, 1, 0) + fn.if_(r.status < "P", 1, 0)
-            + fn.if_(r.day <= __import__("datetime").date(1997, 6, 1), 1, 0))
+            + fn.if_(r.day <= dt.date(1997, 6, 1), 1, 0))
 order_query("x16_in", "(o_orderstatus IN ('F','P')) AND (o_orderpriority NOT IN ('5-LOW','1-URGENT'))",
             lambda r: fn.is_in(r.status, "F", "P") & fn.not_in(r.priority, "5-LOW", "1-URGENT"))
 order_query("x17_if", "CASE WHEN o_orderkey = 0 THEN NULL WHEN 100000 / o_orderkey > 20 THEN 'low' ELSE 'high' END",
@@ -253,6 +254,3 @@ def _(spark, sf):
     iri = IRI(X + "fn/backwards")
     fn.register(iri, lambda c: F.concat(F.reverse(c), F.lit("!")))
     return parts(spark, sf).select("key", v=lambda r: fn.call(iri, r.name))
-
-
-_ = (KG, ColumnObj, Mapping, Source, Tables, TriplesMap, frame, raw, row)

@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from kgqueries.model import EX, BASE, integer, order_graph, row, tbox, tbox_rows
-from kgqueries.registry import TYPE, X, frame, query, tables
-from kgspark import (IRI, KG, RDF, RDFS, XSD, ColumnObj, Mapping, Ontology, RefObj, Source, TriplesMap, agg,
+from kgqueries.registry import X, frame, query, tables
+from kgspark import (IRI, KG, RDF, RDFS, Mapping, Ontology, RefObj, Source, TriplesMap, agg,
                      desc, fn, graph, path)
 
 # ---- patterns ------------------------------------------------------------------------------
@@ -450,8 +450,6 @@ def _(spark, sf):
     return t.select("s", "p", "o", "o_kind")
 
 
-_ = (TYPE, desc, ColumnObj)
-
 
 @query("flagship_top_customers", """
 SELECT c_name AS name, count(*) AS "numOrders" FROM orders JOIN customer ON o_custkey = c_custkey

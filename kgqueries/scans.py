@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from kgqueries.model import BASE, EX, MONEY, integer, money, order_graph
+from kgqueries.model import BASE, EX, integer, order_graph
 from kgqueries.registry import TYPE, X, XSD as XS, frame, query, tables
 from kgspark import (KG, RDF, XSD, ColumnObj, ConstObj, IriColumn, Mapping, RefObj, Source, TemplateObj,
                      TriplesMap)
@@ -60,8 +60,7 @@ def _(spark, sf):
 @query("s2_sql_source", f"""
 SELECT DISTINCT '{X}partsupp/' || l_partkey || '/' || l_suppkey AS ps, l_partkey AS part FROM lineitem""")
 def _(spark, sf):
-    return order_graph(spark, sf).match("?ps", EX.partKey, "?part").filter(
-        lambda r: r.ps != EX["part/-1"]).join(order_graph(spark, sf).match("?ps", RDF.type, EX.PartSupp))
+    return order_graph(spark, sf).bgp([("?ps", RDF.type, EX.PartSupp), ("?ps", EX.partKey, "?part")])
 
 
 @query("s3_table_columns")
@@ -310,5 +309,3 @@ def _(spark, sf):
     quads = web_graph(spark, sf).triples(predicates=[EX.text], quads=True)
     return quads.select("g", "s", F.md5("o").alias("digest"), "o_lang")
 
-
-_ = (MONEY, money)

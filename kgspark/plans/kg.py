@@ -187,8 +187,8 @@ class KG:
                                 if pred != used:
                                     continue
                                 object_side = is_object != swapped
-                                holder = om.parent if object_side and isinstance(om, RefObj) else m.id
-                                if holder in typed_maps and (not object_side or isinstance(om, RefObj)):
+                                holder = self._holder(m, om) if object_side else m.id
+                                if holder in typed_maps:
                                     continue  # those nodes already carry the class
                                 b = self._pattern(m, om, hidden(), s) if object_side else self._pattern(m, om, s, hidden())
                                 if b is not None:
@@ -231,7 +231,7 @@ class KG:
         refs = {}
         if is_var(s):
             refs[s[1:]] = m.id
-        if is_var(o) and isinstance(om, RefObj):
+        if is_var(o) and self._holder(m, om):
             refs.setdefault(o[1:], om.parent)
         row_vars = {s[1:]} if is_var(s) and unique else set()
         scan = Scan(m.id if semis is not None else hidden(), df, exprs or {"__row": F.lit(1)}, tuple(conds),
@@ -242,6 +242,12 @@ class KG:
             b = Branch(self.spark, infos, df, consts=consts, refs=refs)
         return b
 
+    def _holder(self, m: TriplesMap, om: ObjectMap | None) -> str | None:
+        """The map among whose subjects all objects of a link are, when that is sure."""
+        if not isinstance(om, RefObj):
+            return None
+        return om.parent if om.join or self.mapping.by_id(om.parent).source == m.source else None
+
     def predicates(self) -> list[str]:
         """Every predicate a triple of the graph may have."""
         mapped = {str(p) for m in self.mapping.maps for p, _ in m.properties}
@@ -346,7 +352,7 @@ class KG:
         if df is None or not entries:
             return []
         graph = [F.lit(m.graph).cast("string").alias("g")] if quads else []
-        structs, out = [], []
+        structs, out, doubled = [], [], []
         for _, pred, om in entries:
             predicate = Term(F.lit(str(pred)), IRI_T)
             if isinstance(om, str):
@@ -358,12 +364,12 @@ class KG:
                 structs.append(triple)
                 continue
             rows = joined if semis is None else _scan_with(joined, semis)
-            one = rows.select(*graph, triple.alias("t")).where("t IS NOT NULL").select(*[g_col for g_col in (["g"] if quads else [])], "t.*")
-            (repeated if several else out).append(one)
+            (doubled if several else out).append(rows.select(*graph, triple.alias("t")))
         if structs:
-            out.append(df.select(*graph, F.explode(F.array(*structs)).alias("t")).where("t IS NOT NULL")
-                       .select(*(["g"] if quads else []), "t.*"))
-        return out
+            out.append(df.select(*graph, F.explode(F.array(*structs)).alias("t")))
+        cols = ["g", "t.*"] if quads else ["t.*"]
+        repeated += [rows.where("t IS NOT NULL").select(*cols) for rows in doubled]
+        return [rows.where("t IS NOT NULL").select(*cols) for rows in out]
 
     def _distinct_triples(self, m: TriplesMap, entries, subjects, repeated: list, quads: bool) -> list[DataFrame]:
         """Triples of a map without a key: made distinct as (keys, property number, object), and

@@ -153,3 +153,12 @@ def test_keyless_triples_of_two_maps(spark):
     t = KG(spark, twice, tables=tables(spark)).triples(classes=[E.Work])
     assert t.count() == t.distinct().count() == 4
     assert {r.o_dt for r in t.where(f"p = '{E.hours}'").collect()} == {XSD.decimal}
+
+
+def test_same_row_link_to_a_map_of_another_table(spark):
+    """Nothing says that the linked IRI is a subject of the other map, so its class is checked."""
+    m = Mapping([TriplesMap("#A", "people", "http://e/p/{id}", [], {E.to: RefObj("#D", [])}, ["id"]),
+                 TriplesMap("#D", "depts", "http://e/x/{id}", [E.Dept], {}, ["id"])])
+    k = KG(spark, m, tables=tables(spark))
+    assert len(bag(k.match("?a", E.to, "?d"))) == 3
+    assert bag(k.bgp([("?a", E.to, "?d"), ("?d", RDF.type, E.Dept)])) == []
