@@ -41,6 +41,17 @@ def insurance_tbox(spark):
     return spark.createDataFrame(rows, TBOX_DDL)
 
 
+_CHECKERS: dict[tuple, check.Checker] = {}
+
+
+def checker_of(spark, build):
+    """The rules against one fixed ontology; its closure is made once per application."""
+    key = (spark.sparkContext.applicationId, build.__name__)
+    if key not in _CHECKERS:
+        _CHECKERS[key] = check.Checker(build(spark))
+    return _CHECKERS[key]
+
+
 def query_log(spark, sf):
     """Every event is a logged query, with the patterns of its type."""
     def split(x):
@@ -80,7 +91,7 @@ def log_rule(name, rule, event_type, columns):
     @query(name, f"SELECT CAST(event_id AS VARCHAR) AS unit_id, {names}, CAST(1 AS BIGINT) AS n FROM events "
                  f"WHERE event_type = '{event_type}'")
     def _(spark, sf):
-        checker = check.Checker(insurance_tbox(spark))
+        checker = checker_of(spark, insurance_tbox)
         return getattr(checker, rule)(check.patterns_df(query_log(spark, sf)))
 
 
@@ -111,7 +122,7 @@ _REPORT = ", ".join(f"('{t}', {i}, '{r}', '{m}', '{p}')" for t, i, r, m, p in ME
 SELECT CAST(event_id AS VARCHAR) AS unit_id, CAST(i AS BIGINT) AS rule_order, rule, message, p, CAST(1 AS BIGINT) AS n
 FROM events JOIN (VALUES {_REPORT}) t(event_type, i, rule, message, p) USING (event_type)""")
 def _(spark, sf):
-    found = check.Checker(insurance_tbox(spark)).all(check.patterns_df(query_log(spark, sf)))
+    found = checker_of(spark, insurance_tbox).all(check.patterns_df(query_log(spark, sf)))
     return found.select("unit_id", "rule_order", "rule", "message", F.col("bindings")["p"].alias("p"), "n")
 
 
@@ -121,7 +132,7 @@ UNION ALL SELECT 'customer ' || c_custkey, TRUE, 0 FROM customer""")
 def _(spark, sf):
     """Also units without patterns are listed, as passed."""
     log = check.patterns_df(query_log(spark, sf))
-    checker = check.Checker(insurance_tbox(spark))
+    checker = checker_of(spark, insurance_tbox)
     units = log.select("unit_id").union(frame(spark, sf, "customer").select(
         F.concat(F.lit("customer "), F.col("c_custkey").cast("string"))))
     return checker.summary(units, log)
@@ -164,7 +175,7 @@ def misfit_tbox(spark):
 def instance(spark, sf):
     names = [RDF.type, EX.nationKey] + [EX[p] for p, _, _ in MISFIT]
     triples = order_graph(spark, sf).triples(predicates=names, classes=[EX.Order, EX.Customer, EX.Event])
-    return check.Checker(misfit_tbox(spark)), check.instance_patterns(triples, F.lit("shop"))
+    return checker_of(spark, misfit_tbox), check.instance_patterns(triples, F.lit("shop"))
 
 
 @query("c1_instance", f"""

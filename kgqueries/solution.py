@@ -189,6 +189,12 @@ def _(spark, sf):
         "priority", "status").slice(limit=6, offset=4)
 
 
+@query("o2_offset", "SELECT o_orderkey AS key, o_orderstatus AS status FROM orders ORDER BY 2, 1 OFFSET 700")
+def _(spark, sf):
+    """An offset alone: the rest is not moved to one task."""
+    return orders(spark, sf, "key", "status").select("key", "status").order_by("status", "key").slice(offset=700)
+
+
 @query("o3_top_k", f"SELECT o_orderkey AS key, CAST({PRICE} AS DOUBLE) AS price FROM orders ORDER BY 2 DESC, 1 LIMIT 25")
 def _(spark, sf):
     return orders(spark, sf, "key", "price").select("key", "price").order_by(desc("price"), "key").slice(limit=25)

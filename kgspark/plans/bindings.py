@@ -12,6 +12,7 @@ from kgspark.functions.agg import Agg
 from kgspark.plans import branch as br
 from kgspark.plans.branch import Branch, Var
 from kgspark.plans.expr import Row, Term, term
+from kgspark.session import materialize
 from kgspark.terms import BOOLEAN_T, IRI, IRI_T, INTEGER_T, MIXED_T, STRING_T, NotUniquelyTyped, RdfType
 
 
@@ -162,12 +163,13 @@ class Bindings:
         return self._with([replace(b, frame=b.df.orderBy(*orders), inline=None)])
 
     def slice(self, limit: int | None = None, offset: int = 0) -> "Bindings":
+        """LIMIT and OFFSET. An offset without a limit is cut out by row numbers per partition, so
+        that the rest is never moved to one task."""
         b = self.merged()
-        df = b.df
-        if offset:
-            df = df.offset(offset)
         if limit is not None:
-            df = df.limit(limit)
+            df = (b.df.offset(offset) if offset else b.df).limit(limit)
+        else:
+            df = _skip(b.df, offset) if offset > 0 else b.df
         return self._with([Branch(b.spark, b.vars, df)])
 
     # -- grouping --------------------------------------------------------------------------
@@ -348,6 +350,19 @@ def _spark_type(t: RdfType) -> str:
     return tm.spark_type_of(t.dt) if t.kind == "literal" else "string"
 
 
+def _skip(df: DataFrame, offset: int) -> DataFrame:
+    """All but the first ``offset`` rows, in order. Only one count per partition is collected."""
+    rows = materialize(df.withColumn("__id", F.monotonically_increasing_id()))
+    first = 0
+    counts = rows.groupBy(F.shiftright("__id", 33).alias("part")).agg(F.count("*").alias("n")).orderBy("part")
+    for part, n in counts.collect():
+        first = (part << 33) + min(offset, n)
+        offset -= min(offset, n)
+        if offset == 0:
+            break
+    return rows.where(F.col("__id") >= first).orderBy("__id").drop("__id")
+
+
 def _project(b: Branch, exprs: dict[str, Column]) -> DataFrame:
     """Evaluate expressions of a branch, over its scan's own columns when it is one."""
     if b.scan:

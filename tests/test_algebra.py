@@ -137,6 +137,13 @@ def test_order_and_slice(spark):
     assert [r.x for r in b.order_by(desc("x")).slice(limit=1, offset=1).df.collect()] == [1]
 
 
+@pytest.mark.parametrize("offset", [1, 37, 99, 100, 500])
+def test_offset_without_limit(spark, offset):
+    b = solutions(spark, ["x"], [(i * 7 % 100,) for i in range(100)]).order_by("x").slice(offset=offset)
+    assert [r.x for r in b.df.collect()] == list(range(100))[offset:]
+    assert "GlobalLimit" not in b.df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_ask(spark):
     b = solutions(spark, ["x"], [(2,)])
     assert b.ask().first().ask is True and b.filter(lambda r: r.x > 2).ask().first().ask is False
