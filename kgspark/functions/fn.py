@@ -254,7 +254,8 @@ def replace(t, pattern: "str", replacement: "str", flags: "str" = "") -> Term:
 
 def abs(t) -> Term:  # noqa: A001
     t = term(t)
-    return Term(F.abs(t.number()), t.type)
+    x = t.number()
+    return Term(F.when(x >= 0, x).otherwise(F.try_subtract(F.lit(0), x)), t.type if t.is_numeric else tm.literal_type(XSD.double))
 
 
 def _whole(t: Term, col: Column) -> Term:
@@ -262,7 +263,9 @@ def _whole(t: Term, col: Column) -> Term:
         return t
     if t.type.dt == XSD.decimal:
         return Term(col.cast("decimal(38,0)"), t.type)
-    return Term(col.cast("double"), t.type if t.is_numeric else tm.literal_type(XSD.double))
+    x = t.number()  # from 2^52 on every double is whole already
+    return Term(F.when(F.abs(x) < 2.0**52, col.cast("double")).otherwise(x.cast("double")),
+                t.type if t.is_numeric else tm.literal_type(XSD.double))
 
 
 def round(t) -> Term:  # noqa: A001

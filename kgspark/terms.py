@@ -186,6 +186,8 @@ def typed(col: Column, source: T.DataType, dt: str, decimal: str | None = None)
         return col if isinstance(source, T.BinaryType) else F.unhex(col.cast("string"))
     if local == "base64Binary":
         return col if isinstance(source, T.BinaryType) else F.try_to_binary(col.cast("string"), F.lit("base64"))
+    if local == "boolean" and isinstance(source, T.StringType):
+        return F.when(col.isin("true", "1"), F.lit(True)).when(col.isin("false", "0"), F.lit(False))
     if source.simpleString() != target:
         col = lexical(col, source) if target == "string" else col.try_cast(target)
     if local in _RANGES:

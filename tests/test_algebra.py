@@ -119,6 +119,14 @@ def test_round_halves_up(spark):
     assert sorted(r[0] for r in bag(b.select(v=lambda r: fn.round(r.x)))) == [-2.0, 0.0, 3.0]
 
 
+def test_numbers_at_the_edges(spark):
+    b = inline(spark, "x", [1e300, float("inf"), -1e17])
+    assert sorted(r[0] for r in bag(b.select(v=lambda r: fn.round(r.x)))) == [-1e17, 1e300, float("inf")]
+    low = solutions(spark, ["x"], [(-2**63,), (-5,)])
+    assert sorted((r[0] for r in bag(low.select(v=lambda r: fn.abs(r.x)))), key=repr) == [5, None]
+    assert sorted((r[0] for r in bag(low.select(v=lambda r: -r.x))), key=repr) == [5, None]
+
+
 def test_aggregates_over_nothing(spark):
     none = solutions(spark, ["x"], [])
     got = none.agg(n=agg.count("x"), s=agg.sum("x"), a=agg.avg("x"), m=agg.min("x"), g=agg.group_concat("x")).df.first()

@@ -162,3 +162,18 @@ def test_same_row_link_to_a_map_of_another_table(spark):
     k = KG(spark, m, tables=tables(spark))
     assert len(bag(k.match("?a", E.to, "?d"))) == 3
     assert bag(k.bgp([("?a", E.to, "?d"), ("?d", RDF.type, E.Dept)])) == []
+
+
+def test_typed_literals_from_text(spark):
+    """A value outside its datatype gives no triple."""
+    rows = spark.createDataFrame([(1, "true", "300", "12:30:00", "-P1Y2M"), (2, "yes", "12", "noon", "P")],
+                                 "id int, b string, u string, t string, d string")
+    m = Mapping([TriplesMap("#A", "a", "http://e/{id}", [], {
+        E.b: ColumnObj("b", XSD.boolean), E.u: ColumnObj("u", XSD.unsignedByte), E.t: ColumnObj("t", XSD.time),
+        E.d: ColumnObj("d", XSD.duration), E.h: ColumnObj("b", XSD.hexBinary)}, ["id"])])
+    k = KG(spark, m, tables={"a": rows})
+    assert bag(k.match("?s", E.b, "?o")) == [("http://e/1", True)]
+    assert bag(k.match("?s", E.u, "?o")) == [("http://e/2", 12)]
+    assert bag(k.match("?s", E.t, "?o")) == [("http://e/1", "12:30:00")]
+    assert bag(k.match("?s", E.d, "?o")) == [("http://e/1", "-P1Y2M")]
+    assert bag(k.match("?s", E.h, "?o")) == []
