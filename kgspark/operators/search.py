@@ -52,8 +52,8 @@ def fuzzy_search(queries: DataFrame, index: DataFrame, limit: int = 10, ignore_c
 
     Each distinct query meets each distinct text once. A text shared by very many IRIs stands for
     its ``limit`` least ones only: more cannot be among the best through that text. Texts are
-    scored in blocks inside a task, and only the best of a block leave it, so no query-text pair is
-    ever a row and the result is exact.
+    scored in blocks inside a task, and only the best of a block leave it: ``limit`` times the most
+    texts of any IRI, which makes the result exact.
     """
     limit = max(1, limit)
     fold = F.lower if ignore_case else (lambda c: c)
