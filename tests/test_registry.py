@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from kgqueries.registry import ORACLES, QUERIES
 from tests.conftest import SMALL
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
@@ -40,7 +41,7 @@ def cell(v):
     return v
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_equals_sql(spark, con, name):
     df, rows = run(spark, name)
     cols = sorted(df.columns)
@@ -53,7 +54,7 @@ def test_equals_sql(spark, con, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_without_sql(spark, name):
     assert run(spark, name)[1]
 
