@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import shutil
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 import kgspark
 from kgspark.session import configure, materialize, scratch_dir
 
-__all__ = ["WORDS", "columns", "materialize", "prepare", "rows_of", "scratch_dir", "text_map", "unused", "words"]
+__all__ = ["WORDS", "columns", "let", "materialize", "prepare", "rows_of", "scratch_dir", "text_map", "unused", "words"]
 
 # What separates words: space and \t \n \v \f \r.
 SEPARATORS = r"[\x20\x09-\x0D]+"
@@ -46,7 +45,6 @@ def prepare(spark: SparkSession) -> SparkSession:
                         full = os.path.join(folder, name)
                         z.write(full, os.path.join("kgspark", os.path.relpath(full, root)))
         sc.addPyFile(made)
-        shutil.rmtree(os.path.dirname(made), ignore_errors=True) if not sc.master.startswith("local") else None
         _SHIPPED.add(sc.applicationId)
     return spark
 
@@ -64,6 +62,11 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; null and empty texts have none."""
     parts = F.split(F.coalesce(text, F.lit("")), SEPARATORS)

@@ -44,3 +44,93 @@ def op6(spark, table):
 
     from kgspark.llm.byte_bpe import round_trip
     return round_trip(table("documents"), tokenizer("byte_bpe_multi_50k.tiktoken"), PATTERN)
+
+
+# The rules of the URL query.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+OP9_SQL = r"""
+WITH rest AS (
+  SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS r FROM pages),
+parts AS (
+  SELECT page_id, r, coalesce(translate(regexp_extract(r, '^[^/?#]*'),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(r, '^[^/?#]*([^?#]*)', 1), '') AS path FROM rest),
+forms AS (
+  SELECT page_id, host, path, CASE WHEN regexp_replace(regexp_replace(host, '^(www|m)\.', ''), ':(80|443)$', '') <> '' THEN
+           regexp_replace(regexp_replace(host, '^(www|m)\.', ''), ':(80|443)$', '') || regexp_replace(path, '/+$', '') ||
+           CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END END AS form
+  FROM (SELECT *, list_sort(list_filter(string_split(coalesce(regexp_extract(r, '^[^?#]*\?([^#]*)', 1), ''), '&'),
+          lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))) AS q FROM parts)),
+listed AS (SELECT form FROM forms WHERE form IS NOT NULL GROUP BY form HAVING count(DISTINCT page_id) > 1),
+ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule FROM forms)
+SELECT page_id, host, path, rule, CASE
+    WHEN rule IN ('net/', 'example.com/de/') THEN 'block'
+    WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow'
+    WHEN form IN (SELECT form FROM listed) THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled
+"""
+
+
+@query("op9_url_filter", OP9_SQL)
+def op9(spark, table):
+    """Verdicts on every page address, by four rules and the list of addresses that several pages carry."""
+    from kgspark.llm.url_filter import judge_urls, repeated_addresses
+    pages = table("pages")
+    return judge_urls(pages, URL_RULES, repeated_addresses(pages))
+
+
+OP7_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, text, row_number() OVER () AS row,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents),
+raw_lines AS (SELECT row, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM d),
+dups AS (SELECT row, count(*) - count(DISTINCT line) AS n_dup_lines FROM raw_lines
+         WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY row),
+grams AS (SELECT row, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
+          FROM (SELECT row, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+twice AS (SELECT row, i FROM (SELECT *, count(*) OVER (PARTITION BY row, g) AS n FROM grams) WHERE n > 1),
+reps AS (SELECT row, count(DISTINCT p) AS n_repeat_words
+         FROM (SELECT row, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY row),
+base AS (
+  SELECT d.row, doc_id, source, hash(text) AS text_hash, len(w) AS n_words,
+         length(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+         length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM d LEFT JOIN dups USING (row) LEFT JOIN reps USING (row)),
+cut AS (
+  SELECT row, unnest(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x:
+           trim(regexp_replace(regexp_replace(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ')), lambda x: x <> '')) AS line,
+         generate_subscripts(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x:
+           trim(regexp_replace(regexp_replace(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ')), lambda x: x <> ''), 1) AS pos FROM d),
+around AS (
+  SELECT source, text, cut.row, line, coalesce(lag(line) OVER (PARTITION BY cut.row ORDER BY pos), '') AS before,
+         coalesce(lead(line) OVER (PARTITION BY cut.row ORDER BY pos), '') AS after
+  FROM cut JOIN d ON d.row = cut.row),
+bad AS (
+  SELECT source, line FROM around GROUP BY source, line
+  HAVING count(DISTINCT text) > 10 AND greatest(count(DISTINCT before), count(DISTINCT after)) >= 0.5 * count(DISTINCT text)),
+gone AS (
+  SELECT row, sum(length(a.line) - length(replace(a.line, ' ', '')) + 1) AS removed_words
+  FROM around a JOIN bad b ON a.source IS NOT DISTINCT FROM b.source AND a.line = b.line GROUP BY row)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
+         AND coalesce(removed_words, 0) <= 0.5 * n_words AS kept
+FROM base LEFT JOIN gone USING (row)
+"""
+
+
+@query("op7_quality_rules", OP7_SQL)
+def op7(spark, table):
+    """Counts of every document, and whether it is kept once the boilerplate of its host is taken out."""
+    from kgspark.llm.quality_rules import judge
+    return judge(table("documents"), max_docs=10, min_words=50, max_repeated=0.5).drop("removed_words", "removed_lines")
