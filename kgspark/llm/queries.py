@@ -134,3 +134,10 @@ def op7(spark, table):
     """Counts of every document, and whether it is kept once the boilerplate of its host is taken out."""
     from kgspark.llm.quality_rules import judge
     return judge(table("documents"), max_docs=10, min_words=50, max_repeated=0.5).drop("removed_words", "removed_lines")
+
+
+@query("op8_pii")
+def op8(spark, table):
+    """Spans of personal data in every document, found from anchors."""
+    from kgspark.llm.pii import find
+    return find(table("documents"))
