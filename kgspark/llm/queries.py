@@ -141,3 +141,10 @@ def op8(spark, table):
     """Spans of personal data in every document, found from anchors."""
     from kgspark.llm.pii import find
     return find(table("documents"))
+
+
+@query("op1_simhash")
+def op1(spark, table):
+    """Fingerprints of all documents, and the components of those that differ in at most 4 bits."""
+    from kgspark.llm.simhash import near_duplicates
+    return near_duplicates(table("documents"), shingle=4, words=1, radius=4)
