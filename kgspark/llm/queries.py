@@ -148,3 +148,10 @@ def op1(spark, table):
     """Fingerprints of all documents, and the components of those that differ in at most 4 bits."""
     from kgspark.llm.simhash import near_duplicates
     return near_duplicates(table("documents"), shingle=4, words=1, radius=4)
+
+
+@query("op3_decontamination")
+def op3(spark, table):
+    """Benchmark items that stand in documents."""
+    from kgspark.llm.decontaminate import find_leaks
+    return find_leaks(table("documents"), table("benchmark"))
