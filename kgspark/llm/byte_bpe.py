@@ -40,8 +40,9 @@ class Vocabulary:
         for token, i in sorted(ranks.items(), key=lambda x: x[1]):
             if len(token) > 1 and (two := self._last_merge(token, i)):
                 self.halves[i] = two
-        self.reachable = {t: i for t, i in ranks.items() if len(t) == 1 or i in self.halves}
-        self.tails = {t[k:] for t in self.reachable for k in range(len(t))}
+        reachable = {t: i for t, i in ranks.items() if len(t) == 1 or i in self.halves}
+        # Every end of a token, with its own rank if it is a token, else -1.
+        self.tails = {t[k:]: -1 for t in reachable for k in range(len(t))} | reachable
         self.fitting: dict[tuple[int, int], bool] = {}
 
     def _last_merge(self, token: bytes, rank: int) -> tuple[int, int] | None:
@@ -59,6 +60,15 @@ class Vocabulary:
         a, b = self.ranks.get(parts[0]), self.ranks.get(parts[1])
         return None if a is None or b is None else (a, b)
 
+    def endings(self, data: bytes, end: int) -> list[tuple[int, int]]:
+        """The tokens that end there, as (start, token), shorter ones first."""
+        tail, found, start = self.tails.get, [], end - 1
+        while start >= 0 and (token := tail(data[start:end])) is not None:
+            if token >= 0:
+                found.append((start, token))
+            start -= 1
+        return found
+
     def fit(self, left: int, right: int) -> bool:
         """Whether the bytes of two tokens, encoded together, stay these two tokens.
 
@@ -96,16 +106,8 @@ class PrefixTable:
         self.append(data)
 
     def _entry(self, end: int) -> int:
-        voc, data, last = self.vocabulary, self.data, self.last
-        tails, reachable, found = voc.tails, voc.reachable, []
-        for start in range(end - 1, max(-1, end - voc.longest - 1), -1):
-            piece = data[start:end]
-            if piece not in tails:
-                break
-            token = reachable.get(piece)
-            if token is not None:
-                found.append((start, token))
-        for start, token in reversed(found):  # the longest is the most likely
+        voc, last = self.vocabulary, self.last
+        for start, token in reversed(voc.endings(self.data, end)):  # the longest is the most likely
             if start == 0 or voc.fit(last[start - 1], token):
                 return token
         raise ValueError("the ranks lack a single byte")
@@ -139,17 +141,48 @@ class PrefixTable:
         return out[::-1]
 
 
+class _Last(dict):
+    """The last token of a prefix, by its bytes: an entry that all pieces with this prefix share.
+
+    Only the entries that the walk back from a piece's end asks for are made.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, limit: int):
+        super().__init__()
+        self.vocabulary, self.limit = vocabulary, limit
+
+    def __missing__(self, data):
+        voc = self.vocabulary
+        for start, token in reversed(voc.endings(data, len(data))):
+            if start == 0 or voc.fit(self[data[:start]], token):
+                if len(self) >= self.limit:
+                    self.clear()
+                self[data] = token
+                return token
+        raise ValueError("the ranks lack a single byte")
+
+
 class _Pieces(dict):
     """Tokens of a piece of text; merged pieces are kept up to a limit."""
 
     def __init__(self, vocabulary: Vocabulary, limit: int):
         super().__init__()
-        self.vocabulary, self.limit = vocabulary, limit
+        self.vocabulary, self.limit, self.last = vocabulary, limit, _Last(vocabulary, limit)
+
+    def _walk(self, data: bytes) -> tuple[int, ...]:
+        out, last, tokens = [], self.last, self.vocabulary.tokens
+        while data:
+            out.append(last[data])
+            data = data[:-len(tokens[out[-1]])]
+        return tuple(out[::-1])
 
     def __missing__(self, piece):
         data = piece.encode()
         whole = self.vocabulary.ranks.get(data)  # a piece that is itself a token is that token
-        ids = (whole,) if whole is not None else tuple(PrefixTable(self.vocabulary, data).tokens())
+        if whole is not None:
+            ids = (whole,)
+        else:
+            ids = self._walk(data) if len(data) <= 64 else tuple(PrefixTable(self.vocabulary, data).tokens())
         if len(piece) <= 64:
             if len(self) >= self.limit:
                 self.clear()
@@ -158,9 +191,9 @@ class _Pieces(dict):
 
 
 class ByteBPE:
-    """Encodes and decodes text. ``remembered``: how many encoded pieces are kept in memory."""
+    """Encodes and decodes text. ``remembered``: how many encoded pieces, and prefixes, are kept in memory."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = 800_000):
         self.vocabulary, self.pattern = Vocabulary(ranks), regex.compile(pattern)
         self.pieces = _Pieces(self.vocabulary, remembered)
 

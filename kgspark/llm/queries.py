@@ -155,3 +155,11 @@ def op3(spark, table):
     """Benchmark items that stand in documents."""
     from kgspark.llm.decontaminate import find_leaks
     return find_leaks(table("documents"), table("benchmark"))
+
+
+@query("op5_quality_classifier")
+def op5(spark, table):
+    """Quality scores of all documents, learned from the labels that are not held out."""
+    from kgspark.llm.quality_classifier import classify, fit
+    docs = table("documents")
+    return classify(docs, fit(docs, table("labels"), sample=4000))
