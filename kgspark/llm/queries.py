@@ -163,3 +163,38 @@ def op5(spark, table):
     from kgspark.llm.quality_classifier import classify, fit
     docs = table("documents")
     return classify(docs, fit(docs, table("labels"), sample=4000))
+
+
+OP10_SQL = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS row,
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+t AS (SELECT row, i, words[i] AS c, CASE WHEN i > 1 THEN words[i - 1] END AS b, CASE WHEN i > 2 THEN words[i - 2] END AS a
+      FROM (SELECT row, words, unnest(range(1, len(words) + 1)) AS i FROM d)),
+one AS (SELECT c, count(*) AS n FROM t GROUP BY c),
+two AS (SELECT b, c, count(*) AS n FROM t WHERE b IS NOT NULL GROUP BY b, c),
+three AS (SELECT a, b, c, count(*) AS n FROM t WHERE a IS NOT NULL GROUP BY a, b, c HAVING count(*) >= 2),
+s AS (
+  SELECT t.row, CASE
+    WHEN t.b IS NULL THEN ln(one.n / (SELECT count(*) FROM t))
+    WHEN three.n IS NOT NULL THEN ln(three.n) - ln(ctx2.n)
+    ELSE CASE WHEN t.a IS NULL THEN 0 ELSE ln(0.4) END + CASE
+      WHEN two.n >= 2 THEN ln(two.n) - ln(ctx1.n) ELSE ln(0.4) + ln(one.n / (SELECT count(*) FROM t)) END END AS v
+  FROM t JOIN one ON one.c = t.c LEFT JOIN two ON two.b = t.b AND two.c = t.c
+  LEFT JOIN three ON three.a = t.a AND three.b = t.b AND three.c = t.c
+  LEFT JOIN one ctx1 ON ctx1.c = t.b LEFT JOIN two ctx2 ON ctx2.b = t.a AND ctx2.c = t.b)
+SELECT doc_id, len(words) AS n_words, round(coalesce(v, 0), 4) AS log_score,
+       CASE WHEN len(words) > 0 THEN round(v / len(words), 6) END AS mean_log_score
+FROM d LEFT JOIN (SELECT row, sum(v) AS v FROM s GROUP BY row) USING (row)
+"""
+
+
+@query("op10_lm_scores", OP10_SQL)
+def op10(spark, table):
+    """Trigram stupid-backoff scores of all documents under the counts of all documents."""
+    from pyspark.sql import functions as F
+
+    from kgspark.llm.ngram_lm import lm_scores
+    scores = lm_scores(table("documents"), order=3, backoff=0.4, min_count=2)
+    return scores.withColumns({"log_score": F.round("log_score", 4), "mean_log_score": F.round("mean_log_score", 6)})
