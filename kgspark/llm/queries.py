@@ -198,3 +198,10 @@ def op10(spark, table):
     from kgspark.llm.ngram_lm import lm_scores
     scores = lm_scores(table("documents"), order=3, backoff=0.4, min_count=2)
     return scores.withColumns({"log_score": F.round("log_score", 4), "mean_log_score": F.round("mean_log_score", 6)})
+
+
+@query("op2_suffix_dedup")
+def op2(spark, table):
+    """What is left of every document without 50-byte strings that a document with a smaller id has."""
+    from kgspark.llm.suffix_dedup import dedup
+    return dedup(table("documents"), length=50)
