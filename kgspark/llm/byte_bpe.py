@@ -238,9 +238,10 @@ def _sent(spark, rank_file, pattern):
     return spark.sparkContext.broadcast(((len(ranks), hash(frozenset(ranks.items())), pattern), ranks, pattern))
 
 
-def encode(docs: DataFrame, rank_file: str, pattern: str, *, id_col: str = "doc_id",
+def encode(docs: DataFrame, rank_file: str, pattern: str, *, decoded: bool = False, id_col: str = "doc_id",
            text_col: str = "text") -> DataFrame:
-    """One row per document: its id and ``ids``, the token ids of the whole text, without special tokens.
+    """One row per document: its id, ``n_tokens`` and ``ids``, the token ids of the whole text, without special
+    tokens; with ``decoded`` also ``decoded_sha256``, of the bytes that the ids decode to.
 
     A null or empty text has no ids; null ids and repeated rows are kept; other columns are ignored.
     """
@@ -250,9 +251,14 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, *, id_col: str = "doc_
 
     def make():
         bpe = _encoder(*sent.value)
-        return lambda i, text: (i, bpe.encode(text))
 
-    return text_map(columns(docs, id=id_col, text=text_col), f"`{id_col}` {id_type}, ids array<int>", make)
+        def each(i, text):
+            ids = bpe.encode(text)
+            return (i, len(ids), ids, *([hashlib.sha256(bpe.decode(ids)).hexdigest()] if decoded else []))
+        return each
+
+    return text_map(columns(docs, id=id_col, text=text_col), f"`{id_col}` {id_type}, n_tokens bigint, ids array<int>"
+                    + (", decoded_sha256 string" if decoded else ""), make)
 
 
 def decode(encoded: DataFrame, rank_file: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import SEPARATORS, columns, let, materialize, prepare, words
+from kgspark.llm.common import SEPARATORS, columns, let, materialize, prepare, unused, words
 
 # Fixed values.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -125,6 +125,25 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ho
                     "base_failed", "kept", "removed_words", "removed_lines"))
 
 
+def clean(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
+    """The documents that ``judge`` keeps, with all their columns, and without their boilerplate lines.
+
+    Verdicts are joined by id, text and host, so that rows with equal ids are told apart.
+    """
+    prepare(docs.sparkSession)
+    key, said = unused(docs, "row_key"), unused(docs, "verdict")
+    names = [f"`{c}`" for c in (id_col, text_col, host_col)]
+    # Null ids and hosts have hashes of their own, so that this is one plain equality.
+    row_key = F.xxhash64(*names, *[F.col(n).isNull() for n in names])
+    keyed = docs.withColumn(key, row_key)
+    judged = judge(keyed, id_col=key, text_col=text_col, host_col=host_col, **limits)
+    verdicts = (judged.where("NOT kept OR removed_lines IS NOT NULL")
+                .select(F.col(key).alias("k"), F.struct("kept", "removed_lines").alias(said)).dropDuplicates(["k"]))
+    out = keyed.join(verdicts, F.col(key) == F.col("k"), "left").where(F.coalesce(F.col(said)["kept"], F.lit(True)))
+    text = without_lines(F.col(f"`{text_col}`"), F.col(said)["removed_lines"])
+    return out.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+
+
 def without_lines(text: Column, hashes: Column) -> Column:
     """The text without the lines whose hashes are in the array (null: as it is); empty lines stay."""
     lines = F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(hashes, F.xxhash64(normal_line(x))))

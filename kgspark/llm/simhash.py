@@ -12,6 +12,9 @@
 * **Groups.** Equal fingerprints are one node. A table group above ``block`` nodes is cut into parts, and
   every two parts meet in a cell of their own, so that no task holds or compares an unbounded group. A cell
   reports the links of a spanning forest, not all its pairs.
+
+Where a similarity of texts is asked for, the fingerprints only propose: every node gets the nearest earlier
+nodes that it met, and these few pairs are kept if their sets of shingles are similar enough.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import columns, materialize, prepare, text_map
+from kgspark.llm.common import columns, materialize, prepare, text_map, unused
 from kgspark.llm.components import components
 
 WORD = 64
@@ -107,8 +110,8 @@ def planes(fps: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)
 
 
-def near_pairs(fps: np.ndarray, group: np.ndarray, radius: int, step: int = 8) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i, j) of fingerprints of one group that differ in at most ``radius`` bits.
+def near_pairs(fps: np.ndarray, group: np.ndarray, radius: int, step: int = 8) -> Iterator[tuple[np.ndarray, ...]]:
+    """Index pairs i < j of fingerprints of one group that differ in at most ``radius`` bits, and in how many.
 
     Equal groups stand together, larger groups first. One result for each run of 64 distances of lanes.
     """
@@ -167,13 +170,23 @@ def near_pairs(fps: np.ndarray, group: np.ndarray, radius: int, step: int = 8) -
         if len(live):
             at, lane = np.nonzero(np.unpackbits(near[live].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
             i = word[live][at] * WORD + lane
-            yield i, i + far[live][at]
+            bits = sum(((c[live][at] >> lane.astype(np.uint64)) & one).astype(np.int64) << k for k, c in enumerate(counter))
+            yield i, i + far[live][at], bits - start
+
+
+def nearest(n: int, pairs: Iterator[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray]:
+    """For each of n items the earlier item with the least distance, and that distance; -1 if none."""
+    none = np.iinfo(np.int64).max
+    best = np.full(n, none)
+    for i, j, d in pairs:
+        np.minimum.at(best, j, (d << 32) + i)
+    return np.where(best == none, -1, best & 0xFFFFFFFF), best >> 32
 
 
-def spanning(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+def spanning(n: int, pairs: Iterator[tuple[np.ndarray, ...]]) -> np.ndarray:
     """The least index that each of n items is linked with, over any number of links."""
     label = np.arange(n)
-    for i, j in pairs:
+    for i, j, _ in pairs:
         a, b = label[i], label[j]
         while (a != b).any():
             a, b = a[a != b], b[a != b]
@@ -185,9 +198,12 @@ def spanning(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarr
     return label
 
 
-def _links(batches, words: int, radius: int, lanes: int):
-    """Links within the cells of sorted batches: (a, b) of nodes, a spanning forest of each cell."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _links(batches, words: int, radius: int, lanes: int, forest: bool):
+    """Links (a, b) within the cells of sorted batches, b the earlier node, with their distance.
+
+    They are a spanning forest of each cell (distance 0), or link each node with the nearest earlier one.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("distance", pa.int64())])
     names = ["cell", "i", "j", "node", *(f"f{w}" for w in range(words))]
 
     def compare(rows: np.ndarray):
@@ -204,10 +220,16 @@ def _links(batches, words: int, radius: int, lanes: int):
             while stop < len(rows) and cell[stop] == cell[stop - 1]:
                 stop += 1
             part, group = rows[start:stop], cell[start:stop]
-            label = spanning(len(part), near_pairs(part[:, 4:].copy().view(np.uint64), group, radius))
-            linked = label != np.arange(len(part))
+            pairs = near_pairs(part[:, 4:].copy().view(np.uint64), group, radius)
+            if forest:
+                to, distance = spanning(len(part), pairs), np.zeros(len(part), np.int64)
+                linked = to != np.arange(len(part))
+            else:
+                to, distance = nearest(len(part), pairs)
+                linked = to >= 0
             if linked.any():
-                yield pa.RecordBatch.from_arrays([pa.array(part[linked, 3]), pa.array(part[label[linked], 3])], schema=schema)
+                columns = part[linked, 3], part[to[linked], 3], distance[linked]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
             start = stop
 
     held = np.zeros((0, len(names)), np.int64)
@@ -223,10 +245,13 @@ def _links(batches, words: int, radius: int, lanes: int):
         yield from compare(held)
 
 
-def links(nodes: DataFrame, masks: list[tuple[int, ...]], radius: int, *, block: int = 2048, lanes: int = 8192) -> DataFrame:
-    """Links (a, b) that join all nodes within the radius that meet in a table, over one or more steps.
+def links(nodes: DataFrame, masks: list[tuple[int, ...]], radius: int, *, forest: bool = True, block: int = 2048,
+          lanes: int = 8192) -> DataFrame:
+    """Links (a, b, distance) between nodes within the radius that meet in a table, b < a.
 
-    ``nodes``: ``node`` (bigint, unique) and the words ``f0``, ``f1``, ... of different fingerprints.
+    A forest joins all such nodes, over one or more steps; otherwise each node is linked with the nearest
+    lesser node of each of its cells. ``nodes``: ``node`` (bigint, unique) and the words ``f0``, ``f1``, ... of
+    different fingerprints.
     """
     words = len(masks[0])
     shown = [f"f{w}" for w in range(words)]
@@ -243,8 +268,9 @@ def links(nodes: DataFrame, masks: list[tuple[int, ...]], radius: int, *, block:
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))
     cells = (keyed.select("cell", "node", *shown, "part", other.alias("other"))
              .select("cell", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", *shown))
-    return (cells.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
-            .mapInArrow(partial(_links, words=words, radius=radius, lanes=lanes), "a bigint, b bigint"))
+    return (cells.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "node")
+            .mapInArrow(partial(_links, words=words, radius=radius, lanes=lanes, forest=forest),
+                        "a bigint, b bigint, distance bigint"))
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 4, words: int = 1, radius: int = 4,
@@ -264,9 +290,81 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, words: int = 1, radius
     prints = materialize(fingerprints(docs, shingle=shingle, words=words, id_col=id_col, text_col=text_col))
     nodes = materialize(prints.groupBy(*shown).agg(F.min("id").alias("least"))
                         .withColumn("node", F.monotonically_increasing_id()))
-    roots = components(links(nodes.select("node", *shown), masks, radius))
+    roots = components(links(nodes.select("node", *shown), masks, radius).select("a", "b"))
     placed = materialize(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     named = placed.join(least, "root").select(*shown, "component_id")
     hexed = F.concat(*[F.lower(F.lpad(F.hex(f), 16, "0")) for f in shown])
     return prints.join(named, shown).select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id")
+
+
+def similar(a: str, b: str, shingle: int) -> float:
+    """The Jaccard similarity of the sets of word shingles of two texts (1 for two texts without words)."""
+    def shingles(text):
+        tokens = text.encode("utf-8", "surrogatepass").lower().split()
+        n = min(shingle, len(tokens))
+        return set(zip(*(islice(tokens, k, None) for k in range(n)))) if n else set()
+
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Documents under a key that tells rows apart by id and text; a null id comes after all others."""
+    d = columns(docs, id=id_col, text=text_col)
+    return d.select(F.coalesce(F.col("id").cast("bigint"), F.lit((1 << 63) - 1)).alias("id"), F.xxhash64("text").alias("hash"), "text")
+
+
+def similar_groups(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, words: int = 4, radius: int = 52,
+                   tables: int = 64, key_bits: int = 18, partners: int = 3, id_col: str = "doc_id",
+                   text_col: str = "text") -> DataFrame:
+    """Groups of texts that are linked by a Jaccard similarity of at least ``similarity`` of their shingles.
+
+    One row per different (id, hash of the text) with that of its group's least document: ``id``, ``hash``,
+    ``least_id``, ``least_hash``. Each text is compared with the ``partners`` nearest earlier ones among those
+    that its fingerprint met within ``radius`` bits in some table. With the default of 256 bits, and 64
+    tables of 18 sampled bits, a pair at a similarity of 0.8 is met with a probability of 0.96, at 0.85 of
+    0.99, at 0.9 of more than 0.999. Ids are whole numbers; a null id counts as the greatest. Texts without
+    words are similar to each other alone.
+    """
+    prepare(docs.sparkSession)
+    shown, d = [f"f{w}" for w in range(words)], _keyed(docs, id_col, text_col)
+    keyed = d.select(F.struct("id", "hash").alias("key"), "text")
+    prints = materialize(fingerprints(keyed, shingle=shingle, words=words, id_col="key").distinct())
+    nodes = prints.groupBy(*shown).agg(F.min("id").alias("least")).orderBy("least")
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()))
+    met = links(nodes.select("node", *shown), sampled_masks(words, tables, key_bits), radius, forest=False)
+    near = (met.groupBy("a").agg(F.array_sort(F.collect_set(F.struct("distance", "b"))).alias("near"))
+            .select("a", F.explode(F.slice("near", 1, partners)).alias("x")).select("a", F.col("x.b").alias("b")))
+    near = materialize(near)
+    roles = near.select("a", "b", F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(0).alias("role")),
+                                                    F.struct(F.col("b").alias("node"), F.lit(1).alias("role")))).alias("x"))
+    roles = (roles.select("a", "b", "x.node", "x.role").join(nodes.select("node", "least"), "node")
+             .select("a", "b", "role", F.col("least.id").alias("id"), F.col("least.hash").alias("hash")))
+    pairs = (roles.join(d, ["id", "hash"]).groupBy("a", "b")
+             .agg(*[F.min(F.when(F.col("role") == k, F.col("text"))).alias(n) for k, n in ((0, "x"), (1, "y"))]))
+
+    def check(batches):
+        for batch in batches:
+            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            keep = [similar(p or "", q or "", shingle) >= similarity for p, q in zip(x, y)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    roots = components(pairs.mapInArrow(check, "a bigint, b bigint"))
+    # The least node of a component holds its least document, as nodes are in that order.
+    placed = (nodes.join(roots, "node", "left").select(*shown, F.coalesce("root", "node").alias("root"))
+              .join(nodes.select(F.col("node").alias("root"), "least"), "root"))
+    return (prints.join(placed.select(*shown, "least"), shown)
+            .select("id.id", "id.hash", F.col("least.id").alias("least_id"), F.col("least.hash").alias("least_hash")))
+
+
+def one_per_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The documents, with all their columns, of which one of each group of ``similar_groups`` stays: the one
+    with the least id. Of rows with equal id and text one stays."""
+    prepare(docs.sparkSession)
+    groups = similar_groups(docs, id_col=id_col, text_col=text_col, **how)
+    kept = groups.where("id = least_id AND hash = least_hash").select(F.col("id").alias("k0"), F.col("hash").alias("k1")).distinct()
+    a, b = unused(docs, "key_id"), unused(docs, "key_hash")
+    keyed = docs.withColumns({a: F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit((1 << 63) - 1)), b: F.xxhash64(F.col(f"`{text_col}`"))})
+    same = keyed.join(kept, (F.col(a) == F.col("k0")) & (F.col(b) == F.col("k1")), "left_semi")
+    return same.dropDuplicates([a, b]).drop(a, b)
