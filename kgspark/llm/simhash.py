@@ -170,7 +170,9 @@ def near_pairs(fps: np.ndarray, group: np.ndarray, radius: int, step: int = 8) -
         if len(live):
             at, lane = np.nonzero(np.unpackbits(near[live].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
             i = word[live][at] * WORD + lane
-            bits = sum(((c[live][at] >> lane.astype(np.uint64)) & one).astype(np.int64) << k for k, c in enumerate(counter))
+            bits = np.zeros(len(lane), np.int64)
+            for k, c in enumerate(counter):
+                bits += ((c[live][at] >> lane.astype(np.uint64)) & one).astype(np.int64) << k
             yield i, i + far[live][at], bits - start
 
 
