@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from kgspark.llm.common import columns, prepare, scratch_dir
 
 BLOCK_BYTES = 8 << 20
+SENT_BYTES = 4 << 20  # of questions that are sent on together
 NO_ID = np.iinfo(np.int64).max  # stands for a null id, after all others
 
 _BLOCK = pa.schema([("block", pa.int64()), ("n_bytes", pa.int64()), ("n_words", pa.int64()), ("ids", pa.binary()),
@@ -101,14 +102,32 @@ def unpack(batches) -> Iterator[tuple[Block, dict]]:
             yield Block(row["block"], np.frombuffer(row["ids"], np.int64), np.concatenate(([0], np.cumsum(sizes))), data), row
 
 
+def shrink(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def grow(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def pack_numbers(values: np.ndarray) -> bytes:
+    """Numbers byte plane by byte plane, compressed: planes of small numbers shrink to nothing."""
+    return shrink(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes())
+
+
+def unpack_numbers(data: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(grow(data), np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences, byte plane by byte plane: most planes are zeros and shrink to nothing."""
-    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Sorted keys as differences."""
+    return pack_numbers(np.diff(keys, prepend=np.uint64(0)))
 
 
 def unpack_keys(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+    return np.cumsum(unpack_numbers(data, np.uint64), dtype=np.uint64)
 
 
 def cuts(parts: int, bits: int) -> np.ndarray:
@@ -132,9 +151,15 @@ def ask(blocks: DataFrame, questions: Callable[[Block, dict], Iterable[tuple[int
     """
     def put(batches):
         for block, row in unpack(batches):
+            rows, held = [], 0
             for part, kind, keys, more in questions(block, row):
-                values = (part, block.number, kind, keys, more)
-                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, _ASKED)], schema=_ASKED)
+                rows.append((part, block.number, kind, keys, more))
+                held += len(keys) + len(more)
+                if held > SENT_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ASKED)], schema=_ASKED)
+                    rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ASKED)], schema=_ASKED)
 
     def settle(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()

@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm.blocks import NO_ID, Block, ask, cuts, pack, pack_keys, ranges, told, unpack, unpack_keys
+from kgspark.llm.blocks import (NO_ID, Block, ask, cuts, grow, pack, pack_keys, pack_numbers, ranges, shrink, told, unpack,
+                                unpack_keys, unpack_numbers)
 from kgspark.llm.common import materialize, prepare
 
 PART_BYTES = 4 << 20  # text per range of anchors
@@ -110,19 +111,19 @@ def _distinct(r: Runs, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
     rank = np.cumsum(new) - 1
     back = np.empty(len(order), np.int64)
     back[order] = rank
-    return anchor[new], np.bincount(rank, other).astype(np.uint32) if len(rank) else np.zeros(0, np.uint32), back
+    return anchor[new], np.bincount(rank, other).astype(np.int64) if len(rank) else np.zeros(0, np.int64), back
 
 
 def _anchor_answers(parts: list[tuple[bytes, bytes]]) -> list[bytes]:
     """For each anchor: 0 if one document has it, 1 if several, 2 if very many."""
     keys = [unpack_keys(k) for k, _ in parts]
-    every, docs = np.concatenate(keys), np.concatenate([np.frombuffer(m, np.uint32) for _, m in parts]).astype(np.int64)
+    every, docs = np.concatenate(keys), np.concatenate([unpack_numbers(m, np.int64) for _, m in parts])
     order = np.argsort(every)
     starts = np.flatnonzero(np.concatenate(([True], np.diff(every[order]) != 0)))
     total = np.add.reduceat(docs[order], starts)
     said = np.empty(len(every), np.uint8)
     said[order] = np.repeat((total > 1).astype(np.uint8) + (total > HOT), np.diff(np.concatenate((starts, [len(every)]))))
-    return [a.tobytes() for a in np.split(said, np.cumsum([len(k) for k in keys])[:-1])]
+    return [shrink(a.tobytes()) for a in np.split(said, np.cumsum([len(k) for k in keys])[:-1])]
 
 
 class Family:
@@ -182,9 +183,9 @@ def _window_answers(parts: list[tuple[bytes, bytes]], length: int) -> list[bytes
         held, n = [], 0
 
     for meta, data in parts:
-        m = np.frombuffer(meta, np.int64).reshape(2, -1)
+        m = unpack_numbers(meta, np.int64).reshape(2, -1)
         size, ids = m[0], np.repeat(m[1], m[0])
-        at, padded = _starts(size, length), data + bytes(64)
+        at, padded = _starts(size, length), grow(data) + bytes(64)
         held.append((_words(padded, ">u8")[at].astype(np.uint64), _hash(_words(padded), length, at, 8), ids))
         owners.append(ids)
         counts.append(len(ids))
@@ -193,7 +194,7 @@ def _window_answers(parts: list[tuple[bytes, bytes]], length: int) -> list[bytes
             flush()
     flush()
     earlier = family.least() < np.concatenate(owners)
-    return [np.packbits(e).tobytes() for e in np.split(earlier, np.cumsum(counts)[:-1])]
+    return [shrink(np.packbits(e).tobytes()) for e in np.split(earlier, np.cumsum(counts)[:-1])]
 
 
 @dataclass
@@ -248,13 +249,13 @@ def _judged(docs: DataFrame, length: int, id_col: str, text_col: str) -> tuple[D
     def ask_anchors(block, row):
         anchors, docs_with, _ = _distinct(runs(block, length), block.ids)
         for part, here in ranges(anchors, edges):
-            yield part, 1, pack_keys(anchors[here]), docs_with[here].tobytes()
+            yield part, 1, pack_keys(anchors[here]), pack_numbers(docs_with[here])
 
     def ask_windows(block, row):
         s = _spans(block, *_coded(block, row, length), length, edges)
         for part in np.unique(s.part):
             here = s.part == part
-            yield int(part), 2, np.stack((s.size[here], s.id[here])).tobytes(), _cut(block.data, s.first[here], s.size[here], length)
+            yield int(part), 2, pack_numbers(np.concatenate((s.size[here], s.id[here]))), shrink(_cut(block.data, s.first[here], s.size[here], length))
 
     # Which anchors are repeated is needed twice; it is written, as asking again would cost more.
     anchors = materialize(ask(blocks, ask_anchors, lambda kind, parts: _anchor_answers(parts)))
@@ -265,7 +266,7 @@ def _judged(docs: DataFrame, length: int, id_col: str, text_col: str) -> tuple[D
 
 def _coded(block: Block, row: dict, length: int) -> tuple[Runs, np.ndarray]:
     r = runs(block, length)
-    codes = np.frombuffer(b"".join(told(row, 1)), np.uint8)
+    codes = np.frombuffer(b"".join(map(grow, told(row, 1))), np.uint8)
     return r, codes[_distinct(r, block.ids)[2]] if len(codes) else np.zeros(0, np.uint8)
 
 
@@ -276,7 +277,7 @@ def _found(block: Block, row: dict, length: int, edges: np.ndarray) -> np.ndarra
     answers = told({"answers": row["windows"]}, 2)
     per_part = np.bincount(s.part, s.size).astype(np.int64)
     for answer, n in zip(answers, per_part[per_part > 0]):
-        bits.append(np.unpackbits(np.frombuffer(answer, np.uint8), count=n))
+        bits.append(np.unpackbits(np.frombuffer(grow(answer), np.uint8), count=n))
     earlier = np.concatenate(bits).astype(bool) if bits else np.zeros(0, bool)
     gone = s.window[s.settled | earlier[s.asked]] if len(s.window) else s.window
     steps = np.bincount(gone, minlength=len(block.data) + 1) - np.bincount(gone + length, minlength=len(block.data) + 1)
