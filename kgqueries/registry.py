@@ -20,11 +20,12 @@ TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 
 
 def finish(df: DataFrame) -> DataFrame:
-    """Column types both sides agree on: whole numbers BIGINT, decimals DOUBLE, times text."""
+    """Column types both sides agree on: whole numbers BIGINT, other decimals DOUBLE, times text."""
     casts = {}
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, T.IntegralType) and not isinstance(f.dataType, T.LongType):
+        whole = isinstance(f.dataType, T.DecimalType) and f.dataType.scale == 0
+        if whole or isinstance(f.dataType, T.IntegralType) and not isinstance(f.dataType, T.LongType):
             casts[f.name] = c.cast("bigint")
         elif isinstance(f.dataType, (T.DecimalType, T.FloatType)):
             casts[f.name] = c.cast("double")

@@ -63,10 +63,38 @@ def _(spark, sf):
     return order_graph(spark, sf).bgp([("?ps", RDF.type, EX.PartSupp), ("?ps", EX.partKey, "?part")])
 
 
-@query("s3_table_columns")
+# The columns of the given tables.
+COLUMNS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, "
+              "o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+                "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
+
+def _column_values() -> str:
+    rows = [(f"main.shop.{t}", i, *c.split(" ")) for t, cols in COLUMNS.items() for i, c in enumerate(cols.split(", "), 1)]
+    return ", ".join(f"('{t}', {i}, '{name}', '{kind}')" for t, i, name, kind in rows)
+
+
+@query("s3_table_columns", f"""
+SELECT table_fqn, CAST(pos AS BIGINT) AS pos, name, type, CAST(NULL AS VARCHAR) AS comment
+FROM (VALUES {_column_values()}) AS t(table_fqn, pos, name, type)""")
 def _(spark, sf):
-    names = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages"]
-    return md.columns_df(spark, {n: frame(spark, sf, n) for n in names}, "main", "shop")
+    return md.columns_df(spark, {n: frame(spark, sf, n) for n in COLUMNS}, "main", "shop")
 
 
 def constraints(spark, sf):

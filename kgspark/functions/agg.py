@@ -28,7 +28,10 @@ class Agg:
         if self.kind == "count":
             return [t.value]
         if self.kind in ("sum", "avg"):
-            return [t.number().cast("decimal(38,10)") if self.kind == "avg" and t.is_integer else t.number()]
+            exact = "decimal(38,10)" if self.kind == "avg" else "decimal(38,0)"
+            return [t.number().cast(exact) if t.is_integer else t.number()]
+        if self.kind in ("min", "max") and t.type.kind == "mixed":
+            return [t.value, F.when(t.bound, F.struct(*t.order_keys()))]
         return [t.text if self.kind == "group_concat" else t.value]
 
     def result(self, t: Term | None, cols: list[str]) -> tuple[Column, RdfType]:
@@ -40,8 +43,8 @@ class Agg:
             return F.count(F.col(cols[0])), INTEGER_T
         c, d = cols[0], "DISTINCT " if self.distinct else ""
         if self.kind == "sum":
-            zero = F.when(F.count(F.col(c)) == 0, F.lit(0))
-            return zero.otherwise(F.expr(f"try_sum({d}`{c}`)")), _numeric(t)
+            # Integers have no bound: they are summed, and stay, in 38 digits.
+            return F.when(F.count(F.col(c)) == 0, F.lit(0)).otherwise(F.expr(f"try_sum({d}`{c}`)")), _numeric(t)
         if self.kind == "avg":
             out = tm.literal_type(XSD.decimal) if t.is_integer else _numeric(t)
             return F.when(F.count(F.col(c)) == 0, F.lit(0)).otherwise(F.expr(f"try_avg({d}`{c}`)")), out
@@ -50,6 +53,8 @@ class Agg:
             return F.array_join(F.sort_array(collected), self.sep), STRING_T
         if self.kind == "sample":
             return F.any_value(F.col(c), F.lit(True)), t.type
+        if len(cols) > 1:  # a mixed variable: the value that is ordered first or last
+            return (F.min_by if self.kind == "min" else F.max_by)(F.col(c), F.col(cols[1])), t.type
         return (F.min if self.kind == "min" else F.max)(F.col(c)), t.type
 
 

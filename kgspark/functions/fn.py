@@ -230,24 +230,32 @@ def concat(*parts) -> Term:
     return string(F.concat(*[p.as_string() for p in parts]), tags.pop() if len(tags) == 1 else None)
 
 
-def _pattern(pattern: "str", flags: "str") -> "str":  # type: ignore[valid-type]
+def _pattern(pattern, flags: "str") -> Column:  # type: ignore[valid-type]
+    """A pattern, constant or a term per row, with its flags, as Java reads it."""
     if set(flags) - set("ismxq"):
         raise ValueError(f"unknown regular-expression flags {flags!r}")
-    if "q" in flags:
-        pattern = tm.java_quote(pattern)
     java = "".join(f for f in flags if f in ("ismx" if "q" not in flags else "i"))
-    return f"(?{java}{'u' if 'i' in java else ''}){pattern}" if java else pattern
+    mode = f"(?{java}{'u' if 'i' in java else ''})" if java else ""
+    if not isinstance(pattern, Term):
+        return F.lit(mode + (tm.java_quote(pattern) if "q" in flags else pattern))
+    text = pattern.as_string()
+    if "q" in flags:  # a quoted run ends at \\E, which is put outside of it
+        text = F.concat(F.lit("\\Q"), F.replace(text, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    return F.concat(F.lit(mode), text) if mode else text
 
 
-def regex(t, pattern: "str", flags: "str" = "") -> Term:  # type: ignore[valid-type]
-    return boolean(F.rlike(term(t).as_string(), F.lit(_pattern(pattern, flags))))
+def regex(t, pattern, flags: "str" = "") -> Term:  # type: ignore[valid-type]
+    """``pattern`` is text, or a term: then it may differ from row to row. A malformed one fails the query."""
+    return boolean(F.rlike(term(t).as_string(), _pattern(pattern, flags)))
 
 
-def replace(t, pattern: "str", replacement: "str", flags: "str" = "") -> Term:  # type: ignore[valid-type]
+def replace(t, pattern, replacement, flags: "str" = "") -> Term:  # type: ignore[valid-type]
+    """``pattern`` and ``replacement`` are text or terms."""
     t = term(t)
+    new = replacement.as_string() if isinstance(replacement, Term) else F.lit(replacement)
     if "q" in flags:
-        replacement = replacement.replace("\\", "\\\\").replace("$", "\\$")
-    return _like(t, F.regexp_replace(t.as_string(), F.lit(_pattern(pattern, flags)), F.lit(replacement)))
+        new = F.replace(F.replace(new, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
+    return _like(t, F.regexp_replace(t.as_string(), _pattern(pattern, flags), new))
 
 
 # ---- numbers -------------------------------------------------------------------------------

@@ -39,7 +39,8 @@ BINDINGS = {
     "domain": ["p", "domain", "s", "cls"], "incorrect_property": ["p"],
     "range": ["p", "range", "o", "cls"], "double_range": ["p", "rangep", "q", "rangeq"],
 }
-MAX_BROADCAST_TBOX = 1_000_000  # rows of a domain, range or closure table that are sent to every task
+# Counts are products of counts: at most 38 digits, far beyond a bigint.
+COUNT = "decimal(38,0)"
 
 
 def pattern_rows(spark: SparkSession, unit_id: str, patterns) -> DataFrame:
@@ -116,19 +117,16 @@ def _ends(tbox: DataFrame, predicate, name: str) -> DataFrame:
     return rows.select(F.col("s").alias("p"), F.col("o").alias(name)).distinct()
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Written once; broadcast below a checked number of rows, else an ordinary shuffled join."""
-    df = materialize(df)
-    return F.broadcast(df) if df.limit(MAX_BROADCAST_TBOX + 1).count() <= MAX_BROADCAST_TBOX else df
-
-
 # What meets what at a node: the role on the left, the role on the right. Role d is a property with
 # a domain (met at its subject), r one with a range (met at its object), t a class of the node.
 _MEETINGS = {"double_domain": "dd", "domain_range": "rd", "domain": "dt", "range": "rt", "double_range": "rr"}
 
 
 class Checker:
-    """The six rules against one ontology; its side tables are built and sized once."""
+    """The six rules against one ontology.
+
+    Its side tables are written once, so that Spark knows their bytes and broadcasts or shuffles them by size.
+    """
 
     def __init__(self, tbox: DataFrame):
         self.tbox = tbox
@@ -138,17 +136,17 @@ class Checker:
         """(role, p, c): IRI domains and ranges; union classes, being blank nodes, say nothing."""
         sides = [_ends(self.tbox, RDFS.domain, "c").withColumn("role", F.lit("d")),
                  _ends(self.tbox, RDFS.range, "c").withColumn("role", F.lit("r"))]
-        return _small(sides[0].unionByName(sides[1]))
+        return materialize(sides[0].unionByName(sides[1]))
 
     @cached_property
     def below(self) -> DataFrame:
-        return _small(subclass_closure(add_top_classes(self.tbox)).where("src <> dst"))
+        return materialize(subclass_closure(add_top_classes(self.tbox)).where("src <> dst"))
 
     @cached_property
     def declared(self) -> DataFrame:
-        return _small(self.tbox.where(F.col("p") == str(RDF.type)).select(F.col("s").alias("p")).distinct())
+        return materialize(self.tbox.where(F.col("p") == str(RDF.type)).select(F.col("s").alias("p")).distinct())
 
-    def facts(self, patterns: DataFrame) -> DataFrame:
+    def facts(self, patterns: DataFrame, roles: str = "drt") -> DataFrame:
         """What each node of each unit is, by role, property and class, with a count.
 
         One pass over the patterns: those no rule can use are dropped by a map-side join before
@@ -160,8 +158,8 @@ class Checker:
 
         no_class = F.lit(None).cast("string")
         typed = F.when(F.col("p") == str(RDF.type), fact("t", "s", F.col("o")))
-        rows = patterns.select("unit_id", F.explode(F.array(
-            fact("d", "s", no_class), fact("r", "o", no_class), typed)).alias("f")).where("f IS NOT NULL")
+        made = {"d": fact("d", "s", no_class), "r": fact("r", "o", no_class), "t": typed}
+        rows = patterns.select("unit_id", F.explode(F.array(*[made[r] for r in roles])).alias("f")).where("f IS NOT NULL")
         rows = rows.select("unit_id", "f.*").join(self.ends, ["role", "p"], "left")
         rows = rows.withColumn("c", F.coalesce("c", "cls")).where("c IS NOT NULL")
         return rows.groupBy("unit_id", "node", "kind", "role", "p", "c").agg(F.count("*").alias("n"))
@@ -172,11 +170,11 @@ class Checker:
         At a node there is one row per property and class of the ontology, however many
         statements meet there, so a hot node adds no more pairs than any other.
         """
-        facts = self.facts(patterns)
+        wanted = [_MEETINGS[r] for r in rules]
+        facts = materialize(self.facts(patterns, "".join(sorted(set("".join(wanted))))))  # both sides of the join
         key = ["unit_id", "node", "kind"]
         right = facts.select(*key, *[F.col(c).alias(f"{c}2") for c in ("role", "p", "c", "n")])
         meeting = F.concat("role", "role2")
-        wanted = [_MEETINGS[r] for r in rules]
         met = facts.join(right, key).where(meeting.isin(wanted) & ((F.col("role") != F.col("role2")) | (F.col("p") < F.col("p2"))))
         met = met.where("c <> c2")
         # A class of the node must be below the end; two ends must be related one way or the other.
@@ -185,10 +183,10 @@ class Checker:
         met = met.withColumn("two_ways", F.col("role2") != "t").join(both, ["c", "c2", "two_ways"], "left_anti")
         rule = F.element_at(F.create_map(*[F.lit(x) for r, m in _MEETINGS.items() for x in (m, r)]), meeting)
         is_type = F.col("role2") == "t"
-        weight = F.col("n") * F.when(is_type, F.lit(1)).otherwise(F.col("n2"))
+        weight = F.col("n").cast("decimal(19,0)") * F.when(is_type, F.lit(1)).otherwise(F.col("n2")).cast("decimal(19,0)")
         return (met.groupBy("unit_id", rule.alias("rule"), F.col("p").alias("a"), F.col("c").alias("b"),
                             F.when(is_type, F.col("node")).otherwise(F.col("p2")).alias("x"), F.col("c2").alias("d"))
-                .agg(F.sum(weight).cast("bigint").alias("n"))
+                .agg(F.sum(weight.cast(COUNT)).cast(COUNT).alias("n"))
                 .select("unit_id", "rule", "a", "b", F.col("x").alias("c"), "d", "n"))
 
     def _one(self, patterns: DataFrame, rule: str) -> DataFrame:
@@ -213,7 +211,7 @@ class Checker:
     def incorrect_property(self, patterns: DataFrame) -> DataFrame:
         own = reduce(lambda a, b: a | b, [F.startswith("p", F.lit(ns)) for ns in (VARIABLE_NS, *STANDARD_NAMESPACES)])
         used = patterns.select("unit_id", "p").where(~own).distinct()
-        return used.join(self.declared, "p", "left_anti").select("unit_id", "p", F.lit(1).cast("bigint").alias("n"))
+        return used.join(self.declared, "p", "left_anti").select("unit_id", "p", F.lit(1).cast(COUNT).alias("n"))
 
     def all(self, patterns: DataFrame) -> DataFrame:
         """Every violation: unit_id, rule_order, rule, message, bindings (display form), n."""
@@ -221,10 +219,7 @@ class Checker:
         unknown = self.incorrect_property(patterns).select(
             "unit_id", F.lit("incorrect_property").alias("rule"), F.col("p").alias("a"),
             *[none.alias(c) for c in "bcd"], "n")
-        found = self.violations(patterns).union(unknown)
-        names = _small(labels(self.tbox))
-        for c in "abcd":
-            found = display(found, c, names)
+        found = _displayed(self.violations(patterns).union(unknown), labels(self.tbox))
 
         def by_rule(build) -> Column:
             out = None
@@ -251,9 +246,9 @@ class Checker:
         """(unit_id, ok, n) for every unit, also those without violations or patterns."""
         found = self.violations(patterns).select("unit_id", "n").union(
             self.incorrect_property(patterns).select("unit_id", "n"))
-        counts = found.groupBy("unit_id").agg(F.sum("n").alias("n"))
+        counts = found.groupBy("unit_id").agg(F.sum("n").cast(COUNT).alias("n"))
         joined = units.select("unit_id").distinct().join(counts, "unit_id", "left")
-        return joined.select("unit_id", F.col("n").isNull().alias("ok"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+        return joined.select("unit_id", F.col("n").isNull().alias("ok"), F.coalesce("n", F.lit(0)).cast(COUNT).alias("n"))
 
 
 def not_available(units: DataFrame) -> DataFrame:
@@ -261,13 +256,7 @@ def not_available(units: DataFrame) -> DataFrame:
     return units.select("unit_id").distinct().select(
         "unit_id", F.lit(0).alias("rule_order"), F.lit("not_available").alias("rule"),
         F.lit("Ontology not loaded").alias("message"),
-        F.lit(None).cast("map<string,string>").alias("bindings"), F.lit(1).cast("bigint").alias("n"))
-
-
-def as_bag(violations: DataFrame) -> DataFrame:
-    """One row per occurrence instead of a count."""
-    rows = violations.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))))
-    return rows.drop("n", "__i")
+        F.lit(None).cast("map<string,string>").alias("bindings"), F.lit(1).cast(COUNT).alias("n"))
 
 
 def labels(tbox: DataFrame) -> DataFrame:
@@ -290,6 +279,18 @@ def short_name(col: Column) -> Column:
 def display(df: DataFrame, column: str, names: DataFrame) -> DataFrame:
     """Replace a term column by its display form: variable, label, or last IRI part."""
     table = names.select(F.col("iri").alias(column), F.col("label").alias("__label"))
-    own = F.startswith(F.col(column), F.lit(VARIABLE_NS))
-    shown = F.when(own, short_name(F.col(column))).otherwise(F.coalesce("__label", short_name(F.col(column))))
-    return df.join(table, column, "left").withColumn(column, shown).drop("__label")
+    return df.join(table, column, "left").withColumn(column, _shown(F.col(column), F.col("__label"))).drop("__label")
+
+
+def _shown(term: Column, label: Column) -> Column:
+    own = F.startswith(term, F.lit(VARIABLE_NS))
+    return F.when(own, short_name(term)).otherwise(F.coalesce(label, short_name(term)))
+
+
+def _displayed(found: DataFrame, names: DataFrame) -> DataFrame:
+    """Violations with all their terms in display form: the terms of a row meet the labels in one join."""
+    key = ["__row", "unit_id", "rule", "n"]
+    cells = (found.withColumn("__row", F.monotonically_increasing_id())
+             .select(*key, F.posexplode(F.array(*"abcd")).alias("__i", "iri"))
+             .join(names, "iri", "left").withColumn("__shown", _shown(F.col("iri"), F.col("label"))))
+    return cells.groupBy(*key).agg(*[F.max(F.when(F.col("__i") == i, F.col("__shown"))).alias(c) for i, c in enumerate("abcd")])

@@ -154,11 +154,7 @@ class Bindings:
         orders = []
         for key in keys:
             down = isinstance(key, Desc)
-            t = _term_of(b, key.key if down else key)
-            parts = [t.value]
-            if t.type.kind == "mixed":  # unbound, blank nodes, IRIs, then literals by value
-                rank = F.when(t.value["kind"] == "bnode", 1).when(t.value["kind"] == "iri", 2).otherwise(3)
-                parts = [F.when(t.bound, rank), t.number(), t.value["value"]]
+            parts = _term_of(b, key.key if down else key).order_keys()
             orders += [p.desc_nulls_last() if down else p.asc_nulls_first() for p in parts]
         return self._with([replace(b, frame=b.df.orderBy(*orders), inline=None)])
 

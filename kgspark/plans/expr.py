@@ -99,6 +99,14 @@ class Term:
             return F.when(self.value["dt"].isin(sorted(tm.NUMERIC_DTS)), self.value["value"].try_cast("double"))
         return self.value if self.is_numeric else F.lit(None).cast("double")
 
+    def order_keys(self) -> list[Column]:
+        """What solutions are ordered by: for a mixed variable unbound, blank nodes, IRIs, then literals
+        by value."""
+        if self.type.kind != "mixed":
+            return [self.value]
+        rank = F.when(self.value["kind"] == "bnode", 1).when(self.value["kind"] == "iri", 2).otherwise(3)
+        return [F.when(self.bound, rank), self.number(), self.value["value"]]
+
     def truth(self) -> Column:
         """Effective boolean value."""
         if self.type == BOOLEAN_T:
@@ -137,8 +145,6 @@ class Term:
         if a.type.kind == "mixed" or b.type.kind == "mixed":
             if a.is_numeric or b.is_numeric:
                 return a.number().cast("double"), b.number().cast("double")
-            if a.type.kind == "mixed" and b.type.kind == "mixed":
-                return None
             mixed, plain = (a, b) if a.type.kind == "mixed" else (b, a)
             same = (mixed.value["kind"] == plain.type.kind) & (mixed.value["dt"] == (plain.type.dt or ""))
             same = same & (mixed.value["lang"] == (plain.type.lang or ""))
@@ -162,6 +168,9 @@ class Term:
 
     def _compare(self, other, op: Callable) -> "Term":
         other = term(other)
+        if self.type.kind == other.type.kind == "mixed":
+            names = self.names | other.names
+            return boolean(_by_value(self, other, op), None, names, names)
         pair, names = self._comparable(other), self.names | other.names
         return boolean(F.lit(None).cast("boolean") if pair is None else op(*pair), None, names, names)
 
@@ -186,7 +195,11 @@ class Term:
         if same is not None:
             return boolean(same, None, names, names)
         if self.type.kind == "mixed" and other.type.kind == "mixed":
-            return boolean(self.value == other.value)
+            # The same term, or equal values; two resources, or a resource and a literal, always compare.
+            a, b = self.value, other.value
+            resource = (a["kind"] != "literal") | (b["kind"] != "literal")
+            equal = F.when(a == b, F.lit(True)).when(resource & self.bound & other.bound, F.lit(False))
+            return boolean(equal.otherwise(_by_value(self, other, lambda x, y: x == y)), None, names, names)
         return self._compare(other, lambda a, b: a == b)
 
     def __ne__(self, other):  # type: ignore[override]
@@ -207,11 +220,11 @@ class Term:
             return Term(F.lit(None).cast("double"), tm.literal_type(XSD.double))
         x, y = a.number(), b.number()
         if rank == "integer" and divide:
-            x, y, rank = x.cast("decimal(20,0)"), y.cast("decimal(20,0)"), "decimal"
+            x, y, rank = x.try_cast("decimal(20,0)"), y.try_cast("decimal(20,0)"), "decimal"
         elif rank in ("float", "double"):
             x, y, rank = x.cast("double"), y.cast("double"), "double"
         elif rank == "integer":
-            x, y = x.cast("bigint"), y.cast("bigint")
+            x, y = x.try_cast("bigint"), y.try_cast("bigint")  # a sum may be longer
         return Term(op(x, y), tm.literal_type(XSD[rank]), names=self.names | term(other).names)
 
     def __add__(self, other):
@@ -252,6 +265,27 @@ def _rank(t: Term) -> str:
     return local if local in _RANKS else "double"
 
 
+_EXACT = sorted(tm.INTEGER_DTS | {str(XSD.decimal)})
+_TIMES = [str(XSD.date), str(XSD.dateTime)]
+
+
+def _by_value(a: Term, b: Term, op: Callable) -> Column:
+    """Two mixed literals compared by value: numbers as numbers, times as times, others of one datatype
+    and language by their text. NULL, an error, for anything else."""
+    x, y = a.value, b.value
+
+    def both(dts) -> Column:
+        return x["dt"].isin(dts) & y["dt"].isin(dts)
+
+    def cast(kind: str) -> Column:
+        return op(x["value"].try_cast(kind), y["value"].try_cast(kind))
+
+    alike = (x["kind"] == "literal") & (y["kind"] == "literal") & (x["dt"] == y["dt"]) & (x["lang"] == y["lang"])
+    return (F.when(both(_EXACT), cast("decimal(38,10)")).when(both(sorted(tm.NUMERIC_DTS)), op(a.number(), b.number()))
+            .when(both(_TIMES), cast("timestamp")).when(both([str(XSD.boolean)]), cast("boolean"))
+            .when(alike, op(x["value"], y["value"])))
+
+
 def _same_resource(a: Term, b: Term) -> Column | None:
     """Equality when a side is an IRI or blank node; keys are compared instead of built text."""
     kinds = {a.type.kind, b.type.kind}

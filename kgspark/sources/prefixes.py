@@ -7,27 +7,32 @@ from pyspark.sql import functions as F
 
 from kgspark.terms import enc
 
-# The declaration forms of Turtle and SPARQL.
-_AT_PREFIX = r"(?im)^@prefix\s+(\w*)\s*:\s*<([^>]+)>\s*\."
-_PREFIX = r"(?im)^PREFIX\s+(\w*)\s*:\s*<([^>]+)>"
-_BASE = r"(?im)^@base\s+<([^>]+)>\s*\."
+# A declaration as the Turtle and SPARQL grammars have it, at the start of a line: a keyword, with or without
+# at-sign; for a prefix its name, which may hold - and . inside, and a colon; the IRI; and a full stop.
+_NAME = r"[\p{L}\p{N}_](?:[\p{L}\p{M}\p{N}_.·-]*[\p{L}\p{M}\p{N}_·-])?"
+_IRI = r"<([^\x00-\x20<>\"{}|^`\\]*)>"
+_DECLARED = rf"(?imu)^[ \t]*(@?)(?:prefix\s+((?:{_NAME})?)\s*:|base)\s*{_IRI}[ \t]*(\.?)"
 
 
 def extract_prefixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, prefix, iri) of every document: ``@prefix`` (last wins) before ``PREFIX`` (first
-    wins); ``@base`` is kept under ``base``."""
-    text = F.col(text_col)
-
-    def found(pattern: str, rank: int, groups=(1, 2)) -> Column:
-        names = F.regexp_extract_all(text, F.lit(pattern), F.lit(groups[0])) if groups[0] else \
-            F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(groups[1])), lambda _: F.lit("base"))
-        iris = F.regexp_extract_all(text, F.lit(pattern), F.lit(groups[1]))
-        order = -1 if rank < 2 else 1
-        return F.transform(F.arrays_zip(names.alias("n"), iris.alias("i")), lambda x, at: F.struct(
-            x["n"].alias("prefix"), x["i"].alias("iri"), F.struct(F.lit(rank), at * order).alias("rank")))
-
-    entries = F.concat(found(_BASE, 0, (0, 1)), found(_AT_PREFIX, 1), found(_PREFIX, 2))
-    return (docs.select(F.col(id_col), F.explode(entries).alias("e"))
+    """(id, prefix, iri) of every document, under ``base`` for a base IRI.
+
+    Of declarations of one name those with an at-sign, which need a full stop, come before those
+    without; among the first the last counts, among the others the first.
+    """
+    found = F.regexp_extract_all(F.col(text_col), F.lit(_DECLARED), F.lit(0))
+
+    def part(whole: Column, group: int) -> Column:
+        return F.regexp_extract(whole, _DECLARED, group)
+
+    def entry(whole: Column, at: Column) -> Column:
+        marked = part(whole, 1) == "@"
+        is_base = F.rlike(whole, F.lit(r"(?i)^[ \t]*@?base"))
+        rank = F.struct(F.when(marked, 0).otherwise(1).alias("form"), F.when(marked, -at).otherwise(at).alias("at"))
+        return F.when(~marked | (part(whole, 4) == "."), F.struct(
+            F.when(is_base, F.lit("base")).otherwise(part(whole, 2)).alias("prefix"), part(whole, 3).alias("iri"), rank.alias("rank")))
+
+    return (docs.select(F.col(id_col), F.explode(F.transform(found, entry)).alias("e")).where("e IS NOT NULL")
             .groupBy(id_col, F.col("e.prefix").alias("prefix"))
             .agg(F.min_by("e.iri", "e.rank").alias("iri")))
 

@@ -1,4 +1,6 @@
+import datetime
 import random
+from decimal import Decimal
 
 import pytest
 
@@ -134,9 +136,41 @@ def test_aggregates_over_nothing(spark):
     assert none.group_by("x").agg(n=agg.count()).df.count() == 0
 
 
-def test_sum_overflow_is_not_zero(spark):
-    b = solutions(spark, ["x"], [(2**63 - 1,), (5,)])
-    assert b.agg(s=agg.sum("x")).df.first().s is None
+def test_sum_of_integers_has_no_bound(spark):
+    b = solutions(spark, ["x"], [(2**63 - 1,), (2**63 - 1,), (5,)])
+    total = b.agg(s=agg.sum("x"))
+    assert total.df.first().s == 2**64 + 3
+    assert [r.more for r in total.select(more=lambda r: r.s + 1).df.collect()] == [None]  # an error, not a failure
+
+
+def test_mixed_values_compare_by_value(spark):
+    rows = [(9, 10), (10, 9), (1, Decimal("1.0")), (1, 2.5), (Decimal("3.5"), 3), ("9", "10"), ("a", 5), (IRI("urn:a"), IRI("urn:a")),
+            (IRI("urn:a"), "urn:a"), (True, False), (datetime.date(2020, 1, 2), datetime.date(2020, 1, 1))]
+    b = inline(spark, ["a", "b"], rows).distinct()  # one frame in which both variables are mixed
+    got = b.select("a", "b", lt=lambda r: r.a < r.b, eq=lambda r: r.a == r.b, ne=lambda r: r.a != r.b,
+                   same=lambda r: fn.same_term(r.a, r.b)).df.collect()
+
+    def short(cell):
+        return cell.value.rstrip("0").rstrip(".") if "." in cell.value else cell.value
+
+    seen = {(short(r.a), short(r.b), r.a.dt == r.b.dt): (r.lt, r.eq, r.ne, r.same) for r in got}
+    less, equal, more, error = (True, False, True), (False, True, False), (False, False, True), (None, None, None)
+    assert len(got) == len(rows) and [seen[k][:3] for k in (
+        ("10", "9", True), ("1", "1", False), ("1", "2.5", False), ("3.5", "3", False), ("a", "5", False),
+        ("true", "false", True), ("2020-01-02", "2020-01-01", True))] == [more, equal, less, more, error, more, more]
+    assert sorted((r.lt, r.eq) for r in got if (r.a.value, r.b.value) == ("9", "10")) == [(False, False), (True, False)]
+    assert seen[("1", "1", False)][3] is False  # equal values, but not the same term
+    assert sorted(((r.lt, r.eq) for r in got if r.a.value == "urn:a"), key=repr) == [(None, False), (None, True)]
+
+
+def test_least_and_greatest_of_mixed_values(spark):
+    b = inline(spark, "v", [9, 1, 10, Decimal("10.5"), 2.5, "text", IRI("urn:z")])
+    numbers = inline(spark, "v", [9, 1, 10, Decimal("1.5"), 2.5])
+    got = b.agg(lo=agg.min("v"), hi=agg.max("v")).df.first()
+    assert (got.lo.value, float(got.hi.value)) == ("urn:z", 10.5)
+    got = numbers.agg(lo=agg.min("v"), hi=agg.max("v")).df.first()
+    assert (got.lo.value, got.hi.value) == ("1", "10")
+    assert inline(spark, "v", []).agg(lo=agg.min("v")).df.first().lo is None
 
 
 def test_order_and_slice(spark):

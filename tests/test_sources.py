@@ -94,10 +94,12 @@ def test_rows_without_types_are_plain_literals(spark):
 
 def test_prefixes(spark):
     text = "\n".join(["PREFIX ex: <http://one/>", "@prefix ex: <http://two/> .", "@prefix  : <http://empty/>.", "prefix foaf: <http://f/>",
-                      "PREFIX foaf: <http://late/>", "@base <http://base/> .", " @prefix not: <http://indented/> .", "@prefix ex: <http://three/> ."])
+                      "PREFIX foaf: <http://late/>", "@base <http://base/> .", " @prefix a-b.c: <http://indented/> .", "@prefix ex: <http://three/> .",
+                      "BASE <http://later/>", "@prefix open: <http://no-full-stop/>", "@prefix bad: <http://two words/> .", "prefixed: <http://x/>"])
     rows = px.extract_prefixes(spark.createDataFrame([(1, text), (2, "none")], "doc_id int, text string")).collect()
     assert {(r.doc_id, r.prefix): r.iri for r in rows} == {
-        (1, "ex"): "http://three/", (1, ""): "http://empty/", (1, "foaf"): "http://f/", (1, "base"): "http://base/"}
+        (1, "ex"): "http://three/", (1, ""): "http://empty/", (1, "foaf"): "http://f/", (1, "base"): "http://base/",
+        (1, "a-b.c"): "http://indented/"}
 
 
 def test_compact_expand_and_map_ids(spark):
