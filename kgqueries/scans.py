@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from kgqueries.model import BASE, EX, integer, order_graph
 from kgqueries.registry import TYPE, X, XSD as XS, frame, query, tables
-from kgspark import (KG, RDF, XSD, ColumnObj, ConstObj, IriColumn, Mapping, RefObj, Source, TemplateObj,
+from kgspark import (KG, RDF, XSD, ColumnObj, ConstObj, IriColumn, Mapping, RefObj, Source, TemplateObj, agg,
                      TriplesMap)
 from kgspark.operators import metadata as md
 from kgspark.sources.ntriples import ntriples_lines, parse_ntriples
@@ -298,31 +298,80 @@ def _str(c):
     return f"CAST({c} AS VARCHAR)"
 
 
-GRAPH_SQL = " UNION ALL ".join([
+def _links(source, s, o, p, inverse):
+    """A link in both directions."""
+    rest = "'iri', CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR)"
+    return (f"SELECT {s}, 'iri', '{X}{p}', {o}, {rest} FROM {source} "
+            f"UNION ALL SELECT {o}, 'iri', '{X}{inverse}', {s}, {rest} FROM {source}")
+
+
+def _line(suffix):
+    out = {f"{p}{suffix}": (_str(c), "integer") for p, c in (
+        ("lineNumber", "l_linenumber"), ("partKey", "l_partkey"), ("supplierKey", "l_suppkey"))}
+    out |= {f"{p}{suffix}": (_dec(c), "decimal") for p, c in (
+        ("quantity", "l_quantity"), ("extendedPrice", "l_extendedprice"), ("discount", "l_discount"), ("tax", "l_tax"))}
+    out |= {f"{p}{suffix}": (c, "string") for p, c in (("returnFlag", "l_returnflag"), ("lineStatus", "l_linestatus"))}
+    return out | {f"shipDate{suffix}": ("CAST(CAST(l_shipdate AS DATE) AS VARCHAR)", "date")}
+
+
+_LINE_IRI = f"'{X}lineitem/' || l_orderkey || '/' || l_linenumber"
+_ROW_IRI = f"'{X}lineitem-row/' || l_rowid"
+_ROWS = """(SELECT *, md5(concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax,
+ l_returnflag, l_linestatus, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S'))) AS l_rowid FROM lineitem)"""
+_ENDS = [("partOfOrder", "hasLineItem", f"'{X}order/' || l_orderkey"), ("ofPart", "orderedInLineItem", f"'{X}part/' || l_partkey"),
+         ("lineSuppliedBy", "suppliesLineItem", f"'{X}supplier/' || l_suppkey")]
+
+GRAPH_SQL = " UNION ".join([
     _rows("region", f"'{X}region/' || r_regionkey",
           {"regionKey": (_str("r_regionkey"), "integer"), "name": ("r_name", "string")}, "Region"),
     _rows("nation", f"'{X}nation/' || n_nationkey",
           {"nationKey": (_str("n_nationkey"), "integer"), "name": ("n_name", "string"),
-           "regionKey": (_str("n_regionkey"), "integer"),
-           "inRegion": (f"'{X}region/' || n_regionkey", None)}, "Nation"),
+           "regionKey": (_str("n_regionkey"), "integer")}, "Nation"),
+    _links("nation", f"'{X}nation/' || n_nationkey", f"'{X}region/' || n_regionkey", "inRegion", "hasNation"),
     _rows("customer", f"'{X}customer/' || c_custkey",
           {"custKey": (_str("c_custkey"), "integer"), "name": ("c_name", "string"),
            "accountBalance": (_dec("c_acctbal"), "decimal"), "marketSegment": ("c_mktsegment", "string"),
-           "nationKey": (_str("c_nationkey"), "integer"),
-           "customerInNation": (f"'{X}nation/' || c_nationkey", None)}, "Customer"),
+           "nationKey": (_str("c_nationkey"), "integer")}, "Customer"),
+    _links("customer", f"'{X}customer/' || c_custkey", f"'{X}nation/' || c_nationkey", "customerInNation", "hasCustomer"),
+    _rows("supplier", f"'{X}supplier/' || s_suppkey",
+          {"supplierKey": (_str("s_suppkey"), "integer"), "name": ("s_name", "string"),
+           "accountBalance": (_dec("s_acctbal"), "decimal"), "nationKey": (_str("s_nationkey"), "integer")}, "Supplier"),
+    _links("supplier", f"'{X}supplier/' || s_suppkey", f"'{X}nation/' || s_nationkey", "supplierInNation", "hasSupplier"),
+    _rows("part", f"'{X}part/' || p_partkey",
+          {"partKey": (_str("p_partkey"), "integer"), "name": ("p_name", "string"), "brand": ("p_brand", "string"),
+           "partType": ("p_type", "string"), "size": (_str("p_size"), "integer"),
+           "retailPrice": (_dec("p_retailprice"), "decimal")}, "Part"),
+    _rows("lineitem", f"'{X}partsupp/' || l_partkey || '/' || l_suppkey",
+          {"partKey": (_str("l_partkey"), "integer"), "supplierKey": (_str("l_suppkey"), "integer")}, "PartSupp"),
+    _links("lineitem", f"'{X}partsupp/' || l_partkey || '/' || l_suppkey", f"'{X}part/' || l_partkey", "forPart", "hasPartSupply"),
+    _links("lineitem", f"'{X}partsupp/' || l_partkey || '/' || l_suppkey", f"'{X}supplier/' || l_suppkey", "bySupplier", "suppliesPart"),
     _rows("orders", f"'{X}order/' || o_orderkey",
           {"orderKey": (_str("o_orderkey"), "integer"), "orderStatus": ("o_orderstatus", "string"),
            "totalPrice": (_dec("o_totalprice"), "decimal"),
            "orderDate": ("CAST(CAST(o_orderdate AS DATE) AS VARCHAR)", "date"),
-           "orderPriority": ("o_orderpriority", "string"),
-           "placedBy": (f"'{X}customer/' || o_custkey", None)}, "Order"),
+           "orderPriority": ("o_orderpriority", "string")}, "Order"),
+    _links("orders", f"'{X}order/' || o_orderkey", f"'{X}customer/' || o_custkey", "placedBy", "placesOrder"),
+    _rows("lineitem", _LINE_IRI, _line(""), "LineItem"),
+    *[_links("lineitem", _LINE_IRI, end, p, inverse) for p, inverse, end in _ENDS],
+    _rows(_ROWS, _ROW_IRI, _line("OfRow") | {f"{p}OfRow": (end, None) for p, _, end in _ENDS}, "LineItemRow"),
+    _rows("events", f"'{X}event/' || event_id",
+          {"eventType": ("event_type", "string"), "eventTime": ("replace(CAST(ts AS VARCHAR), ' ', 'T')", "dateTime"),
+           "eventValue": (_str("value"), "double"), "propK": (_str("CAST(json_extract(props, '$.k') AS BIGINT)"), "integer"),
+           "byUser": (f"'{X}customer/' || user_id", None)}, "Event"),
 ])
 
 
-@query("m15_graph_view", GRAPH_SQL)
+@query("m15_graph_view", f"SELECT * FROM ({GRAPH_SQL}) WHERE s IS NOT NULL AND o IS NOT NULL")
+def _(spark, sf):
+    """Every triple of the graph, with inverses; each table is read once per map."""
+    return order_graph(spark, sf).triples()
+
+
+@query("g5_open_pattern", f"""
+SELECT p, count(*) AS n FROM (SELECT * FROM ({GRAPH_SQL}) WHERE s IS NOT NULL AND o IS NOT NULL) GROUP BY p""")
 def _(spark, sf):
-    """Every triple of four classes; each table is read once."""
-    return order_graph(spark, sf).triples(classes=[EX.Region, EX.Nation, EX.Customer, EX.Order])
+    """Any subject, predicate and object: as many solutions of each predicate as the graph has triples."""
+    return order_graph(spark, sf).match("?s", "?p", "?o").group_by("p").agg(n=agg.count())
 
 
 @query("m16_language_tag", TEXT_SQL)

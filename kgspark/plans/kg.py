@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import itertools
-from dataclasses import replace
+from collections import defaultdict
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -311,28 +312,31 @@ class KG:
     # -- the graph as triples ------------------------------------------------------------------
     def triples(self, predicates=None, classes=None, *, include_tbox: bool = False, quads: bool = False,
                 subjects=None) -> DataFrame:
-        """All mapped triples, as a set. Every table is read once for its own properties.
+        """All triples of the graph, as a set: the mapped ones and, with reasoning, those they entail, as
+        patterns find them. Every table is read once for its own properties.
 
-        ``subjects``: only triples of these IRIs (a list, or a DataFrame with a column ``iri``).
+        ``classes``: only triples whose subjects are in these classes by their map. ``subjects``: only triples
+        of these IRIs (a list, or a DataFrame with a column ``iri``).
         """
-        entries = [(m, pred, om) for m in self.mapping.maps for pred, om in
-                   ((RDF.type, c) for c in m.classes)] + [(m, p, o) for m in self.mapping.maps for p, o in m.properties]
+        entries = self._entries()
         if predicates is not None:
-            entries = [e for e in entries if e[1] in {str(p) for p in predicates}]
+            entries = [e for e in entries if e.pred in {str(p) for p in predicates}]
         if classes is not None:
             names = set().union(*[self.ontology.class_names(c) for c in classes])
-            entries = [e for e in entries if names & set(e[0].classes)]
+            entries = [e for e in entries if e.holder and names & set(self.mapping.by_id(e.holder).classes)]
         plain, repeated = [], []
         for m in self.mapping.maps:
-            mine = [e for e in entries if e[0] is m]
-            alone = [e for e in mine if not _overlaps(e, entries)]
+            mine = [e for e in entries if e.map is m]
+            alone = [e for e in mine if not e.many and not any(self._overlap(e, x) for x in entries if x is not e)]
             shared = [e for e in mine if e not in alone]
             if m.key_proved:
                 plain += self._map_triples(m, alone, subjects, repeated, quads)
             elif isinstance(m.subject, IriColumn):
                 shared = mine
             else:
-                plain += self._distinct_triples(m, alone, subjects, repeated, quads)
+                own = [e for e in alone if not e.swapped]
+                plain += self._distinct_triples(m, own, subjects, repeated, quads)
+                shared = [e for e in mine if e not in own]
             repeated += self._map_triples(m, shared, subjects, repeated, quads)
         frames = plain
         if repeated:
@@ -345,28 +349,93 @@ class KG:
             return self.spark.createDataFrame([], ("g string, " if quads else "") + TRIPLES_DDL)
         return reduce(DataFrame.union, frames)
 
+    def _entries(self) -> list["_Entry"]:
+        """What each map gives: its classes and properties, and what the ontology makes of them."""
+        out, typed = [], {}
+        for cls in self.classes():
+            names = self.ontology.class_names(cls)
+            typed[cls] = {m.id for m in self.mapping.maps if names & set(m.classes)}
+            out += [_Entry(m, str(RDF.type), None, cls, m.id) for m in self.mapping.maps if m.id in typed[cls]]
+        given = defaultdict(list)
+        for m in self.mapping.maps:
+            for pred, om in m.properties:
+                given[str(pred)].append((m, om))
+        for pred in self.predicates():
+            for used, swapped in sorted(self.ontology.properties(pred)) if pred != RDF.type else ():
+                for m, om in given[used]:
+                    out.append(_Entry(m, pred, om, None, self._holder(m, om) if swapped else m.id, swapped))
+        for cls, have in typed.items():
+            for name in sorted(self.ontology.class_names(cls)):
+                for ends, is_object in ((self.ontology.domains, False), (self.ontology.ranges, True)):
+                    for prop in sorted(ends.get(name, ())):
+                        for used, swapped in sorted(self.ontology.properties(prop)):
+                            for m, om in given[used]:
+                                far = is_object != swapped
+                                holder = self._holder(m, om) if far else m.id
+                                if holder not in have:  # else those nodes already carry the class
+                                    out.append(_Entry(m, str(RDF.type), om, cls, holder, far, True))
+        return out
+
+    def _node_of(self, e: "_Entry"):
+        """The template or column of the entry's subject; None when it is never an IRI."""
+        if not e.swapped:
+            return e.map.subject
+        om = e.om
+        if isinstance(om, RefObj):
+            return self.mapping.by_id(om.parent).subject
+        if isinstance(om, TemplateObj):
+            return om.template if om.dt is None else None
+        if isinstance(om, ConstObj):
+            return IriColumn("") if om.is_iri else None
+        return om if isinstance(om, IriColumn) else None
+
+    def _overlap(self, a: "_Entry", b: "_Entry") -> bool:
+        """Whether two entries may give the same triple."""
+        if a.pred != b.pred or a.cls != b.cls:
+            return False
+        x, y = self._node_of(a), self._node_of(b)
+        if x is None or y is None:
+            return False
+        return isinstance(x, IriColumn) or isinstance(y, IriColumn) or x.may_unify(y)
+
     def _map_triples(self, m: TriplesMap, entries, subjects, repeated: list, quads: bool) -> list[DataFrame]:
+        """The triples of a map's entries; those a row may give twice go to ``repeated``."""
+        if subjects is not None and any(e.swapped for e in entries):  # each object is looked for by itself
+            near, far = [e for e in entries if not e.swapped], [e for e in entries if e.swapped]
+            return self._map_triples(m, near, subjects, repeated, quads) + [
+                t for e in far for t in self._map_triples_of(m, [e], subjects, repeated, quads)]
+        return self._map_triples_of(m, entries, subjects, repeated, quads)
+
+    def _map_triples_of(self, m: TriplesMap, entries, subjects, repeated: list, quads: bool) -> list[DataFrame]:
+        if not entries:
+            return []
         df = self.frame(m)
         subject = self._node(m.subject, df)
-        df = _only_subjects(df, subject, subjects)
-        if df is None or not entries:
-            return []
         graph = [F.lit(m.graph).cast("string").alias("g")] if quads else []
+        near = df if entries[0].swapped and subjects is not None else _only_subjects(df, subject, subjects)
+        if near is None:
+            return []
         structs, out, doubled = [], [], []
-        for _, pred, om in entries:
-            predicate = Term(F.lit(str(pred)), IRI_T)
-            if isinstance(om, str):
-                obj, joined, semis, several = Term(F.lit(str(om)), IRI_T), df, (), False
-            else:
-                obj, joined, semis, several = self._map_object(m, om, df)
-            triple = F.when(subject.bound & obj.bound, triple_struct(subject, predicate, obj))
-            if joined is df and not semis:
+        for e in entries:
+            obj, joined, semis, several = (
+                self._map_object(m, e.om, near) if e.om is not None else (Term(F.lit(e.cls), IRI_T), near, (), False))
+            if e.swapped and obj.type != IRI_T:
+                continue
+            start, end = (obj, subject) if e.swapped else (subject, obj)
+            if e.om is not None and e.cls is not None:
+                end = Term(F.lit(e.cls), IRI_T)
+            predicate = Term(F.lit(e.pred), IRI_T)
+            triple = F.when(subject.bound & obj.bound, triple_struct(start, predicate, end))
+            if joined is near and not semis and subjects is None or joined is near and not semis and not e.swapped:
                 structs.append(triple)
                 continue
             rows = joined if semis is None else _scan_with(joined, semis)
-            (doubled if several else out).append(rows.select(*graph, triple.alias("t")))
+            if e.swapped and subjects is not None:
+                rows = _only_subjects(rows, obj, subjects)
+            if rows is not None:
+                (doubled if several else out).append(rows.select(*graph, triple.alias("t")))
         if structs:
-            out.append(df.select(*graph, F.explode(F.array(*structs)).alias("t")))
+            out.append(near.select(*graph, F.explode(F.array(*structs)).alias("t")))
         cols = ["g", "t.*"] if quads else ["t.*"]
         repeated += [rows.where("t IS NOT NULL").select(*cols) for rows in doubled]
         return [rows.where("t IS NOT NULL").select(*cols) for rows in out]
@@ -379,14 +448,14 @@ class KG:
         df = _only_subjects(df, subject, subjects)
         local, linked = [], []
         for e in entries:
-            if df is not None and not isinstance(e[2], str):
-                obj, joined, semis, _ = self._map_object(m, e[2], df)
+            if df is not None and e.om is not None:
+                obj, joined, semis, _ = self._map_object(m, e.om, df)
                 if joined is not df or semis:
                     linked.append(e)
                     continue
-                local.append((e[1], obj))
+                local.append((e.pred, obj))
             elif df is not None:
-                local.append((e[1], Term(F.lit(str(e[2])), IRI_T)))
+                local.append((e.pred, Term(F.lit(e.cls), IRI_T)))
         repeated += self._map_triples(m, linked, subjects, repeated, quads)
         if not local or not subject.template:
             repeated += self._map_triples(m, [e for e in entries if e not in linked], subjects, repeated, quads) if local else []
@@ -437,6 +506,19 @@ class KG:
 
 # -- helpers -----------------------------------------------------------------------------------
 
+@dataclass(frozen=True, eq=False)
+class _Entry:
+    """Triples of one kind that a map's rows give. ``cls`` for class assertions, made of the rows alone or
+    of a property's ends; ``swapped``: the property's object is the subject; ``many``: repeated per row."""
+    map: TriplesMap
+    pred: str
+    om: ObjectMap | None
+    cls: str | None
+    holder: str | None  # the map whose subjects the subjects are, when that is sure
+    swapped: bool = False
+    many: bool = False
+
+
 def _equals_constant(t: Term, element) -> list[Column] | None:
     """Conditions for a mapped term to be a constant, on source columns; None when it never is."""
     if isinstance(element, IRI):
@@ -515,19 +597,6 @@ def _join_all(items: list[Bindings], fixed_first: bool) -> Bindings:
     return out
 
 
-def _overlaps(entry, entries) -> bool:
-    """Another property map may give the same triple."""
-    m, pred, om = entry
-    for m2, pred2, om2 in entries:
-        if pred2 != pred or (m2 is m and om2 is om):
-            continue
-        if isinstance(om, str) and om != om2:
-            continue
-        if isinstance(m.subject, IriColumn) or isinstance(m2.subject, IriColumn) or m.subject.may_unify(m2.subject):
-            return True
-    return False
-
-
 def _scan_with(df: DataFrame, semis) -> DataFrame:
     names = df.columns
     keep = {f"__c{i}": qcol(c) for i, c in enumerate(names)}
