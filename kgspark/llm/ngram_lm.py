@@ -16,21 +16,27 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm.blocks import NO_ID, Block, ask, cuts, pack, pack_keys, ranges, told, unpack, unpack_keys
+from kgspark.llm.blocks import (NO_ID, Block, ask, cuts, pack, pack_keys, pack_numbers, ranges, told, unpack, unpack_keys,
+                                unpack_numbers)
 from kgspark.llm.common import prepare
 
 PART_BYTES = 4 << 20  # text per range of hashes
 _SCORE = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("log_score", pa.float64())])
-_HASHES: dict[bytes, int] = {}
 
 
-def _word_hash(word: bytes) -> int:
-    if len(_HASHES) > 500_000:
-        _HASHES.clear()
-    value = xxhash.xxh64_intdigest(word)
-    if len(word) <= 64:
-        _HASHES[word] = value
-    return value
+class _Hashes(dict):
+    """Hashes of words, kept for the words met last."""
+
+    def __missing__(self, word):
+        if len(self) >= 300_000:
+            self.clear()
+        value = xxhash.xxh64_intdigest(word)
+        if len(word) <= 64:
+            self[word] = value
+        return value
+
+
+_HASHES = _Hashes()
 
 
 def _mix(z: np.ndarray) -> np.ndarray:
@@ -45,11 +51,11 @@ def ngrams(block: Block, order: int, bits: int) -> tuple[np.ndarray, list[np.nda
 
     Words are separated by space, tab, newline, \\v, \\f and \\r, with A to Z lower-cased.
     """
-    get, counts, values = _HASHES.get, [], []
+    hashed, counts, values = _HASHES.__getitem__, [], []
     for text in block.texts():
         words = text.lower().split()
         counts.append(len(words))
-        values.append(np.fromiter((h if (h := get(w)) is not None else _word_hash(w) for w in words), np.uint64, len(words)))
+        values.append(np.fromiter(map(hashed, words), np.uint64, len(words)))
     doc = np.repeat(np.arange(len(counts)), counts)
     word = np.concatenate(values) if values else np.zeros(0, np.uint64)
     first = np.concatenate(([0], np.cumsum(counts)[:-1])) if counts else np.zeros(0, np.int64)
@@ -66,7 +72,7 @@ def ngrams(block: Block, order: int, bits: int) -> tuple[np.ndarray, list[np.nda
 def _sums(kind: int, parts: list[tuple[bytes, bytes]], min_count: int) -> list[bytes]:
     """For each part, the counts of its n-grams in all parts; 0 for longer n-grams below ``min_count``."""
     keys = [unpack_keys(k) for k, _ in parts]
-    counts = np.concatenate([np.frombuffer(m, np.uint32) for _, m in parts]).astype(np.int64)
+    counts = np.concatenate([unpack_numbers(m, np.int64) for _, m in parts])
     every = np.concatenate(keys)
     order = np.argsort(every, kind="stable")
     starts = np.flatnonzero(np.concatenate(([True], np.diff(every[order]) != 0)))
@@ -75,20 +81,18 @@ def _sums(kind: int, parts: list[tuple[bytes, bytes]], min_count: int) -> list[b
         totals[totals < min_count] = 0
     out = np.empty(len(every), np.int64)
     out[order] = np.repeat(totals, np.diff(np.concatenate((starts, [len(every)]))))
-    edges = np.cumsum([len(k) for k in keys])[:-1]
-    return [a.astype(np.uint32 if a.max(initial=0) < 1 << 32 else np.int64).tobytes() for a in np.split(out, edges)]
+    return [pack_numbers(a) for a in np.split(out, np.cumsum([len(k) for k in keys])[:-1])]
 
 
-def _counts(gram: np.ndarray, use: np.ndarray, answers: list[bytes], sizes: list[int]) -> np.ndarray:
-    """The counts of the n-grams in use; 0 elsewhere."""
-    found = np.concatenate([np.frombuffer(a, np.uint32 if len(a) == 4 * n else np.int64).astype(np.int64)
-                            for a, n in zip(answers, sizes)]) if answers else np.zeros(0, np.int64)
-    out = np.zeros(len(gram), np.int64)
+def _counts(gram: np.ndarray, use: np.ndarray, answers: list[bytes]) -> np.ndarray:
+    """The counts of the n-grams in use; 0 elsewhere. The answers are in the order of the distinct n-grams."""
+    out = np.zeros(len(gram))
     at = np.flatnonzero(use)
-    order = np.argsort(gram[at])
-    ranked = gram[at][order]
-    rank = np.cumsum(np.concatenate(([0], (np.diff(ranked) != 0).astype(np.int64)))) if len(ranked) else np.zeros(0, np.int64)
-    out[at[order]] = found[rank] if len(rank) else 0
+    if len(at):
+        order = np.argsort(gram[at])
+        at = at[order]
+        new = np.diff(gram[at], prepend=gram[at[0]]) != 0
+        out[at] = np.concatenate([unpack_numbers(a, np.int64) for a in answers])[np.cumsum(new)]
     return out
 
 
@@ -116,22 +120,23 @@ def lm_scores(docs: DataFrame, *, order: int = 3, backoff: float = 0.4, min_coun
         for n, gram in enumerate(grams, 1):
             keys, counts = np.unique(gram[before >= n - 1], return_counts=True)
             for part, here in ranges(keys, edges):
-                yield part, n, pack_keys(keys[here]), counts[here].astype(np.uint32).tobytes()
+                yield part, n, pack_keys(keys[here]), pack_numbers(counts[here])
 
     def score(batches):
         for block, row in unpack(batches):
             doc, grams, before = ngrams(block, order, hash_bits)
-            counts = []
-            for n, gram in enumerate(grams, 1):
-                use = before >= n - 1
-                sizes = [s.stop - s.start for _, s in ranges(np.unique(gram[use]), edges)]
-                counts.append(_counts(gram, use, told(row, n), sizes).astype(float))
+            value = logs = None
             with np.errstate(divide="ignore", invalid="ignore"):
-                logs = [np.log(c) for c in counts]
-                value = logs[0] - log(total or 1)
-                for n in range(2, order + 1):
-                    lower = np.concatenate(([0.0], logs[n - 2]))[:len(value)]  # the count of the words before
-                    longer = np.where(counts[n - 1] > 0, logs[n - 1] - lower, log(backoff) + value)
+                for n in range(1, order + 1):
+                    counts = _counts(grams[n - 1], before >= n - 1, told(row, n))
+                    grams[n - 1] = None
+                    if n == 1:
+                        logs = np.log(counts)
+                        value = logs - log(total or 1)
+                        continue
+                    lower = np.concatenate(([0.0], logs))[:len(logs)]  # the count of the words before
+                    logs = np.log(counts)
+                    longer = np.where(counts > 0, logs - lower, log(backoff) + value)
                     value = np.where(before < n - 1, value, longer)
             n_docs = len(block.ids)
             sums = np.bincount(doc, value, n_docs) if len(doc) else np.zeros(n_docs)
