@@ -9,8 +9,6 @@ from kgqueries.registry import X, XSD as XS, query
 from kgqueries.scans import WEB, web_graph
 from kgspark import IRI, XSD, agg, fn, graph
 
-LANG = "('en','fr','de','es')"
-
 
 def parts(spark, sf):
     kg = order_graph(spark, sf)
@@ -52,8 +50,8 @@ def order_query(name, sql_expr, build):
 
 def doc_query(name, sql_expr, build):
     """A function over whole document texts."""
-    @query(name, f"SELECT '{WEB}doc/' || doc_id AS d, {sql_expr} AS v FROM documents WHERE text IS NOT NULL AND lang IN {LANG}")
-    def _(spark, sf):  # texts in several languages: the result is reduced to plain text
+    @query(name, f"SELECT '{WEB}doc/' || doc_id AS d, {sql_expr} AS v FROM documents WHERE text IS NOT NULL")
+    def _(spark, sf):  # texts of any language: the result is reduced to plain text
         return docs(spark, sf).select("d", v=lambda r: plain(build(r)))
 
 
@@ -106,8 +104,8 @@ def _(spark, sf):
     return kinds(spark, sf).filter(lambda r: fn.is_numeric(r.v)).select("v")
 
 
-doc_query("x7_lang", "lang", lambda r: fn.lang(r.t))
-doc_query("x8_langmatches", "lang IN ('en', 'fr')",
+doc_query("x7_lang", "coalesce(lang, '')", lambda r: fn.lang(r.t))
+doc_query("x8_langmatches", "coalesce(lang, '') IN ('en', 'fr')",
           lambda r: fn.lang_matches(fn.lang(r.t), "EN") | fn.lang_matches(fn.lang(r.t), "fr"))
 
 

@@ -15,9 +15,8 @@ WEB = "http://example.org/web/"
 
 def web_graph(spark, sf, **options):
     """Pages, documents and links with the less common mapping forms."""
-    docs = [TriplesMap(f"#Text_{lang}", Source.sql(f"SELECT * FROM documents WHERE lang = '{lang}'", ["documents"]),
-                       WEB + "doc/{doc_id}", [], {EX.text: ColumnObj("text", lang=lang)}, ["doc_id"],
-                       graph=WEB + "graph/" + lang) for lang in ("en", "fr", "de", "es")]
+    docs = [TriplesMap("#Text", "documents", WEB + "doc/{doc_id}", [], {EX.text: ColumnObj("text", lang_column="lang")},
+                       ["doc_id"], graph=WEB + "graph/{lang}")]
     maps = docs + [
         TriplesMap("#Page", "pages", IriColumn("url"), [EX.Page], {EX.pageId: integer("page_id")}),
         TriplesMap("#Document", "documents", WEB + "source/{source}/{doc_id}", [EX.Document], {
@@ -132,7 +131,7 @@ def text_triples(spark, sf):
 
 TEXT_SQL = f"""
 SELECT '{WEB}doc/' || doc_id AS s, 'iri' AS s_kind, '{X}text' AS p, text AS o, 'literal' AS o_kind,
-       CAST(NULL AS VARCHAR) AS o_dt, lang AS o_lang FROM documents WHERE text IS NOT NULL AND lang IN ('en','fr','de','es')"""
+       CAST(NULL AS VARCHAR) AS o_dt, lang AS o_lang FROM documents WHERE text IS NOT NULL"""
 
 
 @query("s5_ntriples_read", TEXT_SQL)
@@ -157,7 +156,7 @@ def _(spark, sf):
 @query("s7_ntriples_write", f"""
 SELECT '<{WEB}doc/' || doc_id || '> <{X}text> "' || replace(replace(replace(replace(text, '\\', '\\\\'), '"', '\\"'),
        chr(10), '\\n'), chr(13), '\\r') || '"@' || lang || ' .' AS line
-FROM documents WHERE text IS NOT NULL AND lang IN ('en','fr','de','es')""")
+FROM documents WHERE text IS NOT NULL""")
 def _(spark, sf):
     return ntriples_lines(text_triples(spark, sf))
 
@@ -381,7 +380,7 @@ def _(spark, sf):
 
 @query("m17_named_graphs", f"""
 SELECT '{WEB}graph/' || lang AS g, '{WEB}doc/' || doc_id AS s, md5(text) AS digest, lang AS o_lang
-FROM documents WHERE text IS NOT NULL AND lang IN ('en','fr','de','es')""")
+FROM documents WHERE text IS NOT NULL""")
 def _(spark, sf):
     quads = web_graph(spark, sf).triples(predicates=[EX.text], quads=True)
     return quads.select("g", "s", F.md5("o").alias("digest"), "o_lang")

@@ -297,7 +297,7 @@ def _(spark, sf):
 
 @query("t4_type_profile", f"""
 SELECT '{X}text' AS p, 'literal' AS o_kind, CAST(NULL AS VARCHAR) AS o_dt, count(*) AS n FROM documents
-  WHERE text IS NOT NULL AND lang IN ('en','fr','de','es')
+  WHERE text IS NOT NULL
 UNION ALL SELECT '{X}pageId', 'literal', '{XS}integer', count(*) FROM (SELECT DISTINCT url, page_id FROM pages)
 UNION ALL SELECT '{X}origin', 'literal', '{XS}string', count(*) FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL
 UNION ALL SELECT '{X}site', 'iri', NULL, count(*) FROM documents WHERE source IS NOT NULL

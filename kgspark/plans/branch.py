@@ -19,9 +19,6 @@ from kgspark import terms as tm
 from kgspark.plans.expr import Row, Term, unbound
 from kgspark.terms import IRI_T, MIXED_T, RdfType, Template
 
-MAX_IN_LIST = 1000
-MAX_BROADCAST_ROWS = 10_000
-
 
 def qcol(name: str) -> Column:
     return F.col(f"`{name}`")
@@ -341,17 +338,15 @@ def inline_branch(spark: SparkSession, names, rows, infos: dict[str, Var]) -> Br
     for row in rows:
         flat.append(tuple(v for n, cell in zip(names, row) for v in (cell if infos[n].template else (cell,))))
     df = spark.createDataFrame(flat, ", ".join(fields))
-    if len(rows) <= MAX_BROADCAST_ROWS:
-        df = F.broadcast(df)
     return Branch(spark, {n: infos[n] for n in names}, df, inline=(tuple(names), rows))
 
 
 def _in_list(a: Branch, b: Branch) -> Branch | None:
-    """A join with a short inline list over one variable is a pushed-down IN filter."""
+    """A join with an inline list of different values of one variable is a pushed-down IN filter."""
     if not b.inline or len(b.inline[0]) != 1:
         return None
     name, rows = b.inline[0][0], b.inline[1]
-    if name not in a.vars or a.vars[name].nullable or len(rows) > MAX_IN_LIST or len(set(rows)) != len(rows):
+    if name not in a.vars or a.vars[name].nullable or len(set(rows)) != len(rows):
         return None
     info = a.vars[name]
     if info.signature != b.vars[name].signature or len(info.columns(name)) != 1 or info.type.kind == "mixed":

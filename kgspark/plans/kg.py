@@ -19,7 +19,7 @@ from kgspark.plans.expr import Term, _same_resource
 from kgspark.plans.mapping import (ColumnObj, ConstObj, IriColumn, Mapping, ObjectMap, RefObj, Tables,
                                    TemplateObj, TriplesMap)
 from kgspark.plans.ontology import Ontology
-from kgspark.terms import IRI, IRI_T, RDF, STRING_T, XSD
+from kgspark.terms import IRI, IRI_T, RDF, STRING_T, XSD, Template
 
 _fresh = itertools.count()
 
@@ -44,7 +44,11 @@ class KG:
         self.spark, self.mapping, self.strict = spark, mapping, strict
         self.tables = tables if isinstance(tables, Tables) else Tables(spark, tables)
         self.tbox = ontology if isinstance(ontology, DataFrame) else None
-        schema = Ontology.from_df(ontology) if isinstance(ontology, DataFrame) else (ontology or Ontology())
+        if isinstance(ontology, DataFrame):
+            used = {str(t) for m in mapping.maps for t in (*m.classes, *(p for p, _ in m.properties))}
+            schema = Ontology.from_df(ontology, used)
+        else:
+            schema = ontology or Ontology()
         self.ontology = schema if reasoning else Ontology()
         self._frames: dict[str, DataFrame] = {}
         self._subjects: dict[str, Term] = {}
@@ -82,6 +86,12 @@ class KG:
         """(term, frame, semi-joins, several): ``several`` when a row may give equal triples."""
         if isinstance(om, ColumnObj):
             source = df.schema[om.column].dataType
+            if om.lang_column:
+                tag, empty = F.coalesce(qcol(om.lang_column).cast("string"), F.lit("")), F.lit("")
+                text, plain = tm.lexical(qcol(om.column), source), F.lit(str(XSD.string))
+                cell = F.struct(F.lit("literal").alias("kind"), text.alias("value"),
+                                F.when(tag == "", plain).otherwise(empty).alias("dt"), tag.alias("lang"))
+                return Term(F.when(text.isNotNull(), cell), tm.MIXED_T), df, (), False
             if om.lang:
                 return Term(tm.lexical(qcol(om.column), source), tm.literal_type(lang=om.lang)), df, (), False
             dt = om.dt or tm.xsd_of_spark(source)
@@ -162,22 +172,20 @@ class KG:
             return self._match_class(s, o, graph)
         found = []
         for prop, swapped in sorted(self.ontology.properties(p)):
-            for m in self.mapping.maps:
-                if graph is not None and m.graph != graph:
-                    continue
+            for m in self._maps_of(graph):
                 for pred, om in m.properties:
                     if pred == prop:
-                        found.append(self._pattern(m, om, *((o, s) if swapped else (s, o))))
+                        found.append(self._pattern(m, om, *((o, s) if swapped else (s, o)), graph))
         return _as_set([b for b in found if b is not None])
 
     def _match_class(self, s, cls, graph) -> list[Branch]:
         found = []
         names = self.ontology.class_names(cls)
-        maps = [m for m in self.mapping.maps if graph is None or m.graph == graph]
+        maps = self._maps_of(graph)
         typed_maps = {m.id for m in maps if names & set(m.classes)}
         for m in maps:
             if m.id in typed_maps:
-                found.append(self._pattern(m, None, s, None))
+                found.append(self._pattern(m, None, s, None, graph))
         for name in sorted(names):
             sides = [(self.ontology.domains.get(name, ()), False), (self.ontology.ranges.get(name, ()), True)]
             for props, is_object in sides:
@@ -191,12 +199,28 @@ class KG:
                                 holder = self._holder(m, om) if object_side else m.id
                                 if holder in typed_maps:
                                     continue  # those nodes already carry the class
-                                b = self._pattern(m, om, hidden(), s) if object_side else self._pattern(m, om, s, hidden())
+                                ends = (hidden(), s) if object_side else (s, hidden())
+                                b = self._pattern(m, om, *ends, graph)
                                 if b is not None:
                                     found.append(b.keep([s[1:]] if is_var(s) else []).distinct())
         return _as_set([b for b in found if b is not None])
 
-    def _pattern(self, m: TriplesMap, om: ObjectMap | None, s, o) -> Branch | None:
+    def _maps_of(self, graph) -> list[TriplesMap]:
+        """The maps that may have triples in a graph (None: any)."""
+        return [m for m in self.mapping.maps
+                if graph is None or m.graph == graph or isinstance(m.graph, Template) and self._graph_conds(m, graph) is not None]
+
+    def _graph_conds(self, m: TriplesMap, graph) -> list[Column] | None:
+        """Conditions for a row's triples to be in a graph; None when none of them is."""
+        if graph is None or not isinstance(m.graph, Template):
+            return [] if graph is None or m.graph == graph else None
+        return _equals_constant(self._node(m.graph, self.frame(m)), IRI(graph))
+
+    def _graph_column(self, m: TriplesMap, df: DataFrame) -> Column:
+        name = self._node(m.graph, df).value if isinstance(m.graph, Template) else F.lit(m.graph).cast("string")
+        return name.alias("g")
+
+    def _pattern(self, m: TriplesMap, om: ObjectMap | None, s, o, graph=None) -> Branch | None:
         """Subject and object of one property of one map (of the class assertion without ``om``)."""
         df = self.frame(m)
         subject = self._subject(m)
@@ -207,7 +231,7 @@ class KG:
             ends.append((o, obj))
         infos: dict[str, Var] = {}
         exprs: dict[str, Column] = {}
-        conds: list[Column] = []
+        conds: list[Column] = list(self._graph_conds(m, graph) or [])
         consts: dict[str, str] = {}
         for element, t in ends:
             conds += t.present()
@@ -411,7 +435,7 @@ class KG:
             return []
         df = self.frame(m)
         subject = self._node(m.subject, df)
-        graph = [F.lit(m.graph).cast("string").alias("g")] if quads else []
+        graph = [self._graph_column(m, df)] if quads else []
         near = df if entries[0].swapped and subjects is not None else _only_subjects(df, subject, subjects)
         if near is None:
             return []
@@ -450,7 +474,7 @@ class KG:
         for e in entries:
             if df is not None and e.om is not None:
                 obj, joined, semis, _ = self._map_object(m, e.om, df)
-                if joined is not df or semis:
+                if joined is not df or semis or obj.type.kind == "mixed" or quads and isinstance(m.graph, Template):
                     linked.append(e)
                     continue
                 local.append((e.pred, obj))
@@ -473,7 +497,7 @@ class KG:
                 fixed([o.type.kind for _, o in local]).alias("o_kind"),
                 fixed([str(o.type.dt) if o.type.dt else None for _, o in local]).alias("o_dt"),
                 fixed([o.type.lang for _, o in local]).alias("o_lang")]
-        return [rows.select(*([F.lit(m.graph).cast("string").alias("g")] if quads else []), *cols)]
+        return [rows.select(*([self._graph_column(m, df)] if quads else []), *cols)]
 
     def problems(self) -> list[str]:
         """What keeps the mapping from being read: missing tables, columns and parent maps."""
@@ -485,9 +509,10 @@ class KG:
                 out.append(f"{m.id}: source cannot be read ({type(e).__name__})")
                 continue
             used = [m.subject.column] if isinstance(m.subject, IriColumn) else list(m.subject.columns)
+            used += list(m.graph.columns) if isinstance(m.graph, Template) else []
             for _, om in m.properties:
                 if isinstance(om, (ColumnObj, IriColumn)):
-                    used.append(om.column)
+                    used += [om.column] + [c for c in (getattr(om, "lang_column", None),) if c]
                 elif isinstance(om, TemplateObj):
                     used += om.template.columns
                 elif isinstance(om, RefObj):

@@ -71,6 +71,7 @@ class ColumnObj:
     dt: str | None = None
     lang: str | None = None
     decimal: str | None = None  # Spark type of an xsd:decimal, when not the source's own
+    lang_column: str | None = None  # the column that holds each row's language; without one a plain string
 
 
 @dataclass(frozen=True)
@@ -114,7 +115,10 @@ ObjectMap = ColumnObj | TemplateObj | ConstObj | RefObj | IriColumn
 
 @dataclass(frozen=True)
 class TriplesMap:
-    """One subject per row of ``source``; ``unique_key`` declares columns no two rows share."""
+    """One subject per row of ``source``; ``unique_key`` declares columns no two rows share.
+
+    ``graph`` is the IRI of the named graph, or a template that makes it from the row.
+    """
 
     id: str
     source: Source
@@ -122,7 +126,7 @@ class TriplesMap:
     classes: tuple[str, ...] = ()
     properties: tuple[tuple[str, ObjectMap], ...] = ()
     unique_key: tuple[str, ...] = ()
-    graph: str | None = None
+    graph: str | Template | None = None
 
     def __init__(self, id, source, subject, classes=(), properties=(), unique_key=(), graph=None):
         set_ = object.__setattr__
@@ -134,7 +138,7 @@ class TriplesMap:
         flat = [(IRI(p), o) for p, objs in pairs for o in (objs if isinstance(objs, (list, tuple)) else [objs])]
         set_(self, "properties", tuple(flat))
         set_(self, "unique_key", tuple(unique_key))
-        set_(self, "graph", graph)
+        set_(self, "graph", Template(graph) if isinstance(graph, str) and "{" in graph else graph)
 
     @property
     def key_proved(self) -> bool:

@@ -1,7 +1,7 @@
 """The schema part of an ontology as build-time metadata.
 
-Only the five schema predicates are read to the driver, and only below a checked size; the
-operators in :mod:`kgspark.operators` work on the ontology as a DataFrame of any size.
+Only statements of the five schema predicates that bear on the mapping's own terms are read to the
+driver, however large the ontology is; the operators in :mod:`kgspark.operators` work on the ontology as a DataFrame of any size.
 """
 
 from __future__ import annotations
@@ -12,11 +12,11 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kgspark.session import materialize
 from kgspark.terms import OWL, RDFS
 
 SCHEMA_PREDICATES = tuple(str(p) for p in (
     RDFS.domain, RDFS.range, RDFS.subClassOf, RDFS.subPropertyOf, OWL.inverseOf))
-MAX_SCHEMA_ROWS = 200_000
 
 
 class Ontology:
@@ -39,15 +39,21 @@ class Ontology:
                 self.ranges[o].add(s)
 
     @classmethod
-    def from_df(cls, tbox: DataFrame) -> "Ontology":
-        schema = (tbox.where(F.col("p").isin(list(SCHEMA_PREDICATES))
-                             & (F.col("s_kind") == "iri") & (F.col("o_kind") == "iri"))
-                  .select("s", "p", "o").distinct())
-        rows = schema.limit(MAX_SCHEMA_ROWS + 1).collect()
-        if len(rows) > MAX_SCHEMA_ROWS:
-            raise ValueError(f"the ontology has more than {MAX_SCHEMA_ROWS} schema statements: "
-                             "query with reasoning=False, or join its closure as a DataFrame")
-        return cls((r.s, r.p, r.o) for r in rows)
+    def from_df(cls, tbox: DataFrame, terms: Iterable[str]) -> "Ontology":
+        """The statements met on the way up from the classes and properties in ``terms``: to what they are
+        below, to inverses, and to the domains and ranges of properties. Other statements say nothing
+        about data of these terms. One round per step of the longest way.
+        """
+        schema = materialize(tbox.where(F.col("p").isin(list(SCHEMA_PREDICATES)) & (F.col("s_kind") == "iri")
+                                        & (F.col("o_kind") == "iri")).select("s", "p", "o").distinct())
+        found, seen, new = set(), set(), {str(t) for t in terms}
+        while new:
+            seen |= new
+            back = (F.col("p") == str(OWL.inverseOf)) & F.col("o").isin(list(new))
+            rows = {(r.s, r.p, r.o) for r in schema.where(F.col("s").isin(list(new)) | back).toLocalIterator()}
+            found |= rows
+            new = {x for s, p, o in rows for x in ((s, o) if p == str(OWL.inverseOf) else (o,))} - seen
+        return cls(found)
 
     def class_names(self, cls: str) -> set[str]:
         """``cls`` and everything below it."""

@@ -37,14 +37,6 @@ def write_results(bindings, path: str) -> None:
     binding_json(bindings).write.text(f"{path}/bindings")
 
 
-def results_document(bindings, max_rows: int = 100_000) -> dict:
-    """The whole result as one document; refused above ``max_rows`` (write it instead)."""
-    rows = binding_json(bindings).limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"more than {max_rows} solutions: use write_sparql_json")
-    return {"head": {"vars": list(bindings.names)}, "results": {"bindings": [json.loads(r.json) for r in rows]}}
-
-
 def untyped_binding_json(rows: DataFrame, types: dict[str, str] | None = None) -> DataFrame:
     """Binding objects of any table; a column without a type is a plain literal.
 

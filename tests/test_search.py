@@ -24,10 +24,9 @@ def score(q, t):
     return round(100 * max(1 - lev(q, t) / max(len(q), len(t)), 0.95 * words), 4)
 
 
-@pytest.mark.parametrize("block_texts,broadcast", [(2000, 100), (7, 100), (7, 0)])
-def test_best_terms_equal_brute_force(spark, monkeypatch, block_texts, broadcast):
+@pytest.mark.parametrize("block_texts", [2000, 7])
+def test_best_terms_equal_brute_force(spark, monkeypatch, block_texts):
     monkeypatch.setattr(search, "BLOCK_TEXTS", block_texts)
-    monkeypatch.setattr(search, "MAX_BROADCAST_BLOCKS", broadcast)
     rng = random.Random(5)
     words = ["order", "line", "item", "part", "supplier", "customer", "price"]
     index = [(f"{E}{rng.randrange(25)}", " ".join(rng.choices(words, k=rng.randint(1, 3)))) for _ in range(60)]
