@@ -61,6 +61,12 @@ def _hash(words: np.ndarray, size: int, at, skip: int = 0) -> np.ndarray:
     return total ^ (total >> np.uint64(29))
 
 
+def _spread(hashes: np.ndarray) -> np.ndarray:
+    """Hashes of anchors, which are the least of many, spread over all numbers again, one to one."""
+    hashes = (hashes ^ (hashes >> np.uint64(31))) * _FACTORS[4]
+    return hashes ^ (hashes >> np.uint64(32))
+
+
 @dataclass
 class Runs:
     """Runs of consecutive windows of a document that one anchor owns: first window, how many, the
@@ -96,7 +102,7 @@ def runs(block: Block, length: int) -> Runs:
         own = where[inside]
         start = np.flatnonzero(np.concatenate(([True], (np.diff(own) != 0) | (np.diff(inside) != 1))))
         size = np.diff(np.concatenate((start, [len(inside)])))
-        found.append((inside[start] + lo, size, hashes[own[start]], doc[inside[start]]))
+        found.append((inside[start] + lo, size, _spread(hashes[own[start]]), doc[inside[start]]))
     if not found:
         return Runs(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
     return Runs(*(np.concatenate(c) for c in zip(*found)))
