@@ -4,10 +4,12 @@ from pyspark.sql import functions as F
 
 from kgqueries.model import EX, order_graph
 from kgqueries.registry import X, frame, query
-from kgspark import RDF, RR, XSD
+from kgspark import KG, RDF, RR, XSD
 from kgspark.operators import catalog, graphs
 from kgspark.operators import metadata as md
+from kgspark.plans.mapping import Tables
 from kgspark.sources import prefixes as px
+from kgspark.sources.ntriples import parse_ntriples
 
 R = str(RR)
 
@@ -73,27 +75,113 @@ SELECT o_custkey, s, p, o FROM orders, LATERAL (SELECT * FROM (VALUES
 
 
 def flat(m):
-    """Catalog rows with one row per property."""
-    return m.select("map_id", "source_type", "source", "s_template", "s_class", "has_stubs", F.explode_outer("poms").alias("x")).select(
+    """Catalog rows with one row per property, all join conditions in one cell."""
+    conditions = F.array_join(F.transform("x.join", lambda j: F.concat(j["child"], F.lit("="), j["parent"])), ",")
+    return m.select("map_id", "source_type", "source", "s_template", F.array_join("s_classes", " ").alias("s_class"), "has_stubs",
+                    F.explode_outer("poms").alias("x")).select(
         "map_id", "source_type", "source", "s_template", "s_class", "has_stubs", "x.predicate", "x.om_type", "x.column",
-        "x.template", "x.datatype", "x.parent_map", F.col("x.join")[0]["child"].alias("child"), F.col("x.join")[0]["parent"].alias("parent"))
+        "x.template", "x.datatype", "x.language", "x.parent_map", conditions.alias("pairs"))
 
 
 @query("m18_read_mapping", f"""
-WITH stubs AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT')
 SELECT '#T' || c_custkey AS map_id, 'tableName' AS source_type, 'main.shop.t' || c_custkey AS source,
- '{X}t' || c_custkey || '/{{id}}' AS s_template, '{X}' || c_mktsegment AS s_class, c_custkey IN (SELECT k FROM stubs) AS has_stubs,
+ '{X}t' || c_custkey || '/{{id}}' AS s_template, '{X}' || c_mktsegment AS s_class, FALSE AS has_stubs,
  '{X}p' || o_orderkey AS predicate, kind AS om_type,
  CASE WHEN kind = 'column' THEN 'c' || o_orderkey END AS "column", CASE WHEN kind = 'template' THEN 'x{{c' || o_orderkey || '}}' END AS template,
  CASE WHEN kind = 'column' THEN '{XSD.integer}' WHEN kind = 'template' THEN '' END AS datatype,
+ CASE WHEN kind = 'column' THEN '' WHEN kind = 'template' AND o_orderpriority = '1-URGENT' THEN 'en' WHEN kind = 'template' THEN '' END AS language,
  CASE WHEN kind = 'parentJoin' THEN '#T' || (o_custkey // 2) END AS parent_map,
- CASE WHEN kind = 'parentJoin' THEN 'c' || o_orderkey END AS child, CASE WHEN kind = 'parentJoin' THEN 'id' END AS parent
+ CASE WHEN kind = 'parentJoin' THEN 'c' || o_orderkey || '=id' END AS pairs
 FROM customer LEFT JOIN (SELECT *, CASE WHEN o_orderstatus = 'F' THEN 'column' WHEN o_orderstatus = 'O' THEN 'parentJoin'
- WHEN o_orderpriority = '1-URGENT' THEN 'stub' ELSE 'template' END AS kind FROM orders) ON o_custkey = c_custkey""")
+ ELSE 'template' END AS kind FROM orders) ON o_custkey = c_custkey""")
 def _(spark, sf):
     return flat(catalog.mapping_from_triples(mapping_triples(spark, sf)))
 
 
+FULL_MAPPING = """
+<http://m#Customer> <{rdf}type> <{rr}TriplesMap> .
+<http://m#Customer> <{rr}logicalTable> _:t1 .
+_:t1 <{rr}tableName> "customer" .
+<http://m#Customer> <{rr}subjectMap> _:s1 .
+_:s1 <{rr}template> "{x}customer/{{c_custkey}}" .
+_:s1 <{rr}class> <{x}Buyer> .
+_:s1 <{rr}class> <{x}Party> .
+_:s1 <{rr}graphMap> _:g1 .
+_:g1 <{rr}template> "{x}segment/{{c_mktsegment}}" .
+<http://m#Customer> <{rr}predicateObjectMap> _:p1 .
+_:p1 <{rr}predicate> <{x}name> .
+_:p1 <{rr}predicate> <{x}title> .
+_:p1 <{rr}objectMap> _:o1 .
+_:o1 <{rr}column> "c_name" .
+_:o1 <{rr}language> "en" .
+_:p1 <{rr}objectMap> _:o2 .
+_:o2 <{rr}template> "No. {{c_custkey}}" .
+_:o2 <{rr}termType> <{rr}Literal> .
+_:p1 <{rr}object> "fixed"^^<{xsd}token> .
+<http://m#Customer> <{rr}predicateObjectMap> _:p2 .
+_:p2 <{rr}predicateMap> _:q2 .
+_:q2 <{rr}constant> <{x}kind> .
+_:p2 <{rr}object> <{x}Thing> .
+<http://m#Line> <{rr}logicalTable> _:t2 .
+_:t2 <{rr}SQLQuery> "SELECT DISTINCT l_orderkey, l_partkey, l_suppkey FROM lineitem" .
+<http://m#Line> <{rr}subjectMap> _:s2 .
+_:s2 <{rr}template> "{x}line/{{l_orderkey}}/{{l_partkey}}/{{l_suppkey}}" .
+_:s2 <{rr}graph> <{x}lines> .
+<http://m#Line> <{rr}predicateObjectMap> _:p3 .
+_:p3 <{rr}predicate> <{x}supply> .
+_:p3 <{rr}objectMap> _:o3 .
+_:o3 <{rr}parentTriplesMap> <http://m#Supply> .
+_:o3 <{rr}joinCondition> _:j1 .
+_:j1 <{rr}child> "l_partkey" .
+_:j1 <{rr}parent> "pk" .
+_:o3 <{rr}joinCondition> _:j2 .
+_:j2 <{rr}child> "l_suppkey" .
+_:j2 <{rr}parent> "sk" .
+<http://m#Supply> <{rr}logicalTable> _:t3 .
+_:t3 <{rr}SQLQuery> "SELECT DISTINCT l_partkey AS pk, l_suppkey AS sk FROM lineitem WHERE l_returnflag = 'R'" .
+<http://m#Supply> <{rr}subjectMap> _:s3 .
+_:s3 <{rr}template> "{x}supply/{{pk}}/{{sk}}" .
+"""
+
+
+def full_mapping(spark):
+    """A mapping with several classes, predicates and objects, a language, constants, graphs and a composite join."""
+    text = FULL_MAPPING.strip().format(rdf=str(RDF), rr=R, x=X, xsd=str(XSD))
+    return parse_ntriples(spark.createDataFrame([(line,) for line in text.split("\n")], "value string"))
+
+
+_C = f"'{X}segment/' || c_mktsegment AS g, '{X}customer/' || c_custkey AS s"
+_L = f"'{X}lines' AS g, '{X}line/' || l.l_orderkey || '/' || l.l_partkey || '/' || l.l_suppkey AS s"
+FULL_SQL = " UNION ALL ".join(
+    [f"SELECT {_C}, '{RDF.type}' AS p, '{X}{c}' AS o, CAST(NULL AS VARCHAR) AS o_dt, CAST(NULL AS VARCHAR) AS o_lang FROM customer" for c in ("Buyer", "Party")]
+    + [f"SELECT {_C}, '{X}{p}', {o}, {dt}, {lang} FROM customer" for p in ("name", "title") for o, dt, lang in (
+        ("c_name", "NULL", "'en'"), ("'No. ' || c_custkey", f"'{XSD.string}'", "NULL"), ("'fixed'", f"'{XSD.token}'", "NULL"))]
+    + [f"SELECT {_C}, '{X}kind', '{X}Thing', NULL, NULL FROM customer",
+       f"SELECT {_L}, '{X}supply', '{X}supply/' || pk || '/' || sk, NULL, NULL FROM "
+       "(SELECT DISTINCT l_orderkey, l_partkey, l_suppkey FROM lineitem) l JOIN "
+       "(SELECT DISTINCT l_partkey AS pk, l_suppkey AS sk FROM lineitem WHERE l_returnflag = 'R') ON l_partkey = pk AND l_suppkey = sk"])
+
+
+def full_graph(spark, sf, triples):
+    names = {"customer": frame(spark, sf, "customer"), "lineitem": frame(spark, sf, "lineitem")}
+    frame(spark, sf, "lineitem").createOrReplaceTempView("lineitem")
+    spec = catalog.mapping_spec(catalog.mapping_from_triples(triples), {"#Customer": ("c_custkey",)})
+    return KG(spark, spec, tables=Tables(spark, names)).triples(quads=True).select("g", "s", "p", "o", "o_dt", "o_lang")
+
+
+@query("m18_whole_mapping", FULL_SQL)
+def _(spark, sf):
+    """A mapping read from its triples gives every triple that it says."""
+    return full_graph(spark, sf, full_mapping(spark))
+
+
+@query("m18_written_mapping", FULL_SQL)
+def _(spark, sf):
+    """Read, written as triples again, and read: nothing is lost on the way."""
+    rows = catalog.mapping_from_triples(full_mapping(spark))
+    return full_graph(spark, sf, catalog.catalog_to_triples(rows, "http://m"))
+
+
 @query("m19_merge", f"""
 SELECT '{X}order/' || o_orderkey AS s, '{X}orderStatus' AS p, o_orderstatus AS o FROM orders
 UNION ALL SELECT '{X}order/' || o_orderkey, '{X}placedBy', '{X}customer/' || o_custkey FROM orders""")
@@ -143,21 +231,31 @@ def metadata(spark, sf):
     return columns, pk, fk
 
 
-@query("m22_bootstrap", f"""
+BOOTSTRAP_SQL = f"""
 WITH o AS (SELECT *, 'main.shop.t' || o_custkey AS t, '{X}main.shop.t' || o_custkey AS b, 'c%20' || o_orderkey AS e FROM orders),
 key AS (SELECT o_custkey AS k, string_agg('c%20' || o_orderkey || '={{c ' || o_orderkey || '}}', ';' ORDER BY o_orderkey) AS slots
         FROM orders a WHERE o_orderstatus = 'P' OR NOT EXISTS (SELECT 1 FROM orders b WHERE b.o_custkey = a.o_custkey AND b.o_orderstatus = 'P') GROUP BY 1)
 SELECT '#' || t AS map_id, 'tableName' AS source_type, t AS source, b || '/' || slots AS s_template, b AS s_class, FALSE AS has_stubs,
  b || '#' || e AS predicate, 'column' AS om_type, 'c ' || o_orderkey AS "column", CAST(NULL AS VARCHAR) AS template,
  CASE o_orderstatus WHEN 'F' THEN '{XSD.integer}' WHEN 'O' THEN '{XSD.decimal}' ELSE '' END AS datatype,
- CAST(NULL AS VARCHAR) AS parent_map, CAST(NULL AS VARCHAR) AS child, CAST(NULL AS VARCHAR) AS parent
+ '' AS language, CAST(NULL AS VARCHAR) AS parent_map, CAST(NULL AS VARCHAR) AS pairs
 FROM o JOIN key ON k = o_custkey
-UNION ALL SELECT '#' || t, 'tableName', t, b || '/' || slots, b, FALSE, b || '#ref-' || e, 'parentJoin', NULL, NULL, NULL,
- '#main.shop.t' || o_orderkey, 'c ' || o_orderkey, 'id' FROM o JOIN key ON k = o_custkey WHERE o_orderstatus = 'O'""")
+UNION ALL SELECT '#' || t, 'tableName', t, b || '/' || slots, b, FALSE, b || '#ref-' || e, 'parentJoin', NULL, NULL, NULL, NULL,
+ '#main.shop.t' || o_orderkey, 'c ' || o_orderkey || '=id' FROM o JOIN key ON k = o_custkey WHERE o_orderstatus = 'O'"""
+
+
+@query("m22_bootstrap", BOOTSTRAP_SQL)
 def _(spark, sf):
     return flat(md.bootstrap_mapping(*metadata(spark, sf), X))
 
 
+@query("m22_bootstrap_written", BOOTSTRAP_SQL)
+def _(spark, sf):
+    """A bootstrapped mapping written as triples and read back."""
+    rows = md.bootstrap_mapping(*metadata(spark, sf), X)
+    return flat(catalog.mapping_from_triples(catalog.catalog_to_triples(rows, X)))
+
+
 def listing(spark, sf):
     c = frame(spark, sf, "customer")
     fqn = F.when(F.col("c_nationkey") > 2, F.concat(F.lit("main.shop.t"), F.col("c_custkey").cast("string")))
@@ -186,9 +284,7 @@ def _(spark, sf):
 
 @query("m25_validate", """
 SELECT '#T' || o_custkey AS map_id, 'no such column' AS problem, 'main.shop.t' || o_custkey || '.c' || o_orderkey AS detail
- FROM orders WHERE o_orderstatus IN ('F', 'O')
-UNION ALL SELECT '#T' || o_custkey, 'no such column', 'main.shop.t' || o_custkey || '.c' || o_orderkey
- FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority <> '1-URGENT'
+ FROM orders
 UNION ALL SELECT '#T' || c_custkey, 'no such column', 'main.shop.t' || c_custkey || '.id' FROM customer
  WHERE c_custkey IN (SELECT o_custkey FROM orders)
 UNION ALL SELECT * FROM (SELECT DISTINCT '#T' || o_custkey, 'no such column', 'main.shop.t' || (o_custkey // 2) || '.id' FROM orders

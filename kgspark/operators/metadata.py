@@ -5,15 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kgspark.operators.catalog import pom_struct
 from kgspark.session import materialize
 from kgspark.sources.prefixes import map_id
 from kgspark.terms import XSD, enc
 
 COLUMNS_DDL = "table_fqn string, pos int, name string, type string, comment string"
-MAPPING_DDL = """map_id string, source_type string, source string, s_template string, s_column string,
- s_class string, poms array<struct<predicate:string, om_type:string, `column`:string, template:string,
- constant:string, is_iri:boolean, datatype:string, parent_map:string,
- `join`:array<struct<child:string, parent:string>>>>, has_stubs boolean"""
 # SQL type names and the RDF datatype of their columns; others are strings.
 TYPE_DATATYPES = {
     "boolean": "boolean", "tinyint": "integer", "smallint": "integer", "int": "integer", "integer": "integer",
@@ -111,16 +108,8 @@ def bootstrap_mapping(columns: DataFrame, pk: DataFrame, fk: DataFrame, base_iri
     follow the W3C direct mapping: ``<base table>``, ``<base table#column>``, ``<base table#ref-…>``.
     """
     iri = F.concat(F.lit(base_iri), enc(F.col("table_fqn")))
-    none = F.lit(None).cast("string")
-    no_join = F.lit(None).cast("array<struct<child:string,parent:string>>")
-
-    def pom(**given: Column) -> Column:
-        blank = {"predicate": none, "om_type": none, "column": none, "template": none, "constant": none,
-                 "is_iri": F.lit(None).cast("boolean"), "datatype": none, "parent_map": none, "join": no_join}
-        return F.struct(*[c.alias(n) for n, c in {**blank, **given}.items()])
-
-    literal = pom(predicate=F.concat(iri, F.lit("#"), enc(F.col("name"))), om_type=F.lit("column"),
-                  column=F.col("name"), datatype=_datatype(F.col("type")))
+    literal = pom_struct(predicate=F.concat(iri, F.lit("#"), enc(F.col("name"))), om_type=F.lit("column"),
+                         column=F.col("name"), datatype=_datatype(F.col("type")), language=F.lit(""), term_type=F.lit(""))
     props = columns.groupBy("table_fqn").agg(
         F.sort_array(F.collect_list(F.struct("pos", literal.alias("pom")))).alias("literals"),
         F.sort_array(F.collect_list(F.struct("pos", F.col("name").alias("column")))).alias("all_columns"))
@@ -129,7 +118,7 @@ def bootstrap_mapping(columns: DataFrame, pk: DataFrame, fk: DataFrame, base_iri
         F.sort_array(F.collect_list(F.struct("pos", F.col("child_column").alias("child"),
                                              F.col("parent_column").alias("parent")))).alias("pairs"))
     child_names = F.array_join(F.transform("pairs", lambda x: enc(x["child"])), ";")
-    link = pom(predicate=F.concat(iri, F.lit("#ref-"), child_names), om_type=F.lit("parentJoin"),
+    link = pom_struct(predicate=F.concat(iri, F.lit("#ref-"), child_names), om_type=F.lit("parentJoin"),
                parent_map=map_id(F.col("parent_fqn")),
                join=F.transform("pairs", lambda x: F.struct(x["child"].alias("child"), x["parent"].alias("parent"))))
     links = links.groupBy("table_fqn").agg(F.sort_array(F.collect_list(F.struct("fk_id", link.alias("pom")))).alias("links"))
@@ -141,8 +130,8 @@ def bootstrap_mapping(columns: DataFrame, pk: DataFrame, fk: DataFrame, base_iri
     return rows.select(map_id(F.col("table_fqn")).alias("map_id"), F.lit("tableName").alias("source_type"),
                        F.col("table_fqn").alias("source"),
                        F.concat(iri, F.lit("/"), F.array_join(subject, ";")).alias("s_template"),
-                       F.lit("").alias("s_column"), iri.alias("s_class"), poms.alias("poms"),
-                       F.lit(False).alias("has_stubs"))
+                       F.lit("").alias("s_column"), F.array(iri).alias("s_classes"), F.lit("").alias("graph"),
+                       poms.alias("poms"), F.array().cast("array<string>").alias("problems"), F.lit(False).alias("has_stubs"))
 
 
 def validate_mapping(mapping: DataFrame, columns: DataFrame) -> DataFrame:

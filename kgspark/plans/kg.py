@@ -99,14 +99,16 @@ class KG:
         if isinstance(om, IriColumn):
             return self._node(om, df), df, (), False
         if isinstance(om, TemplateObj):
-            if om.dt is None:
+            if om.dt is None and om.lang is None:
                 return self._node(om.template, df), df, (), False
             cols = [tm.lexical(qcol(c), df.schema[c].dataType) for c in om.template.columns]
             text = om.template.render_text(cols)
+            if om.lang:
+                return Term(text, tm.literal_type(lang=om.lang)), df, (), False
             target = tm.spark_type_of(om.dt)
             return Term(text if target == "string" else text.try_cast(target), tm.literal_type(om.dt)), df, (), False
         if isinstance(om, ConstObj):
-            value = IRI(om.value) if om.is_iri else (tm.Lit(om.value, om.dt) if om.dt else om.value)
+            value = IRI(om.value) if om.is_iri else (tm.Lit(om.value, om.dt, om.lang) if om.dt or om.lang else om.value)
             col, rdf_type = tm.python_literal(value)
             return Term(col, rdf_type, const=str(value) if om.is_iri else None), df, (), False
         return self._parent(m, om, df)
@@ -408,7 +410,7 @@ class KG:
         if isinstance(om, RefObj):
             return self.mapping.by_id(om.parent).subject
         if isinstance(om, TemplateObj):
-            return om.template if om.dt is None else None
+            return om.template if om.dt is None and om.lang is None else None
         if isinstance(om, ConstObj):
             return IriColumn("") if om.is_iri else None
         return om if isinstance(om, IriColumn) else None

@@ -76,12 +76,16 @@ class ColumnObj:
 
 @dataclass(frozen=True)
 class TemplateObj:
+    """An IRI; a literal where a datatype or a language is given."""
+
     template: Template
     dt: str | None = None
+    lang: str | None = None
 
-    def __init__(self, template: str | Template, dt: str | None = None):
+    def __init__(self, template: str | Template, dt: str | None = None, lang: str | None = None):
         object.__setattr__(self, "template", template if isinstance(template, Template) else Template(template))
         object.__setattr__(self, "dt", dt)
+        object.__setattr__(self, "lang", lang)
 
 
 @dataclass(frozen=True)
@@ -89,6 +93,7 @@ class ConstObj:
     value: object
     is_iri: bool = False
     dt: str | None = None
+    lang: str | None = None
 
 
 @dataclass(frozen=True)

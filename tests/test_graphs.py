@@ -94,7 +94,10 @@ def test_read_mapping_from_rdf(spark):
     assert (link.parent_map, [(j.child, j.parent) for j in link.join]) == ("#Dept", [("dept", "id")])
     assert (age.column, age.datatype) == ("age", XSD.integer) and not person.has_stubs
     odd = rows["#Odd"]
-    assert (odd.source_type, odd.has_stubs, odd.poms[0].om_type, odd.poms[0].column) == ("unknown", True, "column", "")
+    assert (odd.source_type, odd.has_stubs, odd.poms[0].om_type, odd.poms[0].column) == ("unknown", True, "stub", None)
+    assert odd.problems == ["no logical table", "no object", "no predicate"]
+    with pytest.raises(ValueError, match="#Odd cannot be held: no logical table"):
+        catalog.mapping_spec(mapping_rows(spark))
 
 
 def test_query_a_mapping_read_from_rdf(spark):
