@@ -204,6 +204,45 @@ def _(spark, sf):
     return kg.match("?c", EX.custKey, "?k").select("c").optional(pending).join(counts)
 
 
+TWO_UNBOUND = """
+WITH a AS (SELECT c_custkey AS k, CASE WHEN CAST(c_acctbal AS DECIMAL(18,2)) > 0 THEN CAST(c_acctbal AS DECIMAL(18,2)) END AS x,
+           CASE WHEN c_nationkey < 10 THEN c_nationkey END AS y FROM customer),
+b AS (SELECT s_suppkey AS sk, CASE WHEN CAST(s_acctbal AS DECIMAL(18,2)) > 5000 THEN CAST(s_acctbal AS DECIMAL(18,2)) END AS x,
+      CASE WHEN s_nationkey > 4 THEN s_nationkey END AS y FROM supplier),
+pairs AS (SELECT k, sk, a.x IS NOT NULL OR b.x IS NOT NULL AS has_x, coalesce(a.y, b.y) AS y FROM a JOIN b
+          ON (a.x IS NULL OR b.x IS NULL OR a.x = b.x) AND (a.y IS NULL OR b.y IS NULL OR a.y = b.y))
+"""
+
+
+def two_unbound(spark, sf):
+    """Customers and suppliers, each with a balance and a nation that may be unbound."""
+    kg = order_graph(spark, sf)
+
+    def side(key, name, low, nation):
+        out = kg.match("?s", key, f"?{name}").optional(kg.match("?s", EX.accountBalance, "?x").filter(lambda r: r.x > low))
+        return out.optional(kg.match("?s", EX.nationKey, "?y").filter(nation)).select(name, "x", "y")
+
+    return (side(EX.custKey, "k", 0, lambda r: r.y < 10),
+            kg.match("?s", RDF.type, EX.Supplier).join(kg.match("?s", EX.supplierKey, "?sk")).optional(
+                kg.match("?s", EX.accountBalance, "?x").filter(lambda r: r.x > 5000)).optional(
+                kg.match("?s", EX.nationKey, "?y").filter(lambda r: r.y > 4)).select("sk", "x", "y"))
+
+
+@query("j3_two_unbound", TWO_UNBOUND + "SELECT k, count(*) AS n, count(DISTINCT y) AS nations, count(*) FILTER (has_x) AS balances FROM pairs GROUP BY k")
+def _(spark, sf):
+    """Two shared variables, both of which may be unbound on either side."""
+    a, b = two_unbound(spark, sf)
+    out = a.join(b).bind("b", lambda r: fn.if_(fn.bound(r.x), 1, 0))
+    return out.group_by("k").agg(n=agg.count(), nations=agg.count_distinct("y"), balances=agg.sum("b"))
+
+
+@query("j3_two_unbound_optional", TWO_UNBOUND + """
+SELECT a.k, count(p.sk) AS n FROM a LEFT JOIN pairs p ON p.k = a.k AND p.sk < a.k GROUP BY a.k""")
+def _(spark, sf):
+    a, b = two_unbound(spark, sf)
+    return a.optional(b, where=lambda r: r.sk < r.k).group_by("k").agg(n=agg.count("sk"))
+
+
 @query("j4_minus", f"""
 SELECT '{X}customer/' || c_custkey AS c FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE user_id IS NOT NULL)""")
 def _(spark, sf):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kgspark import terms as tm
 from kgspark.functions.agg import Agg
 from kgspark.plans import branch as br
+from kgspark.plans import loose
 from kgspark.plans.branch import Branch, Var
 from kgspark.plans.expr import Row, Term, term
 from kgspark.session import materialize
@@ -224,26 +225,22 @@ class Bindings:
             if not rights:
                 out.append(a)
                 continue
-            shared = [n for n in a.vars if any(n in b.vars for b in rights)]
-            for x in a.null_parts(shared):
-                for b in rights:
-                    for y in b.null_parts(shared):
-                        if br.shared_vars(x, y) or not needs_shared:
-                            x = br.semi(x, y, "left_anti", where)
-                out.append(x)
+            for b in rights:
+                if needs_shared and loose.is_loose(a, b):  # what they share must be bound in both
+                    a = loose.semi(a, b, "left_anti", where, needs_shared=True)
+                elif br.shared_vars(a, b) or not needs_shared:
+                    a = br.semi(a, b, "left_anti", where)
+            out.append(a)
         return self._with(out, None, self._patterns + other._patterns)
 
     def exists(self, other: "Bindings", where=None) -> "Bindings":
         out = []
         for a in self.branches:
             rights = _probe(a, other, where)
-            shared = [n for n in a.vars if any(n in b.vars for b in rights)]
-            for x in a.null_parts(shared):
-                parts = [y for b in rights for y in b.null_parts(shared)]
-                for i, y in enumerate(parts):
-                    out.append(br.semi(x, y, "left_semi", where))
-                    if i + 1 < len(parts):
-                        x = br.semi(x, y, "left_anti", where)
+            for i, b in enumerate(rights):
+                out.append(br.semi(a, b, "left_semi", where))
+                if i + 1 < len(rights):
+                    a = br.semi(a, b, "left_anti", where)
         return self._with(out, None, self._patterns + other._patterns)
 
     def values(self, names, rows) -> "Bindings":

@@ -10,7 +10,6 @@ from __future__ import annotations
 import warnings
 from dataclasses import dataclass, field, replace
 from functools import reduce
-from itertools import product as combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -199,23 +198,6 @@ class Branch:
             return self  # rows are already told apart by a declared key
         return Branch(self.spark, self.vars, self.df.select(*self.physical()).distinct(), consts=self.consts)
 
-    def null_parts(self, names) -> list["Branch"]:
-        """Split by which of ``names`` are unbound; in each part a name is non-null or absent."""
-        nullable = [n for n in names if n in self.vars and self.vars[n].nullable]
-        if not nullable:
-            return [self]
-        parts = []
-        for mask in combinations((True, False), repeat=len(nullable)):
-            part = self
-            for n, is_bound in zip(nullable, mask):
-                bound = part.term(n).bound
-                part = part.where(bound if is_bound else ~bound)
-            absent = {n for n, is_bound in zip(nullable, mask) if not is_bound}
-            part = part.keep([n for n in self.vars if n not in absent])
-            part.vars = {n: (replace(i, nullable=False) if n in nullable else i) for n, i in part.vars.items()}
-            parts.append(part)
-        return parts
-
 
 # -- union ------------------------------------------------------------------------------------
 
@@ -358,10 +340,11 @@ def _in_list(a: Branch, b: Branch) -> Branch | None:
 
 
 def join(a: Branch, b: Branch) -> list[Branch]:
-    """Natural join of compatible solutions; a list because unbound cases are kept apart."""
+    """Natural join of compatible solutions; empty when there can be none."""
     shared = shared_vars(a, b)
     if any(a.vars[n].nullable or b.vars[n].nullable for n in shared):
-        return [r for x in a.null_parts(shared) for y in b.null_parts(shared) for r in join(x, y)]
+        from kgspark.plans import loose
+        return loose.join(a, b)
     if not shared:
         return [product(a, b)]
     merged = merge_scans(a, b)
@@ -406,8 +389,11 @@ def _theta(a: Branch, b: Branch, how: str, where) -> DataFrame:
 
 
 def semi(a: Branch, b: Branch, how: str, where=None) -> Branch:
-    """``how``: left_semi or left_anti. Shared variables are non-null on both sides."""
+    """``how``: left_semi or left_anti."""
     shared = shared_vars(a, b)
+    if any(a.vars[n].nullable or b.vars[n].nullable for n in shared):
+        from kgspark.plans import loose
+        return loose.semi(a, b, how, where)
     if not shared:
         if where is not None:  # equal rows have equal partners, so the rows themselves are the key
             cols = a.physical()
@@ -435,18 +421,14 @@ def left_join(a: Branch, b: Branch, where=None) -> list[Branch]:
     """OPTIONAL: rows of ``a`` with their matches in ``b``, or alone."""
     shared = shared_vars(a, b)
     extra = [n for n in b.vars if n not in a.vars]
-    if any(a.vars[n].nullable or b.vars[n].nullable for n in shared) or not shared:
-        out = []
-        for x in a.null_parts(shared):
-            rest = x
-            for y in b.null_parts(shared):
-                matched = join(x, y)
-                if where is not None:
-                    matched = [m.where(where(m.row()).truth()) for m in matched]
-                out += matched
-                rest = semi(rest, y, "left_anti", where)
-            out.append(rest)
-        return out
+    if any(a.vars[n].nullable or b.vars[n].nullable for n in shared):
+        from kgspark.plans import loose
+        return loose.left_join(a, b, where)
+    if not shared:
+        matched = join(a, b)
+        if where is not None:
+            matched = [m.where(where(m.row()).truth()) for m in matched]
+        return [*matched, semi(a, b, "left_anti", where)]
     optional = _nullable_columns(a, b, extra, where)
     if optional:
         return [optional]

@@ -34,6 +34,27 @@ def test_joins_with_unbound_variables(spark, seed):
     assert bag(a.not_exists(b)) == rows_of(brute_exists(da, db, False), A)
 
 
+def test_three_shared_unbound_variables(spark):
+    """Any number of them: right answers, and no more scans of a side."""
+    rng = random.Random(9)
+    names_a, names_b, all_names = ["x", "y", "z", "a"], ["x", "y", "z", "b"], ["x", "y", "z", "a", "b"]
+    left = [(*(rng.choice([None, 1, 2]) for _ in "xyz"), i) for i in range(14)]
+    right = [(*(rng.choice([None, 1, 2]) for _ in "xyz"), i) for i in range(12)]
+    a, b = solutions(spark, names_a, left), solutions(spark, names_b, right)
+    da, db = as_dicts(names_a, left), as_dicts(names_b, right)
+    assert bag(a.join(b)) == rows_of(brute_join(da, db), all_names)
+    smaller = lambda d: d["b"] < d["a"]
+    assert bag(a.optional(b, where=lambda r: r.b < r.a)) == rows_of(brute_optional(da, db, smaller), all_names)
+    assert bag(a.minus(b)) == rows_of(brute_minus(da, db), names_a)
+    assert bag(a.exists(b)) == rows_of(brute_exists(da, db), names_a)
+    firm = lambda q, n: q.filter(lambda r: fn.bound(r.x))
+    assert bag(firm(a, "x").optional(firm(b, "x"), where=lambda r: r.b < r.a)) == rows_of(
+        brute_optional([d for d in da if "x" in d], [d for d in db if "x" in d], smaller), all_names)
+    plan = a.join(b).df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("LocalTableScan") + plan.count("Scan ExistingRDD") <= 2
+    assert len(a.join(b).branches) == 1 and len(a.optional(b).branches) <= 2
+
+
 @pytest.mark.parametrize("bound", [True, False])
 def test_optional_filter_sees_outer_variables(spark, bound):
     left, right = [(1, 5), (2, 5)], [(1, 4), (1, 6), (2, 9)]
