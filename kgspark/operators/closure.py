@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,14 +50,21 @@ def _doubling(edges: DataFrame, max_depth: int | None) -> DataFrame:
 
 
 def _walk(edges: DataFrame, sources: DataFrame, max_depth: int | None) -> DataFrame:
-    """Pairs from some start nodes: one more edge per round, from the newest pairs only."""
+    """Pairs from some start nodes: one more edge per round, from the newest pairs only.
+
+    What is known is kept in parts that are merged two by two, like digits that carry: there are as many as
+    the logarithm of the rounds, and a pair is rewritten as often.
+    """
     hop = edges.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
     delta = materialize(edges.join(sources.select("src").distinct(), "src", "left_semi"))
-    known, depth = delta, 1
+    parts, depth = [(0, delta)], 1
     while max_depth is None or depth < max_depth:
         step = delta.join(hop, "dst").select("src", F.col("next").alias("dst")).distinct()
-        delta = materialize(step.join(known, ["src", "dst"], "left_anti"))
+        delta = materialize(step.join(reduce(DataFrame.union, [p for _, p in parts]), ["src", "dst"], "left_anti"))
         if delta.isEmpty():
             break
-        known, depth = known.union(delta), depth + 1
-    return known
+        parts, depth = [*parts, (0, delta)], depth + 1
+        while len(parts) > 1 and parts[-1][0] == parts[-2][0]:
+            (rank, a), (_, b) = parts.pop(), parts.pop()
+            parts.append((rank + 1, materialize(a.union(b))))
+    return reduce(DataFrame.union, [p for _, p in parts])

@@ -37,12 +37,13 @@ def test_read_statements(spark):
 @pytest.mark.parametrize("bad", ["<http://s> <http://p> .", '<http://s> "p" <http://o> .', "nonsense", '<http://s> <http://p> "a"b" .',
                                  "<http://s> <http://p> <http://o>"])
 def test_malformed(spark, tmp_path, bad):
-    assert nt.malformed(lines(spark, LINES + [bad])).collect()[0].value == bad
+    rows = nt.parse_lines(lines(spark, [*LINES, bad])).collect()
+    assert [r.bad_line for r in rows if r.bad_line] == [bad] and all(r.s for r in rows if not r.bad_line)
     with pytest.raises(Exception, match="malformed statement"):
         nt.parse_ntriples(lines(spark, [bad])).collect()
     path = tmp_path / "x.nt"
-    path.write_text(bad + "\n")
-    assert nt.read_ntriples(spark, str(path)) is None
+    path.write_text(bad + "\n" + LINES[3] + "\n")
+    assert nt.read_ntriples(spark, str(path), keep_bad_lines=True).where("bad_line IS NULL").count() == 1
 
 
 def test_missing_file_is_unavailable(spark, tmp_path):
