@@ -264,9 +264,11 @@ def links(nodes: DataFrame, masks: list[tuple[int, ...]], radius: int, *, forest
     keys = F.array(*[F.xxhash64(F.lit(t), *[F.col(f).bitwiseAND(signed(m)) for f, m in zip(shown, mask)])
                      for t, mask in enumerate(masks)])
     keyed = nodes.select("node", *shown, F.explode(keys).alias("cell"))
-    sizes = (nodes.select(F.explode(keys).alias("cell")).groupBy("cell").count().where("count > 1")
-             .select("cell", F.ceil(F.col("count") / block).cast("bigint").alias("parts")))
-    keyed = keyed.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("node"), "parts"))
+    # Few groups are above the block size; nodes that are alone in a group are left out by the comparison.
+    hot = (nodes.select(F.explode(keys).alias("cell")).groupBy("cell").count().where(F.col("count") > block)
+           .select("cell", F.ceil(F.col("count") / block).cast("bigint").alias("parts")))
+    keyed = keyed.join(hot, "cell", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("bigint")))
+    keyed = keyed.withColumn("part", F.pmod(F.xxhash64("node"), "parts"))
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))
     cells = (keyed.select("cell", "node", *shown, "part", other.alias("other"))
              .select("cell", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", *shown))
