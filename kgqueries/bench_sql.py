@@ -41,4 +41,28 @@ WHERE CAST(l_shipdate AS DATE) < CAST(o_orderdate AS DATE) GROUP BY 1""",
 SELECT concat('{X}order/', o_orderkey), concat('{X}region/', n_regionkey) FROM t_orders
 JOIN t_customer ON o_custkey = c_custkey JOIN t_nation ON c_nationkey = n_nationkey""",
     "o3_top_k": "SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS p FROM t_orders ORDER BY 2 DESC, 1 LIMIT 25",
+    "j1_optional_filter": f"""
+SELECT concat('{X}order/', o_orderkey), CASE WHEN l_orderkey IS NOT NULL THEN concat('{X}lineitem-row/', md5(concat_ws('|', l_orderkey,
+l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate))) END
+FROM t_orders LEFT JOIN t_lineitem ON l_orderkey = o_orderkey AND CAST(l_shipdate AS DATE) < CAST(o_orderdate AS DATE)""",
+    "p4_bounded": f"""
+WITH e AS (SELECT p_partkey AS a, p_partkey DIV 2 AS b FROM t_part WHERE p_partkey > 0)
+SELECT concat('{X}part/', a), concat('{X}part/', b) FROM e
+UNION ALL SELECT concat('{X}part/', e1.a), concat('{X}part/', e2.b) FROM e e1 JOIN e e2 ON e1.b = e2.a
+UNION ALL SELECT concat('{X}part/', e1.a), concat('{X}part/', e3.b) FROM e e1 JOIN e e2 ON e1.b = e2.a JOIN e e3 ON e2.b = e3.a""",
+    "a1_count": "SELECT c_mktsegment, count(*), count(event_id) FROM t_customer LEFT JOIN t_events ON user_id = c_custkey GROUP BY 1",
+    "a2_count_distinct_solutions": "SELECT count(*) FROM (SELECT DISTINCT l_partkey, l_suppkey FROM t_lineitem)",
+    "q3_construct": f"""
+SELECT DISTINCT * FROM (
+SELECT concat('{X}customer/', c_custkey) AS s, 'iri', '{X}lastSeen', event_type, 'literal', 'string', NULL FROM t_customer JOIN t_events ON user_id = c_custkey
+UNION ALL SELECT concat('{X}customer/', c_custkey), 'iri', '{X}segment', c_mktsegment, 'literal', 'string', NULL FROM t_customer
+UNION ALL SELECT concat('{X}customer/', c_custkey), 'iri', '{X}did', concat('{X}event/', event_id), 'iri', NULL, NULL
+FROM t_customer JOIN t_events ON user_id = c_custkey)""",
+    "s6_sparql_json": f"""
+SELECT to_json(named_struct('c', named_struct('type', 'uri', 'value', concat('{X}customer/', c_custkey)),
+'name', named_struct('type', 'literal', 'value', c_name, 'datatype', 'string'),
+'o', CASE WHEN o_orderkey IS NOT NULL THEN named_struct('type', 'uri', 'value', concat('{X}order/', o_orderkey)) END,
+'total', CASE WHEN o_orderkey IS NOT NULL THEN named_struct('type', 'literal', 'value', CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING),
+'datatype', 'decimal') END)) FROM t_customer LEFT JOIN t_orders ON o_custkey = c_custkey""",
+    "x41_md5": "SELECT concat('doc/', doc_id), md5(text) FROM t_documents WHERE text IS NOT NULL",
 }

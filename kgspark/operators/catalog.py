@@ -37,15 +37,15 @@ def _local(col: Column) -> Column:
     return F.substr(col, F.lit(len(str(RR)) + 1))
 
 
+SPELLINGS = {str(RR.SQLQuery): "sqlQuery"}  # another spelling that is in use
+
+
 def _nodes(rr: DataFrame) -> DataFrame:
-    """One row per node of the mapping graph: its cells by property, sorted, literals first."""
-    cell = F.struct((F.col("o_kind") != "literal").alias("late"), "o", "o_kind", "o_dt", "o_lang")
-    names = {n: [str(RR[n])] for n in (*ONE, *SEVERAL)}
-    names["sqlQuery"].append(str(RR.SQLQuery))  # another spelling that is in use
-    known = [F.sort_array(F.collect_set(F.when(F.col("p").isin(iris), cell))).alias(n) for n, iris in names.items()]
-    other = ~F.col("p").isin([*(i for iris in names.values() for i in iris), str(RR.predicateObjectMap)])
-    return rr.where(F.col("p") != str(RDF.type)).groupBy("s").agg(
-        *known, F.array_sort(F.collect_set(F.when(other, F.concat(F.lit("rr:"), _local(F.col("p")))))).alias("unknown"))
+    """One row per node of the mapping graph: its cells, sorted by property name, literals first."""
+    name = F.coalesce(*[F.when(F.col("p") == iri, F.lit(n)) for iri, n in SPELLINGS.items()], _local(F.col("p")))
+    cell = F.struct(name.alias("name"), (F.col("o_kind") != "literal").alias("late"), "o", "o_kind", "o_dt", "o_lang")
+    return (rr.where(~F.col("p").isin(str(RDF.type), str(RR.predicateObjectMap)))
+            .groupBy("s").agg(F.sort_array(F.collect_list(cell)).alias("cells")))
 
 
 def mapping_from_triples(triples: DataFrame) -> DataFrame:
@@ -62,7 +62,14 @@ def mapping_from_triples(triples: DataFrame) -> DataFrame:
     maps = rr.where(is_map | F.col("p").isin(str(RR.logicalTable), str(RR.subjectMap))).select("s").distinct()
 
     def role(name: str, *cells: str) -> DataFrame:
-        return nodes.select(F.col("s").alias(name), F.struct(*cells, "unknown").alias(f"{name}_n"))
+        """The nodes that have some of the cells, under the name of a role; the cells as arrays."""
+        def named(n: str) -> Column:
+            return F.filter("cells", lambda c: c["name"] == n).alias(n)
+
+        arrays = [named(n) for n in cells]
+        strange = F.transform(F.filter("cells", lambda c: ~c["name"].isin([*ONE, *SEVERAL])), lambda c: F.concat(F.lit("rr:"), c["name"]))
+        some = F.exists("cells", lambda c: c["name"].isin(list(cells)) | ~c["name"].isin([*ONE, *SEVERAL]))
+        return nodes.where(some).select(F.col("s").alias(name), F.struct(*arrays, strange.alias("unknown")).alias(f"{name}_n"))
 
     def first(col: Column) -> Column:
         return F.get(col, F.lit(0))["o"]
@@ -129,7 +136,7 @@ def mapping_from_triples(triples: DataFrame) -> DataFrame:
         return first(F.col(f"om_n.{name}"))
 
     fixed = F.when(F.col("x.node"), F.get(F.col("om_n.constant"), F.lit(0))).otherwise(F.struct(
-        F.lit(False).alias("late"), F.col("x.o").alias("o"), F.col("x.o_kind").alias("o_kind"), F.col("x.o_dt").alias("o_dt"), F.col("x.o_lang").alias("o_lang")))
+        F.lit("constant").alias("name"), F.lit(False).alias("late"), F.col("x.o").alias("o"), F.col("x.o_kind").alias("o_kind"), F.col("x.o_dt").alias("o_dt"), F.col("x.o_lang").alias("o_lang")))
     kind = (F.when(F.coalesce("x.node", F.lit(True)) & F.col("om_n").isNull(), F.lit("stub"))
             .when(om("parentTriplesMap").isNotNull() | F.col("join").isNotNull(), F.lit("parentJoin"))
             .when(om("column").isNotNull(), F.lit("column")).when(om("template").isNotNull(), F.lit("template"))
