@@ -2,8 +2,8 @@
 
 A byte goes if it lies in a string of ``length`` bytes that also starts in a document with a smaller id.
 
-* **Anchors.** Each window of ``length`` bytes is owned by the least, by hash, of its strings of ``length // 2``
-  bytes. Equal windows have equal owners at equal places, so that only suffixes near equal anchors need to
+* **Anchors.** Each window of ``length`` bytes is owned by the least, by 32 bits of a hash, of its strings of
+  ``length // 2`` bytes. Equal windows have equal owners at equal places, so that only suffixes near equal anchors need to
   meet. Blocks of documents first ask which of their anchors stand in more than one document; only windows
   of those are looked at further.
 * **Index family.** The windows of a range of anchors arrive in batches. A batch becomes a suffix array: its
@@ -85,17 +85,17 @@ def runs(block: Block, length: int) -> Runs:
     doc_of = block.starts[1:]
     for lo in range(0, max(0, n_bytes - length + 1), PIECE):
         hi = min(lo + PIECE, n_bytes - length + 1)  # windows lo to hi
-        least = _hash(words, gram, slice(lo, hi + wide - 1))
-        hashes, where = least, np.arange(len(least), dtype=np.int32)
+        hashes = _hash(words, gram, slice(lo, hi + wide - 1))
+        least, where = (hashes >> np.uint64(32)).astype(np.uint32), np.arange(len(hashes), dtype=np.int32)
         reach = 1
-        while reach < wide:  # the least of twice as many, until all places of a window are seen
+        while reach < wide:  # the least, or the first of equal ones, of twice as many until a whole window is seen
             step = min(reach, wide - reach)
             left, right = least[:-step], least[step:]
-            less = right < left
-            where = np.where(less, where[step:], where[:-step])
-            least = np.where(less, right, left)
+            where = np.where(right < left, where[step:], where[:-step])
+            least = np.minimum(left, right)
             reach += step
-        doc = np.searchsorted(doc_of, np.arange(lo, hi), side="right") if len(doc_of) > 1 else np.zeros(hi - lo, np.int64)
+        from_doc, to_doc = np.searchsorted(doc_of, (lo, hi - 1), side="right")
+        doc = np.repeat(np.arange(from_doc, to_doc + 1), np.diff(np.clip(block.starts[from_doc:to_doc + 2], lo, hi)))
         inside = np.flatnonzero(np.arange(lo, hi) + length <= doc_of[doc])
         if not len(inside):
             continue
