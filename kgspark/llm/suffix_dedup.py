@@ -30,7 +30,7 @@ from kgspark.llm.blocks import (NO_ID, Block, ask, cuts, grow, pack, pack_keys,
 from kgspark.llm.common import materialize, prepare
 
 PART_BYTES = 4 << 20  # text per range of anchors
-PIECE = 1 << 18  # bytes whose anchors are found together
+PIECE = 1 << 16  # bytes whose anchors are found together
 BATCH = 1 << 20  # windows of a suffix array when it enters the index family
 HOT = 4096  # documents with an anchor, from which its windows are dealt one by one
 _FACTORS = [np.uint64(f | 1) for f in (
