@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from kgqueries.model import EX, TBOX_DDL, order_graph
-from kgqueries.registry import X, frame, query
+from kgqueries.model import EX, OBJECT_PROPERTIES, TBOX_DDL, order_graph
+from kgqueries.registry import TYPE, X, frame, query
+from kgqueries.scans import GRAPH_SQL
 from kgspark import OWL, RDF, RDFS, XSD
 from kgspark.operators import check, search
 from kgspark.operators.check import VARIABLE_NS as QQ
@@ -173,8 +174,8 @@ def misfit_tbox(spark):
 
 
 def instance(spark, sf):
-    names = [RDF.type, EX.nationKey] + [EX[p] for p, _, _ in MISFIT]
-    triples = order_graph(spark, sf).triples(predicates=names, classes=[EX.Order, EX.Customer, EX.Event])
+    """Every mapped triple, line items included."""
+    triples = order_graph(spark, sf, reasoning=False).triples()
     return checker_of(spark, misfit_tbox), check.instance_patterns(triples, F.lit("shop"))
 
 
@@ -204,7 +205,12 @@ def _(spark, sf):
     return checker.domain(patterns)
 
 
-@query("c4_instance", f"SELECT DISTINCT 'shop' AS unit_id, '{X}nationKey' AS p, CAST(1 AS BIGINT) AS n FROM customer")
+_KNOWN = ", ".join(f"'{X}{p}'" for p in [m[0] for m in MISFIT] + [inverse for *_, inverse in OBJECT_PROPERTIES if inverse])
+
+
+@query("c4_instance", f"""
+SELECT DISTINCT 'shop' AS unit_id, p, CAST(1 AS BIGINT) AS n FROM ({GRAPH_SQL})
+WHERE s IS NOT NULL AND o IS NOT NULL AND p NOT IN ('{TYPE}', {_KNOWN})""")
 def _(spark, sf):
     checker, patterns = instance(spark, sf)
     return checker.incorrect_property(patterns)

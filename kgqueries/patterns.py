@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from kgqueries.model import EX, BASE, integer, order_graph, row, tbox, tbox_rows
 from kgqueries.registry import X, frame, query, tables
+from kgqueries.scans import GRAPH_SQL
 from kgspark import (IRI, KG, RDF, RDFS, Mapping, Ontology, RefObj, Source, TriplesMap, agg,
                      desc, fn, graph, path)
 
@@ -479,15 +480,11 @@ def _quote(v):
 
 
 @query("r5_tbox_facts", f"""
-SELECT '{X}nation/' || n_nationkey AS s, '{X}name' AS p, n_name AS o, 'literal' AS o_kind FROM nation
-UNION ALL SELECT '{X}customer/' || c_custkey, '{X}name', c_name, 'literal' FROM customer
+SELECT s, p, o, o_kind FROM ({GRAPH_SQL}) WHERE s IS NOT NULL AND o IS NOT NULL
 UNION ALL SELECT * FROM (VALUES {", ".join("(" + ", ".join(_quote(r[i]) for i in (0, 2, 3, 4)) + ")" for r in tbox_rows())}) t""")
 def _(spark, sf):
     """The ontology's own statements beside the data's."""
-    kg = order_graph(spark, sf, ontology=tbox(spark))
-    t = kg.triples(predicates=[EX.name], classes=[EX.Customer, EX.Nation], include_tbox=True)
-    return t.select("s", "p", "o", "o_kind")
-
+    return order_graph(spark, sf, ontology=tbox(spark)).triples(include_tbox=True).select("s", "p", "o", "o_kind")
 
 
 @query("flagship_top_customers", """

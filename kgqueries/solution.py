@@ -310,6 +310,13 @@ def _(spark, sf):
     return type_profile(web_graph(spark, sf).triples(predicates=names))
 
 
+@query("t4_graph_profile", f"""
+SELECT p, o_kind, o_dt, count(*) AS n FROM ({GRAPH_SQL}) WHERE s IS NOT NULL AND o IS NOT NULL GROUP BY ALL""")
+def _(spark, sf):
+    """What kinds of objects each predicate of the whole graph has."""
+    return type_profile(order_graph(spark, sf).triples())
+
+
 _LINE = [("lineNumber", "CAST(l_linenumber AS VARCHAR)", "integer"), ("partKey", "CAST(l_partkey AS VARCHAR)", "integer"),
          ("supplierKey", "CAST(l_suppkey AS VARCHAR)", "integer"), ("quantity", "CAST(l_quantity AS DECIMAL(18,2))", "decimal"),
          ("extendedPrice", "CAST(l_extendedprice AS DECIMAL(18,2))", "decimal"), ("discount", "CAST(l_discount AS DECIMAL(18,2))", "decimal"),
