@@ -69,11 +69,8 @@ def fuzzy_search(queries: DataFrame, index: DataFrame, limit: int = 10, ignore_c
     tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks_n - 1))))
     asked = asked.repartition(tasks, "query", "block")  # scoring is the work: keep it spread out
-    # One copy of a block serves one part of the queries; small blocks Spark broadcasts by their bytes.
-    copies = max(1, tasks // blocks_n)
-    blocks = blocks.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-    asked = asked.withColumn("copy", F.pmod(F.xxhash64("query"), F.lit(copies)).cast("int"))
-    met = asked.join(blocks, ["block", "copy"])
+    # Written, so that Spark knows the bytes: few blocks are broadcast, and many are enough to spread a shuffle.
+    met = asked.join(materialize(blocks), "block")
     met = met.withColumn("q", fold(F.col("query"))).withColumn("q_tokens", _tokens(fold(F.col("query"))))
     scored = F.transform("texts", lambda t: F.struct(
         (-score(F.col("q"), F.col("q_tokens"), t["text"], t["tokens"])).alias("s"), t["iris"].alias("iris")))
