@@ -13,8 +13,10 @@
   every two parts meet in a cell of their own, so that no task holds or compares an unbounded group. A cell
   reports the links of a spanning forest, not all its pairs.
 
-Where a similarity of texts is asked for, the fingerprints only propose: every node gets the nearest earlier
-nodes that it met, and these few pairs are kept if their sets of shingles are similar enough.
+Where a similarity of texts is asked for, the fingerprints only propose. A pair is reported by the first table
+in which it meets. The nearest earlier nodes of each node are checked by their sets of shingles, then all
+other pairs whose ends are not in one component by then. A cell with too many pairs reports the nearest ones
+and marks its nodes; marked nodes meet once more, and pairs of different components are reported without a limit.
 """
 
 from __future__ import annotations
@@ -176,15 +178,6 @@ def near_pairs(fps: np.ndarray, group: np.ndarray, radius: int, step: int = 8) -
             yield i, i + far[live][at], bits - start
 
 
-def nearest(n: int, pairs: Iterator[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray]:
-    """For each of n items the earlier item with the least distance, and that distance; -1 if none."""
-    none = np.iinfo(np.int64).max
-    best = np.full(n, none)
-    for i, j, d in pairs:
-        np.minimum.at(best, j, (d << 32) + i)
-    return np.where(best == none, -1, best & 0xFFFFFFFF), best >> 32
-
-
 def spanning(n: int, pairs: Iterator[tuple[np.ndarray, ...]]) -> np.ndarray:
     """The least index that each of n items is linked with, over any number of links."""
     label = np.arange(n)
@@ -200,13 +193,68 @@ def spanning(n: int, pairs: Iterator[tuple[np.ndarray, ...]]) -> np.ndarray:
     return label
 
 
-def _links(batches, words: int, radius: int, lanes: int, forest: bool):
+def _first_met(x: np.ndarray, y: np.ndarray, table: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """Which pairs of fingerprints do not agree in a table before the one in which they met."""
+    differ, out = x ^ y, np.zeros(len(x), bool)
+    left = np.arange(len(x))
+    for t, mask in enumerate(masks):
+        here = table[left] == t
+        out[left[here]] = True
+        left = left[~here]
+        left = left[(differ[left] & mask != 0).any(axis=1)]
+        if not len(left):
+            break
+    return out
+
+
+def _some_pairs(part: np.ndarray, pairs, masks: np.ndarray, dense: int):
+    """Rows (a, b, distance) of the pairs of a part that did not meet in a table before.
+
+    Of more than ``dense`` pairs a node, the nearest one of each node, and each node as (a, -1, 0). Parts with
+    a column of roots give all pairs whose roots differ, however many.
+    """
+    words, n = masks.shape[1], len(part)
+    fps, table = part[:, 4:4 + words].copy().view(np.uint64), part[:, 0] & 0xFFFF
+    root = part[:, 4 + words] if part.shape[1] > 4 + words else None
+    none = np.iinfo(np.int64).max
+    held, size, best, met = [], 0, None, np.zeros(n, bool)
+    for i, j, d in pairs:
+        if root is not None:
+            differ = root[i] != root[j]
+            i, j, d = i[differ], j[differ], d[differ]
+        first = _first_met(fps[i], fps[j], table[j], masks)
+        i, j, d = i[first], j[first], d[first]
+        if root is not None:
+            yield part[j, 3], part[i, 3], d
+            continue
+        held.append((i, j, d))
+        size += len(i)
+        if best is None and size > dense * n:
+            best = np.full(n, none)
+        if best is not None:
+            for i, j, d in held:
+                np.minimum.at(best, j, (d << 32) + i)
+                met[i] = met[j] = True
+            held = []
+    for i, j, d in held:
+        yield part[j, 3], part[i, 3], d
+    if best is not None:
+        j = np.flatnonzero(best != none)
+        yield part[j, 3], part[best[j] & 0xFFFFFFFF, 3], best[j] >> 32
+        yield part[met, 3], np.full(met.sum(), -1), np.zeros(met.sum(), np.int64)
+
+
+def _links(batches, names: list[str], words: int, radius: int, lanes: int, masks: np.ndarray | None, dense: int):
     """Links (a, b) within the cells of sorted batches, b the earlier node, with their distance.
 
-    They are a spanning forest of each cell (distance 0), or link each node with the nearest earlier one.
+    They are a spanning forest of each cell (distance 0), or those of ``_some_pairs`` if there are masks.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("distance", pa.int64())])
-    names = ["cell", "i", "j", "node", *(f"f{w}" for w in range(words))]
+
+    def forest(part: np.ndarray, pairs):
+        to = spanning(len(part), pairs)
+        linked = to != np.arange(len(part))
+        yield part[linked, 3], part[to[linked], 3], np.zeros(linked.sum(), np.int64)
 
     def compare(rows: np.ndarray):
         cell = np.cumsum(np.concatenate(([0], (np.diff(rows[:, :3], axis=0) != 0).any(axis=1))))
@@ -222,16 +270,10 @@ def _links(batches, words: int, radius: int, lanes: int, forest: bool):
             while stop < len(rows) and cell[stop] == cell[stop - 1]:
                 stop += 1
             part, group = rows[start:stop], cell[start:stop]
-            pairs = near_pairs(part[:, 4:].copy().view(np.uint64), group, radius)
-            if forest:
-                to, distance = spanning(len(part), pairs), np.zeros(len(part), np.int64)
-                linked = to != np.arange(len(part))
-            else:
-                to, distance = nearest(len(part), pairs)
-                linked = to >= 0
-            if linked.any():
-                columns = part[linked, 3], part[to[linked], 3], distance[linked]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
+            pairs = near_pairs(part[:, 4:4 + words].copy().view(np.uint64), group, radius)
+            for found in forest(part, pairs) if masks is None else _some_pairs(part, pairs, masks, dense):
+                if len(found[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], schema=schema)
             start = stop
 
     held = np.zeros((0, len(names)), np.int64)
@@ -248,33 +290,40 @@ def _links(batches, words: int, radius: int, lanes: int, forest: bool):
 
 
 def links(nodes: DataFrame, masks: list[tuple[int, ...]], radius: int, *, forest: bool = True, block: int = 2048,
-          lanes: int = 8192) -> DataFrame:
+          lanes: int = 8192, dense: int = 32) -> DataFrame:
     """Links (a, b, distance) between nodes within the radius that meet in a table, b < a.
 
-    A forest joins all such nodes, over one or more steps; otherwise each node is linked with the nearest
-    lesser node of each of its cells. ``nodes``: ``node`` (bigint, unique) and the words ``f0``, ``f1``, ... of
-    different fingerprints.
+    A forest joins all such nodes, over one or more steps. Otherwise all pairs are links, but where there are
+    more than ``dense`` a node in what a task compares at once: there each node has a link to the nearest lesser
+    one, and all nodes of left out pairs are marked by a row with b = -1. With a column ``root`` only pairs
+    with different roots are links, and none is left out. Cells of a divided group may repeat a link.
+    ``nodes``: ``node`` (bigint, unique) and the words ``f0``, ``f1``, ... of different fingerprints.
     """
     words = len(masks[0])
     shown = [f"f{w}" for w in range(words)]
+    carried = shown + [c for c in ("root",) if c in nodes.columns]
 
     def signed(mask):
         return F.lit(mask - (1 << 64) if mask >= 1 << 63 else mask).cast("bigint")
 
-    keys = F.array(*[F.xxhash64(F.lit(t), *[F.col(f).bitwiseAND(signed(m)) for f, m in zip(shown, mask)])
-                     for t, mask in enumerate(masks)])
-    keyed = nodes.select("node", *shown, F.explode(keys).alias("cell"))
+    def key(t, mask):
+        hashed = F.xxhash64(F.lit(t), *[F.col(f).bitwiseAND(signed(m)) for f, m in zip(shown, mask)])
+        return hashed if forest else F.shiftleft(hashed, 16).bitwiseOR(F.lit(t).cast("bigint"))  # the table in 16 bits
+
+    keys = F.array(*[key(t, mask) for t, mask in enumerate(masks)])
+    keyed = nodes.select("node", *carried, F.explode(keys).alias("cell"))
     # Few groups are above the block size; nodes that are alone in a group are left out by the comparison.
     hot = (nodes.select(F.explode(keys).alias("cell")).groupBy("cell").count().where(F.col("count") > block)
            .select("cell", F.ceil(F.col("count") / block).cast("bigint").alias("parts")))
     keyed = keyed.join(hot, "cell", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("bigint")))
     keyed = keyed.withColumn("part", F.pmod(F.xxhash64("node"), "parts"))
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))
-    cells = (keyed.select("cell", "node", *shown, "part", other.alias("other"))
-             .select("cell", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", *shown))
+    cells = (keyed.select("cell", "node", *carried, "part", other.alias("other"))
+             .select("cell", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", *carried))
+    how = partial(_links, names=["cell", "i", "j", "node", *carried], words=words, radius=radius, lanes=lanes, dense=dense,
+                  masks=None if forest else np.array(masks, np.uint64))
     return (cells.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "node")
-            .mapInArrow(partial(_links, words=words, radius=radius, lanes=lanes, forest=forest),
-                        "a bigint, b bigint, distance bigint"))
+            .mapInArrow(how, "a bigint, b bigint, distance bigint"))
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 4, words: int = 1, radius: int = 4,
@@ -302,15 +351,53 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, words: int = 1, radius
     return prints.join(named, shown).select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id")
 
 
+def shingle_set(text: str, shingle: int) -> set:
+    tokens = text.encode("utf-8", "surrogatepass").lower().split()
+    n = min(shingle, len(tokens))
+    return set(zip(*(islice(tokens, k, None) for k in range(n)))) if n else set()
+
+
+def jaccard(x: set, y: set) -> float:
+    common = len(x & y)
+    return common / (len(x) + len(y) - common) if x or y else 1.0
+
+
 def similar(a: str, b: str, shingle: int) -> float:
     """The Jaccard similarity of the sets of word shingles of two texts (1 for two texts without words)."""
-    def shingles(text):
-        tokens = text.encode("utf-8", "surrogatepass").lower().split()
-        n = min(shingle, len(tokens))
-        return set(zip(*(islice(tokens, k, None) for k in range(n)))) if n else set()
+    return jaccard(shingle_set(a, shingle), shingle_set(b, shingle))
+
+
+def similar_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, *, shingle: int, similarity: float, block: int = 32) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose texts are similar enough. ``nodes`` has the ``id`` and ``hash``
+    of each ``node``, ``docs`` the ``text`` of these.
+
+    Nodes are dealt into blocks of about ``block``; a text goes once to each two blocks with a pair of it.
+    """
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    blocks = F.lit(max(1, -(-ends.count() // block))).cast("bigint")
+    dealt = pairs.select(F.pmod(F.xxhash64("a"), blocks).alias("i"), F.pmod(F.xxhash64("b"), blocks).alias("j"), "a", "b").distinct()
+    needed = dealt.select("i", "j", F.explode(F.array("a", "b")).alias("node")).distinct()
+    named = needed.join(nodes, "node").join(docs, ["id", "hash"])
+    # Of a cell, texts (without b) come before pairs.
+    rows = (named.select("i", "j", F.col("node").alias("a"), F.lit(-1).cast("bigint").alias("b"), "text")
+            .unionByName(dealt.withColumn("text", F.lit(None).cast("string"))))
+
+    def check(batches):
+        cell, sets = None, {}
+        for batch in batches:
+            out = []
+            for i, j, a, b, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if (i, j) != cell:
+                    cell, sets = (i, j), {}
+                if b < 0:
+                    sets[a] = shingle_set(text or "", shingle)
+                elif jaccard(sets[a], sets[b]) >= similarity:
+                    out.append((a, b))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
 
-    x, y = shingles(a), shingles(b)
-    return len(x & y) / len(x | y) if x or y else 1.0
+    return (rows.repartition("i", "j").sortWithinPartitions("i", "j", F.col("b") >= 0)
+            .mapInArrow(check, "a bigint, b bigint"))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -325,8 +412,9 @@ def similar_groups(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8
     """Groups of texts that are linked by a Jaccard similarity of at least ``similarity`` of their shingles.
 
     One row per different (id, hash of the text) with that of its group's least document: ``id``, ``hash``,
-    ``least_id``, ``least_hash``. Each text is compared with the ``partners`` nearest earlier ones among those
-    that its fingerprint met within ``radius`` bits in some table. With the default of 256 bits, and 64
+    ``least_id``, ``least_hash``. Each text is compared with all those that its fingerprint met within ``radius``
+    bits in some table, but those it is linked with over others by then; the ``partners`` nearest earlier ones
+    come first, to find most links from few pairs. With the default of 256 bits, and 64
     tables of 18 sampled bits, a pair at a similarity of 0.8 is met with a probability of 0.96, at 0.85 of
     0.99, at 0.9 of more than 0.999. Ids are whole numbers; a null id counts as the greatest. Texts without
     words are similar to each other alone.
@@ -337,24 +425,26 @@ def similar_groups(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8
     prints = materialize(fingerprints(keyed, shingle=shingle, words=words, id_col="key").distinct())
     nodes = prints.groupBy(*shown).agg(F.min("id").alias("least")).orderBy("least")
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()))
-    met = links(nodes.select("node", *shown), sampled_masks(words, tables, key_bits), radius, forest=False)
-    near = (met.groupBy("a").agg(F.array_sort(F.collect_set(F.struct("distance", "b"))).alias("near"))
-            .select("a", F.explode(F.slice("near", 1, partners)).alias("x")).select("a", F.col("x.b").alias("b")))
-    near = materialize(near)
-    roles = near.select("a", "b", F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(0).alias("role")),
-                                                    F.struct(F.col("b").alias("node"), F.lit(1).alias("role")))).alias("x"))
-    roles = (roles.select("a", "b", "x.node", "x.role").join(nodes.select("node", "least"), "node")
-             .select("a", "b", "role", F.col("least.id").alias("id"), F.col("least.hash").alias("hash")))
-    pairs = (roles.join(d, ["id", "hash"]).groupBy("a", "b")
-             .agg(*[F.min(F.when(F.col("role") == k, F.col("text"))).alias(n) for k, n in ((0, "x"), (1, "y"))]))
+    masks = sampled_masks(words, tables, key_bits)
+    met = materialize(links(nodes.select("node", *shown), masks, radius, forest=False))
+    pairs, marked = met.where("b >= 0"), met.where("b < 0").select(F.col("a").alias("node")).distinct()
+    named = nodes.select("node", F.col("least.id").alias("id"), F.col("least.hash").alias("hash"))
 
-    def check(batches):
-        for batch in batches:
-            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            keep = [similar(p or "", q or "", shingle) >= similarity for p, q in zip(x, y)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    def checked(these):
+        return materialize(similar_pairs(materialize(these), named, d, shingle=shingle, similarity=similarity))
 
-    roots = components(pairs.mapInArrow(check, "a bigint, b bigint"))
+    # First the nearest ones of each node, then whatever is still between different components.
+    near = (pairs.groupBy("a").agg(F.array_sort(F.collect_set(F.struct("distance", "b"))).alias("near"))
+            .select("a", F.explode(F.slice("near", 1, partners)).alias("x")).select("a", F.col("x.b").alias("b")))
+    near = materialize(near)
+    same = checked(near)
+    roots = components(same)
+    placed = materialize(nodes.join(roots, "node", "left").select("node", *shown, F.coalesce("root", "node").alias("root")))
+    more = links(placed.join(marked, "node", "left_semi"), masks, radius, forest=False).select("a", "b")
+    ends = [placed.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in ("a", "b")]
+    apart = pairs.select("a", "b").join(ends[0], "a").join(ends[1], "b").where("root_a <> root_b").select("a", "b")
+    rest = apart.unionByName(more).join(near, ["a", "b"], "left_anti").distinct()
+    roots = components(same.unionByName(checked(rest)))
     # The least node of a component holds its least document, as nodes are in that order.
     placed = (nodes.join(roots, "node", "left").select(*shown, F.coalesce("root", "node").alias("root"))
               .join(nodes.select(F.col("node").alias("root"), "least"), "root"))

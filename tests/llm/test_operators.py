@@ -114,6 +114,29 @@ def test_similar_texts(spark):
     assert [i for i, in collected(simhash.one_per_group(frame(spark, rows)), "doc_id")] == sorted(kept, key=lambda i: repr((i,)))
 
 
+@pytest.mark.parametrize("dense", [32, 0])
+def test_copies_among_many_variants(spark, monkeypatch, dense):
+    """The one text that is similar enough is found among a hundred that are nearly so, dense cells or not."""
+    links = simhash.links
+    monkeypatch.setattr(simhash, "links", lambda *a, **how: links(*a, **how, dense=dense))
+    rows, kept = [], []
+    for k in range(5):
+        words = prose(700 + k, 250).split()
+        rng = random.Random(k)
+        for c in range(100):
+            # A changed word takes five shingles: of the variants, number 50 alone stays at 0.8 or more.
+            copy = list(words)
+            for p in rng.sample(range(6, 244, 6), 5 if c == 50 else rng.choice((6, 7))):
+                copy[p] = f"other{k}x{c}x{p}"
+            rows.append((1000 * k + c, " ".join(copy), "en", "s"))
+            kept.append(1000 * k + c)
+        rows.append((1000 * k + 500, " ".join(words), "en", "s"))
+        near = [i for i, t, *_ in rows[-101:-1] if simhash.similar(t, rows[-1][1], 5) >= 0.8]
+        assert near == [1000 * k + 50]
+    got = simhash.one_per_group(frame(spark, rows), tables=256)
+    assert collected(got, "doc_id") == sorted(((i,) for i in kept), key=repr)
+
+
 # Suffix dedup
 
 def test_suffix_query(spark, texts):
