@@ -137,6 +137,18 @@ def test_copies_among_many_variants(spark, monkeypatch, dense):
     assert collected(got, "doc_id") == sorted(((i,) for i in kept), key=repr)
 
 
+def test_copies_that_repeat_a_line(spark):
+    """A line that a copy repeats leaves the set of shingles as it is, and so the fingerprint."""
+    rows = []
+    for k in range(20):
+        text, line = prose(800 + k, 300), prose(900 + k, 10)
+        rows += [(k, text, "en", "s"), (100 + k, text + f"\n{line}" * 8, "en", "s"), (200 + k, f"{line}\n" * 12 + text, "en", "s")]
+        assert simhash.similar(text, rows[-2][1], 5) > 0.9
+    assert collected(simhash.one_per_group(frame(spark, rows)), "doc_id") == sorted(((k,) for k in range(20)), key=repr)
+    once, often = (simhash.fingerprint(t, 5, 4, distinct=True).tolist() for t in ("a b c d e " * 2, "a b c d e " * 9))
+    assert once == often
+
+
 # Suffix dedup
 
 def test_suffix_query(spark, texts):
