@@ -1,10 +1,10 @@
 """Quality rules from counts within a text and from lines that many documents of a host share.
 
 Lines are normalised and hashed. A line is boilerplate of a host if more than ``max_docs`` different texts
-of the host hold it and at least half as many different lines stand before it, or after it. The second
-condition tells a line that is put into unrelated documents from the lines of one document that has many
-near copies: those have the same neighbours in each copy. Exact copies count once, as one text.
-Boilerplate lines are taken out, and a document that loses more than half of its words is rejected.
+of the host hold it, where texts that are the same but for such lines count once: what is left of them
+without all lines above the limit is compared. So copies that differ in digits, blanks or case do not reject
+each other, and of a shared block of lines each line goes, wherever it stands. A line of such copies goes
+also if at least half as many different lines as texts stand before it, or after it. Boilerplate lines are taken out, and a document that loses more than half of its words is rejected.
 
 All of it is DataFrame functions; texts are read once, and what follows works on hashes of lines.
 """
@@ -84,19 +84,23 @@ def boilerplate(measured: DataFrame, max_docs: int, own_share: float) -> DataFra
     """The boilerplate lines: ``host`` and ``h``, one row each.
 
     Lines are counted over documents first, which combines on the map side; only those above the limit
-    are looked at again, with their texts and neighbours.
+    are looked at again, with their texts, their neighbours and the own lines of their documents.
     """
     often = (measured.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
              .groupBy("host", "h").count().where(F.col("count") > max_docs).select("host", "h"))
     around = F.transform("lines", lambda x, i: F.struct(
         x["h"].alias("h"), F.coalesce(F.get(F.col("lines"), i - 1)["h"], F.lit(0)).alias("before"),
         F.coalesce(F.get(F.col("lines"), i + 1)["h"], F.lit(0)).alias("after")))
-    seen = (measured.select("host", "text_hash", F.explode(around).alias("x")).select("host", "text_hash", "x.*").alias("s")
-            .join(often.alias("o"), F.col("s.host").eqNullSafe(F.col("o.host")) & (F.col("s.h") == F.col("o.h")), "left_semi"))
-    counts = seen.groupBy("host", "h").agg(F.countDistinct("text_hash").alias("texts"),
-                                           F.countDistinct("before").alias("before"), F.countDistinct("after").alias("after"))
-    return counts.where((F.col("texts") > max_docs)
-                        & (F.greatest("before", "after") >= own_share * F.col("texts"))).select("host", "h")
+    seen = materialize(
+        measured.select("row", "host", "text_hash", F.explode(around).alias("x")).select("row", "host", "text_hash", "x.*").alias("s")
+        .join(often.alias("o"), F.col("s.host").eqNullSafe(F.col("o.host")) & (F.col("s.h") == F.col("o.h")), "left_semi"))
+    shared = seen.groupBy("row").agg(F.collect_set("h").alias("shared"))
+    own = F.filter(F.transform("lines", lambda x: x["h"]), lambda h: ~F.array_contains("shared", h))
+    left = measured.select("row", "lines").join(shared, "row").select("row", F.xxhash64(own).alias("own"))
+    counts = seen.join(left, "row").groupBy("host", "h").agg(*[
+        F.countDistinct(c).alias(n) for c, n in (("text_hash", "texts"), ("own", "own"), ("before", "before"), ("after", "after"))])
+    return counts.where((F.col("texts") > max_docs) & ((F.col("own") > max_docs) | (
+        F.greatest("before", "after") >= own_share * F.col("texts")))).select("host", "h")
 
 
 def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",

@@ -11,7 +11,7 @@ import sentencepiece
 import tiktoken
 import xxhash
 
-from kgspark.llm import byte_bpe, decontaminate, pii, quality_classifier, simhash, suffix_dedup, token_count, url_filter
+from kgspark.llm import byte_bpe, decontaminate, pii, quality_classifier, quality_rules, simhash, suffix_dedup, token_count, url_filter
 from kgspark.llm.components import components as spark_components
 from kgspark.llm.queries import QUERIES
 from tests.conftest import SMALL
@@ -343,6 +343,23 @@ def test_added_spans_and_masks(spark):
     assert {r.doc_id: r.text for r in pii.mask(docs).collect()}[50] == "<EMAIL>"
 
 
+# Quality rules
+
+def test_blocks_of_shared_lines(spark):
+    """Each line of a shared block goes, wherever the block stands; copies but for digits stay."""
+    head, foot = [prose(40 + k, 9) for k in range(4)], [prose(50 + k, 8) for k in range(5)]
+    rows = []
+    for k in range(14):
+        own = [prose(1000 + k, 200), f"section {'abc'[k % 3]}"]  # few different lines stand next to the footer
+        rows += [(k, "\n".join(head + own + foot), "en", "a"), (100 + k, "\n".join(head + [prose(1100 + k, 30)] + foot), "en", "a"),
+                 (200 + k, "\n".join([prose(1200 + j, 20) for j in range(6)] + [f"copy {k}"]), "en", "b")]
+    docs = frame(spark, rows)
+    verdicts = {r.doc_id: (r.kept, len(r.removed_lines or [])) for r in quality_rules.judge(docs).collect()}
+    assert all(verdicts[k] == (True, 9) for k in range(14))
+    assert all(verdicts[100 + k] == (False, 9) and verdicts[200 + k] == (True, 0) for k in range(14))
+    assert {r.doc_id: r.text for r in quality_rules.clean(docs).collect()}[0] == prose(1000, 200) + "\nsection a"
+
+
 # URL filter
 
 def test_bloom_filter_holds_its_keys(spark):
