@@ -35,7 +35,8 @@ DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 GROUPED = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 DIALLED = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
-USER_INFO = re.compile(r"[^\s/?#@:]{1,256}(?::[^\s/?#@]{0,256})?@[A-Za-z0-9.-]+")
+# Of any length: neither part goes beyond a slash, so that no two schemes read the same characters.
+USER_INFO = re.compile(r"[^\s/?#@:]++(?::[^\s/?#@]*+)?+@[A-Za-z0-9.-]+")
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 SECRET = re.compile(r"""["']?[\x20\t]{0,3}(?:=|:|=>)[\x20\t]{0,3}["']?([A-Za-z0-9_+/.~!@#$%^&*-]{6,})""")
 ACCOUNT = re.compile(r"""(?: (?:number|no\.?|nr\.?|id))?[\x20\t]{0,3}[:=#]?[\x20\t]{0,3}([0-9](?:[\x20-]?[0-9]){5,33})""", re.IGNORECASE)

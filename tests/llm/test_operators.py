@@ -343,6 +343,15 @@ def test_added_spans_and_masks(spark):
     assert {r.doc_id: r.text for r in pii.mask(docs).collect()}[50] == "<EMAIL>"
 
 
+def test_long_logins():
+    finder = pii.Finder()
+    for user, word in (("bob", ":" + "x" * 2000), ("u" * 300, ":pw"), ("t" * 5000, ""), ("b", ":" + "y" * 256), ("b", ":")):
+        text = f"see https://{user}{word}@host.example/x"
+        assert pii.masked(text, finder.spans(text)) == "see <LOGIN>/x"
+    text = "a://" + "x:" * 200000 + " " + "b://y" * 50000
+    assert finder.spans(text) == []
+
+
 # Quality rules
 
 def test_blocks_of_shared_lines(spark):
