@@ -45,15 +45,22 @@ def terms(text: str) -> list[str]:
     return TERM.findall(text.lower())
 
 
-def question_and_answer(text: str) -> tuple[list[str], list[str]]:
+def question_and_answer(text: str, run: int = 5) -> tuple[list[str], list[str]]:
     """The words of both halves of an item: up to the last question mark and after it; without one, all
-    sentences but the last and the last; a single sentence is cut after two thirds of its words."""
+    sentences but the last and the last; a single sentence is cut after two thirds of its words.
+
+    A last sentence of one run of words or less is joined by those before it up to two runs, so that the answer
+    does not hang on few words; if too few words come before, the item is cut like a single sentence."""
     head, mark, tail = text.rpartition("?")
     if mark and terms(head) and terms(tail):
         return terms(head), terms(tail)
     sentences = [s for s in SENTENCE_END.split(text.strip()) if terms(s)]
-    if len(sentences) > 1:
-        return [w for s in sentences[:-1] for w in terms(s)], terms(sentences[-1])
+    least = 2 * run if sentences and len(terms(sentences[-1])) <= run else 1
+    answer: list[str] = []
+    while len(sentences) > 1 and len(answer) < least:
+        answer = terms(sentences.pop()) + answer
+    if len(answer) >= least:
+        return [w for s in sentences for w in terms(s)], answer
     all_words = terms(text)
     cut = max(1, math.ceil(len(all_words) * 2 / 3))
     return all_words[:cut], all_words[cut:]
@@ -83,7 +90,7 @@ class Index:
         postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
         for k, (i, text) in enumerate(items):
             words = terms(text)
-            q, a = question_and_answer(text)
+            q, a = question_and_answer(text, run)
             self.items.append(Item(i, len(words), runs(q, run), runs(a, run)))
             weights = {}
             for t, tf in Counter(words).items():

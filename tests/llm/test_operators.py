@@ -230,6 +230,18 @@ def test_leaks_need_question_and_answer(spark):
     assert collected(decontaminate.without_leaks(docs, items), "doc_id") == [(2,), (3,)]
 
 
+def test_leaks_with_a_short_last_sentence(spark):
+    """An item is found without its last word, or with another one."""
+    items = spark.createDataFrame([(1, prose(61, 36) + " Er."), (2, prose(62, 40).replace(".", "") + ". Ascorr.")], "item_id bigint, text string")
+    rows = []
+    for k, end in enumerate(("", " Er.", " Other words.")):
+        rows += [(k, prose(63, 200) + " " + prose(61, 36) + end + " " + prose(64, 200)),
+                 (10 + k, prose(65, 200) + " " + prose(62, 40).replace(".", "") + end + " " + prose(66, 200))]
+    docs = frame(spark, [(i, t, None, None) for i, t in rows])
+    assert collected(decontaminate.find_leaks(docs, items), "doc_id", "item_id") == sorted(
+        [(k, 1) for k in range(3)] + [(10 + k, 2) for k in range(3)], key=repr)
+
+
 # Token counts and byte-level BPE
 
 ODD = ["a", "the", " ", "  ", "\n", "▁", "é", "日本", "😀", "\x00", "<s>", "\t", "x1", "　", "\xa0", "ing", " " * 20, "0", "'s", "=" * 9]
