@@ -61,6 +61,25 @@ def _hash(words: np.ndarray, size: int, at, skip: int = 0) -> np.ndarray:
     return total ^ (total >> np.uint64(29))
 
 
+def _fingerprint(words: np.ndarray, size: int, at: np.ndarray, skip: int = 0) -> np.ndarray:
+    """Like ``_hash``, for comparing windows: each word is mixed by itself before it is added, and
+    what was added before is multiplied again, so that differences in two words do not cancel."""
+    places = [*range(skip, size - 7, 8)]
+    if places[-1] + 8 < size:
+        places.append(size - 8)
+    total = np.zeros(len(at), np.uint64)
+    for k, p in enumerate(places):
+        part = words[at + p] * _FACTORS[k % 8]
+        part ^= part >> np.uint64(32)
+        part *= _FACTORS[(k + 3) % 8]
+        part ^= part >> np.uint64(29)
+        part *= _FACTORS[(k + 5) % 8]
+        part ^= part >> np.uint64(32)
+        total = total * _FACTORS[5] + part
+    total = (total ^ (total >> np.uint64(32))) * _FACTORS[3]
+    return total ^ (total >> np.uint64(29))
+
+
 def _spread(hashes: np.ndarray) -> np.ndarray:
     """Hashes of anchors, which are the least of many, spread over all numbers again, one to one."""
     hashes = (hashes ^ (hashes >> np.uint64(31))) * _FACTORS[4]
@@ -192,7 +211,7 @@ def _window_answers(parts: list[tuple[bytes, bytes]], length: int) -> list[bytes
         m = unpack_numbers(meta, np.int64).reshape(2, -1)
         size, ids = m[0], np.repeat(m[1], m[0])
         at, padded = _starts(size, length), grow(data) + bytes(64)
-        held.append((_words(padded, ">u8")[at].astype(np.uint64), _hash(_words(padded), length, at, 8), ids))
+        held.append((_words(padded, ">u8")[at].astype(np.uint64), _fingerprint(_words(padded), length, at, 8), ids))
         owners.append(ids)
         counts.append(len(ids))
         n += len(ids)
@@ -222,7 +241,7 @@ def _spans(block: Block, r: Runs, codes: np.ndarray, length: int, edges: np.ndar
     first = np.concatenate((r.first[many], single))
     size = np.concatenate((r.size[many], np.ones(len(single), np.int64)))
     ids = block.ids[np.concatenate((r.doc[many], np.repeat(r.doc[hot], r.size[hot])))]
-    head, tail = _hash(words, length, first), _hash(words, length, first + size - 1)
+    head, tail = _fingerprint(words, length, first), _fingerprint(words, length, first + size - 1)
     with np.errstate(over="ignore"):
         content = head * _FACTORS[1] + tail * _FACTORS[2] + size.astype(np.uint64)
     key = np.concatenate((r.anchor[many], head[len(r.first[many]):]))

@@ -169,6 +169,37 @@ def test_suffix_awkward(spark, monkeypatch, hot):
     assert got == sorted(without_repeats(rows), key=repr)
 
 
+def near_equal_windows(seed, n):
+    """Random windows of 50 bytes, and for each one that differs in two letters, at all pairs of places in turn."""
+    rng = np.random.default_rng(seed)
+    left = rng.integers(97, 123, (n, 50), dtype=np.uint8)
+    right, pairs = left.copy(), [(a, b) for a in range(50) for b in range(a + 1, 50)]
+    for k in range(n):
+        for p in pairs[k % len(pairs)]:
+            right[k, p] = 97 + (right[k, p] - 97 + rng.integers(1, 26)) % 26
+    return left, right
+
+
+def test_near_equal_windows_differ():
+    """Windows with two changed letters have other fingerprints, at every pair of places."""
+    left, right = near_equal_windows(1, 1225 * 40)
+    at = np.arange(len(left)) * 50
+    for skip in (0, 8):
+        a, b = (suffix_dedup._fingerprint(suffix_dedup._words(x.tobytes() + bytes(64)), 50, at, skip) for x in (left, right))
+        same = (left[:, skip:] == right[:, skip:]).all(axis=1)
+        assert ((a == b) == same).all()
+
+
+def test_near_equal_documents(spark):
+    """Nothing goes from documents that differ from an earlier one by two letters in each window."""
+    left, right = near_equal_windows(2, 1225 * 3)
+    rows = [(2 * k + c, x[k].tobytes().decode()) for k in range(len(left)) for c, x in enumerate((left, right))]
+    rows += [(100000 + k, right[k].tobytes().decode()) for k in range(0, len(left), 9)]
+    docs = frame(spark, [(i, t, None, None) for i, t in rows])
+    got = collected(suffix_dedup.dedup(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == sorted(without_repeats(rows), key=repr)
+
+
 def test_family_keeps_few_levels():
     rng = np.random.default_rng(1)
     family, every = suffix_dedup.Family(), []
