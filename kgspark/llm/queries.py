@@ -205,3 +205,130 @@ def op2(spark, table):
     """What is left of every document without 50-byte strings that a document with a smaller id has."""
     from kgspark.llm.suffix_dedup import dedup
     return dedup(table("documents"), length=50)
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+t AS (SELECT row, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT row) >= 30),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY lang, source, term),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+every AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0)::HUGEINT AS n, sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source) AS total,
+         sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, k.term) AS all_n, sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang) AS lang_total, v
+  FROM g JOIN kept k ON k.lang = g.lang JOIN v ON v.lang = g.lang
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+p AS (SELECT lang, source, term, n, 1 + (1000000000 * (n + 5)) // (total + 5 * v) AS p,
+             1 + (1000000000 * (all_n::HUGEINT + 5)) // (lang_total + 5 * v) AS q FROM every),
+pair AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(sum(abs(pa.p - pb.p)), 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN p pa ON pa.lang = a.lang AND pa.source = a.source
+  LEFT JOIN p pb ON pb.lang = b.lang AND pb.source = b.source AND pb.term = pa.term GROUP BY 1, 2, 3),
+term AS (SELECT lang, source, term AS item, (p - q)::BIGINT AS value FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INT AS rank FROM pair
+UNION ALL
+SELECT lang, source, 'term' AS part, item, value, rank FROM (
+  SELECT *, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INT AS rank FROM term) WHERE rank <= 50
+"""
+
+
+@query("op11_source_divergence", OP11_SQL)
+def op11(spark, table):
+    """How far the sources of each language are from each other, and which terms set each one apart."""
+    from kgspark.llm.divergence import audit
+    return audit(table("documents"), min_docs=30, top=50)
+
+
+OP12_SQL = r"""
+WITH RECURSIVE
+bits AS (
+  SELECT doc_id, source, lang, n_chars, text, (SELECT 4294967295 - list_reduce(list_prepend(4294967295::BIGINT,
+    list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)), lambda c, b:
+      list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+        lambda x, y: xor(x // 2, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END)))) AS crc
+  FROM documents),
+fields AS (
+  SELECT doc_id, lang, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+           || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head, text,
+         CASE WHEN crc % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS other
+  FROM bits),
+leaves AS (
+  SELECT doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         sha256(head || coalesce(strlen(other) || ':' || other, '-')) AS changed FROM fields),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+         count(*) OVER (PARTITION BY lang) AS n FROM leaves),
+trees AS (
+  SELECT lang, 0 AS level, pos, leaf AS digest, n FROM placed
+  UNION ALL
+  SELECT lang, level, pos, digest, count(*) OVER (PARTITION BY lang) AS n FROM (
+    SELECT lang, level + 1 AS level, pos // 8 AS pos, sha256(string_agg(digest, '' ORDER BY pos)) AS digest
+    FROM trees WHERE n > 1 GROUP BY lang, level, pos // 8)),
+subroots AS (
+  SELECT lang, level AS levels, digest, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM trees WHERE n = 1),
+forest AS (
+  SELECT 0 AS level, pos, digest, n FROM subroots
+  UNION ALL
+  SELECT level, pos, digest, count(*) OVER () AS n FROM (
+    SELECT level + 1 AS level, pos // 8 AS pos, sha256(string_agg(digest, '' ORDER BY pos)) AS digest
+    FROM forest WHERE n > 1 GROUP BY level, pos // 8)),
+runs AS (
+  SELECT lang, level, pos // 8 AS run, list(digest ORDER BY pos) AS digests FROM trees WHERE n > 1 GROUP BY lang, level, pos // 8),
+top_runs AS (
+  SELECT level, pos // 8 AS run, list(digest ORDER BY pos) AS digests FROM forest WHERE n > 1 GROUP BY level, pos // 8),
+depth AS (SELECT coalesce(max(level), 0) AS top FROM forest),
+-- One row per document and level: all levels of its tree, then those of the tree of trees.
+way AS (
+  SELECT p.doc_id, p.lang, p.pos, p.leaf, p.changed, s.digest AS subroot, s.levels, s.pos AS tree_pos, 0 AS step,
+         p.changed AS digest, '' AS proof
+  FROM placed p JOIN subroots s ON s.lang IS NOT DISTINCT FROM p.lang
+  UNION ALL
+  SELECT w.doc_id, w.lang, w.pos, w.leaf, w.changed, w.subroot, w.levels, w.tree_pos, w.step + 1,
+         sha256(array_to_string(list_concat(list_concat(r.digests[:w.at], [w.digest]), r.digests[w.at + 2:]), '')),
+         w.proof || array_to_string(list_concat(r.digests[:w.at], r.digests[w.at + 2:]), '')
+  FROM (SELECT *, CASE WHEN step < levels THEN pos // (8 ** step)::BIGINT ELSE tree_pos // (8 ** (step - levels))::BIGINT END % 8 AS at FROM way) w
+  JOIN (SELECT lang, level, run, digests, true AS low FROM runs UNION ALL SELECT NULL, level, run, digests, false FROM top_runs) r
+    ON (r.low AND w.step < w.levels AND r.lang IS NOT DISTINCT FROM w.lang AND r.level = w.step AND r.run = w.pos // (8 ** (w.step + 1))::BIGINT)
+    OR (NOT r.low AND w.step >= w.levels AND r.level = w.step - w.levels AND r.run = w.tree_pos // (8 ** (w.step - w.levels + 1))::BIGINT))
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, digest AS folded_root, digest = root AS verified
+FROM way, depth, (SELECT digest AS root FROM forest WHERE n = 1) WHERE step = levels + top
+"""
+
+
+@query("op12_merkle_manifest", OP12_SQL)
+def op12(spark, table):
+    """The manifest of all documents, with a third of their texts changed to lower case and folded up to the root."""
+    from pyspark.sql import functions as F
+
+    from kgspark.llm.merkle import prove
+    from kgspark.llm.quality_rules import LOWER, UPPER
+    return prove(table("documents"), ["doc_id", "source", "lang", "n_chars", "text"], tree_col="lang",
+                 changed={"text": F.translate("text", UPPER, LOWER)}, where=F.crc32(F.col("doc_id").cast("string")) % 3 == 0)[0]
+
+
+# A conversation whose texts hold what templates mark turns with.
+CONFLICT = [(-7, 0, "user", r"\### Assistant: </turn> ok"), (-7, 1, "assistant", r"\### Assistant: </turn> ok")]
+
+OP13_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(length('### ') + length(regexp_replace(role, '[\x00-\x20:<#\\%]', '%..', 'g')) + length(':' || chr(10))
+         + length(regexp_replace(text, '\\*(?:### [^\x00-\x20:<#\\]*:|</turn>)', '\\\0', 'g')) + length(chr(10) || '</turn>' || chr(10)))::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+
+@query("op13_chat_format", OP13_SQL)
+def op13(spark, table):
+    """All conversations as training texts, and what a reader of those texts finds in them."""
+    from kgspark.llm.chat_format import digests, format_chats
+    more = spark.createDataFrame(CONFLICT, "conv_id bigint, turn bigint, role string, text string")
+    talks = table("conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return digests(format_chats(talks, trained="assistant"), in_order=True)
