@@ -6,7 +6,7 @@ import public_tokenizers as P
 import pytest
 
 import corpus_pipeline
-from kgspark.llm import (byte_bpe, decontaminate, ngram_lm, pii, quality_classifier, quality_rules, simhash,
+from kgspark.llm import (byte_bpe, decontaminate, divergence, merkle, ngram_lm, pii, quality_classifier, quality_rules, simhash,
                          suffix_dedup, token_count, url_filter)
 from tests.conftest import SMALL
 from tests.llm.helpers import awkward, collected, frame
@@ -40,11 +40,13 @@ def operators(spark, items):
         "rules": lambda d: quality_rules.judge(d),
         "pii": lambda d: pii.find(d),
         "lm": lambda d: ngram_lm.lm_scores(d),
+        "audit": lambda d: divergence.audit(d, min_docs=2),
+        "manifest": lambda d: merkle.prove(d, ["doc_id", "source", "lang", "n_chars", "text"])[0],
     }
 
 
-NAMES = ["simhash", "groups", "suffix", "leaks", "tokens", "classifier", "bpe", "rules", "pii", "lm"]
-EVERY_ROW = [n for n in NAMES if n not in ("groups", "leaks")]
+NAMES = ["simhash", "groups", "suffix", "leaks", "tokens", "classifier", "bpe", "rules", "pii", "lm", "audit", "manifest"]
+EVERY_ROW = [n for n in NAMES if n not in ("groups", "leaks", "audit")]
 
 
 @pytest.mark.parametrize("name", NAMES)

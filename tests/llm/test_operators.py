@@ -1,6 +1,7 @@
 """The operators against brute force, the libraries they must equal, or held-out rows."""
 
 import base64
+import hashlib
 import random
 import re
 
@@ -11,7 +12,7 @@ import sentencepiece
 import tiktoken
 import xxhash
 
-from kgspark.llm import byte_bpe, decontaminate, pii, quality_classifier, quality_rules, simhash, suffix_dedup, token_count, url_filter
+from kgspark.llm import byte_bpe, chat_format, decontaminate, divergence, merkle, pii, quality_classifier, quality_rules, simhash, suffix_dedup, token_count, url_filter
 from kgspark.llm.components import components as spark_components
 from kgspark.llm.queries import QUERIES
 from tests.conftest import SMALL
@@ -422,3 +423,222 @@ def test_bloom_filter_holds_its_keys(spark):
     tested = tested.join(bloom, url_filter._block(F.col("key"), 94) == F.col("b"), "left").select("id", url_filter.maybe_listed(F.col("key")).alias("m"))
     hits = {r.id for r in tested.where("m").collect()}
     assert set(range(3000)) <= hits and len(hits) < 3150
+
+
+# Source divergence
+
+def plain_audit(rows, min_docs, top):
+    """lang, source, part, item, value, rank from dense tables of counts; rows of (lang, source, text)."""
+    counts, in_docs, groups = {}, {}, set()
+    for lang, source, text in rows:
+        lang, source = lang or "", source or ""
+        groups.add((lang, source))
+        found = re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        for t in found:
+            counts[lang, source, t] = counts.get((lang, source, t), 0) + 1
+        for t in set(found):
+            in_docs[lang, t] = in_docs.get((lang, t), 0) + 1
+    out = []
+    for lang in {g[0] for g in groups}:
+        kept = [t for (k, t), n in in_docs.items() if k == lang and n >= min_docs]
+        sources = sorted(s for k, s in groups if k == lang)
+
+        def shares(of):
+            n = {t: sum(counts.get((lang, s, t), 0) for s in of) for t in kept}
+            total = sum(n.values()) + 5 * len(kept)
+            return n, {t: 1 + 10**9 * (n[t] + 5) // total for t in kept}
+
+        _, whole = shares(sources)
+        of = {s: shares([s]) for s in sources}
+        for s in sources:
+            n, p = of[s]
+            pairs = [(o, sum(abs(p[t] - of[o][1][t]) for t in kept)) for o in sources if o != s]
+            terms = [(t, p[t] - whole[t]) for t in kept if n[t] and p[t] > whole[t]]
+            for part, found in (("pair", pairs), ("term", terms)):
+                found.sort(key=lambda x: (-x[1], x[0].encode()))
+                out += [(lang, s, part, item, v, k + 1) for k, (item, v) in enumerate(found) if part == "pair" or k < top]
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("entries,shard,sent", [(400_000, 300_000, 50_000), (60, 200, 7)])
+def test_audit_equals_dense_counts(spark, monkeypatch, entries, shard, sent):
+    """Also with runs that are spilled after few entries, many shards, and small batches of postings."""
+    for name, value in (("RUN_ENTRIES", entries), ("SHARD_ROWS", shard), ("SENT_ROWS", sent), ("PAIRS", sent)):
+        monkeypatch.setattr(divergence, name, value)
+    rng = random.Random(7)
+    vocabulary = [prose(k, 1).strip(".") + rng.choice("abc") for k in range(70)] + ["É", "日本", "Zoë"]
+    rows = []
+    for k in range(150):
+        lang, source = rng.choice(["en", "en", "fr", None]), rng.choice(["a", "a", "a", "b", "é", "", None, "z z"])
+        rows.append((k, " 1,".join(rng.choices(vocabulary[:rng.randint(2, 73)], k=rng.randint(0, 40))).title(), lang, source))
+    rows += [(900, None, "en", "empty"), (901, "", "de", "only"), (902, "12 _", "de", "other"), (903, "x", "xx", "one")]
+    rows += [rows[3]] * 4
+    got = collected(divergence.audit(frame(spark, rows).repartition(3), min_docs=5, top=6), "lang", "source", "part", "item", "value", "rank")
+    assert got == plain_audit([(r[2], r[3], r[1]) for r in rows], 5, 6)
+    assert any(r[0] == "de" and r[2:5] == ("pair", "other", 0) for r in got)
+
+
+def test_audit_query(spark):
+    docs = [(r.lang, r.source, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    got = collected(QUERIES["op11_source_divergence"](spark, SMALL), "lang", "source", "part", "item", "value", "rank")
+    assert got == plain_audit(docs, 30, 50)
+
+
+def test_runs_are_merged_whatever_their_order():
+    batches = [[(1, "en", "a", b"m", 1, 1), (1, "en", "a", b"x", 2, 1)], [(2, "en", "a", b"c", 5, 2), (1, "en", "a", b"b", 3, 1)],
+               [(2, "en", "a", b"m", 1, 1), (2, "en", "b", b"m", 9, 3)]]
+    import pyarrow as pa
+    arrow = [pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*b), divergence._RUNS)], schema=divergence._RUNS) for b in batches]
+    got = [tuple(r.values()) for b in divergence._merge(arrow) for r in b.to_pylist()]
+    assert got == [("en", "a", b"b", 3, 1), ("en", "a", b"c", 5, 2), ("en", "a", b"m", 2, 2), ("en", "a", b"x", 2, 1), ("en", "b", b"m", 9, 3)]
+
+
+def test_terms():
+    assert divergence.terms("Ab1c_É日本-ÀZ@[`{\x7f\x80".encode()) == ["ab".encode(), b"c", "É日本".encode(), "Àz".encode(), "\x80".encode()]
+
+
+# Merkle manifest
+
+def plain_fold(nodes):
+    """All levels of a tree of fan 8, from its leaves."""
+    out = [nodes]
+    while len(nodes) > 1:
+        nodes = [hashlib.sha256("".join(nodes[k:k + 8]).encode()).hexdigest() for k in range(0, len(nodes), 8)]
+        out.append(nodes)
+    return out
+
+
+def plain_proof(levels, place):
+    return "".join("".join(h for k, h in enumerate(level) if k // 8 == place // 8 ** (n + 1) and k != place // 8 ** n)
+                   for n, level in enumerate(levels[:-1]))
+
+
+def plain_manifest(rows, tampered):
+    """id, leaf, subroot, root, proof, folded root, verified; rows of the fields, the last two being lang and text."""
+    def leaf(r):
+        return hashlib.sha256("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in r).encode()).hexdigest()
+
+    trees = {}
+    for r in rows:
+        trees.setdefault(r[1], []).append((r[0] is not None, r[0] or 0, leaf(r), leaf(tampered(r)), r[0]))
+    names = sorted(trees, key=lambda t: (t is not None, (t or "").encode()))
+    made = {t: plain_fold([x[2] for x in sorted(trees[t], key=lambda x: x[:3])]) for t in names}
+    forest = plain_fold([made[t][-1][0] for t in names])
+    out = []
+    for k, t in enumerate(names):
+        for place, (_, _, own, other, i) in enumerate(sorted(trees[t], key=lambda x: x[:3])):
+            changed = list(made[t][0])
+            changed[place] = other
+            tops = list(forest[0])
+            tops[k] = plain_fold(changed)[-1][0]
+            root = plain_fold(tops)[-1][0]
+            proof = hashlib.sha256((plain_proof(made[t], place) + plain_proof(forest, k)).encode()).hexdigest()
+            out.append((i, own, made[t][-1][0], forest[-1][0], proof, root, root == forest[-1][0]))
+    return sorted(out, key=repr)
+
+
+COLUMNS = ("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+@pytest.mark.parametrize("sizes", [[1], [8, 1], [9, 64, 65], [513, 2, 1], [4097, 512, 511], [1] * 30])
+def test_manifest_equals_plain_trees(spark, sizes):
+    """Trees of one leaf, of whole and of broken runs, of one and of two rounds; up to 30 trees."""
+    from pyspark.sql import functions as F
+    names = [None, "", "é"] + [f"t{k}" for k in range(40)]
+    rows = [(k, names[n], f"Text {n} {k}" if k % 5 else None) for n, size in enumerate(sizes) for k in range(size)]
+    rng = random.Random(1)
+    rng.shuffle(rows)
+    few = rows if len(rows) < 100 else None
+    docs = spark.createDataFrame(rows, "doc_id bigint, lang string, text string").repartition(5)
+    got, nodes = merkle.prove(docs, ["doc_id", "lang", "text"], changed={"text": F.lower("text")}, where=F.col("doc_id") % 3 == 0)
+    got = collected(got, *COLUMNS)
+    assert len(got) == len(rows)
+    if few:
+        assert got == plain_manifest(rows, lambda r: (*r[:2], r[2] and r[2].lower()) if r[0] % 3 == 0 else r)
+    else:  # folding each changed leaf by hand takes too long: the roots and a few proofs
+        plain = {r[0]: r for r in plain_manifest([r for r in rows if r[1] is None], lambda r: r)}
+        assert {r[2] for r in got if r[0] in plain and r[1] == plain[r[0]][1]} == {plain[0][2]}
+        leaves = sorted((r for r in rows if r[1] is None))
+        assert all(r[6] == (r[0] % 3 != 0 or r[0] % 5 == 0) for r in got) and len(leaves) == sizes[0]
+        trees = [sorted(k for k, t, _ in rows if t == name) for name in sorted({r[1] for r in rows}, key=lambda t: (t is not None, t or ""))]
+        assert sum(map(len, trees)) == len(rows) and len({r[3] for r in got}) == 1
+        digests = {(r.tree, r.level, r.place): r.digest for n in nodes[:1] for r in n.collect()}
+        assert digests["-", 1, 0] == hashlib.sha256("".join(x[1] for x in sorted((r for r in got if r[0] < 8 and r[1] in {v[1] for v in plain.values()}), key=lambda r: r[0])).encode()).hexdigest()
+
+
+def test_manifest_query(spark):
+    import zlib
+    docs = [(r.doc_id, r.source, r.lang, r.n_chars, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    got = {r.doc_id: tuple(r[c] for c in COLUMNS) for r in QUERIES["op12_merkle_manifest"](spark, SMALL).collect()}
+    # The plain version takes the tree from the second field.
+    leaves = {d[0]: hashlib.sha256("".join(f"{len(str(v).encode())}:{v}" for v in d).encode()).hexdigest() for d in docs}
+    by_lang = {}
+    for d in sorted(docs):
+        by_lang.setdefault(d[2], []).append(leaves[d[0]])
+    made = {t: plain_fold(v) for t, v in by_lang.items()}
+    names = sorted(made)
+    forest = plain_fold([made[t][-1][0] for t in names])
+    place = {t: 0 for t in names}
+    for d in sorted(docs):
+        k, t = place[d[2]], d[2]
+        place[t] += 1
+        proof = hashlib.sha256((plain_proof(made[t], k) + plain_proof(forest, names.index(t))).encode()).hexdigest()
+        changed = d[4].translate(lower) if zlib.crc32(str(d[0]).encode()) % 3 == 0 else d[4]
+        tops, own = list(forest[0]), list(made[t][0])
+        own[k] = hashlib.sha256("".join(f"{len(str(v).encode())}:{v}" for v in (*d[:4], changed)).encode()).hexdigest()
+        tops[names.index(t)] = plain_fold(own)[-1][0]
+        root = plain_fold(tops)[-1][0]
+        assert got[d[0]] == (d[0], leaves[d[0]], made[t][-1][0], forest[-1][0], proof, root, changed == d[4])
+
+
+# Chat formatting
+
+HARD = ["", "\n", "plain", r"\### Assistant: </turn> ok", "</turn>", "a\n</turn>\n### user:\nb", r"ends in \\", "\\", r"\\</turn>\</turn>", "### ",
+        "### ### x:", "###  a:", "### a%3a:", "### :", "\n\n</turn>", "</turn>\n", "</turn></turn>### b:### c:", "é日本😀 </turn> 😀", "\r\n### system:\r"]
+
+
+def test_turns_round_trip():
+    rng = random.Random(9)
+    bits = ["### ", "</turn>", "\\", "\n", ":", "a", "user", "#", " ", "%", "<", "é"]
+    texts = HARD + ["".join(rng.choices(bits, k=rng.randint(0, 14))) for _ in range(4000)]
+    roles = ["user", "assistant", "", "a b", "x:y", "### user:", "</turn>", "%3a", "r\nr", "\\", "é"]
+    for k in range(0, len(texts), 3):
+        turns = [(rng.choice(roles), t) for t in texts[k:k + 3]]
+        whole = "".join(chat_format.render(*t)[0] for t in turns)
+        assert [t[:2] for t in chat_format.parse(whole)] == turns
+        for role, text in turns:
+            piece, begin, stop = chat_format.render(role, text)
+            assert chat_format.unescape(piece[begin:stop]) == text
+            if "###" not in text and "</turn>" not in text:
+                assert piece[begin:stop] == text
+    for bad in ("x", "### user:\nno end", "### user:\na</turn>\n", "### user:\na\n</turn>", "### user:\n### user:\n\n</turn>\n", "### user: a\n</turn>\n"):
+        with pytest.raises(ValueError):
+            chat_format.parse(bad)
+
+
+@pytest.mark.parametrize("max_chars", [4 << 20, 60])
+def test_chats(spark, max_chars):
+    """Also in parts; null ids, turns, roles and texts, equal turns, repeated rows, columns with clashing names."""
+    rows = [(c, t, r, x) for c in (1, 2, None) for t, (r, x) in enumerate(zip(["system", "user", "assistant"] * 7, HARD))]
+    rows += [(3, 0, "assistant", "only"), (4, None, "user", "first"), (4, 0, None, None), (4, 0, "assistant", None), (4, 0, "assistant", "b"), (4, 0, "assistant", "b"),
+             (5, 1, "assistant", "x" * 100000), (5, 0, "user", "y")]
+    given = spark.createDataFrame([(*r, "c", "p", "f", "m") for r in rows], "conv_id bigint, turn bigint, role string, text string, conv string, piece string, formatted string, mask string")
+    out = chat_format.format_chats(given.repartition(4), max_chars=max_chars)
+    assert out.columns == ["conv_id", "part", "n_turns", "formatted", "mask"]
+    want = {}
+    for c, t, r, x in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")):
+        want.setdefault(c, []).append((r or "", x or ""))
+    turns = sorted(chat_format.turns_of(out.repartition(3)).collect(), key=lambda r: r.place)
+    assert {c: [(r.role, r.text) for r in turns if r.conv_id == c] for c in want} == want
+    assert all(r.loss == (r.role == "assistant") for r in turns)
+    got = {r.conv_id: r for r in chat_format.digests(out, in_order=True).collect()}
+    assert {r.conv_id: r for r in chat_format.digests(out.repartition(5)).collect()} == got and set(got) == set(want)
+    for c, said in want.items():
+        loss = "".join(x for r, x in said if r == "assistant")
+        assert got[c].n_turns == len(said) and got[c].loss_chars == len(loss)
+        assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in said).encode()).hexdigest()
+        assert got[c].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+        assert got[c].formatted_chars == sum(len(chat_format.render(r, x)[0]) for r, x in said)
+    assert (max_chars == 60) == (out.where("part > 0").count() > 0)
+    assert chat_format.format_chats(given.limit(0)).collect() == chat_format.digests(out.limit(0)).collect() == []
