@@ -298,6 +298,25 @@ def _(spark, sf):
     return search.fuzzy_search(asked, search.search_index(catalog_tbox(spark, sf)), 5)
 
 
+@query("d2_partial_search", f"""
+WITH idx AS (SELECT iri, text FROM ({INDEX_SQL}) WHERE text LIKE '% by %'),
+q AS (SELECT DISTINCT replace(p_name, 'i', 'y') AS query FROM part),
+pairs AS (SELECT query, iri, text, list_filter(string_split(query, ' '), lambda x: x <> '') AS a,
+                 list_filter(string_split(text, ' '), lambda x: x <> '') AS b FROM q, idx),
+scored AS (SELECT query, iri, max(greatest(
+   round(100 * greatest(1.0::DOUBLE - levenshtein(query, text)::DOUBLE / greatest(length(query), length(text)),
+     0.95::DOUBLE * (len(list_intersect(list_distinct(a), list_distinct(b)))::DOUBLE / least(len(list_distinct(a)), len(list_distinct(b))))), 4),
+   round(90 * list_max(list_transform(range(1, len(b) - len(a) + 2), lambda i: 1.0::DOUBLE - levenshtein(query, array_to_string(b[i:i + len(a) - 1], ' '))::DOUBLE
+     / greatest(length(query), length(array_to_string(b[i:i + len(a) - 1], ' '))))), 4))) AS score FROM pairs GROUP BY 1, 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, iri) AS rank FROM scored)
+SELECT query, iri, score, rank FROM ranked WHERE rank <= 5""")
+def _(spark, sf):
+    """Misspelt part names inside longer comments."""
+    asked = frame(spark, sf, "part").select(F.replace("p_name", F.lit("i"), F.lit("y")).alias("query"))
+    comments = search.search_index(catalog_tbox(spark, sf)).where("text LIKE '% by %'")
+    return search.fuzzy_search(asked, comments, 5, partial=True)
+
+
 @query("d3_expand_terms", f"""
 SELECT '{X}part/' || p_partkey AS s, p, o FROM part, LATERAL (SELECT * FROM (VALUES
  ('{RDF.type}', '{OWL.Class}', 0), ('{RDFS.label}', p_name, 10), ('{RDFS.comment}', chr(10) || ' ' || p_type || ' ' || p_name || ' by ' || p_brand || ' ', 10),

@@ -7,6 +7,7 @@ from kgqueries.registry import X, frame, query, tables
 from kgqueries.scans import GRAPH_SQL
 from kgspark import (IRI, KG, RDF, RDFS, Mapping, Ontology, RefObj, Source, TriplesMap, agg,
                      desc, fn, graph, path)
+from kgspark.operators.closure import reach_counts
 
 # ---- patterns ------------------------------------------------------------------------------
 
@@ -395,6 +396,43 @@ def _(spark, sf):
     return tree_graph(spark, sf).match("?x", path.plus(EX.partOf), EX["part/3"])
 
 
+RING = ("SELECT p_partkey AS a, coalesce(lead(p_partkey) OVER w, min(p_partkey) OVER (PARTITION BY {ring})) AS b FROM part "
+        "WINDOW w AS (PARTITION BY {ring} ORDER BY p_partkey) UNION ALL SELECT p_partkey, {half} FROM part WHERE p_partkey % 20 = 7")
+RING_SQL = f"""WITH RECURSIVE e AS ({RING.format(ring="p_partkey // 20", half="p_partkey // 2")}),
+c(a, b) AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a) """
+
+
+def ring_source():
+    return RING.format(ring="p_partkey DIV 20", half="p_partkey DIV 2")
+
+
+def ring_graph(spark, sf):
+    """Twenty parts each follow each other round, and one of them leads on to part k DIV 2."""
+    return KG(spark, Mapping([
+        TriplesMap("#Ring", Source.sql(ring_source(), ["part"]), BASE + "part/{a}", [], {EX.next: RefObj("#Next", [])}),
+        TriplesMap("#Next", Source.sql(ring_source(), ["part"]), BASE + "part/{b}", [])]), tables=tables(spark, sf))
+
+
+@query("p5_cycles", RING_SQL + f"SELECT '{X}part/' || a AS x, '{X}part/' || b AS y FROM c")
+def _(spark, sf):
+    """All pairs of a graph of cycles: each cycle is one node until the end."""
+    return ring_graph(spark, sf).match("?x", path.plus(EX.next), "?y")
+
+
+@query("p5_reach_counts", RING_SQL + "SELECT a AS node, count(*) AS reached FROM c GROUP BY a")
+def _(spark, sf):
+    """How many parts each part leads to, without their pairs."""
+    frame(spark, sf, "part").createOrReplaceTempView("part")
+    edges = spark.sql(ring_source()).toDF("src", "dst")
+    return reach_counts(edges)
+
+
+@query("p5_both_ends", RING_SQL + "SELECT count(*) > 0 AS ask FROM c WHERE a = 190 AND b = 3")
+def _(spark, sf):
+    """Both ends bound: two walks towards each other."""
+    return ring_graph(spark, sf).match(EX["part/190"], path.plus(EX.next), EX["part/3"]).ask()
+
+
 def part_tbox(spark, sf):
     """A class tree out of the parts: each part class is below part class k DIV 2."""
     p = frame(spark, sf, "part").where("p_partkey > 0")

@@ -10,7 +10,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import functions as F
 
-from kgspark.operators.closure import closure
+from kgspark.operators.closure import closure, connected
 from kgspark.plans import branch as br
 from kgspark.plans.branch import Branch
 from kgspark.terms import IRI
@@ -192,6 +192,13 @@ def _closure(kg, one, s, step, o, reflexive: bool):
         start = _constant_side(b, end)
         if start is None:
             found = pairs.limit(0)
+        elif not is_var(s) and not is_var(o):  # from both ends towards each other
+            to = _constant_side(b, o, "kgy")
+            met = to is not None and connected(pairs, start, to)[0]
+            found = pairs.limit(0)
+            if met:  # one row of both ends
+                ends = [pairs.where(at(F.col(c))).select(c, F.lit(0).alias("one")).limit(1) for c, at in (("src", start), ("dst", to))]
+                found = ends[0].join(ends[1], "one").select("src", "dst")
         else:
             found = closure(pairs, sources=pairs.select("src").where(start(F.col("src"))).distinct())
         if back:
@@ -203,9 +210,9 @@ def _closure(kg, one, s, step, o, reflexive: bool):
     return _from_pairs(kg, b, closure(pairs, reflexive=reflexive), s, o)
 
 
-def _constant_side(b: Branch, iri):
+def _constant_side(b: Branch, iri, side: str = "kgx"):
     """Condition for a pair column to be the constant."""
-    info = b.vars["kgx"]
+    info = b.vars[side]
     if info.template:
         keys = info.template.invert(str(iri), info.families)
         if keys is None:

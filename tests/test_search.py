@@ -24,25 +24,50 @@ def score(q, t):
     return round(100 * max(1 - lev(q, t) / max(len(q), len(t)), 0.95 * words), 4)
 
 
-@pytest.mark.parametrize("block_texts", [2000, 7])
-def test_best_terms_equal_brute_force(spark, monkeypatch, block_texts):
-    monkeypatch.setattr(search, "BLOCK_TEXTS", block_texts)
+def part_score(q, t):
+    a, b = q.split(), t.split()
+    runs = [" ".join(b[k:k + len(a)]) for k in range(len(b) - len(a) + 1)] if len(b) > len(a) else []
+    return max([score(q, t), *[round(90 * (1 - lev(q, r) / max(len(q), len(r))), 4) for r in runs]])
+
+
+def best_of(index, q, limit, scorer):
+    best = {}
+    for iri, t in index:
+        best[iri] = max(best.get(iri, 0.0), scorer(q, t))
+    return [(k + 1, iri, pytest.approx(s, abs=1e-3)) for k, (iri, s) in enumerate(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:limit])]
+
+
+@pytest.mark.parametrize("partial", [False, True])
+@pytest.mark.parametrize("limit", [1, 4, 200])
+def test_best_terms_equal_brute_force(spark, limit, partial):
+    """Queries with near, far and no texts at all, of one letter, with repeated words and letters; ties by IRI."""
     rng = random.Random(5)
-    words = ["order", "line", "item", "part", "supplier", "customer", "price"]
-    index = [(f"{E}{rng.randrange(25)}", " ".join(rng.choices(words, k=rng.randint(1, 3)))) for _ in range(60)]
-    queries = ["line item", "custmer", " order price ", "zzz", "supplier"]
+    words = ["order", "line", "item", "part", "supplier", "customer", "price", "of", "a", "aaaa"]
+    index = [(f"{E}{rng.randrange(40)}", " ".join(rng.choices(words, k=rng.randint(1, 6)))) for _ in range(120)]
+    index += [(f"{E}x{k}", "same text") for k in range(9)] + [(E + "z", "q")]
+    queries = ["line item", "custmer", " order price ", "zzz", "supplier", "a", "aaaaaa a", "same  text", "xq", "prt of suplier lne", "of of of"]
     got = search.fuzzy_search(spark.createDataFrame([(q,) for q in queries + ["", "  ", "zzz"]], "query string"),
-                              spark.createDataFrame(index, "iri string, text string"), 4).collect()
+                              spark.createDataFrame(index, "iri string, text string"), limit, partial=partial).collect()
     for q in {q.strip() for q in queries}:
-        best = {}
-        for iri, t in index:
-            best[iri] = max(best.get(iri, 0.0), score(q, t))
-        want = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:4]
         mine = sorted((r.rank, r.iri, r.score) for r in got if r.query == q)
-        assert [(iri, pytest.approx(s, abs=1e-3)) for iri, s in want] == [(iri, s) for _, iri, s in mine]
+        assert best_of(index, q, limit, part_score if partial else score) == mine, q
     assert {r.query for r in got} == {q.strip() for q in queries}
 
 
+def test_few_pairs_are_scored(spark):
+    """Of all pairs of queries and texts of the part catalog less than one in twenty is scored."""
+    from kgqueries.checks import catalog_tbox
+    from tests.conftest import SMALL
+    folder = SMALL.replace("sf0.001", "sf0.01")
+    asked = spark.read.parquet(f"{folder}/part.parquet").selectExpr("replace(p_name, 'i', 'y') AS query")
+    s = search._Search(asked, search.search_index(catalog_tbox(spark, folder)), 5, False, False)
+    seeds = s.scored(s.seeds())
+    bound = search._best(seeds, 5).where("rank = 5").selectExpr("query", "score AS bound")
+    pairs, rest = s.candidates(bound)
+    every = s.asked.count() * s.texts.count()
+    assert rest.isEmpty() and 0 < pairs.count() + seeds.count() < every / 20
+
+
 def tbox(spark):
     return triples(spark, [
         (E + "Customer", RDF.type, OWL.Class), (E + "Customer", RDFS.label, '"Customer'), (E + "Customer", SKOS.altLabel, '"Buyer'),
