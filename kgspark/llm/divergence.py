@@ -18,29 +18,27 @@ from __future__ import annotations
 import heapq
 from collections import Counter
 from collections.abc import Iterator
-from itertools import groupby
-from operator import itemgetter, le
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgspark.llm.common import columns, materialize, prepare, rows_of
 
-RUN_ENTRIES = 400_000  # entries (source, term) a task holds before they leave as a run
-SHARD_ROWS = 300_000  # rows of runs that are merged together
-SENT_ROWS = 50_000
+RUN_ENTRIES = 800_000  # entries (source, term) a task holds before they leave as a run
+SHARD_BYTES = 4 << 20  # of the documents, as Spark knows them, for each shard
+SENT_ROWS, SENT_BYTES = 50_000, 4 << 20
 PAIRS = 1 << 20  # pairs of sources whose corrections are summed up together
 
 # Bytes of terms, A to Z lower-cased; all others become blanks. In UTF-8 what is not ASCII has bytes from 0x80 on.
 _TERMS = bytes(b | 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
-_RUNS = pa.schema([("run", pa.int64()), ("lang", pa.string()), ("source", pa.string()), ("term", pa.binary()),
-                   ("n", pa.int64()), ("docs", pa.int64())])
-RUNS = "run bigint, lang string, source string, term binary, n bigint, docs bigint"
-_FREQUENCIES = pa.schema([*list(_RUNS)[1:]])
+# A piece of a run: the terms of a source in a shard, in order and with blanks between, and two numbers of each.
+_RUNS = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("source", pa.string()), ("terms", pa.binary()), ("counts", pa.binary())])
+RUNS = "shard bigint, lang string, source string, terms binary, counts binary"
+_FREQUENCIES = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.binary()), ("n", pa.int64()), ("docs", pa.int64())])
 FREQUENCIES = "lang string, source string, term binary, n bigint, docs bigint"
 _FIXES = pa.schema([("lang", pa.string()), ("a", pa.string()), ("b", pa.string()), ("value", pa.int64())])
 FIXES = "lang string, a string, b string, value bigint"
@@ -51,23 +49,27 @@ def terms(text: bytes) -> list[bytes]:
     return text.translate(_TERMS).split()
 
 
-def _invert(batches) -> Iterator[pa.RecordBatch]:
-    """Runs: entries in the order of their sources, and of terms within a source."""
-    task = TaskContext.get()
-    number = (task.partitionId() if task else 0) << 24
+def _spill(counts: dict, docs: dict, shards: int) -> Iterator[pa.RecordBatch]:
+    """A run, source by source: pieces for the shards, each sorted by term."""
+    rows, size = [], 0
+    for lang, source in sorted(counts):
+        n, d, pieces = counts[lang, source], docs[lang, source], {}
+        for term in sorted(n):
+            pieces.setdefault(crc32(term) % shards, []).append(term)
+        for shard, some in pieces.items():
+            numbers = np.array([[n[t] for t in some], [d[t] for t in some]], np.int64)
+            rows.append((shard, lang, source, b" ".join(some), numbers.tobytes()))
+            size += len(rows[-1][3]) + len(rows[-1][4])
+            if size > SENT_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _RUNS)], schema=_RUNS)
+                rows, size = [], 0
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _RUNS)], schema=_RUNS)
+
+
+def _invert(batches, shards: int) -> Iterator[pa.RecordBatch]:
+    """Runs of the documents that go by."""
     counts, docs, held = {}, {}, 0
-
-    def spill():
-        for lang, source in sorted(counts):
-            n, d = counts[lang, source], docs[lang, source]
-            order = sorted(n)
-            for k in range(0, len(order), SENT_ROWS):
-                some = order[k:k + SENT_ROWS]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(some), number)), pa.array([lang] * len(some)), pa.array([source] * len(some)),
-                     pa.array(some, pa.binary()), pa.array([n[t] for t in some], pa.int64()),
-                     pa.array([d[t] for t in some], pa.int64())], schema=_RUNS)
-
     for batch in batches:
         for lang, source, text in rows_of(batch, "lang", "source", "text"):
             found = terms(text)
@@ -79,31 +81,39 @@ def _invert(batches) -> Iterator[pa.RecordBatch]:
             held += len(n)
             docs[lang, source].update(set(found))
             if held >= RUN_ENTRIES:
-                yield from spill()
-                counts, docs, held, number = {}, {}, 0, number + 1
-    yield from spill()
+                yield from _spill(counts, docs, shards)
+                counts, docs, held = {}, {}, 0
+    yield from _spill(counts, docs, shards)
 
 
 def _merge(batches) -> Iterator[pa.RecordBatch]:
-    """Frequencies of a shard: for each source the runs that have it are merged by a heap, equal terms added."""
-    runs: dict[tuple, dict[int, list]] = {}
+    """Frequencies of a shard: the pieces of each source are merged by a heap, equal terms added."""
+    pieces: dict[tuple, list] = {}
     for batch in batches:
-        for (lang, source, run), rows in groupby(rows_of(batch, "lang", "source", "run", "term", "n", "docs"), itemgetter(0, 1, 2)):
-            runs.setdefault((lang, source), {}).setdefault(run, []).extend([r[3:] for r in rows])
-    held = []
-    for lang, source in sorted(runs):
-        # A run arrives in its order; if a shuffle has dealt it otherwise, it is sorted again.
-        mine = [r if all(map(le, r, r[1:])) else sorted(r) for r in runs.pop((lang, source)).values()]
-        for term, rows in groupby(heapq.merge(*mine), itemgetter(0)):
-            n = docs = 0
-            for _, a, b in rows:
-                n, docs = n + a, docs + b
-            held.append((lang, source, term, n, docs))
-            if len(held) >= SENT_ROWS:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), _FREQUENCIES)], schema=_FREQUENCIES)
-                held = []
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), _FREQUENCIES)], schema=_FREQUENCIES)
+        for shard, lang, source, some, numbers in rows_of(batch, "shard", "lang", "source", "terms", "counts"):
+            pieces.setdefault((shard, lang, source), []).append((some, numbers))
+    for key in sorted(pieces):
+        runs = [zip(some.split(b" "), *np.frombuffer(numbers, np.int64).reshape(2, -1).tolist()) for some, numbers in pieces.pop(key)]
+        found, n, docs, last = [], [], [], None
+        for term, a, b in heapq.merge(*runs) if len(runs) > 1 else runs[0]:
+            if term == last:
+                n[-1] += a
+                docs[-1] += b
+                continue
+            if len(found) >= SENT_ROWS:
+                yield _counted(key, found, n, docs)
+                found, n, docs = [], [], []
+            found.append(term)
+            n.append(a)
+            docs.append(b)
+            last = term
+        yield _counted(key, found, n, docs)
+
+
+def _counted(key: tuple, found: list, n: list, docs: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.repeat(pa.scalar(key[1], pa.string()), len(found)), pa.repeat(pa.scalar(key[2], pa.string()), len(found)),
+         pa.array(found, pa.binary()), pa.array(n, pa.int64()), pa.array(docs, pa.int64())], schema=_FREQUENCIES)
 
 
 def frequencies(docs: DataFrame, *, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -113,9 +123,13 @@ def frequencies(docs: DataFrame, *, lang_col: str = "lang", source_col: str = "s
     d = columns(docs, lang=lang_col, source=source_col, text=text_col).select(
         *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")],
         F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    runs = materialize(d.mapInArrow(_invert, RUNS))
-    shards = max(1, -(-runs.count() // SHARD_ROWS))
-    return materialize(runs.repartition(shards, "lang", "source", "term").mapInArrow(_merge, FREQUENCIES))
+    # The size as Spark knows it decides how many shards there are; where it knows none, texts are measured.
+    known = int(str(d._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if known >= 1 << 60:
+        known = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, -(-known // SHARD_BYTES))
+    runs = materialize(d.mapInArrow(lambda batches: _invert(batches, shards), RUNS))
+    return materialize(runs.repartition(shards, "shard").mapInArrow(_merge, FREQUENCIES))
 
 
 def _share(n: str, total: str, kept: str) -> Column:
@@ -173,34 +187,37 @@ class Corrections:
         yield pa.RecordBatch.from_arrays(
             [pa.array([self.names[k][0] for k in a]), pa.array([self.names[k][1] for k in a]), pa.array([self.names[k][1] for k in b]),
              pa.array(self.sums, pa.int64())], schema=_FIXES)
-        self.keys, self.sums, self.codes, self.names = self.keys[:0], self.sums[:0], {}, []
+        self.keys, self.sums = self.keys[:0], self.sums[:0]
 
 
 def _correct(batches) -> Iterator[pa.RecordBatch]:
     """Postings by term go by; pairs of the sources of each term are summed up over all terms of the task."""
-    sums, held = Corrections(), []
-
-    def take(upto: int) -> None:
-        numbers, last = [], (None, -1)
-        for lang, term, *_ in held[:upto]:
-            if last[0] != (lang, term):
-                last = ((lang, term), last[1] + 1)
-            numbers.append(last[1])
-        code = np.array([sums.code(r[0], r[2]) for r in held[:upto]], np.int64)
-        sums.add(np.array(numbers, np.int64), code, *(np.array([r[k] for r in held[:upto]], np.int64) for k in (3, 4)))
-        del held[:upto]
-
+    sums, held, rows, last, number = Corrections(), [], 0, None, 0
     for batch in batches:
-        held += rows_of(batch, "lang", "term", "source", "p", "p0")
-        if len(held) >= SENT_ROWS:
-            whole = len(held) - 1
-            while whole and held[whole - 1][:2] == held[-1][:2]:
-                whole -= 1
-            if whole:
-                take(whole)
-                yield from sums.rows(PAIRS)
+        if not batch.num_rows:
+            continue
+        lang, source, term = (batch.column(batch.schema.get_field_index(c)).dictionary_encode() for c in ("lang", "source", "term"))
+        shares = [batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("p", "p0")]
+        langs, sources = lang.dictionary.to_pylist(), source.dictionary.to_pylist()
+        at, of, which = (x.indices.to_numpy() for x in (lang, source, term))
+        codes = {k: sums.code(langs[k >> 32], sources[k & 0xFFFFFFFF]) for k in np.unique(at.astype(np.int64) << 32 | of).tolist()}
+        code = np.array([codes[k] for k in (at.astype(np.int64) << 32 | of).tolist()], np.int64)
+        new = np.concatenate(([False], (np.diff(at) != 0) | (np.diff(which) != 0)))
+        first = (langs[at[0]], term.dictionary[int(which[0])].as_py())
+        new[0] = first != last
+        last = (langs[at[-1]], term.dictionary[int(which[-1])].as_py())
+        numbers = number + np.cumsum(new)
+        number = int(numbers[-1])
+        held.append((numbers, code, *shares))
+        rows += len(numbers)
+        if rows >= SENT_ROWS:
+            term_of, code, p, p0 = (np.concatenate(c) for c in zip(*held))
+            whole = int(np.searchsorted(term_of, number))  # the last term may go on
+            sums.add(term_of[:whole], code[:whole], p[:whole], p0[:whole])
+            yield from sums.rows(PAIRS)
+            held, rows = [(term_of[whole:], code[whole:], p[whole:], p0[whole:])], len(term_of) - whole
     if held:
-        take(len(held))
+        sums.add(*(np.concatenate(c) for c in zip(*held)))
     yield from sums.rows()
 
 
