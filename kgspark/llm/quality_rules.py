@@ -1,10 +1,8 @@
 """Quality rules from counts within a text and from lines that many documents of a host share.
 
-Lines are normalised and hashed. A line is boilerplate of a host if more than ``max_docs`` different texts
-of the host hold it, where texts that are the same but for such lines count once: what is left of them
-without all lines above the limit is compared. So copies that differ in digits, blanks or case do not reject
-each other, and of a shared block of lines each line goes, wherever it stands. A line of such copies goes
-also if at least half as many different lines as texts stand before it, or after it. Boilerplate lines are taken out, and a document that loses more than half of its words is rejected.
+Lines are normalised and hashed. A line is boilerplate of a host if more than ``max_docs`` documents of the host
+hold it, wherever it stands; documents whose normal lines are all the same, such as exact copies, count as one. Boilerplate
+lines are taken out, and a document that loses more than half of its words is rejected.
 
 All of it is DataFrame functions; texts are read once, and what follows works on hashes of lines.
 """
@@ -74,37 +72,28 @@ def _lines(text: Column) -> Column:
 def _measure(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
     """One small row per document, written once: its counts, and its lines as hashes."""
     d = columns(docs, id=id_col, text=text_col, host=host_col)
-    d = d.select(F.monotonically_increasing_id().alias("row"), "id", "host", F.xxhash64("text").alias("text_hash"),
+    d = d.select(F.monotonically_increasing_id().alias("row"), "id", "host",
                  _lines(F.col("text")).alias("lines"), *[c.alias(n) for n, c in text_counts(F.col("text")).items()])
-    return materialize(d.select("row", "id", "host", "text_hash", "lines", F.col("both.n").alias("n_words"),
+    return materialize(d.select("row", "id", "host", "lines", F.col("both.n").alias("n_words"),
                                 "word_chars", "n_symbols", "n_dup_lines", F.col("both.r").alias("n_repeat_words")))
 
 
-def boilerplate(measured: DataFrame, max_docs: int, own_share: float) -> DataFrame:
+def boilerplate(measured: DataFrame, max_docs: int) -> DataFrame:
     """The boilerplate lines: ``host`` and ``h``, one row each.
 
-    Lines are counted over documents first, which combines on the map side; only those above the limit
-    are looked at again, with their texts, their neighbours and the own lines of their documents.
+    Lines are counted over rows first, which combines on the map side; only those above the limit are counted
+    again, over different documents.
     """
-    often = (measured.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
-             .groupBy("host", "h").count().where(F.col("count") > max_docs).select("host", "h"))
-    around = F.transform("lines", lambda x, i: F.struct(
-        x["h"].alias("h"), F.coalesce(F.get(F.col("lines"), i - 1)["h"], F.lit(0)).alias("before"),
-        F.coalesce(F.get(F.col("lines"), i + 1)["h"], F.lit(0)).alias("after")))
-    seen = materialize(
-        measured.select("row", "host", "text_hash", F.explode(around).alias("x")).select("row", "host", "text_hash", "x.*").alias("s")
-        .join(often.alias("o"), F.col("s.host").eqNullSafe(F.col("o.host")) & (F.col("s.h") == F.col("o.h")), "left_semi"))
-    shared = seen.groupBy("row").agg(F.collect_set("h").alias("shared"))
-    own = F.filter(F.transform("lines", lambda x: x["h"]), lambda h: ~F.array_contains("shared", h))
-    left = measured.select("row", "lines").join(shared, "row").select("row", F.xxhash64(own).alias("own"))
-    counts = seen.join(left, "row").groupBy("host", "h").agg(*[
-        F.countDistinct(c).alias(n) for c, n in (("text_hash", "texts"), ("own", "own"), ("before", "before"), ("after", "after"))])
-    return counts.where((F.col("texts") > max_docs) & ((F.col("own") > max_docs) | (
-        F.greatest("before", "after") >= own_share * F.col("texts")))).select("host", "h")
+    hashes = F.transform("lines", lambda x: x["h"])
+    held = measured.select("host", F.xxhash64(hashes).alias("document"), F.explode(F.array_distinct(hashes)).alias("h"))
+    often = held.groupBy("host", "h").count().where(F.col("count") > max_docs).select("host", "h")
+    again = held.alias("s").join(often.alias("o"), F.col("s.host").eqNullSafe(F.col("o.host")) & (F.col("s.h") == F.col("o.h")), "left_semi")
+    return (again.groupBy("host", "h", "document").agg(F.lit(1).alias("one")).groupBy("host", "h").count()
+            .where(F.col("count") > max_docs).select("host", "h"))
 
 
 def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-          max_docs: int = 10, own_share: float = 0.5, min_words: int = 50, max_repeated: float = 0.5,
+          max_docs: int = 10, min_words: int = 50, max_repeated: float = 0.5,
           max_removed: float = 0.5) -> DataFrame:
     """One row per document: its id, the counts, ``base_failed``, ``kept``, ``removed_words`` and
     ``removed_lines`` (hashes of the boilerplate lines in it, or null).
@@ -112,15 +101,16 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ho
     ``base_failed``: fewer than ``min_words`` words, or more than ``max_repeated`` of them in repeated
     windows. A document is kept if it has not failed and boilerplate takes at most ``max_removed`` of its
     words. A null or empty text has no words and fails. Documents without a host form one host; null ids
-    and repeated rows are kept as rows (copies count as one text); other columns are ignored.
+    and repeated rows are kept as rows (copies count as one document); texts are read whole, however long; other
+    columns are ignored, and an empty table gives an empty one.
     """
     prepare(docs.sparkSession)
     m = _measure(docs, id_col, text_col, host_col)
-    bad = materialize(boilerplate(m, max_docs, own_share))
+    bad = materialize(boilerplate(m, max_docs))
     gone = (m.select("row", "host", F.explode("lines").alias("x")).select("row", "host", "x.*").alias("l")
             .join(bad.alias("b"), F.col("l.host").eqNullSafe(F.col("b.host")) & (F.col("l.h") == F.col("b.h")), "left_semi")
             .groupBy("row").agg(F.sum("n").alias("removed_words"), F.collect_set("h").alias("removed_lines")))
-    out = m.drop("lines", "host", "text_hash").join(gone, "row", "left").withColumn(
+    out = m.drop("lines", "host").join(gone, "row", "left").withColumn(
         "removed_words", F.coalesce("removed_words", F.lit(0)))
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") > max_repeated * F.col("n_words"))
     kept = ~failed & (F.col("removed_words") <= max_removed * F.col("n_words"))
@@ -132,7 +122,8 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ho
 def clean(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
     """The documents that ``judge`` keeps, with all their columns, and without their boilerplate lines.
 
-    Verdicts are joined by id, text and host, so that rows with equal ids are told apart.
+    Verdicts are joined by id, text and host, so that rows with equal ids are told apart; repeated rows are
+    kept or rejected together. Null and empty texts are rejected; an empty table gives an empty one.
     """
     prepare(docs.sparkSession)
     key, said = unused(docs, "row_key"), unused(docs, "verdict")

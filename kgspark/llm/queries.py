@@ -99,28 +99,20 @@ twice AS (SELECT row, i FROM (SELECT *, count(*) OVER (PARTITION BY row, g) AS n
 reps AS (SELECT row, count(DISTINCT p) AS n_repeat_words
          FROM (SELECT row, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY row),
 base AS (
-  SELECT d.row, doc_id, source, hash(text) AS text_hash, len(w) AS n_words,
+  SELECT d.row, doc_id, source, len(w) AS n_words,
          length(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
          length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g')) AS n_symbols,
          coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
   FROM d LEFT JOIN dups USING (row) LEFT JOIN reps USING (row)),
-cut AS (
-  SELECT row, unnest(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x:
+normal AS (
+  SELECT row, source, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x:
            trim(regexp_replace(regexp_replace(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ')), lambda x: x <> '')) AS line,
-         generate_subscripts(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x:
-           trim(regexp_replace(regexp_replace(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ')), lambda x: x <> ''), 1) AS pos FROM d),
-around AS (
-  SELECT source, text, cut.row, line, coalesce(lag(line) OVER (PARTITION BY cut.row ORDER BY pos), '') AS before,
-         coalesce(lead(line) OVER (PARTITION BY cut.row ORDER BY pos), '') AS after
-  FROM cut JOIN d ON d.row = cut.row),
-bad AS (
-  SELECT source, line FROM around GROUP BY source, line
-  HAVING count(DISTINCT text) > 10 AND greatest(count(DISTINCT before), count(DISTINCT after)) >= 0.5 * count(DISTINCT text)),
+                '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ')), lambda x: x <> '') AS lines FROM d),
+cut AS (SELECT row, source, lines, unnest(lines) AS line FROM normal),
+bad AS (SELECT source, line FROM cut GROUP BY source, line HAVING count(DISTINCT lines) > 10),
 gone AS (
   SELECT row, sum(length(a.line) - length(replace(a.line, ' ', '')) + 1) AS removed_words
-  FROM around a JOIN bad b ON a.source IS NOT DISTINCT FROM b.source AND a.line = b.line GROUP BY row)
+  FROM cut a JOIN bad b ON a.source IS NOT DISTINCT FROM b.source AND a.line = b.line GROUP BY row)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)

@@ -413,6 +413,39 @@ def test_blocks_of_shared_lines(spark):
     assert {r.doc_id: r.text for r in quality_rules.clean(docs).collect()}[0] == prose(1000, 200) + "\nsection a"
 
 
+def plain_verdicts(rows, max_docs=10, min_words=50):
+    """id to (kept, words removed) of (id, text, host), from counts of documents per host and line."""
+    def lines(text):
+        out = [re.sub(r"[\x20\x09-\x0D]+", " ", re.sub("[0-9]+", "0", re.sub("[A-Z]", lambda m: m[0].lower(), x))).strip(" ") for x in (text or "").split("\n")]
+        return [x for x in out if x]
+
+    held = {}
+    for _, text, host in rows:
+        for x in set(lines(text)):
+            held.setdefault((host, x), set()).add(tuple(lines(text)))
+    out = {}
+    for i, text, host in rows:
+        gone = sum(len(x.split(" ")) for x in lines(text) if len(held[host, x]) > max_docs)
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        windows = [tuple(words[k:k + 3]) for k in range(len(words) - 2)]
+        repeated = {k + j for k, w in enumerate(windows) if windows.count(w) > 1 for j in range(3)}
+        out[i] = len(words) >= min_words and len(repeated) <= 0.5 * len(words) and gone <= 0.5 * len(words), gone
+    return out
+
+
+def test_pages_of_shared_lines_are_rejected(spark):
+    """Pages that have no line of their own; shared and own lines mixed; a host without such lines; a null host."""
+    rng = random.Random(6)
+    shared = [prose(60 + k, 9) for k in range(20)]
+    rows = [(k, "\n".join(rng.sample(shared, 12)), "a") for k in range(60)]
+    rows += [(100 + k, "\n".join(rng.sample(shared, rng.randint(0, 6)) + [prose(2000 + 7 * k + j, 12) for j in range(5)]), rng.choice(["a", "b", None])) for k in range(90)]
+    rows += [(300 + k, rows[0][1].upper() + "\n\n", "a") for k in range(12)] + [(400 + k, rows[60][1], "c") for k in range(30)]
+    got = {r.doc_id: (r.kept, r.removed_words) for r in quality_rules.judge(frame(spark, [(i, t, "en", h) for i, t, h in rows])).collect()}
+    assert got == plain_verdicts(rows)
+    assert not any(got[k][0] for k in range(60)) and {v[0] for v in got.values()} == {True, False}
+    assert all(got[400 + k] == (True, 0) for k in range(30))  # copies of one document count as one
+
+
 # URL filter
 
 def test_bloom_filter_holds_its_keys(spark):
@@ -460,10 +493,10 @@ def plain_audit(rows, min_docs, top):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("entries,shard,sent", [(400_000, 300_000, 50_000), (60, 200, 7)])
+@pytest.mark.parametrize("entries,shard,sent", [(800_000, 4 << 20, 50_000), (60, 100, 7)])
 def test_audit_equals_dense_counts(spark, monkeypatch, entries, shard, sent):
     """Also with runs that are spilled after few entries, many shards, and small batches of postings."""
-    for name, value in (("RUN_ENTRIES", entries), ("SHARD_ROWS", shard), ("SENT_ROWS", sent), ("PAIRS", sent)):
+    for name, value in (("RUN_ENTRIES", entries), ("SHARD_BYTES", shard), ("SENT_ROWS", sent), ("PAIRS", sent)):
         monkeypatch.setattr(divergence, name, value)
     rng = random.Random(7)
     vocabulary = [prose(k, 1).strip(".") + rng.choice("abc") for k in range(70)] + ["É", "日本", "Zoë"]
@@ -484,13 +517,21 @@ def test_audit_query(spark):
     assert got == plain_audit(docs, 30, 50)
 
 
-def test_runs_are_merged_whatever_their_order():
-    batches = [[(1, "en", "a", b"m", 1, 1), (1, "en", "a", b"x", 2, 1)], [(2, "en", "a", b"c", 5, 2), (1, "en", "a", b"b", 3, 1)],
-               [(2, "en", "a", b"m", 1, 1), (2, "en", "b", b"m", 9, 3)]]
+def test_runs_are_merged(monkeypatch):
+    """The pieces of a shard in any order, also when a source's terms leave in several batches."""
     import pyarrow as pa
-    arrow = [pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*b), divergence._RUNS)], schema=divergence._RUNS) for b in batches]
-    got = [tuple(r.values()) for b in divergence._merge(arrow) for r in b.to_pylist()]
-    assert got == [("en", "a", b"b", 3, 1), ("en", "a", b"c", 5, 2), ("en", "a", b"m", 2, 2), ("en", "a", b"x", 2, 1), ("en", "b", b"m", 9, 3)]
+    rng = random.Random(2)
+    docs = [("en", rng.choice("ab"), " ".join(rng.choices([f"w{chr(97 + k)}" for k in range(26)], k=rng.randint(0, 9))).encode()) for _ in range(200)]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("lang", "source", "text"), d)) for d in docs[k:k + 11]]) for k in range(0, 200, 11)]
+    monkeypatch.setattr(divergence, "RUN_ENTRIES", 20)
+    monkeypatch.setattr(divergence, "SENT_ROWS", 4)
+    rows = [r for b in divergence._invert(batches, 3) for r in b.to_pylist()]
+    assert all(r["terms"].split() == sorted(set(r["terms"].split())) for r in rows) and {r["shard"] for r in rows} == {0, 1, 2}
+    rng.shuffle(rows)
+    got = {(r["source"], r["term"]): (r["n"], r["docs"]) for b in divergence._merge([pa.RecordBatch.from_pylist(rows, divergence._RUNS)]) for r in b.to_pylist()}
+    want = {(s, t): (sum(x[2].split().count(t) for x in docs if x[1] == s), sum(t in x[2].split() for x in docs if x[1] == s))
+            for s in "ab" for t in {t for d in docs if d[1] == s for t in d[2].split()}}
+    assert got == want
 
 
 def test_terms():
