@@ -326,6 +326,28 @@ def _(spark, sf):
         .filter(lambda r: r.ship < r.day).group_by("o").agg(late=agg.count("l")))
 
 
+@query("j10_string_order", f"""
+SELECT '{X}customer/' || c_custkey AS c, r_name AS region FROM customer, region WHERE r_name < c_mktsegment""")
+def _(spark, sf):
+    """Patterns without a shared variable, ordered by their texts: a join of ranges."""
+    kg = order_graph(spark, sf)
+    customers = kg.bgp([("?c", EX.marketSegment, "?segment")])
+    regions = kg.bgp([("?r", RDF.type, EX.Region), ("?r", EX.name, "?region")])
+    return customers.join(regions).filter(lambda r: fn.str(r.region) < fn.str(r.segment)).select("c", "region")
+
+
+@query("j10_band", f"""
+SELECT '{X}part/' || p_partkey AS p, '{X}supplier/' || s_suppkey AS s FROM part, supplier
+WHERE CAST(p_retailprice AS DECIMAL(18,2)) >= CAST(s_acctbal AS DECIMAL(18,2))
+  AND CAST(p_retailprice AS DECIMAL(18,2)) <= CAST(s_acctbal AS DECIMAL(18,2)) + 5""")
+def _(spark, sf):
+    """Parts whose price lies in a band above a supplier's balance."""
+    kg = order_graph(spark, sf)
+    parts = kg.bgp([("?p", EX.retailPrice, "?price")])
+    suppliers = kg.bgp([("?s", RDF.type, EX.Supplier), ("?s", EX.accountBalance, "?balance")])
+    return (parts.join(suppliers).filter(lambda r: (r.price >= r.balance) & (r.price <= r.balance + 5)).select("p", "s"))
+
+
 @query("j11_union", f"""
 SELECT '{X}customer/' || c_custkey AS x, c_mktsegment AS segment, CAST(NULL AS DOUBLE) AS balance FROM customer
 UNION ALL SELECT '{X}supplier/' || s_suppkey, NULL, CAST(CAST(s_acctbal AS DECIMAL(18,2)) AS DOUBLE) FROM supplier""")

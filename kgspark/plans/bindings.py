@@ -106,6 +106,11 @@ class Bindings:
         out = []
         for b in self.branches:
             t = _term_of(b, cond)
+            if b.frame is None and b.pairing and t.orders:
+                met = br.paired(*b.pairing, t)
+                if met is not None:
+                    out.append(met)
+                    continue
             if t.const is True:
                 out.append(b)
             elif t.const is not False:

@@ -11,6 +11,7 @@ import warnings
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,11 +84,12 @@ class Branch:
     consts: dict[str, str] = field(default_factory=dict)  # variables fixed to one IRI
     inline: tuple | None = None  # (names, rows) of inline data
     refs: dict[str, str] = field(default_factory=dict)  # variable -> map whose subjects hold all its values
+    pairing: tuple | None = None  # two unconnected branches, whose product this is as long as it has no frame
 
     @property
     def df(self) -> DataFrame:
         if self.frame is None:
-            self.frame = self.scan.frame()
+            self.frame = self.scan.frame() if self.scan else _every_pair(*self.pairing)
         return self.frame
 
     def col(self, physical: str) -> Column:
@@ -363,18 +365,69 @@ def join(a: Branch, b: Branch) -> list[Branch]:
 
 
 def product(a: Branch, b: Branch) -> Branch:
-    """Every pairing of two unconnected solution sets, spread over all partitions.
+    """Every pairing of two unconnected solution sets. It is made when it is read: a filter that compares
+    a value of one with a value of the other makes a join of ranges instead."""
+    a, b = (Branch(x.spark, x.vars, x.df, consts=x.consts) for x in (a, b))
+    return Branch(a.spark, {**a.vars, **b.vars}, consts={**a.consts, **b.consts}, pairing=(a, b))
 
-    The right side is copied once per slot and the left side hashed over the slots, so this is an
-    equi-join on the slot: no single task or broadcast holds a whole side.
+
+def _every_pair(a: Branch, b: Branch) -> DataFrame:
+    """The product, spread over all partitions.
+
+    The smaller side, by the bytes that Spark knows, is copied once per slot and the other hashed over the slots, so this
+    is an equi-join on the slot: no single task or broadcast holds a whole side.
     """
     warnings.warn("patterns share no variable: the result pairs all their solutions", stacklevel=2)
     ways = int(a.spark.conf.get("spark.sql.shuffle.partitions"))
-    left_cols, right_cols = a.physical(), b.physical()
-    left = a.df.withColumn("__slot", F.pmod(F.xxhash64(*(left_cols or [F.lit(1)])), F.lit(ways)))
-    right = b.df.withColumn("__slot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(ways - 1).cast("bigint"))))
-    df = left.join(right, "__slot").select(*(left_cols + right_cols or [F.lit(1).alias("__row")]))
-    return Branch(a.spark, {**a.vars, **b.vars}, df, consts={**a.consts, **b.consts})
+    size = [int(str(x.df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for x in (a, b)]
+    large, small = (a, b) if size[0] >= size[1] else (b, a)
+    columns = large.physical()
+    left = large.df.withColumn("__slot", F.pmod(F.xxhash64(*(columns or [F.lit(1)])), F.lit(ways)))
+    right = small.df.withColumn("__slot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(ways - 1).cast("bigint"))))
+    return left.join(right, "__slot").select(*(a.physical() + b.physical() or [F.lit(1).alias("__row")]))
+
+
+def _on_side(df: DataFrame, column: Column) -> bool:
+    """Whether an expression is made of columns of this frame, and of one at least."""
+    try:
+        df.select(column)
+    except AnalysisException:
+        return False
+    return True
+
+
+def paired(a: Branch, b: Branch, cond) -> Branch | None:
+    """The pairs of two unconnected solution sets that a condition leaves, as a join of ranges; None if the condition
+    orders no value of one by a value of the other."""
+    whole = product(a, b)
+    a, b = whole.pairing
+    said = cond(Row(Branch(a.spark, whole.vars, a.df).term)) if callable(cond) else cond
+    bounds: list[tuple[str, Column, Column]] = []  # (operator, value of a, value of b)
+    for sign, x, y in said.orders:
+        if any(_on_side(f.df, x) and _on_side(f.df, y) for f in (a, b)):
+            continue  # of one side, or with a constant
+        if _on_side(a.df, x) and _on_side(b.df, y):
+            bounds.append((sign, x, y))
+        elif _on_side(b.df, x) and _on_side(a.df, y):
+            bounds.append(("<" if sign == ">" else ">", y, x))
+    if not bounds:
+        return None
+    # The value that has both a lower and an upper bound is the point, if there is one.
+    best = None
+    for points, others, flip in ((a, b, False), (b, a, True)):
+        ends: dict[str, tuple[str, Column, Column]] = {}
+        for sign, x, y in bounds:
+            point, end = (y, x) if flip else (x, y)
+            above = (sign == ">") != flip  # the point is above the end
+            text = point._jc.toString()
+            ends.setdefault(text, {"point": point}).setdefault("low" if above else "high", end)
+        for found in ends.values():
+            if best is None or len(found) > len(best[2]):
+                best = (points, others, found)
+    points, others, found = best
+    from kgspark.operators.ranges import range_join
+    df = range_join(points.df, others.df, found["point"], said.truth(), found.get("low"), found.get("high"))
+    return Branch(a.spark, whole.vars, df.select(*whole.physical()), consts=whole.consts)
 
 
 def _theta(a: Branch, b: Branch, how: str, where) -> DataFrame:
@@ -397,8 +450,8 @@ def semi(a: Branch, b: Branch, how: str, where=None) -> Branch:
     if not shared:
         if where is not None:  # equal rows have equal partners, so the rows themselves are the key
             cols = a.physical()
-            met = product(a, b)
-            met = met.where(where(met.row()).truth()).df.select(*[F.col(c).alias(f"__r_{c}") for c in cols]).distinct()
+            met = paired(a, b, where) or product(a, b)
+            met = (met.where(where(met.row()).truth()) if met.pairing else met).df.select(*[F.col(c).alias(f"__r_{c}") for c in cols]).distinct()
             same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in cols])
             return Branch(a.spark, a.vars, a.df.join(met, same, how), consts=a.consts)
         some = b.df.limit(1).exists()

@@ -27,6 +27,8 @@ class Term:
         self.template, self.keys, self.families = template, keys or [], tuple(families)
         self.const, self.stable = const, stable
         self._present: list[Column] | None = None
+        # Comparisons that hold whenever this term is true: (operator, one side, other side).
+        self.orders: tuple[tuple[str, Column, Column], ...] = ()
 
     # -- columns ---------------------------------------------------------------------------
     @property
@@ -124,7 +126,9 @@ class Term:
         if self.const is False or other.const is False:
             return boolean(F.lit(False), False)
         const = True if self.const is True and other.const is True else None
-        return boolean(self.truth() & other.truth(), const, proves=self.proves | other.proves)
+        both = boolean(self.truth() & other.truth(), const, proves=self.proves | other.proves)
+        both.orders = self.orders + other.orders
+        return both
 
     def __or__(self, other):
         other = term(other)
@@ -166,25 +170,28 @@ class Term:
             return a.value.cast("timestamp"), b.value.cast("timestamp")
         return None
 
-    def _compare(self, other, op: Callable) -> "Term":
+    def _compare(self, other, op: Callable, sign: str = "") -> "Term":
         other = term(other)
         if self.type.kind == other.type.kind == "mixed":
             names = self.names | other.names
             return boolean(_by_value(self, other, op), None, names, names)
         pair, names = self._comparable(other), self.names | other.names
-        return boolean(F.lit(None).cast("boolean") if pair is None else op(*pair), None, names, names)
+        out = boolean(F.lit(None).cast("boolean") if pair is None else op(*pair), None, names, names)
+        if pair is not None and sign:
+            out.orders = ((sign, *pair),)
+        return out
 
     def __lt__(self, other):
-        return self._compare(other, lambda a, b: a < b)
+        return self._compare(other, lambda a, b: a < b, "<")
 
     def __le__(self, other):
-        return self._compare(other, lambda a, b: a <= b)
+        return self._compare(other, lambda a, b: a <= b, "<")
 
     def __gt__(self, other):
-        return self._compare(other, lambda a, b: a > b)
+        return self._compare(other, lambda a, b: a > b, ">")
 
     def __ge__(self, other):
-        return self._compare(other, lambda a, b: a >= b)
+        return self._compare(other, lambda a, b: a >= b, ">")
 
     def __eq__(self, other):  # type: ignore[override]
         other = term(other)
