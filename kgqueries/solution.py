@@ -195,6 +195,12 @@ def _(spark, sf):
     return orders(spark, sf, "key", "status").select("key", "status").order_by("status", "key").slice(offset=700)
 
 
+@query("o2_deep_slice", f"SELECT o_orderkey AS key, CAST({PRICE} AS DOUBLE) AS price FROM orders ORDER BY 2, 1 LIMIT 10 OFFSET 12000")
+def _(spark, sf):
+    """Ten rows far inside: the rows before them are counted, and not moved to one task."""
+    return orders(spark, sf, "key", "price").select("key", "price").order_by("price", "key").slice(limit=10, offset=12_000)
+
+
 @query("o3_top_k", f"SELECT o_orderkey AS key, CAST({PRICE} AS DOUBLE) AS price FROM orders ORDER BY 2 DESC, 1 LIMIT 25")
 def _(spark, sf):
     return orders(spark, sf, "key", "price").select("key", "price").order_by(desc("price"), "key").slice(limit=25)

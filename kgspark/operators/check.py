@@ -8,14 +8,20 @@ so a node met by very many statements enters a join once per property.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import cached_property, reduce
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgspark.operators.closure import closure
 from kgspark.session import materialize
-from kgspark.terms import IRI, OWL, OWL_NS, RDF, RDF_NS, RDFS, RDFS_NS, SKOS_NS
+from kgspark.terms import IRI, IRI_T, OWL, OWL_NS, RDF, RDF_NS, RDFS, RDFS_NS, SKOS_NS
+
+if TYPE_CHECKING:
+    from kgspark.plans.branch import Branch
+    from kgspark.plans.kg import KG
 
 # Reserved names of variables, and the universal classes.
 VARIABLE_NS = "urn:obqc:qq#"
@@ -80,11 +86,15 @@ def patterns_df(rows: DataFrame) -> DataFrame:
     return rows.select("unit_id", skolem("s"), kind("s"), skolem("p"), skolem("o"), kind("o")).distinct()
 
 
+def _node_kind(prefix: str = "") -> Column:
+    """The kind of an object; equal text of two datatypes is two terms."""
+    literal = F.concat_ws("|", F.lit("literal"), prefix + "o_dt", prefix + "o_lang")
+    return F.when(F.col(prefix + "o_kind") == "literal", literal).otherwise(F.lit("iri"))
+
+
 def instance_patterns(triples: DataFrame, unit: Column) -> DataFrame:
     """An instance graph in the form the rules read; blank nodes keep their own names."""
-    term = F.concat_ws("|", F.lit("literal"), "o_dt", "o_lang")  # equal text of two datatypes is two terms
-    return triples.select(unit.alias("unit_id"), "s", F.lit("iri").alias("s_kind"), "p", "o",
-                          F.when(F.col("o_kind") == "literal", term).otherwise(F.lit("iri")).alias("o_kind"))
+    return triples.select(unit.alias("unit_id"), "s", F.lit("iri").alias("s_kind"), "p", "o", _node_kind().alias("o_kind"))
 
 
 # ---- the ontology side ---------------------------------------------------------------------
@@ -122,6 +132,33 @@ def _ends(tbox: DataFrame, predicate, name: str) -> DataFrame:
 _MEETINGS = {"double_domain": "dd", "domain_range": "rd", "domain": "dt", "range": "rt", "double_range": "rr"}
 
 
+@dataclass(frozen=True)
+class GraphPatterns:
+    """The statements of a mapped graph as one unit, without being written out: what the rules ask is
+    counted from the tables."""
+    kg: "KG"
+    unit_id: str
+
+    def counted(self, b: "Branch", name: str, role: str, p: str | None) -> DataFrame:
+        """(role, p, node, kind, n): how many statements of a branch each node has."""
+        from kgspark.plans.bindings import triple_struct
+        from kgspark.plans.branch import Branch
+        from kgspark.plans.expr import Term
+        keys = b.keep([name])
+        df = keys.df.groupBy(*keys.physical()).agg(F.count("*").alias("__n"))
+        any_iri = Term(F.lit(""), IRI_T)
+        node = triple_struct(any_iri, any_iri, Branch(b.spark, keys.vars, df, consts=keys.consts).term(name))
+        return df.select(F.lit(role).alias("role"), F.lit(p).cast("string").alias("p"), "__n", node.alias("t")).select(
+            "role", "p", F.col("t.o").alias("node"), _node_kind("t.").alias("kind"), F.col("__n").alias("n"))
+
+    def used(self) -> DataFrame:
+        """(unit_id, p): the properties that have a statement; one is read of each."""
+        found = [b.df.limit(1).select(F.lit(self.unit_id).alias("unit_id"), F.lit(str(p)).alias("p"))
+                 for p in self.kg.predicates() for b in self.kg.match("?s", IRI(p), "?o").branches]
+        found = found or [self.kg.spark.createDataFrame([], "unit_id string, p string")]
+        return reduce(DataFrame.union, found)
+
+
 class Checker:
     """The six rules against one ontology.
 
@@ -164,14 +201,36 @@ class Checker:
         rows = rows.withColumn("c", F.coalesce("c", "cls")).where("c IS NOT NULL")
         return rows.groupBy("unit_id", "node", "kind", "role", "p", "c").agg(F.count("*").alias("n"))
 
-    def violations(self, patterns: DataFrame, rules=tuple(_MEETINGS)) -> DataFrame:
+    def graph_facts(self, graph: "GraphPatterns", roles: str = "drt") -> DataFrame:
+        """The same of a mapped graph. Only properties that have a domain or range, and classes, are read; statements
+        are counted by the key columns of their nodes, whose text is made for each node once."""
+        kg = graph.kg
+        known = {str(p) for p in kg.predicates()}
+        ends = self.ends.where(F.col("p").isin(sorted(known)) & F.col("role").isin([r for r in roles if r != "t"]))
+        frames = []
+        for role, p in sorted({(r.role, r.p) for r in ends.collect()}):
+            frames += [graph.counted(b, "s" if role == "d" else "o", role, p) for b in kg.match("?s", IRI(p), "?o").branches]
+        facts = reduce(DataFrame.union, frames).join(ends, ["role", "p"]) if frames else None
+        if "t" in roles:
+            typed = [graph.counted(b, "s", "t", None).withColumn("c", F.lit(str(cls)))
+                     for cls in kg.classes() for b in kg.match("?s", RDF.type, IRI(cls)).branches]
+            typed = reduce(DataFrame.unionByName, typed) if typed else None
+            facts = typed if facts is None else facts if typed is None else facts.unionByName(typed)
+        if facts is None:
+            return self.ends.sparkSession.createDataFrame([], "unit_id string, node string, kind string, role string, p string, c string, n bigint")
+        return (facts.select(F.lit(graph.unit_id).alias("unit_id"), "node", "kind", "role", "p", "c", "n")
+                .groupBy("unit_id", "node", "kind", "role", "p", "c").agg(F.sum("n").alias("n")))
+
+    def violations(self, patterns: "DataFrame | GraphPatterns", rules=tuple(_MEETINGS)) -> DataFrame:
         """(unit_id, rule, a, b, c, d, n) of the rules about nodes: all of them in one join.
 
         At a node there is one row per property and class of the ontology, however many
         statements meet there, so a hot node adds no more pairs than any other.
         """
         wanted = [_MEETINGS[r] for r in rules]
-        facts = materialize(self.facts(patterns, "".join(sorted(set("".join(wanted))))))  # both sides of the join
+        roles = "".join(sorted(set("".join(wanted))))
+        facts = self.graph_facts(patterns, roles) if isinstance(patterns, GraphPatterns) else self.facts(patterns, roles)
+        facts = materialize(facts)  # both sides of the join
         key = ["unit_id", "node", "kind"]
         right = facts.select(*key, *[F.col(c).alias(f"{c}2") for c in ("role", "p", "c", "n")])
         meeting = F.concat("role", "role2")
@@ -210,7 +269,8 @@ class Checker:
 
     def incorrect_property(self, patterns: DataFrame) -> DataFrame:
         own = reduce(lambda a, b: a | b, [F.startswith("p", F.lit(ns)) for ns in (VARIABLE_NS, *STANDARD_NAMESPACES)])
-        used = patterns.select("unit_id", "p").where(~own).distinct()
+        used = patterns.used() if isinstance(patterns, GraphPatterns) else patterns.select("unit_id", "p")
+        used = used.where(~own).distinct()
         return used.join(self.declared, "p", "left_anti").select("unit_id", "p", F.lit(1).cast(COUNT).alias("n"))
 
     def all(self, patterns: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ from kgspark.plans.expr import Row, Term, term
 from kgspark.session import materialize
 from kgspark.terms import BOOLEAN_T, IRI, IRI_T, INTEGER_T, MIXED_T, STRING_T, NotUniquelyTyped, RdfType
 
+DEEP = 10_000  # rows up to the end of a slice that one task may hold
+
 
 @dataclass(frozen=True)
 class Desc:
@@ -165,13 +167,13 @@ class Bindings:
         return self._with([replace(b, frame=b.df.orderBy(*orders), inline=None)])
 
     def slice(self, limit: int | None = None, offset: int = 0) -> "Bindings":
-        """LIMIT and OFFSET. An offset without a limit is cut out by row numbers per partition, so
-        that the rest is never moved to one task."""
+        """LIMIT and OFFSET. A deep offset is cut out by row numbers per partition, so that no task holds what
+        is skipped, and only the files are read that the slice lies in."""
         b = self.merged()
-        if limit is not None:
-            df = (b.df.offset(offset) if offset else b.df).limit(limit)
+        if limit is not None and (offset <= 0 or offset + limit <= DEEP):
+            df = (b.df.offset(offset) if offset > 0 else b.df).limit(limit)
         else:
-            df = _skip(b.df, offset) if offset > 0 else b.df
+            df = _slice(b.df, offset, limit) if offset > 0 else b.df
         return self._with([Branch(b.spark, b.vars, df)])
 
     # -- grouping --------------------------------------------------------------------------
@@ -348,17 +350,27 @@ def _spark_type(t: RdfType) -> str:
     return tm.spark_type_of(t.dt) if t.kind == "literal" else "string"
 
 
-def _skip(df: DataFrame, offset: int) -> DataFrame:
-    """All but the first ``offset`` rows, in order. Only one count per partition is collected."""
+def _slice(df: DataFrame, offset: int, limit: int | None) -> DataFrame:
+    """The rows from ``offset`` on, in order, ``limit`` of them at most. Rows are written as they are sorted, numbered
+    within their partitions; only one count per partition is collected."""
     rows = materialize(df.withColumn("__id", F.monotonically_increasing_id()))
-    first = 0
-    counts = rows.groupBy(F.shiftright("__id", 33).alias("part")).agg(F.count("*").alias("n")).orderBy("part")
-    for part, n in counts.collect():
-        first = (part << 33) + min(offset, n)
-        offset -= min(offset, n)
-        if offset == 0:
-            break
-    return rows.where(F.col("__id") >= first).orderBy("__id").drop("__id")
+    counts = rows.groupBy(F.shiftright("__id", 33).alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()
+
+    def at(place: int) -> int | None:
+        """The number of the row at a place, or None if there are fewer rows."""
+        for part, n in counts:
+            if place < n:
+                return (part << 33) + place
+            place -= n
+        return None
+
+    first, stop = at(offset), None if limit is None else at(offset + limit)
+    if first is None:
+        return df.limit(0)
+    kept = rows.where(F.col("__id") >= first)
+    if stop is not None:
+        kept = kept.where(F.col("__id") < stop)
+    return kept.orderBy("__id").drop("__id")
 
 
 def _project(b: Branch, exprs: dict[str, Column]) -> DataFrame:

@@ -5,7 +5,7 @@ one scan of each side, however many such variables there are:
 
 * with a shared variable that is always bound, it is the key, and the others are a condition on the side;
 * without one, both sides are tagged with what they have bound, as a bit mask. A row stands under every
-  mask that its partner may have, and meets it on the two masks and on the values bound in both.
+  mask that occurs on the other side, and meets its partners on the two masks and on the values bound in both.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from kgspark.plans.expr import Row, Term
 from kgspark.session import materialize
 
 ID, RIGHT = "__left_id", "__r_"
+LOOK = 2  # variables that may be unbound, from which rows are looked at for the masks that occur
 
 
 def is_loose(a: Branch, b: Branch) -> bool:
@@ -98,20 +99,39 @@ def _finished(df: DataFrame, a: Branch, b: Branch, loose, extra=()) -> DataFrame
     return df.select(*extra, *(mine + theirs or [F.lit(1).alias("__row")]))
 
 
+def _mask(side: Branch, loose) -> Column:
+    return reduce(lambda x, y: x + y, [F.when(_bound(side, n), F.lit(1 << i)).otherwise(F.lit(0)) for i, n in enumerate(loose)])
+
+
+def _masks(side: Branch, loose) -> list[int]:
+    """The masks that occur on a side: by what is always bound, and where that leaves many, by a look at the rows."""
+    open_ = [1 << i for i, n in enumerate(loose) if side.vars[n].nullable]
+    if len(open_) > LOOK:
+        return sorted(r[0] for r in side.df.select(_mask(side, loose).alias("m")).distinct().collect())
+    every = [sum(1 << i for i, n in enumerate(loose) if not side.vars[n].nullable)]
+    for bit in open_:
+        every += [m + bit for m in every]
+    return sorted(every)
+
+
 def _by_masks(a: Branch, b: Branch, loose, keep=(), needs_shared: bool = False) -> DataFrame:
-    """Compatible pairs where no shared variable is always bound.
+    """Compatible pairs where no shared variable is always bound."""
+    left, right, on = _masked(a, b, loose, keep, needs_shared)
+    return left.join(right, on)
+
+
+def _masked(a: Branch, b: Branch, loose, keep=(), needs_shared: bool = False) -> tuple[DataFrame, DataFrame, Column]:
+    """Both sides, each row once for each mask that occurs on the other side, and what the two must have equal.
 
     Pairs that have nothing bound in common are a product; it is spread over slots.
     """
     ways = int(a.spark.conf.get("spark.sql.shuffle.partitions"))
-    every = 1 << len(loose)
 
-    def mask(side: Branch) -> Column:
-        return reduce(lambda x, y: x + y, [F.when(_bound(side, n), F.lit(1 << i)).otherwise(F.lit(0)) for i, n in enumerate(loose)])
+    def others(side: Branch) -> Column:
+        return F.explode(F.array(*[F.lit(m) for m in _masks(side, loose)]).cast("array<int>"))
 
-    others = F.explode(F.sequence(F.lit(0), F.lit(every - 1)))
-    left = a.df.withColumn("__ma", mask(a)).withColumn("__mb", others)
-    right = b.df.withColumn("__mb", mask(b)).withColumn("__ma", others)
+    left = a.df.withColumn("__ma", _mask(a, loose)).withColumn("__mb", others(b))
+    right = b.df.withColumn("__mb", _mask(b, loose)).withColumn("__ma", others(a))
     both = F.col("__ma").bitwiseAND(F.col("__mb"))
     if needs_shared:
         left, right = left.where(both != 0), right.where(both != 0)
@@ -130,7 +150,7 @@ def _by_masks(a: Branch, b: Branch, loose, keep=(), needs_shared: bool = False)
                          *[F.col(f"`{c}`").alias(RIGHT + c) if c in shared_cols else F.col(f"`{c}`") for c in b.physical()])
     on = [left["__ma"] == right["__ma"], left["__mb"] == right["__mb"], left["__slot"] == right["__slot"]]
     on += [F.col(f"`{n}`").eqNullSafe(F.col(f"`__r{n}`")) for n in names]
-    return left.join(right, reduce(lambda x, y: x & y, on))
+    return left, right, reduce(lambda x, y: x & y, on)
 
 
 def join(a: Branch, b: Branch) -> list[Branch]:

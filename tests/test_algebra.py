@@ -200,6 +200,25 @@ def test_order_and_slice(spark):
     assert [r.x for r in b.order_by(desc("x")).slice(limit=1, offset=1).df.collect()] == [1]
 
 
+@pytest.mark.parametrize("offset", [0, 1, 37, 95, 99, 100, 500])
+@pytest.mark.parametrize("limit", [0, 1, 10, 200])
+def test_deep_slice(spark, monkeypatch, offset, limit):
+    from kgspark.plans import bindings
+    monkeypatch.setattr(bindings, "DEEP", 0)
+    b = solutions(spark, ["x"], [(i * 7 % 100,) for i in range(100)]).order_by("x").slice(limit=limit, offset=offset)
+    assert [r.x for r in b.df.collect()] == list(range(100))[offset:offset + limit]
+
+
+def test_no_task_holds_what_is_skipped(spark):
+    """The plan of a deep slice has no limit in it, and reads the rows of the slice by their numbers."""
+    b = solutions(spark, ["x"], [(i,) for i in range(20)]).order_by("x")
+    deep = b.slice(limit=5, offset=1_000_000).df
+    assert deep.collect() == []
+    from kgspark.plans.bindings import _slice
+    plan = _slice(b.df, 8, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "Limit" not in plan and "TakeOrdered" not in plan and "PushedFilters: [IsNotNull(__id), GreaterThanOrEqual(__id" in plan
+
+
 @pytest.mark.parametrize("offset", [1, 37, 99, 100, 500])
 def test_offset_without_limit(spark, offset):
     b = solutions(spark, ["x"], [(i * 7 % 100,) for i in range(100)]).order_by("x").slice(offset=offset)
@@ -232,3 +251,21 @@ def test_registered_function(spark):
     from pyspark.sql import functions as F
     fn.register(IRI("http://f/norm"), lambda c: F.trim(F.lower(c)))
     assert bag(inline(spark, "v", [" AbC "]).select(n=lambda r: fn.call(IRI("http://f/norm"), r.v))) == [("abc",)]
+
+
+def test_rows_stand_under_masks_that_occur(spark):
+    """Five variables that may be unbound, three ways of being bound on each side: three copies of a row, not 32."""
+    from kgspark.plans import loose
+    rng = random.Random(4)
+    names = ["u", "v", "w", "x", "y"]
+    ways_a, ways_b = [(1, 1, 0, 0, 0), (0, 0, 1, 1, 0), (1, 1, 1, 1, 1)], [(1, 0, 0, 0, 0), (0, 0, 0, 0, 0), (0, 1, 1, 0, 1)]
+    left = [(*(rng.choice([1, 2]) if on else None for on in rng.choice(ways_a)), i) for i in range(30)]
+    right = [(*(rng.choice([1, 2]) if on else None for on in rng.choice(ways_b)), i) for i in range(25)]
+    a, b = solutions(spark, [*names, "a"], left), solutions(spark, [*names, "b"], right)
+    da, db = as_dicts([*names, "a"], left), as_dicts([*names, "b"], right)
+    assert bag(a.join(b)) == rows_of(brute_join(da, db), [*names, "a", "b"])
+    assert bag(a.optional(b)) == rows_of(brute_optional(da, db), [*names, "a", "b"])
+    assert bag(a.minus(b)) == rows_of(brute_minus(da, db), [*names, "a"])
+    one, other, _, shared = loose._aligned(a.branches[0], b.branches[0])
+    lefts, rights, _ = loose._masked(one, other, shared)
+    assert lefts.count() == 3 * 30 and rights.where("__slot = 0").count() == 3 * 25

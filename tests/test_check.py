@@ -116,3 +116,18 @@ def test_counts(spark, checker):
 def test_without_an_ontology_nothing_passes(spark):
     rows = spark.createDataFrame([("u", "x", "var", "p", "iri", "y", "var")], PATTERNS_DDL)
     assert [(r.unit_id, r.rule) for r in check.not_available(rows).collect()] == [("u", "not_available")]
+
+
+@pytest.mark.parametrize("reasoning", [False, True])
+def test_graphs_are_counted_from_their_tables(spark, reasoning):
+    """The same violations as from all statements of the graph, written out."""
+    from kgqueries.checks import misfit_tbox
+    from kgqueries.model import order_graph
+    from tests.conftest import SMALL
+    kg, c = order_graph(spark, SMALL, reasoning=reasoning), check.Checker(misfit_tbox(spark))
+    written = check.instance_patterns(kg.triples(), F.lit("shop")).cache()
+    counted = check.GraphPatterns(kg, "shop")
+    for rule in ("double_domain", "domain_range", "domain", "range", "double_range", "incorrect_property"):
+        want = sorted(map(tuple, getattr(c, rule)(written).collect()))
+        assert sorted(map(tuple, getattr(c, rule)(counted).collect())) == want, rule
+    written.unpersist()
