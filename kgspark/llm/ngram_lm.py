@@ -1,9 +1,9 @@
 """Stupid-backoff language model scores, with counts over all documents.
 
-The count tables of n-grams are relations split by ranges of their hashes: each block of documents sends its
-distinct n-grams with its own counts, the parts of a range are summed, and each block gets the sums for
-its n-grams back. The block's n-grams, one per word and order, are joined with them by position, and the
-logarithms are summed per document.
+``lm_scores`` does not join relations of n-grams: each block of documents sends its distinct hashed n-grams with
+its own counts, cut into ranges of hashes; the parts of a range are summed, and each block gets the sums for
+its n-grams back in their order. ``relational_scores`` gives the same by count tables joined to exploded n-grams,
+but shuffles every n-gram as a row.
 """
 
 from __future__ import annotations
@@ -13,12 +13,12 @@ from math import log
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgspark.llm.blocks import (NO_ID, Block, ask, cuts, pack, pack_keys, pack_numbers, ranges, told, unpack, unpack_keys,
                                 unpack_numbers)
-from kgspark.llm.common import prepare
+from kgspark.llm.common import columns, materialize, prepare, words
 
 PART_BYTES = 4 << 20  # text per range of hashes
 _SCORE = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("log_score", pa.float64())])
@@ -148,3 +148,39 @@ def lm_scores(docs: DataFrame, *, order: int = 3, backoff: float = 0.4, min_coun
     out = blocks.join(asked, "block", "left").mapInArrow(score, "id bigint, n_words bigint, log_score double")
     mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words"))
     return out.select(F.col("id").alias(id_col), "n_words", "log_score", mean.alias("mean_log_score"))
+
+
+def relational_scores(docs: DataFrame, *, order: int = 3, backoff: float = 0.4, min_count: int = 2, id_col: str = "doc_id",
+                      text_col: str = "text") -> DataFrame:
+    """What ``lm_scores`` gives, with relations throughout: n-grams are exploded and hashed (64 bits), count tables are
+    grouped by hash and joined back to the n-grams on it, and scores are summed per document.
+
+    Each n-gram of each word is a row that is shuffled three times: to be counted, to meet its count, and
+    to meet the other n-grams of its word.
+    """
+    prepare(docs.sparkSession)
+    rows = materialize(columns(docs, id=id_col, text=text_col).select(
+        F.monotonically_increasing_id().alias("row"), "id",
+        words(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).alias("w")))
+
+    def grams(n: int) -> Column:
+        return F.transform("w", lambda a, i: F.when(i >= n - 1, F.struct(
+            i.alias("i"), F.lit(n).alias("n"), F.xxhash64(F.lit(n), *[F.get("w", i - k) for k in range(n)]).alias("h"))))
+
+    exploded = rows.select("row", F.explode(F.concat(*[F.filter(grams(n), lambda g: g.isNotNull()) for n in range(1, order + 1)])).alias("g"))
+    exploded = exploded.select("row", "g.i", "g.n", "g.h")
+    counts = exploded.groupBy("n", "h").agg(F.count("*").alias("c")).where((F.col("n") == 1) | (F.col("c") >= min_count))
+    counts = materialize(counts)
+    total = counts.where("n = 1").agg(F.sum("c")).first()[0] or 1
+    found = exploded.join(counts, ["n", "h"])
+    logs = found.groupBy("row", "i").agg(*[F.max(F.when(F.col("n") == n, F.log(F.col("c").cast("double")))).alias(f"l{n}") for n in range(1, order + 1)])
+    before = Window.partitionBy("row").orderBy("i")
+    logs = logs.withColumns({f"b{n}": F.lag(f"l{n}").over(before) for n in range(1, order)})
+    value = F.col("l1") - log(total)
+    for n in range(2, order + 1):
+        longer = F.when(F.col(f"l{n}").isNotNull(), F.col(f"l{n}") - F.col(f"b{n - 1}")).otherwise(F.lit(log(backoff)) + value)
+        value = F.when(F.col("i") < n - 1, value).otherwise(longer)
+    sums = logs.groupBy("row").agg(F.sum(value).alias("log_score"))
+    out = rows.select("row", "id", F.size("w").cast("bigint").alias("n_words")).join(sums, "row", "left").fillna(0.0, ["log_score"])
+    mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words"))
+    return out.select(F.col("id").alias(id_col), "n_words", "log_score", mean.alias("mean_log_score"))

@@ -12,7 +12,7 @@ import sentencepiece
 import tiktoken
 import xxhash
 
-from kgspark.llm import byte_bpe, chat_format, decontaminate, divergence, merkle, pii, quality_classifier, quality_rules, simhash, suffix_dedup, token_count, url_filter
+from kgspark.llm import byte_bpe, chat_format, decontaminate, divergence, merkle, ngram_lm, pii, quality_classifier, quality_rules, simhash, suffix_dedup, token_count, url_filter
 from kgspark.llm.components import components as spark_components
 from kgspark.llm.queries import QUERIES
 from tests.conftest import SMALL
@@ -458,6 +458,17 @@ def test_bloom_filter_holds_its_keys(spark):
     assert set(range(3000)) <= hits and len(hits) < 3150
 
 
+# Language model scores
+
+@pytest.mark.parametrize("order,min_count", [(1, 2), (2, 1), (3, 2), (4, 3)])
+def test_relational_scores_are_the_same(spark, order, min_count):
+    rows = [r[:4] for r in awkward() if r[1] is None or len(r[1]) < 9000] + [(50 + k, prose(3 + k % 2, 40 + k), "en", "s") for k in range(6)]
+    docs = frame(spark, rows).repartition(3)
+    got, want = ([(r.doc_id, r.n_words, round(r.log_score, 6), r.mean_log_score and round(r.mean_log_score, 6)) for r in f(
+        docs, order=order, backoff=0.3, min_count=min_count).collect()] for f in (ngram_lm.relational_scores, ngram_lm.lm_scores))
+    assert sorted(got, key=repr) == sorted(want, key=repr) and len(got) == len(rows)
+
+
 # Source divergence
 
 def plain_audit(rows, min_docs, top):
