@@ -360,7 +360,7 @@ class KG:
             elif isinstance(m.subject, IriColumn):
                 shared = mine
             else:
-                own = [e for e in alone if not e.swapped]
+                own = [e for e in alone if not e.swapped or subjects is None and e.cls is None]
                 plain += self._distinct_triples(m, own, subjects, repeated, quads)
                 shared = [e for e in mine if e not in own]
             repeated += self._map_triples(m, shared, subjects, repeated, quads)
@@ -467,39 +467,53 @@ class KG:
         return [rows.where("t IS NOT NULL").select(*cols) for rows in out]
 
     def _distinct_triples(self, m: TriplesMap, entries, subjects, repeated: list, quads: bool) -> list[DataFrame]:
-        """Triples of a map without a key: made distinct as (keys, property number, object), and
-        only then written out, so that little is shuffled."""
+        """Triples of a map without a key: made distinct as (keys, object number, object), and
+        only then written out, so that little is shuffled. An object stands for all properties that have it, and for
+        their inverses, which are as distinct as they are."""
         df = self.frame(m)
         subject = self._node(m.subject, df)
         df = _only_subjects(df, subject, subjects)
-        local, linked = [], []
-        for e in entries:
-            if df is not None and e.om is not None:
+        local: dict[object, tuple[Term, list]] = {}
+        linked = []
+        for e in entries if df is not None else ():
+            if e.om is None:
+                obj, place = Term(F.lit(e.cls), IRI_T), e.cls
+            else:
                 obj, joined, semis, _ = self._map_object(m, e.om, df)
+                place = id(e.om)
                 if joined is not df or semis or obj.type.kind == "mixed" or quads and isinstance(m.graph, Template):
                     linked.append(e)
                     continue
-                local.append((e.pred, obj))
-            elif df is not None:
-                local.append((e.pred, Term(F.lit(e.cls), IRI_T)))
+                if e.swapped and obj.type != IRI_T:
+                    continue
+            local.setdefault(place, (obj, []))[1].append((str(e.pred), e.swapped))
         repeated += self._map_triples(m, linked, subjects, repeated, quads)
         if not local or not subject.template:
             repeated += self._map_triples(m, [e for e in entries if e not in linked], subjects, repeated, quads) if local else []
             return []
         names = [f"__s{i}" for i in range(len(subject.keys))]
-        cells = [F.struct(F.lit(i).alias("i"), obj.text.alias("o")) for i, (_, obj) in enumerate(local)]
+        objects, uses = [o for o, _ in local.values()], [u for _, u in local.values()]
+        cells = [F.struct(F.lit(i).alias("i"), obj.text.alias("o")) for i, obj in enumerate(objects)]
         rows = (_present(df, subject).select(*[k.alias(n) for n, k in zip(names, subject.keys)], F.explode(F.array(*cells)).alias("x"))
                 .select(*names, "x.i", "x.o").where("o IS NOT NULL").distinct())
 
+        def of(values) -> Column:
+            return F.element_at(F.array(*values), F.col("i") + 1)
+
         def fixed(values) -> Column:
-            return F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), F.col("i") + 1)
+            return of([F.lit(v).cast("string") for v in values])
 
         text = subject.template.render([F.col(n) for n in names], subject.families)
-        cols = [text.alias("s"), F.lit("iri").alias("s_kind"), fixed([str(p) for p, _ in local]).alias("p"), F.col("o"),
-                fixed([o.type.kind for _, o in local]).alias("o_kind"),
-                fixed([str(o.type.dt) if o.type.dt else None for _, o in local]).alias("o_dt"),
-                fixed([o.type.lang for _, o in local]).alias("o_lang")]
-        return [rows.select(*([self._graph_column(m, df)] if quads else []), *cols)]
+        graph = [self._graph_column(m, df).alias("g")] if quads else []
+        cols = {"o_kind": fixed([o.type.kind for o in objects]), "o_dt": fixed([str(o.type.dt) if o.type.dt else None for o in objects]),
+                "o_lang": fixed([o.type.lang for o in objects])}
+        used = of([F.array(*[F.struct(F.lit(p).alias("p"), F.lit(w).alias("swapped")) for p, w in some]) for some in uses])
+        rows = rows.select(*graph, text.alias("s"), "o", *[c.alias(n) for n, c in cols.items()], F.explode(used).alias("u"))
+        if not any(w for some in uses for _, w in some):
+            return [rows.select(*(["g"] if quads else []), "s", F.lit("iri").alias("s_kind"), "u.p", "o", *cols)]
+        turned = F.col("u.swapped")  # an inverse has an IRI at either end
+        return [rows.select(*(["g"] if quads else []), F.when(turned, F.col("o")).otherwise(F.col("s")).alias("s"), F.lit("iri").alias("s_kind"),
+                            "u.p", F.when(turned, F.col("s")).otherwise(F.col("o")).alias("o"), *cols)]
 
     def problems(self) -> list[str]:
         """What keeps the mapping from being read: missing tables, columns and parent maps."""
