@@ -47,6 +47,18 @@ def _(spark, sf):
         .group_by("region").agg(orders=agg.count("o"), total=agg.sum("price")))
 
 
+LOCAL = [("?l", row("partOfOrder"), "?o"), ("?o", EX.placedBy, "?c"), ("?c", EX.customerInNation, "?n"),
+         ("?l", row("lineSuppliedBy"), "?s"), ("?s", EX.supplierInNation, "?n"), ("?n", EX.name, "?nation")]
+
+
+@query("g2_cycle", """
+SELECT n_name AS nation, count(*) AS lines FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+JOIN supplier ON l_suppkey = s_suppkey AND s_nationkey = c_nationkey JOIN nation ON n_nationkey = c_nationkey GROUP BY 1""")
+def _(spark, sf):
+    """Patterns in a cycle: lines whose supplier and customer are of one nation."""
+    return order_graph(spark, sf).bgp(LOCAL).group_by("nation").agg(lines=agg.count())
+
+
 @query("g3_star_orders", f"""
 SELECT '{X}order/' || o_orderkey AS o, o_orderstatus AS status, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS price,
        CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, '{X}customer/' || o_custkey AS c FROM orders""")

@@ -311,9 +311,11 @@ class KG:
         items = self._drop_implied_types(patterns, items)
         _prune(items)
         out = _join_all(items, bool(shared_consts))
-        names = [n for n in out.names if "?" + n not in shared_consts.values()]
-        if len(names) < len(out.names):
-            out = out._with([b.keep(names) for b in out.branches], {n: out.names[n] for n in names})
+        given = dict.fromkeys(n for it in items for n in it.names)  # in the order they are written
+        names = [n for n in given if "?" + n not in shared_consts.values()]
+        if names != list(out.names):
+            hides = len(names) < len(out.names)
+            out = out._with([b.keep(names) if hides else b for b in out.branches], {n: out.names[n] for n in names})
         out._patterns = patterns
         return out
 
@@ -629,10 +631,32 @@ def _join_all(items: list[Bindings], fixed_first: bool) -> Bindings:
                     break
             if not done:
                 break
-    out, rest = items[0], items[1:]
+    if len(items) < 3:
+        out = items[0]
+        for it in items[1:]:
+            out = out.join(it)
+        return out
+    return _join_by_cost(items)
+
+
+def _cost(item: Bindings) -> float:
+    """Bytes that Spark expects of the tables a pattern reads, a hundredth of them for each end that is fixed. The form of the
+    patterns decides between equal ones, so that it does not matter in which order they are written."""
+    size = sum(int(str(b.df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for b in item.branches)
+    fixed = sum(not is_var(x) for s, p, o in item._patterns for x in ((s,) if p == RDF.type else (s, o)))
+    fixed += sum(bool(b.consts) for b in item.branches)
+    return size / 100.0 ** fixed
+
+
+def _join_by_cost(items: list[Bindings]) -> Bindings:
+    """The cheapest pattern first, then always one that is linked to what is there: those that bring no new variable, as
+    they only leave fewer rows, before others, and the cheaper ones before the dearer."""
+    ranked = sorted(items, key=lambda it: (_cost(it), sorted(" ".join(map(str, x)) for x in it._patterns)))
+    out, rest = ranked[0], ranked[1:]
     while rest:
         linked = [it for it in rest if set(it.names) & set(out.names)]
-        nxt = (linked or rest)[0]
+        closing = [it for it in linked if set(it.names) <= set(out.names)]
+        nxt = (closing or linked or rest)[0]
         rest = [it for it in rest if it is not nxt]
         out = out.join(nxt)
     return out

@@ -117,3 +117,23 @@ def test_a_hot_key_is_split_over_tasks(spark, small_partitions, tmp_path):
     counts = b.group_by("n").agg(m=agg.count("pad")).df
     assert counts.where("n = 'n0'").first().m == n // 3 + sum(1 for i in range(n) if i % 3 and i % 5000 == 0)
     assert counts.agg({"m": "sum"}).first()[0] == n
+
+
+def test_patterns_in_any_order_have_one_plan(spark):
+    """The cheapest pattern first, whatever is written first; columns in the order of the patterns."""
+    import random
+    import re
+
+    from kgqueries.model import order_graph
+    from kgqueries.patterns import LOCAL
+    from tests.conftest import SMALL
+    kg, shapes, counts = order_graph(spark, SMALL), set(), set()
+    rng = random.Random(1)
+    for _ in range(5):
+        out = kg.bgp(LOCAL)
+        assert list(out.names)[:2] == [x[1:] for x in (LOCAL[0][0], LOCAL[0][2])]
+        counts.add(out.df.count())
+        plan = out.df._jdf.queryExecution().optimizedPlan().toString()
+        shapes.add(tuple(re.findall(r"(Join \w+|Relation \[\w+)", re.sub(r"#\d+L?", "", plan))))
+        LOCAL = rng.sample(LOCAL, len(LOCAL))
+    assert len(shapes) == 1 and len(counts) == 1
