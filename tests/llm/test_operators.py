@@ -293,6 +293,30 @@ def test_token_counts(texts):
         assert counter.count(t) == len(library.encode(t))
 
 
+def sha(data):
+    return hashlib.sha256(data).hexdigest()
+
+
+def test_token_count_query(spark, texts):
+    """All columns of the query against the library alone."""
+    library = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    want = {i: (i, len((t or "").encode()), n := len(library.encode(t or "")), n > 4096) for i, t in texts.items()}
+    got = QUERIES["op4_token_counts"](spark, SMALL).collect()
+    assert {r.doc_id: (r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in got} == want and len(got) == len(want)
+
+
+def test_byte_bpe_query(spark, texts):
+    with open(P.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = {}
+    for i, t in texts.items():
+        ids = library.encode_ordinary(t or "")
+        want[i] = (len(ids), sha(",".join(map(str, ids)).encode()), sha((t or "").encode()))
+    got = QUERIES["op6_byte_bpe"](spark, SMALL).collect()
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got} == want and len(got) == len(want)
+
+
 @pytest.fixture(scope="module")
 def bpe():
     return byte_bpe.ByteBPE(byte_bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken")), P.PATTERN)
@@ -342,6 +366,33 @@ def test_classifier(spark):
     assert again == {i: r.score for i, r in scores.items()}
 
 
+def test_scores_equal_plain_averages(spark):
+    """The scores of a trained model, from the vectors' parts of each word, n-gram and repetition one by one."""
+    import zlib
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = quality_classifier.fit(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))
+    shape = model.shape
+    assert np.abs(model.parts).max() > 0
+
+    def plain(text):
+        words, buckets = [w for w in text.encode().split()], []
+        for k, w in enumerate(words):
+            marked = b"<" + w + b">"
+            buckets.append(zlib.crc32(marked) % (shape.buckets - 1))
+            buckets += [zlib.crc32(marked[i:i + n]) % (shape.buckets - 1) for n in (3, 4, 5) for i in range(len(marked) - n + 1)]
+            if k and words[k - 1] == w:
+                buckets.append(shape.buckets - 1)
+        value = model.constant + (sum(model.parts[b] for b in buckets) / len(buckets) if buckets else 0)
+        return 1 / (1 + np.exp(-value))
+
+    rows = [(r.doc_id, r.text, r.lang, r.source) for r in docs.limit(60).collect()] + awkward()
+    rows = [(k, *r[1:]) for k, r in enumerate(rows)]
+    for r in quality_classifier.classify(frame(spark, rows), model).collect():
+        want = plain(rows[r.doc_id][1] or "")
+        assert r.score == pytest.approx(want, abs=1e-9) and r.predicted == int(r.score >= 0.5)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+
+
 def test_one_class_and_no_labels(spark):
     docs = frame(spark, awkward())
     for rows in ([], [(1, 1), (3, 1)]):
@@ -376,6 +427,18 @@ def test_base_spans(texts):
         assert [s for s in finder.spans(t) if s[2] in pii.BASE] == plain_spans(t)
 
 
+def test_pii_query(spark, texts):
+    """Counts and the digest of the base spans; base spans among all spans, in order."""
+    got = {r.doc_id: r for r in QUERIES["op8_pii"](spark, SMALL).collect()}
+    assert set(got) == set(texts)
+    for i, t in texts.items():
+        base, r = plain_spans(t or ""), got[i]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[2] == k for s in base) for k in PATTERNS]
+        shown = [f"{k}:{a}:{b}" for a, b, k in base]
+        assert r.base_sha256 == sha(",".join(shown).encode())
+        assert [x for x in r.spans.split(",") if x.split(":")[0] in PATTERNS] == shown
+
+
 def test_added_spans_and_masks(spark):
     finder = pii.Finder()
     for text, want in [("IBAN: DE89 3704 0044 0532 0130 00 OK", "IBAN: <IBAN> OK"), ("iban DE89370400440532013001", "iban DE89370400440532013001"),
