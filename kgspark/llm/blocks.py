@@ -13,6 +13,8 @@ number, so that joining them with answers moves only the answers.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
@@ -79,8 +81,8 @@ def _pack(batches, block_bytes: int):
 def pack(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents as a table of blocks in the shared folder. Ids are whole numbers; null texts are empty.
 
-    The table is registered under a name of its own, as buckets need one; it lives as long as the catalog
-    of the session.
+    The table is registered under a name of its own, as buckets need one. Results read it when they are read, so
+    it stays until ``forget`` is called, or until the program ends if its session is still there.
     """
     spark = prepare(docs.sparkSession)
     d = columns(docs, id=id_col, text=text_col).select(F.col("id").cast("bigint").alias("id"), "text")
@@ -90,9 +92,26 @@ def pack(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_B
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     (rows.write.format("parquet").option("path", f"{scratch_dir(spark)}/{name}").option("compression", "none")
      .bucketBy(buckets, "block").saveAsTable(name))
+    _MADE.append((spark, name))
     return spark.table(name)
 
 
+_MADE: list[tuple] = []
+
+
+def forget() -> None:
+    """Drop the tables of blocks that this program made, and their files."""
+    while _MADE:
+        spark, name = _MADE.pop()
+        with contextlib.suppress(Exception):  # the session may have ended before
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+            at = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/{name}")
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+atexit.register(forget)
+
+
 def unpack(batches) -> Iterator[tuple[Block, dict]]:
     """The blocks of Arrow batches, with the other columns of their rows."""
     for batch in batches:

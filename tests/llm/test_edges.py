@@ -115,3 +115,12 @@ def test_urls(spark):
         (6, "x.example.net", "/en/1", "example.net/en/", "allow"), (7, "b.net", "", None, "allow")], key=repr)
     assert url_filter.judge_urls(pages.limit(0), rules, listed).collect() == []
     assert len(url_filter.judge_urls(pages, rules, listed.limit(0)).collect()) == 9
+
+
+def test_tables_of_blocks_are_dropped(spark, docs):
+    from kgspark.llm import blocks
+    made = blocks.pack(docs, "doc_id", "text")
+    name = blocks._MADE[-1][1]
+    assert made.count() and spark.catalog.tableExists(name)
+    blocks.forget()
+    assert not spark.catalog.tableExists(name) and blocks._MADE == []
