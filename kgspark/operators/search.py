@@ -53,11 +53,12 @@ def score(query: Column, query_tokens: Column, text: Column, text_tokens: Column
 
 
 def _grams(text: Column, size: int) -> Column:
-    """The strings of ``size`` characters in a text; a repeated one has its number of earlier ones behind it."""
+    """The strings of ``size`` characters in a text, as hashes of the string and of how many equal ones are before it
+    in the text. (Where hashes agree by chance, a text is scored in vain.)"""
     starts = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - (size - 1))).otherwise(F.array().cast("array<int>"))
-    found = F.transform(starts, lambda i: F.substring(text, i, F.lit(size)))
-    return F.transform(found, lambda g, i: F.concat(
-        F.lit(f"{size}:"), g, F.size(F.filter(F.slice(found, F.lit(1), i), lambda x: x == g)).cast("string")))
+    found = F.array(F.array_sort(F.transform(starts, lambda i: F.substring(text, i, F.lit(size)))))
+    # Sorted and held once: the place among equal ones is the distance from the first of them.
+    return F.transform(found, lambda held: F.transform(held, lambda x, i: F.xxhash64(x, i - F.array_position(held, x).cast("int"))))[0]
 
 
 def _ranked(items: Column, frequency: Column, by: list[str]) -> Column:
@@ -100,24 +101,25 @@ class _Search:
         self.parts = reduce(DataFrame.union, cut, whole).distinct() if cut else whole
         if cut:
             self.parts = materialize(self.parts)
-        forms = self.parts.select("form", "run").distinct() if cut else whole.select("form", "run")
-        entries = forms.select("form", "run", F.length("form").alias("length"), F.explode(
-            F.concat(*[_grams(F.col("form"), g) for g in GRAMS])).alias("gram"))
-        self.grams = materialize(entries)
+        self._grams: dict[int, tuple[DataFrame, DataFrame]] = {}
         word = self.texts.select("text", F.size("words").alias("size"), F.explode("words").alias("word"))
         often = word.groupBy("word").agg(F.count("*").alias("often"))
         self.words = materialize(word.join(often, "word").withColumn("place", _ranked(F.col("word"), F.col("often"), ["text"])))
-        gram_of = F.explode(F.concat(*[_grams(F.col("q"), g) for g in GRAMS])).alias("gram")
-        mine = self.asked.select("query", "q_length", "q_run", gram_of)
-        seen = self.grams.join(mine.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("often"))
-        size = F.substring_index("gram", ":", 1).cast("int")
-        self.asked_grams = materialize(
-            mine.join(seen, "gram", "left").fillna(0, ["often"]).withColumn("g", size)
-            .withColumn("place", _ranked(F.col("gram"), F.col("often"), ["query", "g"])))
         word_of = self.asked.select("query", "q_size", F.explode("q_words").alias("word"))
-        self.asked_words = materialize(
+        self.asked_words = (
             word_of.join(self.words.select("word", "often").distinct(), "word", "left").fillna(0, ["often"]).withColumn("place", _ranked(F.col("word"), F.col("often"), ["query"])))
 
+    def grams(self, size: int) -> tuple[DataFrame, DataFrame]:
+        """The forms of each gram of a size, and the grams of each query from the rarest on; made when they are asked for."""
+        if size not in self._grams:
+            forms = self.parts.select("form", "run").distinct()
+            index = materialize(forms.select("form", "run", F.length("form").alias("length"), F.explode(_grams(F.col("form"), size)).alias("gram")))
+            mine = self.asked.select("query", "q_length", "q_run", F.explode(_grams(F.col("q"), size)).alias("gram"))
+            seen = index.join(mine.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("often"))
+            asked = mine.join(seen, "gram", "left").fillna(0, ["often"]).withColumn("place", _ranked(F.col("gram"), F.col("often"), ["query"]))
+            self._grams[size] = index, materialize(asked)
+        return self._grams[size]
+
     def scored(self, pairs: DataFrame) -> DataFrame:
         """(query, score, iris) of distinct pairs of a query and a text."""
         met = pairs.join(self.asked, "query").join(self.texts, "text")
@@ -140,9 +142,9 @@ class _Search:
         """Some pairs that are likely to score high: forms of about the length of the query that share most grams
         of three letters with it, and texts that share most words. What is left out here is met later, if it counts."""
         some = lambda often, n, c: F.pmod(F.xxhash64(c), F.ceil(F.col(often) / n)) == 0
-        of_length = self.grams.where("gram LIKE '3:%'")
+        of_length, asked_grams = self.grams(GRAMS[0])
         n_of = of_length.groupBy("gram", "length", "run").agg(F.count("*").alias("here"))
-        probe = (self.asked_grams.where("g = 3 AND often > 0")
+        probe = (asked_grams.where("often > 0")
                  .select("query", "gram", "q_run", F.explode(F.array(*[F.col("q_length") + d for d in (-1, 0, 1)])).alias("length")))
         if self.partial:
             probe = probe.select("query", "gram", "length", F.explode(F.array(F.lit(0), F.col("q_run"))).alias("run"))
@@ -169,16 +171,15 @@ class _Search:
             choice = F.when(least > 1, F.lit(0))
             for g in GRAMS:
                 choice = choice.when(need[g] >= 1, F.lit(g))
-            first = F.when(F.col("g") == GRAMS[0], need[GRAMS[0]])
-            for g in GRAMS[1:]:
-                first = first.when(F.col("g") == g, need[g])
-            probe = (b.where("bound > 0").withColumns({"g": choice, "least": least}).withColumn("need", first)
-                     .select("query", "g", "need", "least").join(self.asked_grams, ["query", "g"])
-                     .where((F.col("place") <= F.col("q_length") - F.col("g") + 1 - F.col("need") + 1) & (F.col("often") > 0))
-                     .select("query", "gram", "q_length", "q_run", "least"))
-            fits = ((F.col("length") >= F.col("q_length") * F.col("least") - 0.0001) & (F.col("q_length") >= F.col("length") * F.col("least") - 0.0001)
-                    & (F.col("run") == (F.col("q_run") if run else F.lit(0))))
-            hits.append(self._of_texts(probe.join(self.grams, "gram").where(fits).select("query", "form", "run").distinct()))
+            chosen = b.where("bound > 0").withColumns({"g": choice, "least": least})
+            for g in sorted(r[0] for r in chosen.select("g").distinct().collect() if r[0]):
+                index, asked_grams = self.grams(g)
+                probe = (chosen.where(F.col("g") == g).select("query", "least", need[g].alias("need")).join(asked_grams, "query")
+                         .where((F.col("place") <= F.col("q_length") - g + 1 - F.col("need") + 1) & (F.col("often") > 0))
+                         .select("query", "gram", "q_length", "q_run", "least"))
+                fits = ((F.col("length") >= F.col("q_length") * F.col("least") - 0.0001) & (F.col("q_length") >= F.col("length") * F.col("least") - 0.0001)
+                        & (F.col("run") == (F.col("q_run") if run else F.lit(0))))
+                hits.append(self._of_texts(probe.join(index, "gram").where(fits).select("query", "form", "run").distinct()))
         # Of the words of the smaller side so many must be shared; one of the rarest others of that side is among them.
         a, t = self.asked_words.alias("a"), self.words.alias("t")
         shared = lambda n: F.ceil(F.col("bound") / (100 * WORD_WEIGHT) * n - 0.0001)
