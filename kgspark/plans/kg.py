@@ -444,17 +444,20 @@ class KG:
         if near is None:
             return []
         structs, out, doubled = [], [], []
+        once = Term(F.col("__subject"), IRI_T)  # the subject's text is made once per row, not once per triple
         for e in entries:
             obj, joined, semis, several = (
                 self._map_object(m, e.om, near) if e.om is not None else (Term(F.lit(e.cls), IRI_T), near, (), False))
             if e.swapped and obj.type != IRI_T:
                 continue
-            start, end = (obj, subject) if e.swapped else (subject, obj)
+            same_row = joined is near and not semis and (subjects is None or not e.swapped)
+            me = once if same_row and subject.type == IRI_T else subject
+            start, end = (obj, me) if e.swapped else (me, obj)
             if e.om is not None and e.cls is not None:
                 end = Term(F.lit(e.cls), IRI_T)
             predicate = Term(F.lit(e.pred), IRI_T)
-            triple = F.when(subject.bound & obj.bound, triple_struct(start, predicate, end))
-            if joined is near and not semis and subjects is None or joined is near and not semis and not e.swapped:
+            triple = F.when(me.bound & obj.bound, triple_struct(start, predicate, end))
+            if same_row:
                 structs.append(triple)
                 continue
             rows = joined if semis is None else _scan_with(joined, semis)
@@ -463,7 +466,7 @@ class KG:
             if rows is not None:
                 (doubled if several else out).append(rows.select(*graph, triple.alias("t")))
         if structs:
-            out.append(near.select(*graph, F.explode(F.array(*structs)).alias("t")))
+            out.append(near.withColumn("__subject", subject.value).select(*graph, F.explode(F.array(*structs)).alias("t")))
         cols = ["g", "t.*"] if quads else ["t.*"]
         repeated += [rows.where("t IS NOT NULL").select(*cols) for rows in doubled]
         return [rows.where("t IS NOT NULL").select(*cols) for rows in out]
