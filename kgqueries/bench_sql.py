@@ -1,6 +1,13 @@
 """Hand-written Spark SQL for some headline queries, as the yardstick of ``bench.py``."""
 
+import re
+
 from kgqueries.registry import X
+from kgqueries.scans import GRAPH_SQL
+
+# The SQL check of the graph view, in Spark's words.
+_GRAPH = re.sub(r"\bFROM (region|nation|customer|supplier|part|orders|lineitem|events)\b", r"FROM t_\1", GRAPH_SQL.replace("AS VARCHAR", "AS STRING").replace(
+    "strftime(l_shipdate, '%Y-%m-%d %H:%M:%S')", "date_format(l_shipdate, 'yyyy-MM-dd HH:mm:ss')").replace("json_extract(props", "get_json_object(props"))
 
 HAND_WRITTEN = {
     "flagship_top_customers": """
@@ -50,7 +57,10 @@ WITH e AS (SELECT p_partkey AS a, p_partkey DIV 2 AS b FROM t_part WHERE p_partk
 SELECT concat('{X}part/', a), concat('{X}part/', b) FROM e
 UNION ALL SELECT concat('{X}part/', e1.a), concat('{X}part/', e2.b) FROM e e1 JOIN e e2 ON e1.b = e2.a
 UNION ALL SELECT concat('{X}part/', e1.a), concat('{X}part/', e3.b) FROM e e1 JOIN e e2 ON e1.b = e2.a JOIN e e3 ON e2.b = e3.a""",
-    "a1_count": "SELECT c_mktsegment, count(*), count(event_id) FROM t_customer LEFT JOIN t_events ON user_id = c_custkey GROUP BY 1",
+    # The same pattern: an event counts if it has a type, a value and a number in its properties.
+    "a1_count": """
+SELECT c_mktsegment, count(*), count(event_id) FROM t_customer LEFT JOIN (SELECT user_id, event_id FROM t_events WHERE event_type IS NOT NULL
+AND value IS NOT NULL AND try_cast(get_json_object(props, '$.k') AS BIGINT) IS NOT NULL) ON user_id = c_custkey GROUP BY 1""",
     "a2_count_distinct_solutions": "SELECT count(*) FROM (SELECT DISTINCT l_partkey, l_suppkey FROM t_lineitem)",
     "q3_construct": f"""
 SELECT DISTINCT * FROM (
@@ -65,4 +75,24 @@ SELECT to_json(named_struct('c', named_struct('type', 'uri', 'value', concat('{X
 'total', CASE WHEN o_orderkey IS NOT NULL THEN named_struct('type', 'literal', 'value', CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING),
 'datatype', 'decimal') END)) FROM t_customer LEFT JOIN t_orders ON o_custkey = c_custkey""",
     "x41_md5": "SELECT concat('doc/', doc_id), md5(text) FROM t_documents WHERE text IS NOT NULL",
+    "m15_graph_view": f"SELECT * FROM ({_GRAPH}) WHERE s IS NOT NULL AND o IS NOT NULL",
+    "c6_instance": f"""
+SELECT 'shop' AS unit_id, '{X}byUser', '{X}User', '{X}placedBy', '{X}Person', CAST(sum(e.n * o.n) AS BIGINT) FROM
+(SELECT user_id AS c, count(*) AS n FROM t_events GROUP BY 1) e JOIN (SELECT o_custkey AS c, count(*) AS n FROM t_orders GROUP BY 1) o ON e.c = o.c""",
+    "d2_fuzzy_search": f"""
+WITH idx AS (SELECT concat('{X}part/', p_partkey) AS iri, p_name AS text FROM t_part WHERE p_size >= 10
+UNION ALL SELECT concat('{X}part/', p_partkey), concat(p_type, ' ', p_name, ' by ', p_brand) FROM t_part WHERE p_size >= 10
+UNION ALL SELECT concat('{X}part/', p_partkey), concat('{X}part/', p_partkey) FROM t_part WHERE p_size < 10
+UNION ALL SELECT concat('{X}supplier/', s_suppkey), s_name FROM t_supplier),
+q AS (SELECT DISTINCT query FROM (SELECT replace(p_name, 'i', 'y') AS query FROM t_part
+UNION ALL SELECT concat(split_part(p_name, ' ', 2), ' ', split_part(p_name, ' ', 1)) FROM t_part)),
+pairs AS (SELECT query, iri, text, array_distinct(filter(split(query, ' '), x -> x <> '')) AS a, array_distinct(filter(split(text, ' '), x -> x <> '')) AS b
+FROM q CROSS JOIN idx),
+scored AS (SELECT query, iri, max(round(100 * greatest(1.0D - levenshtein(query, text) / greatest(length(query), length(text)),
+0.95D * size(array_intersect(a, b)) / least(size(a), size(b))), 4)) AS score FROM pairs GROUP BY 1, 2)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, iri) AS rank FROM scored) WHERE rank <= 5""",
+    "p5_one_or_more": f"""
+WITH RECURSIVE c(a, b) AS (SELECT p_partkey, p_partkey DIV 2 FROM t_part WHERE p_partkey > 0
+UNION ALL SELECT c.a, e.b FROM c JOIN (SELECT p_partkey AS a, p_partkey DIV 2 AS b FROM t_part WHERE p_partkey > 0) e ON c.b = e.a)
+SELECT concat('{X}part/', a), concat('{X}part/', b) FROM c""",
 }
