@@ -45,7 +45,7 @@ def _nodes(rr: DataFrame) -> DataFrame:
     name = F.coalesce(*[F.when(F.col("p") == iri, F.lit(n)) for iri, n in SPELLINGS.items()], _local(F.col("p")))
     cell = F.struct(name.alias("name"), (F.col("o_kind") != "literal").alias("late"), "o", "o_kind", "o_dt", "o_lang")
     return (rr.where(~F.col("p").isin(str(RDF.type), str(RR.predicateObjectMap)))
-            .groupBy("s").agg(F.sort_array(F.collect_list(cell)).alias("cells")))
+            .groupBy("s").agg(F.sort_array(F.collect_set(cell)).alias("cells")))
 
 
 def mapping_from_triples(triples: DataFrame) -> DataFrame:
@@ -56,8 +56,7 @@ def mapping_from_triples(triples: DataFrame) -> DataFrame:
     left out unsaid: whatever a row cannot hold is named in ``problems`` (``has_stubs``: there are some).
     """
     is_map = (F.col("p") == str(RDF.type)) & (F.col("o") == str(RR.TriplesMap))
-    rr = materialize(triples.where(F.startswith("p", F.lit(str(RR))) | is_map)
-                     .select("s", "p", "o", "o_kind", "o_dt", "o_lang").distinct())
+    rr = materialize(triples.where(F.startswith("p", F.lit(str(RR))) | is_map).select("s", "p", "o", "o_kind", "o_dt", "o_lang"))
     nodes = materialize(_nodes(rr))  # joined once per role a node can have
     maps = rr.where(is_map | F.col("p").isin(str(RR.logicalTable), str(RR.subjectMap))).select("s").distinct()
 
@@ -108,7 +107,7 @@ def mapping_from_triples(triples: DataFrame) -> DataFrame:
         F.coalesce(first(F.col("sm_n.column")), F.lit("")).alias("s_column"), classes.alias("s_classes"), graph.alias("graph"), said.alias("own"))
 
     # properties: every predicate with every object map
-    links = rr.where(F.col("p") == str(RR.predicateObjectMap)).select(F.col("s").alias("map"), F.col("o").alias("pom"))
+    links = rr.where(F.col("p") == str(RR.predicateObjectMap)).select(F.col("s").alias("map"), F.col("o").alias("pom")).distinct()
     poms = links.join(role("pom", "predicate", "predicateMap", "object", "objectMap", "graph", "graphMap"), "pom", "left")
     constants = rr.where(F.col("p") == str(RR.constant)).groupBy("s").agg(F.min("o").alias("o"))
     named = (poms.select("pom", F.explode("pom_n.predicateMap").alias("x")).distinct()
@@ -126,7 +125,7 @@ def mapping_from_triples(triples: DataFrame) -> DataFrame:
         F.concat(cell, value).alias("objects"))
     poms = poms.select("map", "pom", "own", "predicate", F.explode_outer("objects").alias("x")).withColumn(
         "om", F.when(F.col("x.node"), F.col("x.o")))
-    pairs = rr.where(F.col("p") == str(RR.joinCondition)).select(F.col("s").alias("om"), F.col("o").alias("jc")).join(
+    pairs = rr.where(F.col("p") == str(RR.joinCondition)).select(F.col("s").alias("om"), F.col("o").alias("jc")).distinct().join(
         role("jc", "child", "parent"), "jc", "left")
     pair = F.struct(F.coalesce(first(F.col("jc_n.child")), F.lit("")).alias("child"), F.coalesce(first(F.col("jc_n.parent")), F.lit("")).alias("parent"))
     pairs = pairs.groupBy("om").agg(F.transform(F.sort_array(F.collect_list(F.struct("jc", pair.alias("pair")))), lambda x: x["pair"]).alias("join"))
