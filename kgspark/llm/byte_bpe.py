@@ -243,7 +243,8 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, *, decoded: bool = Fal
     """One row per document: its id, ``n_tokens`` and ``ids``, the token ids of the whole text, without special
     tokens; with ``decoded`` also ``decoded_sha256``, of the bytes that the ids decode to.
 
-    A null or empty text has no ids; null ids and repeated rows are kept; other columns are ignored.
+    A null or empty text has no ids; null ids and repeated rows are kept; other columns are ignored; an empty table
+    gives an empty one.
     """
     spark = prepare(docs.sparkSession)
     id_type = docs.select(f"`{id_col}`").schema[0].dataType.simpleString()
@@ -262,14 +263,20 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, *, decoded: bool = Fal
 
 
 def decode(encoded: DataFrame, rank_file: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """One row per row of ``encoded``: its id and ``decoded``, the bytes of its ids (null ids: no bytes)."""
+    """One row per row of ``encoded``: its id and ``decoded``, the bytes of its ids: none for a null or empty list, null
+    where an id is null or not in the vocabulary. Repeated rows and null row ids are kept; an empty table gives an empty one."""
     spark = prepare(encoded.sparkSession)
     id_type = encoded.select(f"`{id_col}`").schema[0].dataType.simpleString()
     sent = _sent(spark, rank_file, "")
 
     def make():
         tokens = {i: t for t, i in sent.value[1].items()}
-        return lambda i, ids: (i, b"".join(map(tokens.__getitem__, ids or ())))
+
+        def each(i, ids):
+            parts = [tokens.get(t) for t in ids or ()]
+            return i, None if None in parts else b"".join(parts)
+
+        return each
 
     return text_map(columns(encoded, id=id_col, text=ids_col), f"`{id_col}` {id_type}, decoded binary", make)
 

@@ -283,7 +283,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", tex
 def without_leaks(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_id_col: str = "item_id",
                   item_text_col: str = "text", threshold: float = 0.6, overlap: float = 0.5, run: int = 5,
                   shard_items: int = 1024) -> DataFrame:
-    """The documents, with all their columns, that hold no item. Rows without a text are kept."""
+    """The documents, with all their columns, that hold no item. Rows without a text are kept; ids are not looked at, so
+    null ids do no harm, and repeated rows stay or go together. Without items, or without documents, nothing changes."""
     prepare(docs.sparkSession)
     at = docs.columns.index(text_col)
     for shard in shards(items, item_id_col, item_text_col, run=run, shard_items=shard_items):

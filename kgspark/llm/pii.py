@@ -219,7 +219,8 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
 def mask(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """The same rows and columns, with personal data in the text replaced by names of kinds (``<EMAIL>``).
 
-    Null texts stay null. Columns of any names pass through untouched.
+    Null texts stay null, empty ones empty; repeated rows are masked alike; an empty table gives an empty one. Columns
+    of any names pass through untouched.
     """
     prepare(docs.sparkSession)
     schema = to_arrow_schema(docs.schema)

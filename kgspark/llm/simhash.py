@@ -458,7 +458,8 @@ def similar_groups(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8
 
 def one_per_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The documents, with all their columns, of which one of each group of ``similar_groups`` stays: the one
-    with the least id. Of rows with equal id and text one stays."""
+    with the least id. Of rows with equal id and text one stays; a null id counts as the greatest. Null and empty texts
+    have no shingles and form one group; an empty table gives an empty one."""
     prepare(docs.sparkSession)
     groups = similar_groups(docs, id_col=id_col, text_col=text_col, **how)
     kept = groups.where("id = least_id AND hash = least_hash").select(F.col("id").alias("k0"), F.col("hash").alias("k1")).distinct()

@@ -126,7 +126,8 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], listed: DataF
 
 
 def repeated_addresses(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """The canonical URLs that two or more different pages carry, as a list for ``judge_urls``."""
+    """The canonical URLs that two or more different pages carry, as a list for ``judge_urls``. Null and odd addresses
+    have no canonical URL; repeated rows, and pages without an id, do not count as different; an empty table gives an empty list."""
     p = columns(pages, id=id_col, url=url_col).select("id", canonical(F.col("url")).alias("key"))
     return (p.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"))
             .where("a <> b").select("key"))

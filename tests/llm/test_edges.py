@@ -117,6 +117,28 @@ def test_urls(spark):
     assert len(url_filter.judge_urls(pages, rules, listed.limit(0)).collect()) == 9
 
 
+def test_decoding_odd_ids(spark):
+    rows = [(1, [72, 70]), (None, []), (2, None), (3, [10**9]), (4, [72, None]), (1, [72, 70])]
+    ids = spark.createDataFrame(rows, "doc_id bigint, ids array<int>")
+    got = collected(byte_bpe.decode(ids, RANKS), "doc_id", "decoded")
+    one = bytes(byte_bpe.decode(ids.where("doc_id = 1"), RANKS).first().decoded)
+    assert got == sorted([(1, one), (1, one), (None, b""), (2, b""), (3, None), (4, None)], key=repr) and len(one) >= 2
+    assert byte_bpe.decode(ids.limit(0), RANKS).collect() == []
+
+
+def test_stages_on_odd_rows(spark, docs, items):
+    """What stays of null and empty texts and of repeated rows, by the operators that keep whole documents."""
+    n = len(awkward())
+    assert decontaminate.without_leaks(docs, items).count() == decontaminate.without_leaks(docs, items.limit(0)).count() == n
+    masked = pii.mask(docs)
+    assert [r.text for r in masked.where("doc_id IN (4, 5)").orderBy("doc_id").collect()] == [None, ""] and masked.count() == n
+    kept = [(r.doc_id, r.text) for r in simhash.one_per_group(docs).collect()]
+    assert len(kept) == len(set(kept)) and (4, None) in kept and not {5, 6} & {i for i, _ in kept}
+    pages = spark.createDataFrame([(1, "http://a.b/x"), (1, "http://a.b/x"), (None, "http://a.b/x"), (2, "http://c.d"), (3, "http://c.d"), (4, None), (5, "")], "page_id bigint, url string")
+    assert collected(url_filter.repeated_addresses(pages), "key") == [("c.d",)]
+    assert url_filter.repeated_addresses(pages.limit(0)).collect() == []
+
+
 def test_tables_of_blocks_are_dropped(spark, docs):
     from kgspark.llm import blocks
     made = blocks.pack(docs, "doc_id", "text")
