@@ -87,6 +87,14 @@ def _(spark, sf):
     return kinds(spark, sf).filter(lambda r: fn.is_literal(r.v)).select(v2=lambda r: fn.str(r.v)).rename(v2="v")
 
 
+@query("x2_datatype_mixed", f"""
+SELECT '{X}customer/' || c_custkey AS x, '{XS}integer' AS d FROM customer UNION ALL SELECT '{X}customer/' || c_custkey, '{XS}string' FROM customer
+UNION ALL SELECT '{X}customer/' || c_custkey, NULL FROM customer""")
+def _(spark, sf):
+    """Datatypes of a variable that is a number, a text or a resource; a resource has none."""
+    return kinds(spark, sf).select("x", d=lambda r: fn.str(fn.datatype(r.v)))
+
+
 @query("x5_is_blank", f"""
 SELECT c_name AS name, '{X}customer/' || c_custkey AS c FROM customer""")
 def _(spark, sf):
