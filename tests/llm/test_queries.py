@@ -13,11 +13,11 @@ from kgspark.llm.queries import ORACLES, QUERIES
 from tests.conftest import SMALL
 from tests.llm.helpers import components
 
-TABLES = ("documents", "pages", "benchmark", "labels")
+TABLES = ("documents", "pages", "benchmark", "labels", "conversations")
 
 
 def test_names():
-    assert [sum(n.startswith(f"op{k}_") for n in entry.queries()) for k in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{k}_") for n in entry.queries()) for k in range(1, 14)] == [1] * 13
     assert "pipeline" in entry.queries() and set(ORACLES) <= set(entry.oracle_sql())
 
 
