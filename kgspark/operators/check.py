@@ -156,7 +156,7 @@ class GraphPatterns:
         found = [b.df.limit(1).select(F.lit(self.unit_id).alias("unit_id"), F.lit(str(p)).alias("p"))
                  for p in self.kg.predicates() for b in self.kg.match("?s", IRI(p), "?o").branches]
         found = found or [self.kg.spark.createDataFrame([], "unit_id string, p string")]
-        return reduce(DataFrame.union, found)
+        return materialize(reduce(DataFrame.union, found))  # a few rows; what is constant in each is not planned with
 
 
 class Checker:
