@@ -197,8 +197,8 @@ def _closure(kg, one, s, step, o, reflexive: bool):
             met = to is not None and connected(pairs, start, to)[0]
             found = pairs.limit(0)
             if met:  # one row of both ends
-                ends = [pairs.where(at(F.col(c))).select(c, F.lit(0).alias("one")).limit(1) for c, at in (("src", start), ("dst", to))]
-                found = ends[0].join(ends[1], "one").select("src", "dst")
+                is_s, is_o = start(F.col("src")), to(F.col("dst"))
+                found = pairs.where(is_s | is_o).agg(F.max(F.when(is_s, F.col("src"))).alias("src"), F.max(F.when(is_o, F.col("dst"))).alias("dst"))
         else:
             found = closure(pairs, sources=pairs.select("src").where(start(F.col("src"))).distinct())
         if back:
