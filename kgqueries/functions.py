@@ -176,7 +176,7 @@ doc_query("x20_substr", "substr(text, 5, 40) || substr(text, greatest(length(tex
           lambda r: fn.concat(fn.substr(r.t, 5, 40), fn.substr(r.t, fn.strlen(r.t) - 3)))
 part_query("x20_substr_edges", "substr(p_name, 1, 2) || '|' || substr(p_name, 4) || '|' || substr(p_name, 50, 5)",
            lambda r: fn.concat(fn.substr(r.name, -1, 4), "|", fn.substr(r.name, 4), "|", fn.substr(r.name, 50, 5)))
-doc_query("x21_case", "upper(substr(text, 1, 1)) || lower(text)", lambda r: fn.concat(fn.ucase(fn.substr(r.t, 1, 1)), fn.lcase(r.t)))
+doc_query("x21_case", "upper(substr(text, 1, 1)) || lower(text)", lambda r: fn.concat(fn.ucase(fn.substr(r.t, 1, 1), simple=True), fn.lcase(r.t, simple=True)))
 part_query("x22_strstarts", "starts_with(p_name, 'red')", lambda r: fn.strstarts(r.name, "red"))
 part_query("x23_strends", "ends_with(p_name, 'widget')", lambda r: fn.strends(r.name, "widget"))
 doc_query("x24_contains", "contains(text, 'the')", lambda r: fn.contains(r.t, "the"))

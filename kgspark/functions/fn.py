@@ -186,12 +186,30 @@ def substr(t, start, length=None) -> Term:
     return _like(t, F.substr(text, first.cast("int"), F.greatest(end - first, F.lit(0)).cast("int")))
 
 
-def ucase(t) -> Term:
-    return _like(term(t), F.upper(term(t).as_string()))
+# Characters whose upper case is several, and the single ones that stand for them where there are such.
+_SEVERAL = [c for c in map(chr, range(0x80, 0x10000)) if not 0xD800 <= ord(c) < 0xE000 and len(c.upper()) > 1]
+_SINGLE = ["ẞ" if c == "ß" else c.title() if len(c.title()) == 1 else c for c in _SEVERAL]
 
 
-def lcase(t) -> Term:
-    return _like(term(t), F.lower(term(t).as_string()))
+def ucase(t, *, simple: bool = False) -> Term:
+    """Upper case, by Unicode's full mapping (ß: SS); ``simple`` gives each character one (ß: ẞ) and keeps those without."""
+    s = term(t).as_string()
+    full = F.upper(s)
+    if not simple:
+        return _like(term(t), full)
+
+    def one(c: Column) -> Column:
+        c = F.translate(c, "".join(_SEVERAL), "".join(_SINGLE))
+        return F.when(F.length(F.upper(c)) == 1, F.upper(c)).otherwise(c)
+
+    apart = F.array_join(F.transform(F.split(s, ""), one), "")
+    return _like(term(t), F.when(F.length(full) == F.length(s), full).otherwise(apart))
+
+
+def lcase(t, *, simple: bool = False) -> Term:
+    """Lower case, by Unicode's full mapping (Σ at a word's end: ς); ``simple`` gives each character one by itself (Σ: σ, İ: i)."""
+    s = term(t).as_string()
+    return _like(term(t), F.lower(F.translate(s, "İΣ", "iσ") if simple else s))
 
 
 def strstarts(t, prefix) -> Term:

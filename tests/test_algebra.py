@@ -269,3 +269,12 @@ def test_rows_stand_under_masks_that_occur(spark):
     one, other, _, shared = loose._aligned(a.branches[0], b.branches[0])
     lefts, rights, _ = loose._masked(one, other, shared)
     assert lefts.count() == 3 * 30 and rights.where("__slot = 0").count() == 3 * 25
+
+
+def test_simple_case_mapping_keeps_one_character_for_each(spark):
+    texts = ["ßar", "ﬁn ǰ ᾀ", "ΟΔΟΣ", "İz", "Abc", ""]
+    b = inline(spark, ["t"], [(t,) for t in texts])
+    got = {r["t"]: (r["u"], r["l"], r["f"]) for r in b.select("t", u=lambda r: fn.ucase(r.t, simple=True), l=lambda r: fn.lcase(
+        r.t, simple=True), f=lambda r: fn.ucase(r.t)).df.collect()}
+    assert got == {"ßar": ("ẞAR", "ßar", "SSAR"), "ﬁn ǰ ᾀ": ("ﬁN ǰ ᾈ", "ﬁn ǰ ᾀ", "FIN J̌ ἈΙ"), "ΟΔΟΣ": ("ΟΔΟΣ", "οδοσ", "ΟΔΟΣ"),
+                   "İz": ("İZ", "iz", "İZ"), "Abc": ("ABC", "abc", "ABC"), "": ("", "", "")}
