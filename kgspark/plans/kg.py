@@ -651,16 +651,28 @@ def _cost(item: Bindings) -> float:
     return size / 100.0 ** fixed
 
 
+def _keys(item: Bindings) -> set[frozenset]:
+    """Sets of variables no two solutions of a pattern share, as far as they are known."""
+    b = item.branches[0] if len(item.branches) == 1 else None
+    return {frozenset({n}) for n in b.scan.subjects} if b is not None and b.scan else set()
+
+
 def _join_by_cost(items: list[Bindings]) -> Bindings:
     """The cheapest pattern first, then always one that is linked to what is there: those that bring no new variable, as
-    they only leave fewer rows, before others, and the cheaper ones before the dearer."""
+    they only leave fewer rows, before others, then those joined on a key of either side, as each row of the other side
+    meets one row at most, and the cheaper ones before the dearer."""
     ranked = sorted(items, key=lambda it: (_cost(it), sorted(" ".join(map(str, x)) for x in it._patterns)))
-    out, rest = ranked[0], ranked[1:]
+    keys = {id(it): _keys(it) for it in items}
+    out, rest, mine = ranked[0], ranked[1:], keys[id(ranked[0])]
     while rest:
         linked = [it for it in rest if set(it.names) & set(out.names)]
         closing = [it for it in linked if set(it.names) <= set(out.names)]
-        nxt = (closing or linked or rest)[0]
+        keyed = [it for it in linked if any(k <= set(out.names) & set(it.names) for k in mine | keys[id(it)])]
+        nxt = (closing or keyed or linked or rest)[0]
         rest = [it for it in rest if it is not nxt]
+        shared, theirs = set(out.names) & set(nxt.names), keys[id(nxt)]
+        mine = ({k for k in mine if any(t <= shared for t in theirs)} | {k for k in theirs if any(m <= shared for m in mine)}
+                or {m | t for m in mine for t in theirs})
         out = out.join(nxt)
     return out
 

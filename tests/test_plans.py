@@ -137,3 +137,12 @@ def test_patterns_in_any_order_have_one_plan(spark):
         shapes.add(tuple(re.findall(r"(Join \w+|Relation \[\w+)", re.sub(r"#\d+L?", "", plan))))
         LOCAL = rng.sample(LOCAL, len(LOCAL))
     assert len(shapes) == 1 and len(counts) == 1
+
+
+def test_a_cycle_is_joined_along_keys(kg):
+    """Customers and suppliers of a nation meet only where a line ties them, not on the nation alone."""
+    from kgqueries.patterns import LOCAL
+    joins = [line for line in kg.bgp(LOCAL).df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
+    assert len(joins) == 4
+    assert sum("__k0_n#" in line and " AND " not in line for line in joins) == 1  # nation to supplier
+    assert sum("__k0_n#" in line and "__k0_c#" in line for line in joins) == 1
