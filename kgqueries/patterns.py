@@ -244,10 +244,12 @@ def two_unbound(spark, sf):
 
 @query("j3_two_unbound", TWO_UNBOUND + "SELECT k, count(*) AS n, count(DISTINCT y) AS nations, count(*) FILTER (has_x) AS balances FROM pairs GROUP BY k")
 def _(spark, sf):
-    """Two shared variables, both of which may be unbound on either side."""
+    """Two shared variables, both of which may be unbound on either side; pairs are counted by what they show."""
     a, b = two_unbound(spark, sf)
-    out = a.join(b).bind("b", lambda r: fn.if_(fn.bound(r.x), 1, 0))
-    return out.group_by("k").agg(n=agg.count(), nations=agg.count_distinct("y"), balances=agg.sum("b"))
+    has = lambda r: fn.if_(fn.bound(r.x), 1, 0)
+    out = a.bind("xa", has).join_counted(b.bind("xb", has), "w", keep=["y", "xb"])
+    out = out.bind("b", lambda r: fn.if_((r.xa == 1) | (r.xb == 1), r.w, 0))
+    return out.group_by("k").agg(n=agg.sum("w"), nations=agg.count_distinct("y"), balances=agg.sum("b"))
 
 
 @query("j3_two_unbound_optional", TWO_UNBOUND + """

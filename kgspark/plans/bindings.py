@@ -205,6 +205,23 @@ class Bindings:
                 out += br.join(br.unite(lefts), br.unite(rights))
         return self._with(out, names, self._patterns + other._patterns)
 
+    def join_counted(self, other: "Bindings", count: str, keep=(), below: tuple[str, str] | None = None) -> "Bindings":
+        """Natural join that is only counted: solutions of ``other`` that show the same in the variables ``keep`` are one,
+        and ``count`` is their number. Shared variables that are not kept go.
+
+        ``below=(theirs, mine)`` admits pairs whose whole number ``theirs`` of ``other`` is less than ``mine``. Either
+        way a solution meets groups, not solutions, so that variables that may be unbound make no product.
+        """
+        if below and not all(Term(None, side.types[n]).is_integer for side, n in ((other, below[0]), (self, below[1]))):
+            raise ValueError("below compares whole numbers")
+        out = []
+        for a in self.branches:
+            rights = [b for b in other.branches if br.may_join(a, b)]
+            out += loose.counted(a, br.unite(rights), count, set(keep), below) if rights else []
+        shared = set(self.names) & set(other.names)
+        names = {n: i for n, i in {**other.names, **self.names}.items() if n in keep or n in self.names and n not in shared}
+        return self._with(out, {**names, count: Var(INTEGER_T)}, self._patterns + other._patterns)
+
     def union(self, other: "Bindings") -> "Bindings":
         return self._with(self.branches + other.branches, {**self.names, **other.names},
                           self._patterns + other._patterns)

@@ -20,6 +20,7 @@ from kgspark.plans import branch as br
 from kgspark.plans.branch import Branch, Var
 from kgspark.plans.expr import Row, Term
 from kgspark.session import materialize
+from kgspark.terms import INTEGER_T
 
 ID, RIGHT = "__left_id", "__r_"
 LOOK = 2  # variables that may be unbound, from which rows are looked at for the masks that occur
@@ -117,7 +118,7 @@ def _masks(side: Branch, loose) -> list[int]:
 def _by_masks(a: Branch, b: Branch, loose, keep=(), needs_shared: bool = False) -> DataFrame:
     """Compatible pairs where no shared variable is always bound."""
     left, right, on = _masked(a, b, loose, keep, needs_shared)
-    return left.join(right, on)
+    return left.join(right.hint("merge"), on)  # copies over slots are many more than Spark expects: never broadcast
 
 
 def _masked(a: Branch, b: Branch, loose, keep=(), needs_shared: bool = False) -> tuple[DataFrame, DataFrame, Column]:
@@ -207,3 +208,61 @@ def semi(a: Branch, b: Branch, how: str, where=None, needs_shared: bool = False)
     right = b if where is not None else b.keep(loose).distinct()
     met = _pairs(a, right, loose, where, needs_shared).df.select(ID).distinct()
     return Branch(a.spark, a.vars, a.df.join(met, ID, how).drop(ID), consts=a.consts)
+
+
+def _prefixes(a: DataFrame, b: DataFrame, mine: str, theirs: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a column ``__node``: two rows share exactly one if ``theirs`` is less than ``mine``, else none.
+
+    Nodes are those of a binary tree over the whole numbers that occur; the numbers below one are a node per bit.
+    """
+    a, b = a.where(F.col(f"`{mine}`").isNotNull()), b.where(F.col(f"`{theirs}`").isNotNull())
+    ends = [df.agg(F.min(f"`{c}`"), F.max(f"`{c}`")).first() for df, c in ((a, mine), (b, theirs))]
+    seen = [int(v) for r in ends for v in r if v is not None]
+    low, bits = (min(seen), (max(seen) - min(seen)).bit_length()) if seen else (0, 0)
+    if bits > 62:
+        raise ValueError(f"?{mine} and ?{theirs} lie too far apart")
+
+    def nodes(c: str, of) -> Column:
+        at = (F.col(f"`{c}`") - F.lit(low)).cast("bigint")
+        return F.explode(F.filter(F.array(*[of(F.shiftright(at, k), F.lit(k)) for k in range(bits + 1)]), lambda x: x.isNotNull()))
+
+    left = nodes(mine, lambda at, k: F.when(at % 2 == 1, F.struct(k.alias("k"), (at - 1).alias("at"))))
+    return a.withColumn("__node", left), b.withColumn("__node", nodes(theirs, lambda at, k: F.struct(k.alias("k"), at.alias("at"))))
+
+
+def counted(a: Branch, b: Branch, count: str, keep, below: tuple[str, str] | None = None) -> list[Branch]:
+    """Natural join in which solutions of ``b`` that show the same in ``keep`` are one, with their number."""
+    ready = _aligned(a, b)
+    if ready is None:
+        return []
+    a, b, firm, loose = ready
+    shared, own = firm + loose, [n for n in b.vars if n in keep and n not in a.vars]
+    left, right = a.df, b.df
+    if below:
+        mine, theirs = (side.vars[n].columns(n)[0] for side, n in ((a, below[1]), (b, below[0])))
+        left, right = _prefixes(left, right, mine, theirs)
+
+    def masks(side: Branch) -> Column:
+        return F.explode(F.array(*[F.lit(m) for m in _masks(side, shared)]).cast("array<int>"))
+
+    def keys(side: Branch) -> dict[str, Column]:
+        both = F.col("__ma").bitwiseAND(F.col("__mb"))
+        return {f"__key_{c}": F.when(both.bitwiseAND(F.lit(1 << i)) != 0, F.col(f"`{c}`"))
+                for i, n in enumerate(shared) for c in side.vars[n].columns(n)}
+
+    mask = lambda side: _mask(side, shared) if shared else F.lit(0)
+    left = left.withColumn("__ma", mask(a)).withColumn("__mb", masks(b)).withColumns(keys(a))
+    right = right.withColumn("__mb", mask(b)).withColumn("__ma", masks(a))
+    adds = {RIGHT + c: F.when(F.col("__ma").bitwiseAND(F.lit(1 << i)) == 0, F.col(f"`{c}`"))
+            for i, n in enumerate(shared) if n in keep for c in b.vars[n].columns(n)}
+    on = ["__ma", "__mb", *keys(a), *(["__node"] if below else [])]
+    right = right.withColumns({**keys(b), **adds})
+    right = right.groupBy(*[F.col(f"`{c}`") for c in (*on, *adds, *b.physical(own))]).agg(F.count(F.lit(1)).alias(count))
+    right = materialize(right.withColumnsRenamed({c: f"__r{c}" for c in on}))
+    met = left.join(right.hint("merge") if below else right,
+                    reduce(lambda x, y: x & y, [F.col(f"`{c}`").eqNullSafe(F.col(f"`__r{c}`")) for c in on]))
+    infos = _joined_vars(a, b, loose)
+    infos = {n: i for n, i in infos.items() if n in keep or n in a.vars and n not in shared}
+    merged = {c: e for n in shared if n in keep for c, e in _either(a, n).items()}
+    cols = [merged[c].alias(c) if c in merged else F.col(f"`{c}`") for n in infos for c in infos[n].columns(n)]
+    return [Branch(a.spark, {**infos, count: Var(INTEGER_T)}, met.select(*cols, F.col(f"`{count}`")))]

@@ -278,3 +278,23 @@ def test_simple_case_mapping_keeps_one_character_for_each(spark):
         r.t, simple=True), f=lambda r: fn.ucase(r.t)).df.collect()}
     assert got == {"ßar": ("ẞAR", "ßar", "SSAR"), "ﬁn ǰ ᾀ": ("ﬁN ǰ ᾈ", "ﬁn ǰ ᾀ", "FIN J̌ ἈΙ"), "ΟΔΟΣ": ("ΟΔΟΣ", "οδοσ", "ΟΔΟΣ"),
                    "İz": ("İZ", "iz", "İZ"), "Abc": ("ABC", "abc", "ABC"), "": ("", "", "")}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_counted_joins_of_unbound_variables(spark, seed):
+    """As the join, but each solution of the left side meets groups."""
+    left, right, a, b = sides(spark, seed)
+    pairs = brute_join(as_dicts(A, left), as_dicts(B, right))
+    for keep, below in ((["y"], None), ([], None), (["x", "b"], None), ([], ("b", "a"))):
+        want = {}
+        for d in (d for d in pairs if below is None or d["b"] < d["a"]):
+            key = tuple(d.get(n) for n in ("a", *keep))
+            want[key] = want.get(key, 0) + 1
+        got = a.join_counted(b, "w", keep, below).group_by("a", *keep).agg(n=agg.sum("w"))
+        assert {tuple(r[n] for n in ("a", *keep)): r["n"] for r in got.df.collect()} == want
+
+
+def test_copies_over_slots_are_not_broadcast(spark):
+    a, b = (solutions(spark, names, [(None, 1, 1), (2, None, 2)]) for names in (A, B))
+    plan = a.join(b).df._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
