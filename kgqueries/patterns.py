@@ -255,8 +255,10 @@ def _(spark, sf):
 @query("j3_two_unbound_optional", TWO_UNBOUND + """
 SELECT a.k, count(p.sk) AS n FROM a LEFT JOIN pairs p ON p.k = a.k AND p.sk < a.k GROUP BY a.k""")
 def _(spark, sf):
+    """The partners of an OPTIONAL with a condition, counted."""
     a, b = two_unbound(spark, sf)
-    return a.optional(b, where=lambda r: r.sk < r.k).group_by("k").agg(n=agg.count("sk"))
+    partners = a.join_counted(b, "w", below=("sk", "k")).group_by("k").agg(partners=agg.sum("w"))
+    return a.select("k").distinct().optional(partners).select("k", n=lambda r: fn.coalesce(r.partners, 0))
 
 
 @query("j4_minus", f"""
