@@ -146,3 +146,10 @@ def test_a_cycle_is_joined_along_keys(kg):
     assert len(joins) == 4
     assert sum("__k0_n#" in line and " AND " not in line for line in joins) == 1  # nation to supplier
     assert sum("__k0_n#" in line and "__k0_c#" in line for line in joins) == 1
+
+
+def test_rows_without_a_key_are_moved_once(kg):
+    """Not once per object: triples are made distinct where their subject is."""
+    text = plan(kg.triples(classes=[EX.LineItem]))
+    moved = re.findall(r"Exchange hashpartitioning\((.*?)\)", text)
+    assert moved and all("__s0" in keys and "o#" not in keys for keys in moved)
