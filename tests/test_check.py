@@ -131,3 +131,15 @@ def test_graphs_are_counted_from_their_tables(spark, reasoning):
         want = sorted(map(tuple, getattr(c, rule)(written).collect()))
         assert sorted(map(tuple, getattr(c, rule)(counted).collect())) == want, rule
     written.unpersist()
+
+
+def test_only_statements_that_may_be_wrong_are_read(spark):
+    """Of a mapped graph: one table here, a row per node and use, without text and without a join."""
+    from kgqueries.checks import misfit_tbox
+    from kgqueries.model import order_graph
+    from tests.conftest import SMALL
+    c, graph = check.Checker(misfit_tbox(spark)), check.GraphPatterns(order_graph(spark, SMALL, reasoning=False), "shop")
+    for rule in (c.domain, c.double_domain):
+        found = rule(graph)
+        assert {f.rsplit("/", 1)[-1] for f in found.inputFiles()} == {"orders.parquet"}
+        assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
