@@ -480,23 +480,28 @@ class KG:
         subject = self._node(m.subject, df)
         df = _only_subjects(df, subject, subjects)
         local: dict[object, tuple[Term, list]] = {}
-        linked = []
+        linked, far, plain = [], [], []
         for e in entries if df is not None else ():
             if e.om is None:
                 obj, place = Term(F.lit(e.cls), IRI_T), e.cls
             else:
                 obj, joined, semis, _ = self._map_object(m, e.om, df)
                 place = id(e.om)
+                both = [t.template and t.template.injective for t in (subject, obj)]
+                if (joined is not df or semis) and all(both) and subjects is None and e.cls is None and not (quads and isinstance(m.graph, Template)):
+                    far.append(self._distinct_links(m, e, joined if semis is None else _scan_with(joined, semis), subject, obj, quads))
+                    continue
                 if joined is not df or semis or obj.type.kind == "mixed" or quads and isinstance(m.graph, Template):
                     linked.append(e)
                     continue
                 if e.swapped and obj.type != IRI_T:
                     continue
             local.setdefault(place, (obj, []))[1].append((str(e.pred), e.swapped))
+            plain.append(e)
         repeated += self._map_triples(m, linked, subjects, repeated, quads)
         if not local or not subject.template:
-            repeated += self._map_triples(m, [e for e in entries if e not in linked], subjects, repeated, quads) if local else []
-            return []
+            repeated += self._map_triples(m, plain, subjects, repeated, quads) if local else []
+            return far
         names = [f"__s{i}" for i in range(len(subject.keys))]
         objects, uses = [o for o, _ in local.values()], [u for _, u in local.values()]
         cells = [F.struct(F.lit(i).alias("i"), obj.text.alias("o")) for i, obj in enumerate(objects)]
@@ -519,11 +524,23 @@ class KG:
         used = of([F.array(*[F.struct(F.lit(p).alias("p"), F.lit(w).alias("swapped")) for p, w in some]) for some in uses])
         rows = rows.select(*graph, text.alias("s"), "o", *[c.alias(n) for n, c in cols.items()], F.explode(used).alias("u"))
         if not any(w for some in uses for _, w in some):
-            return [rows.select(*(["g"] if quads else []), "s", F.lit("iri").alias("s_kind"), "u.p", "o", *cols)]
+            return [*far, rows.select(*(["g"] if quads else []), "s", F.lit("iri").alias("s_kind"), "u.p", "o", *cols)]
         turned = F.col("u.swapped")  # an inverse has an IRI at either end
-        return [rows.select(*(["g"] if quads else []), F.when(turned, F.col("o")).otherwise(F.col("s")).alias("s"), F.lit("iri").alias("s_kind"),
+        return [*far, rows.select(*(["g"] if quads else []), F.when(turned, F.col("o")).otherwise(F.col("s")).alias("s"), F.lit("iri").alias("s_kind"),
                             "u.p", F.when(turned, F.col("s")).otherwise(F.col("o")).alias("o"), *cols)]
 
+    def _distinct_links(self, m: TriplesMap, e: "_Entry", rows: DataFrame, subject: Term, obj: Term, quads: bool) -> DataFrame:
+        """The triples of a link of a map without a key: pairs of keys are made distinct, and then their text is made."""
+        ends = {"s": subject, "o": obj}
+        names = {n: [f"__{n}{i}" for i in range(len(t.keys))] for n, t in ends.items()}
+        rows = _present(_present(rows, subject), obj)
+        rows = rows.select(*[k.alias(c) for n, t in ends.items() for c, k in zip(names[n], t.keys)]).distinct()
+        start, end = [Term(None, t.type, template=t.template, keys=[F.col(c) for c in names[n]], families=t.families) for n, t in ends.items()]
+        if e.swapped:
+            start, end = end, start
+        graph = [self._graph_column(m, rows).alias("g")] if quads else []
+        return rows.select(*graph, triple_struct(start, Term(F.lit(e.pred), IRI_T), end).alias("t")).select(*(["g"] if quads else []), "t.*")
+
     def problems(self) -> list[str]:
         """What keeps the mapping from being read: missing tables, columns and parent maps."""
         out = []

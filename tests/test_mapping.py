@@ -177,3 +177,13 @@ def test_typed_literals_from_text(spark):
     assert bag(k.match("?s", E.t, "?o")) == [("http://e/1", "12:30:00")]
     assert bag(k.match("?s", E.d, "?o")) == [("http://e/1", "-P1Y2M")]
     assert bag(k.match("?s", E.h, "?o")) == []
+
+
+def test_links_of_a_map_without_a_key_are_distinct_by_their_keys(spark):
+    """Text is made of what is left: the links of the map are grouped by the keys of both ends."""
+    from kgqueries.graphs import full_graph, full_mapping
+    from tests.conftest import SMALL
+    found = full_graph(spark, SMALL, full_mapping(spark))
+    plan = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    groups = [line for line in plan if "Aggregate [" in line]
+    assert any("__s0" in keys and "__o0" in keys for keys in (line.split("], [")[0] for line in groups))
