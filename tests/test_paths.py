@@ -132,6 +132,26 @@ def test_a_long_cycle_with_a_tail(spark, monkeypatch):
     assert closure(edges).where("src = 17").count() == n + 40
 
 
+def test_strong_components_without_near_pairs(spark, monkeypatch):
+    """No round of pairs is allowed, so that components are told apart by their greatest nodes."""
+    from kgspark.operators import cycles
+    monkeypatch.setattr(cycles, "GROWTH", 0)
+    test_strong_components(spark)
+
+
+def test_a_tree_of_cycles_takes_few_rounds(spark, monkeypatch):
+    """Cycles of four nodes, each with a way into that of half its number: rounds do not follow the depth of the tree."""
+    from kgspark.operators import cycles
+    rounds = []
+    monkeypatch.setattr(cycles, "materialize", lambda df, f=cycles.materialize: rounds.append(1) and None or f(df))
+    n = 511
+    ring = spark.range(4 * n).select(F.col("id").alias("src"), F.expr("id DIV 4 * 4 + (id + 1) % 4").alias("dst"))
+    up = spark.range(1, n).select((4 * F.col("id") + 1).alias("src"), F.expr("id DIV 2 * 4 + id % 2 * 2").alias("dst"))
+    parts = strong_components(ring.union(up)).groupBy("root").agg(F.count("*").alias("n"), F.expr("max(node DIV 4) = min(node DIV 4)").alias("one"))
+    assert [tuple(r) for r in parts.groupBy("n", "one").count().collect()] == [(4, True, n)]
+    assert len(rounds) < 50
+
+
 def test_both_ends_bound(spark, g):
     def ask(s, o, p=path.plus):
         return g.match(IRI(s), p(P), IRI(o)).ask().collect()[0][0]
