@@ -153,3 +153,15 @@ def test_rows_without_a_key_are_moved_once(kg):
     text = plan(kg.triples(classes=[EX.LineItem]))
     moved = re.findall(r"Exchange hashpartitioning\((.*?)\)", text)
     assert moved and all("__s0" in keys and "o#" not in keys for keys in moved)
+
+
+def test_triples_of_a_part_fit_in_memory(spark, tmp_path):
+    """A large table without a key has as many parts as its bytes ask for, not the usual few."""
+    path = f"{tmp_path}/notes.parquet"
+    spark.range(0, 240_000, 1, 8).selectExpr("id % 160000 AS k", "id % 3 AS n", "md5(cast(id AS string)) AS note").write.parquet(path)
+    notes = Mapping([TriplesMap("#N", "notes", "http://e/{k}", [EX.Note], {EX.note: ColumnObj("note"), EX.n: ColumnObj("n")})])
+    found = KG(spark, notes, tables={"notes": spark.read.parquet(path)}).triples()
+    size = sum(f.stat().st_size for f in (tmp_path / "notes.parquet").glob("*.parquet"))
+    parts = [int(n) for n in re.findall(r"Exchange hashpartitioning\(__s0#\d+L, (\d+)\)", plan(found))]
+    assert size >> 20 > 4 == int(spark.conf.get("spark.sql.shuffle.partitions")) and parts == [size >> 20]
+    assert found.count() == found.distinct().count() == 160_000 + 240_000 + 160_000 + 80_000
