@@ -1,3 +1,5 @@
+import re
+from datetime import date
 from decimal import Decimal
 
 from kgspark import (IRI, KG, OWL, RDF, RDFS, XSD, ColumnObj, ConstObj, IriColumn, Mapping, Namespace, Ontology,
@@ -187,3 +189,28 @@ def test_links_of_a_map_without_a_key_are_distinct_by_their_keys(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
     groups = [line for line in plan if "Aggregate [" in line]
     assert any("__s0" in keys and "__o0" in keys for keys in (line.split("], [")[0] for line in groups))
+
+
+def test_key_columns_are_moved_once(spark):
+    """A map without a key: what the subject's keys hold is made of them again, with its type."""
+    rows = [(1, "a b", 2.5, date(2020, 1, 2), 7), (1, "a b", 2.5, date(2020, 1, 2), 8), (1, "a b", 3.5, date(2020, 1, 2), 7),
+            (-2, "c", None, None, None), (None, "c", 1.5, date(2020, 1, 3), 9), (3, "d", -0.0, date(2020, 1, 3), None)]
+    notes = spark.createDataFrame(rows, "k smallint, `n.o` string, x double, d date, z bigint")
+    m = Mapping([TriplesMap("#N", "notes", "http://e/n/{k}/{n.o}/{z}", [E.Note], {
+        E.k: ColumnObj("k"), E.kk: ColumnObj("k", XSD.decimal), E.no: ColumnObj("n.o"), E.x: ColumnObj("x"), E.d: ColumnObj("d"),
+        E.at: TemplateObj("http://e/{k}"), E.both: TemplateObj("{n.o} {d}", XSD.string)}),
+        TriplesMap("#D", "notes", "http://e/d/{d}/{k}", [], {E.day: ColumnObj("d"), E.k: ColumnObj("k"), E.x: ColumnObj("x")})])
+    found = KG(spark, m, tables={"notes": notes}).triples()
+    want = set()
+    for k, no, x, d, z in rows:
+        ends = [(E.k, k), (E.kk, f"{k}.0000000000"), (E.no, no), (E.x, x), (E.d, d), (E.at, f"http://e/{k}"), (E.both, d and f"{no} {d}"), (RDF.type, E.Note)]
+        s = f"http://e/n/{k}/{no.replace(' ', '%20')}/{z}"
+        want |= {(s, str(p), str(o)) for p, o in ends if o is not None and k is not None and z is not None}
+        want |= {(f"http://e/d/{d}/{k}", str(p), str(o)) for p, o in [(E.day, d), (E.k, k), (E.x, x)] if o is not None and k is not None and d is not None}
+    got = [(r.s, r.p, r.o) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    dts = {r.p: r.o_dt for r in found.where("p IN ('http://e/k', 'http://e/kk')").collect()}
+    assert dts == {str(E.k): str(XSD.integer), str(E.kk): str(XSD.decimal)}
+    lines = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    moved = [lines[i + 1].split("[", 1)[1] for i, line in enumerate(lines) if "RepartitionByExpression [" in line]
+    assert len(moved) == 2 and not any(re.search(r"(?:^|, )(?:k|n\.o|z)#\d+L?(?:,|\])", cols) for cols in moved), moved
